@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from speechloom import fixed_values as fv
-from speechloom.functions.text import SPACE, remove_all, space_tokens, squeeze_space, strip_space
+from speechloom.functions.text import SPACE, let, remove_all, space_tokens, squeeze_space, strip_space
 
 _DIGIT = r"\p{Nd}"
 
@@ -96,28 +96,31 @@ def flatten_metadata(value: Column | str, keys: Sequence[str] = fv.METADATA_KEYS
     JSON text if there is none; nothing gives ``'Unknown'``.
     """
     value = F.col(value) if isinstance(value, str) else value
-    opening = F.regexp_extract(value, rf"^[{SPACE}]*(\[[{SPACE}\[]*)", 1)
-    depth = F.length(F.regexp_replace(opening, r"[^\[]", ""))
-    is_json = value.rlike(rf"^[{SPACE}]*[\[{{]") & F.try_parse_json(value).isNotNull()
-    is_object = value.rlike(rf"^[{SPACE}\[]*\{{")
-    path = F.concat(F.lit("$"), F.repeat(F.lit("[0]"), depth))
-    inner = F.call_function("get_json_object", value, path)
-    variant = F.try_parse_json(inner)
-
-    def entry(key: str) -> Column:
+    nothing = ["", "0", "0.0", "false", "[]", "{}"]
+
+    def entry(variant: Column, key: str) -> Column:
         path = f'$["{key}"]'
-        kind = F.schema_of_variant(F.try_variant_get(variant, path, "variant"))
         text = F.try_variant_get(variant, path, "string")
-        is_empty = F.when(kind == "STRING", text == "").otherwise(
-            text.isin("0", "0.0", "false", "[]", "{}")
+        is_text = F.schema_of_variant(F.try_variant_get(variant, path, "variant")) == "STRING"
+        return F.when(~text.isin(nothing) | (is_text & (text != "")), text)
+
+    def from_object(inner: Column) -> Column:
+        return let(
+            F.try_parse_json(inner), lambda v: F.coalesce(*[entry(v, k) for k in keys], inner)
         )
-        return F.when(~is_empty, text)
 
-    from_object = F.coalesce(*[entry(k) for k in keys], inner)
-    from_json = F.when(is_object, from_object).otherwise(inner)
-    return strip_space(
-        F.coalesce(F.when(is_json, from_json).otherwise(value), F.lit("Unknown"))
-    )
+    def from_json(json_text: Column) -> Column:
+        opening = F.regexp_extract(json_text, rf"^[{SPACE}\[]+", 0)
+        depth = F.length(F.regexp_replace(opening, r"[^\[]", ""))
+        path = F.concat(F.lit("$"), F.repeat(F.lit("[0]"), depth))
+        inner = F.call_function("get_json_object", json_text, path)
+        is_object = json_text.rlike(rf"^[{SPACE}\[]*\{{")
+        unwrapped = let(inner, lambda x: F.when(is_object, from_object(x)).otherwise(x))
+        return F.when(F.try_parse_json(json_text).isNull(), json_text).otherwise(unwrapped)
+
+    looks_like_json = value.rlike(rf"^[{SPACE}]*[\[{{]")
+    flat = F.when(looks_like_json, let(value, from_json)).otherwise(value)
+    return strip_space(F.coalesce(flat, F.lit("Unknown")))
 
 
 def digits_as_number(identifier: Column | str) -> Column:
@@ -136,10 +139,8 @@ def package_date(package_id: Column | str) -> Column:
 
 def congress_number(package_congress: Column, granule_congress: Column) -> Column:
     """The package's congress unless unknown, else the granule's, else '0'."""
-    granule = F.when(granule_congress.isNull(), F.lit("0")).otherwise(
-        flatten_metadata(granule_congress)
-    )
-    return F.coalesce(F.nullif(flatten_metadata(package_congress), F.lit("Unknown")), granule)
+    of_package = F.nullif(flatten_metadata(package_congress), F.lit("Unknown"))
+    return F.coalesce(of_package, flatten_metadata(F.coalesce(granule_congress, F.lit("0"))))
 
 
 # ---------------------------------------------------------------- speaker
@@ -147,44 +148,46 @@ def congress_number(package_congress: Column, granule_congress: Column) -> Colum
 
 def member_name(name: Column | str) -> Column:
     """Struct (speaker, lastname, firstname) from a member's listed name."""
-    name = F.col(name) if isinstance(name, str) else name
-    parts = F.split(name, ",")
-    words = space_tokens(name)
-    last, first = strip_space(parts[0]), strip_space(F.get(parts, F.lit(1)))
-    two_words = F.size(words) > 1
     unknown = F.lit("Unknown")
-    comma = F.contains(name, F.lit(","))
-    return F.struct(
-        F.when(comma, F.trim(F.concat_ws(" ", first, last))).otherwise(name).alias("speaker"),
-        F.when(comma, last)
-        .when(two_words, F.element_at(words, -1))
-        .otherwise(unknown)
-        .alias("lastname"),
-        F.when(comma, first).when(two_words, F.get(words, F.lit(0))).otherwise(unknown).alias(
-            "firstname"
-        ),
-    )
+
+    def parts_of(name: Column) -> Column:
+        with_comma = let(F.split(name, ","), lambda p: F.struct(
+            F.trim(
+                F.concat_ws(" ", strip_space(F.get(p, F.lit(1))), strip_space(F.get(p, F.lit(0))))
+            ).alias("speaker"),
+            strip_space(F.get(p, F.lit(0))).alias("lastname"),
+            strip_space(F.get(p, F.lit(1))).alias("firstname"),
+        ))
+        without = let(space_tokens(name), lambda w: F.struct(
+            name.alias("speaker"),
+            F.when(F.size(w) > 1, F.element_at(w, -1)).otherwise(unknown).alias("lastname"),
+            F.when(F.size(w) > 1, F.get(w, F.lit(0))).otherwise(unknown).alias("firstname"),
+        ))
+        return F.when(F.contains(name, F.lit(",")), with_comma).otherwise(without)
+
+    return let(F.col(name) if isinstance(name, str) else name, parts_of)
 
 
 def opening_name(text: Column | str) -> Column:
     """Struct (speaker, lastname, firstname) from the words a speech opens
     with, e.g. ``Mr. SMITH of Texas.``; unknown where it names nobody."""
-    opening = F.substring(text, 1, fv.NAME_WINDOW_CHARS)
     pattern = fv.OPENING_NAME_PATTERN.replace(r"A-Za-z\s", f"A-Za-z{SPACE}").replace(
         r"\s", f"[{SPACE}]"
     )
     state = fv.OPENING_STATE_PATTERN.replace(r"\s", f"[{SPACE}]").replace("$", r"\z")
-    title = F.regexp_extract(opening, pattern, 1)
-    name = strip_space(F.regexp_extract(opening, pattern, 2))
-    name = F.regexp_replace(name, state, "")
-    words = space_tokens(name)
-    named = F.size(words) > 0
-    return F.struct(
-        F.when(named, F.initcap(F.concat_ws(" ", title, name)))
-        .otherwise(F.lit("Unknown Speaker"))
-        .alias("speaker"),
-        F.when(named, F.initcap(F.element_at(words, -1)))
-        .otherwise(F.lit("Unknown"))
-        .alias("lastname"),
-        F.lit("Unknown").alias("firstname"),
-    )
+    unknown = F.lit("Unknown")
+
+    def named(opening: Column) -> Column:
+        title = F.regexp_extract(opening, pattern, 1)
+        name = F.regexp_replace(strip_space(F.regexp_extract(opening, pattern, 2)), state, "")
+        return let(name, lambda n: F.struct(
+            F.when(n != "", F.initcap(F.concat_ws(" ", title, n)))
+            .otherwise(F.lit("Unknown Speaker"))
+            .alias("speaker"),
+            F.when(n != "", F.initcap(F.element_at(space_tokens(n), -1)))
+            .otherwise(unknown)
+            .alias("lastname"),
+            unknown.alias("firstname"),
+        ))
+
+    return let(F.substring(text, 1, fv.NAME_WINDOW_CHARS), named)

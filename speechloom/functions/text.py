@@ -8,7 +8,7 @@ breaks on (no-break space included), ``WORD`` is letters, numbers, underscore.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -25,6 +25,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)``, with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def squeeze_space(c: Column | str) -> Column:
     """Every run of whitespace becomes one space; none is left at the ends."""
     return F.trim(F.regexp_replace(_col(c), f"[{SPACE}]+", " "))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from speechloom import fixed_values as fv
-from speechloom.functions.text import ngrams, space_tokens, strip_space
+from speechloom.functions.text import let, ngrams, space_tokens, strip_space
 from speechloom.plans.joins import broadcast_if_small
 
 
@@ -88,16 +88,15 @@ def bigram_substantive(
     text at a time, so nothing is shuffled."""
     speech = F.col(speech) if isinstance(speech, str) else speech
     noise = sorted(set(noise_bigrams))
-    # one-element array: the words are split once and used three times
-    verdict = F.transform(
-        F.array(space_tokens(F.lower(speech))),
+    verdict = let(
+        space_tokens(F.lower(speech)),
         lambda words: (F.size(words) >= min_words)
         & (
             F.size(F.filter(ngrams(words, 2), lambda b: b.isin(noise))) / F.size(words)
             < noise_share
         ),
     )
-    return F.coalesce(F.get(verdict, F.lit(0)), F.lit(False))
+    return F.coalesce(verdict, F.lit(False))
 
 
 def bigram_substantive_table(

@@ -16,6 +16,7 @@ from speechloom.functions.text import (
     delete_numbers,
     delete_phrases,
     is_one_of,
+    let,
     ngrams,
     space_tokens,
     squeeze_space,
@@ -200,8 +201,7 @@ def tfidf_bigram_final(
 
 
 def _pairs(words: Column) -> Column:
-    # one-element array: the words are computed once and used several times
-    return F.flatten(F.transform(F.array(words), lambda w: ngrams(w, 2)))
+    return let(words, lambda w: ngrams(w, 2))
 
 
 def deep_clean(text: Column | str, phrases: Sequence[str] = fv.DEEP_CLEAN_PHRASES) -> Column:
@@ -248,11 +248,9 @@ def vocab_tfidf(
     documents = _of_groups(speeches, group, groups).select(
         key, group, F.coalesce("speech", F.lit("")).alias("speech")
     )
-    terms = F.flatten(
-        F.transform(
-            F.array(_kept_words("speech", stop_words)),
-            lambda w: F.filter(F.concat(w, ngrams(w, 2)), lambda t: t.isin(listed)),
-        )
+    terms = let(
+        _kept_words("speech", stop_words),
+        lambda w: F.filter(F.concat(w, ngrams(w, 2)), lambda t: t.isin(listed)),
     )
     scores = tfidf(documents, terms, key, group)
     wanted = literal_table(
