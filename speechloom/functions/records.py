@@ -42,18 +42,21 @@ def _entity_char(entity: Column) -> Column:
 def unescape_entities(text: Column) -> Column:
     """Replace character references. Those that yield an ampersand go last, so
     that ``&amp;lt;`` ends as ``&lt;`` and is not unescaped twice."""
-    found = F.transform(
-        F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#?[0-9A-Za-z]+;"), F.lit(0))),
-        lambda e: F.struct(e.alias("entity"), _entity_char(e).alias("char")),
-    )
-    known = F.filter(found, lambda f: f["char"].isNotNull())
-    in_order = F.concat(
-        F.filter(known, lambda f: f["char"] != "&"), F.filter(known, lambda f: f["char"] == "&")
-    )
-    replaced = F.aggregate(
-        in_order, text, lambda done, f: F.replace(done, f["entity"], f["char"])
-    )
-    return F.when(F.contains(text, F.lit("&")), replaced).otherwise(text)
+    def replaced(text: Column) -> Column:
+        found = F.transform(
+            F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#?[0-9A-Za-z]+;"), F.lit(0))),
+            lambda e: F.struct(e.alias("entity"), _entity_char(e).alias("char")),
+        )
+        in_order = let(
+            found,
+            lambda f: F.concat(
+                F.filter(f, lambda x: x["char"] != "&"), F.filter(f, lambda x: x["char"] == "&")
+            ),
+        )
+        done = F.aggregate(in_order, text, lambda done, f: F.replace(done, f["entity"], f["char"]))
+        return F.when(F.contains(text, F.lit("&")), done).otherwise(text)
+
+    return let(text, replaced)
 
 
 def html_to_text(html: Column | str) -> Column:
@@ -116,7 +119,8 @@ def flatten_metadata(value: Column | str, keys: Sequence[str] = fv.METADATA_KEYS
         inner = F.call_function("get_json_object", json_text, path)
         is_object = json_text.rlike(rf"^[{SPACE}\[]*\{{")
         unwrapped = let(inner, lambda x: F.when(is_object, from_object(x)).otherwise(x))
-        return F.when(F.try_parse_json(json_text).isNull(), json_text).otherwise(unwrapped)
+        is_null = json_text.rlike(rf"^[{SPACE}\[]*null[{SPACE}]*[,\]]")
+        return F.when(F.try_parse_json(json_text).isNull(), json_text).when(~is_null, unwrapped)
 
     looks_like_json = value.rlike(rf"^[{SPACE}]*[\[{{]")
     flat = F.when(looks_like_json, let(value, from_json)).otherwise(value)

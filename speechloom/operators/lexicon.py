@@ -46,7 +46,7 @@ def config_entries(configs: DataFrame, order: str = "config_id") -> DataFrame:
         F.col("e.key").alias("list_name"),
         F.lit(None).cast("string").alias("description"),
         "list_position",
-        F.posexplode("e.value").alias("position", "term"),
+        F.posexplode(F.from_json("e.value", "array<string>")).alias("position", "term"),
     )
     return policy.unionByName(lists)
 

@@ -100,7 +100,8 @@ def tfidf(
 ) -> DataFrame:
     """Summed TF-IDF of every term of every group: (group, term, score).
 
-    ``terms`` is the array of a document's terms. Inverse document frequency
+    ``terms`` is the array of a document's terms; where it is NULL there is no
+    document. Inverse document frequency
     is ln((1 + n) / (1 + df)) + 1, fitted per group over all its documents.
     Terms in fewer than ``min_df`` documents, or in more than ``max_df`` of
     them, are pruned; then each document's weights are scaled to length one.
@@ -226,9 +227,12 @@ def deep_clean_tfidf(
         _of_groups(speeches, group, groups)
         .where(F.col("speech").isNotNull())
         .select(key, group, deep_clean("speech").alias("speech"))
-        .where(F.col("speech") != "")
     )
-    terms = _pairs(_kept_words("speech", [*stop_words, *fv.DEEP_CLEAN_STOPWORDS]))
+    # as a filter this test would clean every text a second time
+    terms = F.when(
+        F.col("speech") != "",
+        _pairs(_kept_words("speech", [*stop_words, *fv.DEEP_CLEAN_STOPWORDS])),
+    )
     return _top_terms(tfidf(documents, terms, key, group, max_df, min_df), group, k)
 
 

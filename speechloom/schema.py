@@ -64,9 +64,8 @@ POLICY_ENTRY = T.StructType(
 FILTER_CONFIG = T.StructType(
     [
         T.StructField("policy_bridge", T.MapType(T.StringType(), POLICY_ENTRY)),
-        T.StructField(
-            "denoising_lexicon", T.MapType(T.StringType(), T.ArrayType(T.StringType()))
-        ),
+        # lists as their JSON text: an entry that is no list must not spoil the others
+        T.StructField("denoising_lexicon", T.MapType(T.StringType(), T.StringType())),
     ]
 )
 

@@ -11,7 +11,6 @@ from speechloom import fixed_values as fv
 from speechloom.functions.text import strip_space
 from speechloom.operators.sessions import build_speakers, merge_left, standardize
 
-_RAW = "_raw_line"
 _FILE_KINDS = {
     "speeches": ("*speeches_*.txt", r"speeches_(\d+)\.txt"),
     "descr": ("*descr_*.txt", r"descr_(\d+)\.txt"),
@@ -20,12 +19,13 @@ _FILE_KINDS = {
 
 
 def _archive(spark: SparkSession):
+    # a separator that no text holds: each line is read as one column
     return (
-        spark.read.option("sep", "|")
+        spark.read.option("sep", "\u0001\u0002\u0003")
         .option("encoding", "ISO-8859-1")
         .option("quote", "")
         .option("header", True)
-        .option("mode", "PERMISSIVE")
+        .option("recursiveFileLookup", True)
     )
 
 
@@ -44,21 +44,18 @@ def read_session(
     and the usual markers for a missing value read as NULL. With
     ``session_pattern`` the file name gives a ``congress_session`` column.
     """
-    names = _archive(spark).csv(paths).columns
-    schema = ", ".join(f"`{n}` string" for n in [*names, _RAW])
-    lines = (
-        _archive(spark)
-        .option("enforceSchema", False)
-        .option("columnNameOfCorruptRecord", _RAW)
-        .schema(schema)
-        .csv(paths)
-    )
-    fields = F.size(F.split(_RAW, r"\|", -1))
-    kept = lines.where(F.col(_RAW).isNull() | (fields <= len(names)))
-    columns = [F.when(~F.col(n).isin(fv.MISSING_MARKERS), F.col(n)).alias(n) for n in names]
+    header = _archive(spark).csv(paths).columns[0]
+    lines = _archive(spark).option("enforceSchema", False).schema(f"`{header}` string").csv(paths)
+    names = header.split("|")
+    fields = F.split(F.col(f"`{header}`"), r"\|", -1)
+    columns = [F.get("fields", F.lit(i)).alias(name) for i, name in enumerate(names)]
     if session_pattern:
         columns.append(_session_number(session_pattern).alias("congress_session"))
-    return kept.select(*columns)
+    kept = lines.select("*", "_metadata", fields.alias("fields")).where(
+        F.size("fields") <= len(names)
+    )
+    no_value = [None] * len(fv.MISSING_MARKERS)
+    return kept.select(*columns).replace(fv.MISSING_MARKERS, no_value, names)
 
 
 def load_sessions(
@@ -102,6 +99,8 @@ def write_csv(df: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
     (
         df.write.mode("overwrite")
         .option("header", True)
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .option("escape", '"')
         .option("maxRecordsPerFile", rows_per_file)
         .csv(path)
