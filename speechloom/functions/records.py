@@ -10,10 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from speechloom import fixed_values as fv
-from speechloom.functions.text import SPACE, let, remove_all, space_tokens, squeeze_space, strip_space
-
-_DIGIT = r"\p{Nd}"
-
+from speechloom.functions.text import let, remove_all, space_tokens, squeeze_space, strip_space
 
 # ------------------------------------------------------------------- HTML
 
@@ -77,15 +74,11 @@ def html_to_text(html: Column | str) -> Column:
 def clean_text(text: Column | str) -> Column:
     """Squeeze whitespace and delete printed page furniture."""
 
-    def spelled_out(pattern: str, ignore_case: bool = False) -> str:
-        pattern = pattern.replace(r"\d", _DIGIT).replace(r"[\s\]\)]", rf"[{SPACE}\]\)]")
-        pattern = pattern.replace(r"\s", f"[{SPACE}]")
-        return f"(?iu){pattern}" if ignore_case else pattern
-
-    furniture = [spelled_out(p, ignore) for p, ignore in fv.BOILERPLATE_PATTERNS]
+    # (?U) gives digits, spaces and letter case their Unicode meaning
+    furniture = [f"(?{'i' if ignore else ''}U){p}" for p, ignore in fv.BOILERPLATE_PATTERNS]
     body = remove_all(squeeze_space(text), furniture)
-    body = F.trim(remove_all(body, [spelled_out(fv.DANGLING_START_PATTERN)]))
-    return F.trim(remove_all(body, [spelled_out(fv.DANGLING_PAIR_PATTERN)]))
+    body = F.trim(remove_all(body, [f"(?U){fv.DANGLING_START_PATTERN}"]))
+    return F.trim(remove_all(body, [f"(?U){fv.DANGLING_PAIR_PATTERN}"]))
 
 
 # --------------------------------------------------------------- metadata
@@ -113,16 +106,16 @@ def flatten_metadata(value: Column | str, keys: Sequence[str] = fv.METADATA_KEYS
         )
 
     def from_json(json_text: Column) -> Column:
-        opening = F.regexp_extract(json_text, rf"^[{SPACE}\[]+", 0)
+        opening = F.regexp_extract(json_text, r"^[\s\[]+", 0)
         depth = F.length(F.regexp_replace(opening, r"[^\[]", ""))
         path = F.concat(F.lit("$"), F.repeat(F.lit("[0]"), depth))
         inner = F.call_function("get_json_object", json_text, path)
-        is_object = json_text.rlike(rf"^[{SPACE}\[]*\{{")
+        is_object = json_text.rlike(r"^[\s\[]*\{")
         unwrapped = let(inner, lambda x: F.when(is_object, from_object(x)).otherwise(x))
-        is_null = json_text.rlike(rf"^[{SPACE}\[]*null[{SPACE}]*[,\]]")
+        is_null = json_text.rlike(r"^[\s\[]*null\s*[,\]]")
         return F.when(F.try_parse_json(json_text).isNull(), json_text).when(~is_null, unwrapped)
 
-    looks_like_json = value.rlike(rf"^[{SPACE}]*[\[{{]")
+    looks_like_json = value.rlike(r"^\s*[\[{]")
     flat = F.when(looks_like_json, let(value, from_json)).otherwise(value)
     return strip_space(F.coalesce(flat, F.lit("Unknown")))
 
@@ -175,10 +168,8 @@ def member_name(name: Column | str) -> Column:
 def opening_name(text: Column | str) -> Column:
     """Struct (speaker, lastname, firstname) from the words a speech opens
     with, e.g. ``Mr. SMITH of Texas.``; unknown where it names nobody."""
-    pattern = fv.OPENING_NAME_PATTERN.replace(r"A-Za-z\s", f"A-Za-z{SPACE}").replace(
-        r"\s", f"[{SPACE}]"
-    )
-    state = fv.OPENING_STATE_PATTERN.replace(r"\s", f"[{SPACE}]").replace("$", r"\z")
+    pattern = f"(?U){fv.OPENING_NAME_PATTERN}"
+    state = f"(?U){fv.OPENING_STATE_PATTERN}"
     unknown = F.lit("Unknown")
 
     def named(opening: Column) -> Column:

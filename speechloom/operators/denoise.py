@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from speechloom import fixed_values as fv
-from speechloom.functions.text import let, ngrams, space_tokens, strip_space
-from speechloom.plans.joins import broadcast_if_small
+from speechloom.functions.text import SPACE, let, ngrams, space_tokens
+from speechloom.plans.joins import is_small, join_counted
 
 
 def purge_label(
@@ -70,7 +70,9 @@ def intro_substantive(
 ) -> Column:
     """Long enough, and the opening words name no procedure."""
     speech = F.col(speech) if isinstance(speech, str) else speech
-    intro = F.substring(strip_space(F.lower(speech)), 1, intro_chars)
+    # lower-casing never shortens a text, so these characters hold the intro
+    opening = F.regexp_extract(speech, f"(?s)^{SPACE}*+(.{{0,{intro_chars}}})", 1)
+    intro = F.substring(F.lower(opening), 1, intro_chars)
     opens_with = F.lit(False)
     for phrase in phrases:
         opens_with = opens_with | F.contains(intro, F.lit(phrase))
@@ -107,32 +109,36 @@ def bigram_substantive_table(
     noise_share: float = fv.BIGRAM_NOISE_SHARE,
 ) -> DataFrame:
     """The same rule against a table of noise bigrams (column ``bigram``) that
-    may be too large for a literal list: (key, is_substantive). Bigrams are
-    counted per speech before they meet the table."""
-    words = speeches.select(key, space_tokens(F.lower("speech")).alias("words")).select(
-        key, "words", F.coalesce(F.size("words"), F.lit(0)).alias("n_words")
-    )
-    counted = (
-        words.repartition(key)
-        .select(key, "n_words", F.explode_outer(ngrams("words", 2)).alias("bigram"))
-        .groupBy(key, "n_words", "bigram")
-        .agg(F.count("bigram").alias("n"))
-    )
-    noise = broadcast_if_small(noise_bigrams.select("bigram").distinct()).withColumn(
-        "is_noise", F.lit(1)
-    )
-    share = F.try_divide(F.col("noise"), F.col("n_words"))
-    return (
-        counted.join(noise, "bigram", "left")
-        .groupBy(key, "n_words")
-        .agg(F.coalesce(F.sum(F.col("n") * F.col("is_noise")), F.lit(0)).alias("noise"))
-        .select(
-            key,
-            F.coalesce(
-                (F.col("n_words") >= min_words) & (share < noise_share), F.lit(False)
-            ).alias("is_substantive"),
+    may be too large for a literal list: (key, is_substantive)."""
+    noise = noise_bigrams.select("bigram").distinct()
+    words = speeches.select(key, space_tokens(F.lower("speech")).alias("words"))
+    if is_small(noise):
+        # bigrams meet the table where they are; one row per speech is shuffled
+        marked = F.broadcast(noise.withColumn("is_noise", F.lit(1)))
+        counted = (
+            words.select(
+                key, F.size("words").alias("n_words"),
+                F.explode_outer(ngrams("words", 2)).alias("bigram"),
+            )
+            .join(marked, "bigram", "left")
+            .groupBy(key)
+            .agg(F.max("n_words").alias("n_words"), F.count("is_noise").alias("noise"))
         )
-    )
+    else:
+        per_speech = (
+            words.repartition(key)
+            .select(key, F.explode(ngrams("words", 2)).alias("bigram"))
+            .groupBy(key, "bigram")
+            .agg(F.count("*").alias("n"))
+        )
+        spoken = per_speech.groupBy("bigram").agg(F.count("*").alias("n_rows"))
+        noisy = join_counted(per_speech, noise.join(spoken, "bigram"), ["bigram"], "n_rows", key)
+        counted = words.select(key, F.size("words").alias("n_words")).join(
+            noisy.groupBy(key).agg(F.sum("n").alias("noise")), key, "left"
+        )
+    share = F.try_divide(F.coalesce("noise", F.lit(0)), "n_words")
+    verdict = (F.col("n_words") >= min_words) & (share < noise_share)
+    return counted.select(key, F.coalesce(verdict, F.lit(False)).alias("is_substantive"))
 
 
 # ---------------------------------------------------------------- sampling

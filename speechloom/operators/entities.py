@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from speechloom import fixed_values as fv
 from speechloom.functions.text import WORD, ngrams, strip_space
-from speechloom.plans.joins import BROADCAST_ROWS, join_counted
+from speechloom.plans.joins import broadcast_if_small, is_small, join_counted
 
 
 def _spans(speeches: DataFrame, key: str, max_words: int) -> DataFrame:
@@ -38,7 +38,7 @@ def tag_entities(
     are all reported."""
     spans = _spans(speeches, key, max_words)
     columns = [key, "position", "ent_text", "label"]
-    if gazetteer.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if is_small(gazetteer):
         return spans.join(F.broadcast(gazetteer), "term").select(*columns)
     weights = spans.groupBy("term").agg(F.count("*").alias("n"))
     counted = gazetteer.join(weights, "term")
@@ -54,13 +54,14 @@ def judge_entities(
     """Entities with their policy category, if any, and whether they are kept:
     no stop term, and a policy term or of a standard label. ``stop_terms`` has
     the column term, ``policy`` the columns term and category."""
-    stops = stop_terms.select(F.col("term").alias("clean")).distinct()
+    stops = stop_terms.select(F.col("term").alias("clean"), F.lit(True).alias("stopped")).distinct()
     categories = policy.select(F.col("term").alias("clean"), "category")
+    # one lookup for both lists: the entities are joined once
+    lookup = broadcast_if_small(stops.join(categories, "clean", "full"))
     wanted = F.col("category").isNotNull() | F.col("label").isin(list(labels))
     return (
         entities.withColumn("clean", strip_space(F.lower("ent_text")))
-        .join(stops.withColumn("stopped", F.lit(True)), "clean", "left")
-        .join(categories, "clean", "left")
+        .join(lookup, "clean", "left")
         .withColumn("kept", F.col("stopped").isNull() & wanted)
         .drop("stopped")
     )

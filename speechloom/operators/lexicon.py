@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from speechloom.functions.text import ngrams, word_tokens
-from speechloom.plans.joins import broadcast_if_small
+from speechloom.plans.joins import is_small
 from speechloom.plans.ranking import top_per_group
 from speechloom.schema import FILTER_CONFIG
 
@@ -84,15 +84,17 @@ def merge_lexicon(lexicon: DataFrame, terms: DataFrame, list_name: str) -> DataF
 def term_hits(terms: DataFrame, speeches: DataFrame, max_words: int = 3) -> DataFrame:
     """In how many speeches each term occurs: (term, speech_hits). Terms are
     compared in lower case to runs of up to ``max_words`` words."""
-    wanted = broadcast_if_small(terms.select("term").distinct())
+    wanted = terms.select("term").distinct()
     found = speeches.select(word_tokens("speech").alias("words")).select(
         F.explode(
             F.array_distinct(F.concat(*[ngrams("words", n) for n in range(1, max_words + 1)]))
         ).alias("term")
     )
-    return found.join(wanted, "term", "left_semi").groupBy("term").agg(
-        F.count("*").alias("speech_hits")
-    )
+    hits = F.count("*").alias("speech_hits")
+    if is_small(wanted):
+        return found.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(hits)
+    # counting first leaves one row per term to join, however frequent it is
+    return found.groupBy("term").agg(hits).join(wanted, "term", "left_semi")
 
 
 def lexicon_summary(entries: DataFrame, speeches: DataFrame) -> DataFrame:

@@ -473,7 +473,7 @@ def bigram_substantive_table(spark, folder):
         .where(F.size("words") > 1)
         .select(F.explode(pairs).alias("bigram"))
     )
-    return denoise.bigram_substantive_table(views.speeches(spark, folder), noise)
+    return denoise.bigram_substantive_table(_corpus(spark, folder), noise)
 
 
 @query
@@ -620,7 +620,7 @@ def tfidf_bigram_final(spark, folder):
 
 @query
 def deep_clean_tfidf(spark, folder):
-    return terms.deep_clean_tfidf(views.speeches(spark, folder), pm.STOP_WORDS)
+    return terms.deep_clean_tfidf(_corpus(spark, folder), pm.STOP_WORDS)
 
 
 @query

@@ -15,11 +15,17 @@ HOT_KEYS = 1024
 HOT_SPREAD = 4096
 
 
-def broadcast_if_small(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a side for broadcast if it is seen to have at most ``max_rows``
-    rows. The check is a job that stops after one row more than that; a larger
-    side is returned unmarked, for a shuffled join."""
-    return F.broadcast(side) if side.limit(max_rows + 1).count() <= max_rows else side
+def is_small(side: DataFrame, max_rows: int | None = None) -> bool:
+    """Whether a side is seen to have few enough rows to broadcast. The check
+    is a job that stops after one row more than that."""
+    max_rows = BROADCAST_ROWS if max_rows is None else max_rows
+    return side.limit(max_rows + 1).count() <= max_rows
+
+
+def broadcast_if_small(side: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Mark a small side for broadcast; a larger one is returned unmarked, for
+    a shuffled join."""
+    return F.broadcast(side) if is_small(side, max_rows) else side
 
 
 def join_counted(

@@ -9,12 +9,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from speechloom import fixed_values as fv
-from speechloom.functions.text import SPACE
 from speechloom.plans import parameters as pm
 from speechloom.sources.views import RECORD_HEADER
 
 ORACLE: dict[str, str] = {}
 
+SPACE = (
+    r"\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+)
+
 
 def lit(value) -> str:
     if value is None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from speechloom import fixed_values as fv
 from speechloom.functions.text import strip_space
-from speechloom.operators.sessions import build_speakers, merge_left, standardize
+from speechloom.operators.sessions import build_speakers, join_session, standardize
 
 _FILE_KINDS = {
     "speeches": ("*speeches_*.txt", r"speeches_(\d+)\.txt"),
@@ -80,7 +80,7 @@ def load_sessions(
     )
     speeches = frames["speeches"].join(F.broadcast(complete), "congress_session", "left_semi")
     keys = ["congress_session", "speech_id"]
-    merged = merge_left(merge_left(speeches, frames["descr"], keys), frames["speaker_map"], keys)
+    merged = join_session(speeches, frames["descr"], frames["speaker_map"], keys)
     typed = merged.withColumns(
         {
             "date": F.col("date").try_cast("int"),

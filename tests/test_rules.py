@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from speechloom import fixed_values as fv
 from speechloom.operators import classify, denoise, updates
+from speechloom.plans import joins
 
 SPEECH = "speech_id string, speech string, is_procedure int"
 
@@ -76,11 +77,13 @@ NOISE = ["the the", "of the"]
         (None, False),
     ],
 )
-def test_bigram_rule_both_ways(spark, evaluate, text, want):
+def test_bigram_rule_all_ways(spark, evaluate, monkeypatch, text, want):
     assert evaluate(denoise.bigram_substantive(NOISE, "x"), text) is want
     df = spark.createDataFrame([("1", text)], "speech_id string, speech string")
     noise = spark.createDataFrame([(b,) for b in NOISE * 2], "bigram string")
     assert denoise.bigram_substantive_table(df, noise).collect() == [("1", want)]
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 1)
+    assert denoise.bigram_substantive_table(df, noise).collect() == [("1", want)]
 
 
 def test_progress_of_nothing(spark):

@@ -66,11 +66,24 @@ def test_load_sessions_skips_incomplete_and_out_of_range(spark, tmp_path):
 
 
 def test_null_ids_match_nothing_but_stay(spark):
-    left = spark.createDataFrame([("1", "a"), (None, "b")], "speech_id string, speech string")
-    right = spark.createDataFrame([("1", 5), (None, 6)], "speech_id string, date int")
-    rows = sessions.merge_left(left, right, ["speech_id"]).collect()
-    assert sorted((r.speech, r.date) for r in rows if r.date) == [("a", 5)]
-    assert len(rows) == 2
+    left = spark.createDataFrame(
+        [("1", "a"), (None, "b"), ("2", "c"), ("3", "d")], "speech_id string, speech string"
+    )
+    descr = spark.createDataFrame(
+        [("1", 5, "OH"), (None, 6, "NY"), ("1", 7, "TX")], "speech_id string, date int, state string"
+    )
+    people = spark.createDataFrame(
+        [("1", 8, "IA"), (None, 9, "UT"), ("2", 10, "ME")], "speech_id string, speakerid int, state string"
+    )
+    df = sessions.join_session(left, descr, people)
+    assert df.columns == ["speech_id", "speech", "date", "state_x", "speakerid", "state_y"]
+    assert sorted(map(tuple, df.drop("speech_id").collect())) == [
+        ("a", 5, "OH", 8, "IA"),
+        ("a", 7, "TX", 8, "IA"),
+        ("b", None, None, None, None),
+        ("c", None, None, 10, "ME"),
+        ("d", None, None, None, None),
+    ]
 
 
 def test_repair_columns_and_zero_date(spark):

@@ -199,7 +199,7 @@ def test_entities(spark, monkeypatch):
         ("1", 6, "Gold Standard", "EVENT"),
     ]
     assert sorted(map(tuple, tagged.collect())) == want
-    monkeypatch.setattr(entities, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 1)
     assert sorted(map(tuple, entities.tag_entities(speeches, gazetteer).collect())) == want
     judged = entities.judge_entities(tagged, stops, policy)
     assert [tuple(r)[2:] for r in entities.entity_table(judged).collect()] == [
