@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from speechloom import fixed_values as fv
@@ -29,10 +29,6 @@ def _archive(spark: SparkSession):
     )
 
 
-def _session_number(pattern: str, path: Column | str = "_metadata.file_path") -> Column:
-    return F.regexp_extract(path, pattern, 1).cast("int")
-
-
 def read_session(
     spark: SparkSession, paths: str | list[str], session_pattern: str | None = None
 ) -> DataFrame:
@@ -50,7 +46,8 @@ def read_session(
     fields = F.split(F.col(f"`{header}`"), r"\|", -1)
     columns = [F.get("fields", F.lit(i)).alias(name) for i, name in enumerate(names)]
     if session_pattern:
-        columns.append(_session_number(session_pattern).alias("congress_session"))
+        number = F.regexp_extract("_metadata.file_path", session_pattern, 1)
+        columns.append(number.cast("int").alias("congress_session"))
     kept = lines.select("*", "_metadata", fields.alias("fields")).where(
         F.size("fields") <= len(names)
     )
@@ -69,16 +66,12 @@ def load_sessions(
     A session is loaded only if each of its three files is there. The three
     kinds of file are each read once, whatever the number of sessions.
     """
-    frames, present = {}, []
+    frames, complete = {}, set(range(first, last + 1))
     for kind, (glob, pattern) in _FILE_KINDS.items():
         frames[kind] = read_session(spark, f"{root}/{glob}", pattern)
-        listing = spark.read.format("binaryFile").load(f"{root}/{glob}")
-        present.append(listing.select(_session_number(pattern, "path").alias("congress_session")))
-    # at most last - first + 1 rows
-    complete = reduce(DataFrame.intersect, present).where(
-        F.col("congress_session").between(first, last)
-    )
-    speeches = frames["speeches"].join(F.broadcast(complete), "congress_session", "left_semi")
+        found = [re.search(pattern, path) for path in frames[kind].inputFiles()]
+        complete &= {int(match[1]) for match in found if match}
+    speeches = frames["speeches"].where(F.col("congress_session").isin(sorted(complete)))
     keys = ["congress_session", "speech_id"]
     merged = join_session(speeches, frames["descr"], frames["speaker_map"], keys)
     typed = merged.withColumns(
