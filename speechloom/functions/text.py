@@ -57,7 +57,7 @@ def ngrams(tokens: Column | str, n: int) -> Column:
     # the (n-1)-grams, each extended by the token that follows it
     room = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
     heads = F.slice(ngrams(tokens, n - 1), F.lit(1), room)
-    return F.zip_with(heads, F.slice(tokens, F.lit(n), room), lambda a, b: F.concat_ws(" ", a, b))
+    return F.zip_with(heads, F.slice(tokens, F.lit(n), room), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
 def phrase_pattern(phrase: str) -> str:

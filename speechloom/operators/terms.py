@@ -109,14 +109,18 @@ def tfidf(
     # The texts are shuffled once, by document. Both readings below use that
     # shuffle, and counting a document's terms needs no other.
     documents = documents.repartition(key)
+    # Arrays are computed in a projection of their own: an explode of a plain
+    # column compiles into one loop with the aggregation above it. It is an
+    # outer explode because for an inner one Spark first tests that the arrays
+    # are not empty, and pushes that test, tokens and all, below the shuffle.
+    with_terms = documents.select(key, group, terms.alias("terms"))
+    in_document = F.array_distinct(F.concat(F.array(F.lit("")), "terms")).alias("terms")
     # The empty term stands for the document itself: its frequency is n. All
     # uses of `frequencies` read the same columns, so it is computed once.
-    term = F.coalesce("term", F.lit("")).alias("term")
     frequencies = (
-        documents.select(
-            group, F.explode(F.array_distinct(F.concat(F.array(F.lit("")), terms))).alias("term")
-        )
-        .select(group, term)
+        with_terms.select(group, in_document)
+        .select(group, F.explode_outer("terms").alias("term"))
+        .where(F.col("term").isNotNull())
         .groupBy(group, "term")
         .agg(F.count("*").alias("df"))
     )
@@ -128,8 +132,8 @@ def tfidf(
         .select(group, "term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     )
     counts = (
-        documents.select(key, group, F.explode(terms).alias("term"))
-        .select(key, group, term)
+        with_terms.select(key, group, F.explode_outer("terms").alias("term"))
+        .where(F.col("term").isNotNull())
         .groupBy(key, group, "term")
         .agg(F.count("*").alias("tf"))
     )
