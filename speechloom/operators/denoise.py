@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from speechloom import fixed_values as fv
 from speechloom.functions.text import SPACE, let, ngrams, space_tokens
+from speechloom.plans.exploding import explode_array
 from speechloom.plans.joins import is_small, join_counted
 
 
@@ -116,18 +117,15 @@ def bigram_substantive_table(
         # bigrams meet the table where they are; one row per speech is shuffled
         marked = F.broadcast(noise.withColumn("is_noise", F.lit(1)))
         counted = (
-            words.select(
-                key, F.size("words").alias("n_words"),
-                F.explode_outer(ngrams("words", 2)).alias("bigram"),
-            )
+            words.select(key, F.size("words").alias("n_words"), ngrams("words", 2).alias("pairs"))
+            .select(key, "n_words", F.explode_outer("pairs").alias("bigram"))
             .join(marked, "bigram", "left")
             .groupBy(key)
             .agg(F.max("n_words").alias("n_words"), F.count("is_noise").alias("noise"))
         )
     else:
         per_speech = (
-            words.repartition(key)
-            .select(key, F.explode(ngrams("words", 2)).alias("bigram"))
+            explode_array(words.repartition(key), [key], ngrams("words", 2), "bigram")
             .groupBy(key, "bigram")
             .agg(F.count("*").alias("n"))
         )

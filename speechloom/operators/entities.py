@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from speechloom import fixed_values as fv
 from speechloom.functions.text import WORD, ngrams, strip_space
+from speechloom.plans.exploding import explode_array
 from speechloom.plans.joins import broadcast_if_small, is_small, join_counted
 
 
@@ -22,9 +23,9 @@ def _spans(speeches: DataFrame, key: str, max_words: int) -> DataFrame:
         )
 
     words = F.regexp_extract_all("speech", F.lit(f"[{WORD}]+"), F.lit(0))
+    every_run = F.concat(*[runs(n) for n in range(1, max_words + 1)])
     return (
-        speeches.select(key, words.alias("words"))
-        .select(key, F.explode(F.concat(*[runs(n) for n in range(1, max_words + 1)])).alias("s"))
+        explode_array(speeches.select(key, words.alias("words")), [key], every_run, "s")
         .select(key, "s.*")
         .withColumn("term", F.lower("ent_text"))
     )

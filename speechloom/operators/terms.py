@@ -23,6 +23,7 @@ from speechloom.functions.text import (
     word_tokens,
 )
 from speechloom.operators.denoise import random_order
+from speechloom.plans.exploding import explode_array
 from speechloom.plans.joins import join_counted
 from speechloom.plans.literals import literal_table
 from speechloom.plans.ranking import top_per_group
@@ -109,18 +110,11 @@ def tfidf(
     # The texts are shuffled once, by document. Both readings below use that
     # shuffle, and counting a document's terms needs no other.
     documents = documents.repartition(key)
-    # Arrays are computed in a projection of their own: an explode of a plain
-    # column compiles into one loop with the aggregation above it. It is an
-    # outer explode because for an inner one Spark first tests that the arrays
-    # are not empty, and pushes that test, tokens and all, below the shuffle.
-    with_terms = documents.select(key, group, terms.alias("terms"))
-    in_document = F.array_distinct(F.concat(F.array(F.lit("")), "terms")).alias("terms")
     # The empty term stands for the document itself: its frequency is n. All
     # uses of `frequencies` read the same columns, so it is computed once.
+    in_document = F.array_distinct(F.concat(F.array(F.lit("")), terms))
     frequencies = (
-        with_terms.select(group, in_document)
-        .select(group, F.explode_outer("terms").alias("term"))
-        .where(F.col("term").isNotNull())
+        explode_array(documents, [group], in_document, "term")
         .groupBy(group, "term")
         .agg(F.count("*").alias("df"))
     )
@@ -132,8 +126,7 @@ def tfidf(
         .select(group, "term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     )
     counts = (
-        with_terms.select(key, group, F.explode_outer("terms").alias("term"))
-        .where(F.col("term").isNotNull())
+        explode_array(documents, [key, group], terms, "term")
         .groupBy(key, group, "term")
         .agg(F.count("*").alias("tf"))
     )
@@ -308,8 +301,12 @@ def context_words(
         ),
     )
     counts = (
-        hits.select(space_tokens(F.lower("speech")).alias("words"))
-        .select(F.explode(F.flatten(around)).alias("word"))
+        explode_array(
+            hits.select(space_tokens(F.lower("speech")).alias("words")),
+            [],
+            F.flatten(around),
+            "word",
+        )
         .where(
             (F.length("word") >= fv.CONTEXT_MIN_CHARS)
             & ~is_one_of("word", [*stop_words, *fv.CONTEXT_STOPWORDS])
