@@ -49,15 +49,33 @@ def word_tokens(c: Column | str, min_chars: int = 1) -> Column:
     return F.regexp_extract_all(F.lower(_col(c)), F.lit(f"[{WORD}]{count}"), F.lit(0))
 
 
+def _extended(shorter: Column, tokens: Column, n: int) -> Column:
+    """The n-grams, from the (n-1)-grams and the token that follows each."""
+    room = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+    return F.zip_with(
+        F.slice(shorter, F.lit(1), room),
+        F.slice(tokens, F.lit(n), room),
+        lambda a, b: F.concat(a, F.lit(" "), b),
+    )
+
+
 def ngrams(tokens: Column | str, n: int) -> Column:
     """Space-joined n-grams. ``tokens`` should be a plain column."""
     tokens = _col(tokens)
-    if n == 1:
-        return tokens
-    # the (n-1)-grams, each extended by the token that follows it
-    room = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
-    heads = F.slice(ngrams(tokens, n - 1), F.lit(1), room)
-    return F.zip_with(heads, F.slice(tokens, F.lit(n), room), lambda a, b: F.concat(a, F.lit(" "), b))
+    return tokens if n == 1 else _extended(ngrams(tokens, n - 1), tokens, n)
+
+
+def runs(tokens: Column | str, longest: int) -> Column:
+    """All n-grams up to the longest: the tokens, then the pairs, and so on."""
+    tokens = _col(tokens)
+
+    def from_length(n: int, grams: Column) -> Column:
+        if n == longest:
+            return grams
+        longer = let(_extended(grams, tokens, n + 1), lambda g: from_length(n + 1, g))
+        return F.concat(grams, longer)
+
+    return from_length(1, tokens)
 
 
 def phrase_pattern(phrase: str) -> str:

@@ -4,30 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from speechloom import fixed_values as fv
-from speechloom.functions.text import WORD, ngrams, strip_space
-from speechloom.plans.exploding import explode_array
+from speechloom.functions.text import WORD, runs, strip_space
 from speechloom.plans.joins import broadcast_if_small, is_small, join_counted
 
 
 def _spans(speeches: DataFrame, key: str, max_words: int) -> DataFrame:
     """Every run of up to ``max_words`` words: (key, position, ent_text, term)."""
-
-    def runs(n: int) -> Column:
-        return F.transform(
-            ngrams("words", n),
-            lambda text, i: F.struct(i.alias("position"), text.alias("ent_text")),
-        )
-
     words = F.regexp_extract_all("speech", F.lit(f"[{WORD}]+"), F.lit(0))
-    every_run = F.concat(*[runs(n) for n in range(1, max_words + 1)])
+    # all single words come first, then all pairs, and so on: a run's place
+    # among the runs of its length is its position in the text
+    position, seen = F.col("place"), F.lit(0)
+    for n in range(1, max_words + 1):
+        position = F.when(F.col("place") >= seen, F.col("place") - seen).otherwise(position)
+        seen = seen + F.greatest(F.col("n_words") - (n - 1), F.lit(0))
     return (
-        explode_array(speeches.select(key, words.alias("words")), [key], every_run, "s")
-        .select(key, "s.*")
-        .withColumn("term", F.lower("ent_text"))
+        speeches.select(key, words.alias("words"))
+        .select(key, F.size("words").alias("n_words"), runs("words", max_words).alias("runs"))
+        .select(key, "n_words", F.posexplode_outer("runs").alias("place", "ent_text"))
+        .where(F.col("ent_text").isNotNull())
+        .select(key, position.alias("position"), "ent_text", F.lower("ent_text").alias("term"))
     )
 
 

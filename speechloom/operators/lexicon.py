@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechloom.functions.text import ngrams, word_tokens
+from speechloom.functions.text import runs, word_tokens
 from speechloom.plans.exploding import explode_array
 from speechloom.plans.joins import is_small
 from speechloom.plans.ranking import top_per_group
@@ -86,9 +86,8 @@ def term_hits(terms: DataFrame, speeches: DataFrame, max_words: int = 3) -> Data
     """In how many speeches each term occurs: (term, speech_hits). Terms are
     compared in lower case to runs of up to ``max_words`` words."""
     wanted = terms.select("term").distinct()
-    runs = F.concat(*[ngrams("words", n) for n in range(1, max_words + 1)])
     words = speeches.select(word_tokens("speech").alias("words"))
-    found = explode_array(words, [], F.array_distinct(runs), "term")
+    found = explode_array(words, [], F.array_distinct(runs("words", max_words)), "term")
     hits = F.count("*").alias("speech_hits")
     if is_small(wanted):
         return found.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(hits)

@@ -11,4 +11,4 @@ from pyspark.sql import functions as F
 def literal_table(spark: SparkSession, rows: Sequence[Sequence], names: Sequence[str]) -> DataFrame:
     """A one-task table of constants that lives in the plan itself."""
     structs = [F.struct(*[F.lit(v).alias(n) for v, n in zip(r, names)]) for r in rows]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))

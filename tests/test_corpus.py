@@ -3,7 +3,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from speechloom.functions.text import mentions, ngrams, space_tokens, word_tokens
+from speechloom.functions.text import mentions, ngrams, runs, space_tokens, word_tokens
 from speechloom.operators import corpus
 
 SPEECH = (
@@ -66,8 +66,12 @@ def test_tokens_as_python(evaluate):
 
 def test_ngrams(spark):
     df = spark.createDataFrame([(["a", "b", "c"],), (["a"],), ([],)], "w array<string>")
-    rows = df.select(ngrams("w", 2).alias("two"), ngrams("w", 3).alias("three")).collect()
-    assert [tuple(r) for r in rows] == [(["a b", "b c"], ["a b c"]), ([], []), ([], [])]
+    rows = df.select(ngrams("w", 2), ngrams("w", 3), runs("w", 3)).collect()
+    assert [tuple(r) for r in rows] == [
+        (["a b", "b c"], ["a b c"], ["a", "b", "c", "a b", "b c", "a b c"]),
+        ([], [], ["a"]),
+        ([], [], []),
+    ]
 
 
 def test_lookup_trims_the_id(speeches):
