@@ -49,12 +49,14 @@ def phrase_scorer(
     phrases: Sequence[str] = fv.PURGE_PHRASES, weight: float = 1.5, bias: float = -1.0
 ) -> Callable[[], Scorer]:
     """A stand-in model: logistic in the number of procedural phrases used."""
+    # local names only, so that a worker needs no import of this package
+    exp, procedure, debate, phrases = math.exp, fv.PROCEDURE_LABEL, fv.DEBATE_LABEL, list(phrases)
 
     def score_one(text: str) -> tuple[str, float]:
         lowered = text.lower()
         z = bias + weight * sum(p in lowered for p in phrases)
-        p = 1 / (1 + math.exp(-z))
-        return (fv.PROCEDURE_LABEL, p) if p > 0.5 else (fv.DEBATE_LABEL, 1 - p)
+        p = 1 / (1 + exp(-z))
+        return (procedure, p) if p > 0.5 else (debate, 1 - p)
 
     return lambda: lambda texts: [score_one(t) for t in texts]
 

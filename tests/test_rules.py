@@ -152,3 +152,18 @@ def test_classifier_learns_a_clear_rule(spark):
     fresh = spark.createDataFrame([("a", "yield the floor", None), ("b", "gold", None)], SPEECH)
     labels = {r.speech_id: r.is_procedure for r in classify.classify(fresh, model).collect()}
     assert labels == {"a": 1, "b": 0}
+
+
+def test_a_worker_needs_no_import_of_the_package(spark):
+    import pickletools
+
+    from pyspark import cloudpickle
+
+    payload = cloudpickle.dumps(classify.phrase_scorer())
+    imports, strings = set(), []
+    for op, value, _ in pickletools.genops(payload):
+        if op.name in ("SHORT_BINUNICODE", "BINUNICODE"):
+            strings.append(value)
+        elif op.name == "STACK_GLOBAL":
+            imports.add(strings[-2])
+    assert not any(name.startswith("speechloom") for name in imports)
