@@ -25,7 +25,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 50 bytes or more that an earlier one has."""
-    cut = suffix_dedup.kept_text(suffix_dedup.remove_repeats(docs, length=50))
+    cut = suffix_dedup.without_repeats(docs, length=50)
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

@@ -43,6 +43,13 @@ def batch_of(table: pa.RecordBatch | pa.Table, columns: dict[str, pa.Array]) ->
     return table
 
 
+def portions(batches, rows: int = 256):
+    """The batches in portions of a few rows, so that few texts are objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def checkpoint_folder(spark: SparkSession) -> None:
     """Makes checkpoint() usable. The folder is the shared one the cluster names
     in ``spark.checkpoint.dir``; only a local session may do without."""

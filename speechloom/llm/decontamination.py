@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from speechloom.llm.columns import portions
+
 BLOCK_BYTES = 4 << 20
 TOKEN = re.compile(r"\w+")
 BASE = 0x100000001B3
@@ -185,7 +187,7 @@ def leaks(
     def look(sent):
         def run(batches):
             items = Items(sent.value, seed)
-            for batch in batches:
+            for batch in portions(batches):
                 at, found = [], []
                 for k, text in enumerate(batch.column("_gt_text").to_pylist()):
                     for number, count, matched, size in overlaps(text, items):
@@ -225,7 +227,7 @@ def keep_clean(
     def clean(sent):
         def run(batches):
             items = Items(sent.value, seed)
-            for batch in batches:
+            for batch in portions(batches):
                 free = [
                     all(m < coverage * size for _, _, m, size in overlaps(text, items))
                     for text in batch.column(text_column).to_pylist()

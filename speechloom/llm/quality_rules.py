@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from speechloom.llm.columns import batch_of, cut, schema_of, without
+from speechloom.llm.columns import batch_of, cut, portions, schema_of, without
 
 MEASURES = {
     "n_words": "long",
@@ -100,7 +100,7 @@ def with_measures(
     columns = [c for c in docs.columns if c != "_qr_text"]
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
+        for batch in portions(batches):
             rows = [measure(text) for text in batch.column("_qr_text").to_pylist()]
             found = zip(*rows) if rows else [()] * len(MEASURES)
             added = {name: pa.array(x, pa.int64()) for name, x in zip(MEASURES, found)}

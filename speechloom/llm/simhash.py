@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from speechloom.llm.columns import batch_of, cut, schema_of, utf8, without
+from speechloom.llm.columns import batch_of, cut, portions, schema_of, utf8, without
 
 ADDED = ("fingerprint", "component_id")
 SEED = 42
@@ -69,7 +69,7 @@ def with_fingerprint(
     columns = [c for c in docs.columns if c != "_sh_text"]
 
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches):
             prints = [text_fingerprint(x, shingle) for x in batch.column("_sh_text").to_pylist()]
             table = pa.Table.from_batches([batch]).select(columns)
             yield from batch_of(table, {name: pa.array(prints, pa.int64())}).to_batches()

@@ -37,8 +37,8 @@ from speechloom.llm.suffix_array import common_prefixes, suffix_array, words_at
 ADDED = ("n_bytes", "n_removed", "spans", "kept")
 # Bytes of text in a batch, behind a bucket of hashes, and behind a place.
 BATCH_BYTES = 4 << 20
-BUCKET_BYTES = 16 << 20
-PLACE_BYTES = 2 << 20
+BUCKET_BYTES = 8 << 20
+PLACE_BYTES = 1 << 20
 # Anchors within so many bytes of a document share a place, unless more
 # documents than this hold them.
 STRETCH = 1 << 10
@@ -334,7 +334,20 @@ def _merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[starts, 0], reach[np.r_[starts[1:] - 1, len(spans) - 1]]], 1)
 
 
-def _mark(columns: list[str]):
+def _whole_characters(text: bytes, spans: list[list[int]]) -> list[list[int]]:
+    """The spans without the characters of which they hold only some bytes."""
+    out = []
+    for start, end in spans:
+        while start < end and text[start] & 0xC0 == 0x80:
+            start += 1
+        while start < end < len(text) and text[end] & 0xC0 == 0x80:
+            end -= 1
+        if start < end:
+            out.append([start, end])
+    return out
+
+
+def _mark(columns: list[str], whole_characters: bool):
     def run(docs: pa.Table, repeats: pa.Table) -> pa.Table:
         rows, texts, _ = _ordered(docs)
         spans: list[list] = [[] for _ in texts]
@@ -344,20 +357,24 @@ def _mark(columns: list[str]):
             runs = _edges(found[:, 0])
             for start, end in zip(runs[:-1], runs[1:]):
                 spans[found[start, 0]] = _merged(found[start:end, 1:]).tolist()
+        if whole_characters:
+            spans = [_whole_characters(text, own) for text, own in zip(texts, spans)]
         kept = []
         for text, own in zip(texts, spans):
             ends = [0, *[e for _, e in own]]
             kept.append(b"".join(text[a:b] for a, b in zip(ends, [*[s for s, _ in own], len(text)])))
+        docs = docs.take(pa.array(rows))
         size = [len(x) for x in texts]
         listed = [[{"start": s, "end": e} for s, e in own] for own in spans]
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        known = docs.column("_sd_text").is_valid().to_pylist()
         added = {
             "n_bytes": pa.array(size, pa.int64()),
             "n_removed": pa.array([n - len(k) for n, k in zip(size, kept)], pa.int64()),
             "spans": pa.array(listed, span),
-            "kept": pa.array(kept, pa.binary()),
+            "kept": pa.array([k if ok else None for k, ok in zip(kept, known)], pa.binary()),
         }
-        return batch_of(docs.select(columns).take(pa.array(rows)), added)
+        return batch_of(docs.select(columns), added)
 
     return run
 
@@ -378,29 +395,32 @@ def _table(rows: list[tuple], ddl: str) -> pa.Table:
 
 
 def remove_repeats(
-    docs: DataFrame, length: int = 50, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame,
+    length: int = 50,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    whole_characters: bool = False,
 ) -> DataFrame:
     """Documents with the spans of bytes that repeat an earlier document.
 
-    Adds ``n_bytes`` (of the whole text), ``n_removed``, ``spans`` (maximal runs
-    ``start``..``end`` of removed bytes) and ``kept`` (the bytes left, which may
-    cut a character; ``kept_text`` mends that). Columns that already have these
-    names are replaced; all others are kept.
+    In the place of the text come ``n_bytes`` (of the whole text), ``n_removed``,
+    ``spans`` (maximal runs ``start``..``end`` of removed bytes) and ``kept``, the
+    bytes left. With ``whole_characters`` a character of which only some bytes
+    repeat stays, so that ``kept`` is a text again. All other columns are kept,
+    but for those that have these names.
 
-    A null text is empty: no bytes, nothing removed. A text shorter than
-    ``length`` is never changed. A row without id comes after all others. Rows
-    with the same id never count as earlier than each other. Equal rows get
-    equal results. An empty table gives an empty table.
+    A null text is empty (no bytes, nothing removed); its ``kept`` is null. A
+    text shorter than ``length`` is never changed. A row without id comes after
+    all others. Rows with the same id never count as earlier than each other.
+    Equal rows get equal results. An empty table gives an empty table.
     """
     if length < 2:
         raise ValueError("strings of at least two bytes can be compared")
-    docs = without(docs, ADDED)
-    columns = docs.columns
     total = docs.agg(F.sum(F.octet_length(F.col(f"`{text_column}`").cast("string")))).first()[0] or 0
     batches, buckets, places = (
         1 + total // size for size in (BATCH_BYTES, BUCKET_BYTES, PLACE_BYTES)
     )
-    rest = [c for c in columns if c != text_column]
+    rest = without(docs, [*ADDED, text_column]).columns
     rows = docs.select(
         *[F.col(f"`{c}`") for c in rest],
         utf8(text_column).alias("_sd_text"),
@@ -413,17 +433,9 @@ def remove_repeats(
         _cut_pieces(length, buckets), PIECES
     )
     repeats = pieces.groupBy("_sd_place").applyInArrow(_find_repeats(length), REPEATS)
-    own = [*rest, "_sd_text"]
     added = "n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
-    marked = by_batch.cogroup(repeats.groupBy("_sd_batch")).applyInArrow(
-        _mark(own), schema_of(rows.select(*[F.col(f"`{c}`") for c in own]), added)
-    )
-    return marked.select(
-        *[
-            F.col("_sd_text").cast("string").alias(c) if c == text_column else F.col(f"`{c}`")
-            for c in columns
-        ],
-        *ADDED,
+    return by_batch.cogroup(repeats.groupBy("_sd_batch")).applyInArrow(
+        _mark(rest, whole_characters), schema_of(docs.select(*[F.col(f"`{c}`") for c in rest]), added)
     )
 
 
@@ -434,41 +446,16 @@ def digest(marked: DataFrame, id_column: str = "doc_id") -> DataFrame:
         "n_bytes",
         "n_removed",
         F.size("spans").cast("long").alias("n_spans"),
-        F.sha2("kept", 256).alias("kept_sha256"),
+        F.sha2(F.coalesce("kept", F.lit(b"")), 256).alias("kept_sha256"),
     )
 
 
-def _whole_characters(texts: pa.ChunkedArray, spans: pa.ChunkedArray) -> pa.Array:
-    out = []
-    for text, own in zip(texts.to_pylist(), spans.to_pylist()):
-        if text is None or not own:
-            out.append(text)
-            continue
-        data, kept, at = text.encode(), [], 0
-        for span in own:
-            start, end = span["start"], span["end"]
-            while start < end and data[start] & 0xC0 == 0x80:
-                start += 1
-            while end > start and end < len(data) and data[end] & 0xC0 == 0x80:
-                end -= 1
-            kept.append(data[at:start])
-            at = end
-        out.append(b"".join([*kept, data[at:]]).decode())
-    return pa.array(out, pa.string())
-
-
-def kept_text(marked: DataFrame, text_column: str = "text") -> DataFrame:
-    """The documents with their removed spans cut from the text. A character of
-    which only some bytes are removed stays; a null text stays null. The columns
-    that ``remove_repeats`` added are dropped."""
-    columns = [c for c in marked.columns if c not in ADDED]
-
-    def run(batches):
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            at = table.schema.get_field_index(text_column)
-            text = _whole_characters(table.column(text_column), table.column("spans"))
-            yield from table.set_column(at, text_column, text).select(columns).to_batches()
-
-    slim = without(marked, [c for c in ADDED if c != "spans"])
-    return slim.mapInArrow(run, without(marked, ADDED).schema)
+def without_repeats(
+    docs: DataFrame, length: int = 50, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """The documents with their repeats cut from the texts, whole characters at a
+    time; a null text stays null. All columns are kept."""
+    marked = remove_repeats(docs, length, id_column, text_column, whole_characters=True)
+    own = {c: F.col(f"`{c}`") for c in marked.columns}
+    own[text_column] = F.col("kept").cast("string")
+    return marked.select(*[own[c].alias(c) for c in docs.columns])
