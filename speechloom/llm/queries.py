@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from speechloom.llm import decontamination, mixing, quality_rules, simhash, suffix_dedup
+from speechloom.llm import (
+    decontamination,
+    license_scan,
+    mixing,
+    quality_ranking,
+    quality_rules,
+    quotation,
+    simhash,
+    suffix_dedup,
+    toxicity,
+    url_filter,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -31,11 +42,31 @@ def op2_suffix_dedup(spark, folder):
     return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, folder, "documents"), 50))
 
 
+@query
+def op3_license_scan(spark, folder):
+    return license_scan.scanned(table(spark, folder, "documents"))
+
+
+@query
+def op4_url_filter(spark, folder):
+    return url_filter.judged(table(spark, folder, "pages"))
+
+
 @query
 def op5_simhash(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"), shingle=3, max_bits=3)
 
 
+@query
+def op6_toxicity(spark, folder):
+    return toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op7_quality_ranking(spark, folder):
+    return quality_ranking.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query
 def op8_decontamination(spark, folder):
     return decontamination.leaks(
@@ -57,3 +88,8 @@ def op9_quality_rules(spark, folder):
         "probability",
         "votes",
     )
+
+
+@query
+def op10_quotation_linking(spark, folder):
+    return quotation.formatted(table(spark, folder, "conversations"))
