@@ -85,10 +85,10 @@ class Classifier:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def _selected(texts: list[list[int]], y: np.ndarray) -> list[int]:
+def _selected(texts: list[np.ndarray], y: np.ndarray) -> list[int]:
     """The features that tell the labels apart best (by chi square), and those
     of identity terms."""
-    flat = np.concatenate([np.array(x, np.int64) for x in texts])
+    flat = np.concatenate(texts)
     owner = np.repeat(y, [len(x) for x in texts])
     ids, at = np.unique(flat, return_inverse=True)
     ones = np.bincount(at, owner, len(ids))
@@ -102,7 +102,7 @@ def _selected(texts: list[list[int]], y: np.ndarray) -> list[int]:
     return sorted({*ids[best[chi[best] > LEAST_CHI]].tolist(), *terms})
 
 
-def fit(texts: list[list[int]], labels: list[int], share: float) -> Classifier:
+def fit(texts: list[np.ndarray], labels: list[int], share: float) -> Classifier:
     """Logistic regression on the texts' features; ``share`` is that of label 1
     among all labelled texts, to which the scores are calibrated."""
     y = np.array(labels, float)
@@ -114,7 +114,7 @@ def fit(texts: list[list[int]], labels: list[int], share: float) -> Classifier:
     place = {f: k for k, f in enumerate(chosen)}
     x = np.zeros((len(texts), len(chosen)), np.float32)
     for row, found in enumerate(texts):
-        x[row, [place[f] for f in found if f in place]] = 1
+        x[row, [place[f] for f in found.tolist() if f in place]] = 1
     # A row per exchange of identity terms: what the counterfactual text gains
     # and loses. It counts once, and once more for each text that holds the term.
     change = np.zeros((len(swaps()), len(chosen)))
@@ -129,9 +129,9 @@ def fit(texts: list[list[int]], labels: list[int], share: float) -> Classifier:
     w, bias = np.zeros(len(chosen)), 0.0
     first, second = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for step in range(1, ROUNDS + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + bias, -50, 50)))
+        p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32) + bias, -50, 50)))
         error = weight * (p - y)
-        grad = x.T @ error + RIDGE * w
+        grad = error.astype(np.float32) @ x + RIDGE * w
         grad += COUNTERFACTUAL * change.T @ (strength * (change @ w))
         grad = np.append(grad, error.sum())
         first = 0.9 * first + 0.1 * grad
@@ -169,8 +169,9 @@ def train(
                 [pa.array(hashed, pa.list_(pa.int32())), batch.column("_tr_label")], ["x", "y"]
             )
 
-    known = found.mapInArrow(run, "x array<int>, y int").collect()
-    return fit([list(r["x"]) for r in known], [r["y"] for r in known], share)
+    known = found.mapInArrow(run, "x array<int>, y int").toArrow()
+    texts = [x.values.to_numpy() for x in known.column("x")]
+    return fit(texts, known.column("y").to_pylist(), share)
 
 
 def scored(
