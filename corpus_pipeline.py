@@ -10,27 +10,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from speechloom.llm import decontamination, mixing, quality_rules, simhash, suffix_dedup
-from speechloom.llm.columns import checkpoint_folder
+from speechloom.llm.columns import checkpoint_folder, short_batches
 
 
 def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
+    short_batches(spark)
     return quality_rules.keep_good(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose SimHash fingerprints are linked."""
+    short_batches(spark)
     return simhash.keep_one(docs, shingle=3, max_bits=3)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 50 bytes or more that an earlier one has."""
+    short_batches(spark)
     cut = suffix_dedup.without_repeats(docs, length=50)
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    short_batches(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontamination.keep_clean(docs, benchmark, seed=5, coverage=0.8)
 

@@ -9,6 +9,7 @@ from collections.abc import Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 LAST_ID = (1 << 63) - 1
 
@@ -29,10 +30,9 @@ def id_or_last(column: str) -> Column:
     return F.coalesce(F.col(f"`{column}`").cast("long"), F.lit(LAST_ID))
 
 
-def schema_of(df: DataFrame, extra: str) -> str:
-    """DDL of the table's columns followed by others."""
-    own = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
-    return ", ".join([*own, extra])
+def schema_of(df: DataFrame, extra: str) -> StructType:
+    """The table's columns followed by others, given as DDL."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(extra).fields])
 
 
 def batch_of(table: pa.RecordBatch | pa.Table, columns: dict[str, pa.Array]) -> pa.Table:
@@ -43,6 +43,15 @@ def batch_of(table: pa.RecordBatch | pa.Table, columns: dict[str, pa.Array]) ->
     return table
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Has Spark send texts to its workers in batches of few rows, as texts may be
+    long. A lower setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def portions(batches, rows: int = 256):
     """The batches in portions of a few rows, so that few texts are objects at a time."""
     for batch in batches:

@@ -10,6 +10,7 @@ from speechloom.llm import (
     decontamination,
     license_scan,
     mixing,
+    oracle,
     quality_ranking,
     quality_rules,
     quotation,
@@ -18,7 +19,9 @@ from speechloom.llm import (
     toxicity,
     url_filter,
 )
+from speechloom.llm.columns import short_batches
 
+ORACLE = oracle.ORACLE
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -28,6 +31,7 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

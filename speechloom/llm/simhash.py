@@ -250,28 +250,20 @@ def keep_one(
     Nulls are as in ``near_duplicates``; of a component without any id one row
     stays. All columns are kept as they are.
     """
-    columns = docs.columns
     key = ["_sh_id", "_sh_hash"]
-    known = docs.select(
+    text = F.col(f"`{text_column}`")
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_sh_row"),
         F.col(f"`{id_column}`").alias("_sh_id"),
-        F.col(f"`{text_column}`").alias("_sh_body"),
-        F.xxhash64(F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit(""))).alias("_sh_hash"),
+        F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))).alias("_sh_hash"),
     )
+    known = rows.select(*key, F.col("_sh_row").getField(text_column).alias("_sh_body"))
     prints = cut(with_fingerprint(known, shingle, "_sh_body", keep_text=False))
     joined = prints.join(classes(prints, max_bits), "_sh_print")
     # Ids are ordered with nulls last; the hash settles which row of an id stays.
     kept = joined.groupBy("component_id").agg(
-        F.min(F.struct(F.col("_sh_id").isNull().alias("none"), "_sh_id", "_sh_hash")).alias("first")
+        F.min(F.struct(F.col("_sh_id").isNull().alias("none"), *key)).alias("first")
     )
     kept = kept.select("first._sh_id", "first._sh_hash")
-    rows = docs.select(
-        "*",
-        F.col(f"`{id_column}`").alias("_sh_id"),
-        F.xxhash64(F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit(""))).alias("_sh_hash"),
-    )
     same = [rows[k].eqNullSafe(kept[k]) for k in key]
-    return (
-        rows.join(kept, same[0] & same[1], "left_semi")
-        .dropDuplicates(key)
-        .select(*[F.col(f"`{c}`") for c in columns])
-    )
+    return rows.join(kept, same[0] & same[1], "left_semi").dropDuplicates(key).select("_sh_row.*")

@@ -455,7 +455,19 @@ def without_repeats(
 ) -> DataFrame:
     """The documents with their repeats cut from the texts, whole characters at a
     time; a null text stays null. All columns are kept."""
-    marked = remove_repeats(docs, length, id_column, text_column, whole_characters=True)
-    own = {c: F.col(f"`{c}`") for c in marked.columns}
-    own[text_column] = F.col("kept").cast("string")
-    return marked.select(*[own[c].alias(c) for c in docs.columns])
+    # In a structure no column can clash with those the operator adds.
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_column]
+    packed = docs.select(
+        F.struct(*others).alias("_sd_row"),
+        F.col(f"`{id_column}`").alias("_sd_key"),
+        F.col(f"`{text_column}`").alias("_sd_body"),
+    )
+    marked = remove_repeats(packed, length, "_sd_key", "_sd_body", whole_characters=True)
+    return marked.select(
+        *[
+            F.col("kept").cast("string").alias(c)
+            if c == text_column
+            else F.col("_sd_row").getField(c).alias(c)
+            for c in docs.columns
+        ]
+    )
