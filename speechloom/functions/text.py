@@ -78,6 +78,30 @@ def runs(tokens: Column | str, longest: int) -> Column:
     return from_length(1, tokens)
 
 
+def counted(terms: Column) -> Column:
+    """Each distinct term of an array with how often it stands there: an array of
+    (term, tf). Equal terms are neighbours once the array is sorted."""
+
+    def ends_of_runs(ordered: Column) -> Column:
+        places = F.when(F.size(ordered) > 0, F.sequence(F.lit(1), F.size(ordered)))
+        last = F.filter(
+            places,
+            lambda i: (i == F.size(ordered)) | (F.get(ordered, i) != F.get(ordered, i - 1)),
+        )
+        return let(
+            F.coalesce(last, F.array().cast("array<int>")),
+            lambda ends: F.transform(
+                ends,
+                lambda end, k: F.struct(
+                    F.get(ordered, end - 1).alias("term"),
+                    (end - F.coalesce(F.get(ends, k - 1), F.lit(0))).alias("tf"),
+                ),
+            ),
+        )
+
+    return F.when(terms.isNotNull(), let(F.sort_array(terms), ends_of_runs))
+
+
 def phrase_pattern(phrase: str) -> str:
     """Regex with the meaning of ``LIKE '%phrase%'``: ASCII letters match in
     either case, ``%`` and ``_`` are wildcards, everything else is literal."""

@@ -11,7 +11,6 @@ from speechloom import fixed_values as fv
 from speechloom.functions.cards import party_name
 from speechloom.functions.text import mentions, mentions_any
 from speechloom.operators.denoise import bigram_substantive
-from speechloom.plans.joins import broadcast_if_small
 from speechloom.plans.ranking import top_per_group
 
 
@@ -27,10 +26,8 @@ def speech_by_id(speeches: DataFrame, speech_id: str) -> DataFrame:
 
 def speeches_by_id(speeches: DataFrame, ids: DataFrame, key: str = "speech_id") -> DataFrame:
     """The records of all speeches a table asks for."""
-    wanted = ids.select(F.trim(key).alias("speech_id")).distinct()
-    return speeches.join(broadcast_if_small(wanted), "speech_id", "left_semi").select(
-        *fv.CARD_COLUMNS
-    )
+    wanted = ids.select(F.trim(key).alias("speech_id"))
+    return speeches.join(wanted, "speech_id", "left_semi").select(*fv.CARD_COLUMNS)
 
 
 def phrase_trend(speeches: DataFrame, phrase: str, debate_only: bool = True) -> DataFrame:

@@ -8,9 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from speechloom import fixed_values as fv
-from speechloom.functions.text import SPACE, let, ngrams, space_tokens
-from speechloom.plans.exploding import explode_array
-from speechloom.plans.joins import is_small, join_counted
+from speechloom.functions.text import SPACE, counted, let, ngrams, space_tokens
 
 
 def purge_label(
@@ -110,33 +108,29 @@ def bigram_substantive_table(
     noise_share: float = fv.BIGRAM_NOISE_SHARE,
 ) -> DataFrame:
     """The same rule against a table of noise bigrams (column ``bigram``) that
-    may be too large for a literal list: (key, is_substantive)."""
-    noise = noise_bigrams.select("bigram").distinct()
-    words = speeches.select(key, space_tokens(F.lower("speech")).alias("words"))
-    if is_small(noise):
-        # bigrams meet the table where they are; one row per speech is shuffled
-        marked = F.broadcast(noise.withColumn("is_noise", F.lit(1)))
-        counted = (
-            words.select(key, F.size("words").alias("n_words"), ngrams("words", 2).alias("pairs"))
-            .select(key, "n_words", F.explode_outer("pairs").alias("bigram"))
-            .join(marked, "bigram", "left")
-            .groupBy(key)
-            .agg(F.max("n_words").alias("n_words"), F.count("is_noise").alias("noise"))
-        )
-    else:
-        per_speech = (
-            explode_array(words.repartition(key), [key], ngrams("words", 2), "bigram")
-            .groupBy(key, "bigram")
-            .agg(F.count("*").alias("n"))
-        )
-        spoken = per_speech.groupBy("bigram").agg(F.count("*").alias("n_rows"))
-        noisy = join_counted(per_speech, noise.join(spoken, "bigram"), ["bigram"], "n_rows", key)
-        counted = words.select(key, F.size("words").alias("n_words")).join(
-            noisy.groupBy(key).agg(F.sum("n").alias("noise")), key, "left"
-        )
-    share = F.try_divide(F.coalesce("noise", F.lit(0)), "n_words")
+    may be too large for a literal list: (key, is_substantive), a row for each
+    speech, whatever its id."""
+    # Each speech counts its bigrams in its own row. An empty bigram, which no
+    # text has, stands for the speech, so that those without noise stay.
+    own = F.array(F.struct(F.lit("").alias("term"), F.lit(0).alias("tf")))
+    empty = speeches.sparkSession.createDataFrame([("",)], "bigram string")
+    words = speeches.select(
+        key,
+        F.monotonically_increasing_id().alias("row"),
+        space_tokens(F.lower("speech")).alias("words"),
+    )
+    pairs = F.concat(own, F.coalesce(counted(ngrams("words", 2)), F.array_remove(own, own[0])))
+    numbers = (
+        words.select(key, "row", F.size("words").alias("n_words"), pairs.alias("pairs"))
+        .select(key, "row", "n_words", F.explode("pairs").alias("pair"))
+        .select(key, "row", "n_words", F.col("pair.term").alias("bigram"), F.col("pair.tf").alias("n"))
+        .join(noise_bigrams.select("bigram").unionByName(empty), "bigram", "left_semi")
+        .groupBy("row", key)
+        .agg(F.max("n_words").alias("n_words"), F.sum("n").alias("noise"))
+    )
+    share = F.try_divide("noise", "n_words")
     verdict = (F.col("n_words") >= min_words) & (share < noise_share)
-    return counted.select(key, F.coalesce(verdict, F.lit(False)).alias("is_substantive"))
+    return numbers.select(key, F.coalesce(verdict, F.lit(False)).alias("is_substantive"))
 
 
 # ---------------------------------------------------------------- sampling

@@ -8,41 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from speechloom import fixed_values as fv
-from speechloom.functions.text import WORD, runs, strip_space
-from speechloom.plans.joins import broadcast_if_small, is_small, join_counted
+from speechloom.functions.text import WORD, strip_space
+from speechloom.plans.matching import term_spans
 
 
-def _spans(speeches: DataFrame, key: str, max_words: int) -> DataFrame:
-    """Every run of up to ``max_words`` words: (key, position, ent_text, term)."""
-    words = F.regexp_extract_all("speech", F.lit(f"[{WORD}]+"), F.lit(0))
-    # all single words come first, then all pairs, and so on: a run's place
-    # among the runs of its length is its position in the text
-    position, seen = F.col("place"), F.lit(0)
-    for n in range(1, max_words + 1):
-        position = F.when(F.col("place") >= seen, F.col("place") - seen).otherwise(position)
-        seen = seen + F.greatest(F.col("n_words") - (n - 1), F.lit(0))
-    return (
-        speeches.select(key, words.alias("words"))
-        .select(key, F.size("words").alias("n_words"), runs("words", max_words).alias("runs"))
-        .select(key, "n_words", F.posexplode_outer("runs").alias("place", "ent_text"))
-        .where(F.col("ent_text").isNotNull())
-        .select(key, position.alias("position"), "ent_text", F.lower("ent_text").alias("term"))
-    )
-
-
-def tag_entities(
-    speeches: DataFrame, gazetteer: DataFrame, key: str = "speech_id", max_words: int = 3
-) -> DataFrame:
+def tag_entities(speeches: DataFrame, gazetteer: DataFrame, key: str = "speech_id") -> DataFrame:
     """Entity spans (key, position, ent_text, label) of a (term, label)
-    dictionary, which is unique by term and in lower case. Overlapping spans
-    are all reported."""
-    spans = _spans(speeches, key, max_words)
-    columns = [key, "position", "ent_text", "label"]
-    if is_small(gazetteer):
-        return spans.join(F.broadcast(gazetteer), "term").select(*columns)
-    weights = spans.groupBy("term").agg(F.count("*").alias("n"))
-    counted = gazetteer.join(weights, "term")
-    return join_counted(spans, counted, ["term"], "n", key).select(*columns)
+    dictionary, which is unique by term and in lower case. Terms may have any
+    number of words; overlapping spans are all reported."""
+    words = F.regexp_extract_all("speech", F.lit(f"[{WORD}]+"), F.lit(0))
+    texts = speeches.select(key, words.alias("words"))
+    spans = term_spans(texts, [key], "words", gazetteer, F.split("term", " "))
+    return spans.select(key, "position", F.col("span").alias("ent_text"), "label")
 
 
 def judge_entities(
@@ -57,7 +34,7 @@ def judge_entities(
     stops = stop_terms.select(F.col("term").alias("clean"), F.lit(True).alias("stopped")).distinct()
     categories = policy.select(F.col("term").alias("clean"), "category")
     # one lookup for both lists: the entities are joined once
-    lookup = broadcast_if_small(stops.join(categories, "clean", "full"))
+    lookup = stops.join(categories, "clean", "full")
     wanted = F.col("category").isNotNull() | F.col("label").isin(list(labels))
     return (
         entities.withColumn("clean", strip_space(F.lower("ent_text")))
@@ -73,8 +50,9 @@ def denoise_entities(judged: DataFrame) -> DataFrame:
 
 
 def entity_table(judged: DataFrame, key: str = "speech_id") -> DataFrame:
-    """Kept entities with type and source, policy terms first. Here the text is
-    compared as tagged: with space around it, it is not a policy term."""
+    """Kept entities with type and source, those of a speech together and its
+    policy terms first. Here the text is compared as tagged: with space around
+    it, it is not a policy term."""
     exact = F.col("category").isNotNull() & (F.lower("ent_text") == F.col("clean"))
     return (
         judged.where("kept")
@@ -85,7 +63,8 @@ def entity_table(judged: DataFrame, key: str = "speech_id") -> DataFrame:
             F.when(exact, F.col("category")).otherwise(F.col("label")).alias("type"),
             F.when(exact, fv.POLICY_SOURCE).otherwise(fv.MODEL_SOURCE).alias("source"),
         )
-        .orderBy(key, F.desc("source"), "position", "entity")
+        .repartition(key)
+        .sortWithinPartitions(key, F.desc("source"), "position", "entity")
     )
 
 

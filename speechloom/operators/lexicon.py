@@ -7,12 +7,11 @@ term: (section, list_name, description, position, term).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechloom.functions.text import runs, word_tokens
-from speechloom.plans.exploding import explode_array
-from speechloom.plans.joins import is_small
+from speechloom.functions.text import word_tokens
+from speechloom.plans.matching import term_spans
 from speechloom.plans.ranking import top_per_group
 from speechloom.schema import FILTER_CONFIG
 
@@ -75,24 +74,28 @@ def lexicon_list(entries: DataFrame, list_name: str) -> DataFrame:
 
 def merge_lexicon(lexicon: DataFrame, terms: DataFrame, list_name: str) -> DataFrame:
     """(list_name, term) rows with one list replaced by new terms and all other
-    lists kept. Lists are sets; they are sorted where they are written."""
+    lists kept, one without a name included. Lists are sets; they are sorted
+    where they are written."""
     new = terms.select(F.lit(list_name).alias("list_name"), "term").distinct()
-    return lexicon.where(F.col("list_name") != list_name).select("list_name", "term").unionByName(
-        new
-    )
+    others = lexicon.where(~F.col("list_name").eqNullSafe(list_name))
+    return others.select("list_name", "term").unionByName(new)
+
 
+def term_words(term: Column | str = "term") -> Column:
+    """A term's words, found as those of the texts are; underscores in a term
+    stand for spaces."""
+    return word_tokens(F.replace(term, F.lit("_"), F.lit(" ")))
 
-def term_hits(terms: DataFrame, speeches: DataFrame, max_words: int = 3) -> DataFrame:
-    """In how many speeches each term occurs: (term, speech_hits). Terms are
-    compared in lower case to runs of up to ``max_words`` words."""
+
+def term_hits(terms: DataFrame, speeches: DataFrame) -> DataFrame:
+    """In how many speeches each term occurs: (term, speech_hits), for terms that
+    occur. Terms of any number of words are compared to the words of the texts."""
     wanted = terms.select("term").distinct()
-    words = speeches.select(word_tokens("speech").alias("words"))
-    found = explode_array(words, [], F.array_distinct(runs("words", max_words)), "term")
-    hits = F.count("*").alias("speech_hits")
-    if is_small(wanted):
-        return found.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(hits)
-    # counting first leaves one row per term to join, however frequent it is
-    return found.groupBy("term").agg(hits).join(wanted, "term", "left_semi")
+    texts = speeches.select(
+        F.monotonically_increasing_id().alias("speech"), word_tokens("speech").alias("words")
+    )
+    found = term_spans(texts, ["speech"], "words", wanted, term_words())
+    return found.groupBy("term").agg(F.count_distinct("speech").alias("speech_hits"))
 
 
 def lexicon_summary(entries: DataFrame, speeches: DataFrame) -> DataFrame:

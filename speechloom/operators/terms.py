@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from speechloom import fixed_values as fv
 from speechloom.functions.text import (
+    counted,
     delete_numbers,
     delete_phrases,
     is_one_of,
@@ -69,17 +70,17 @@ def vocab_counts(
     """Occurrences of each vocabulary word per main party, zeros included, for
     the k words most used overall. Single words are counted, so a vocabulary
     entry of two words always counts zero."""
-    counted = (
-        _of_groups(speeches, "party", fv.MAIN_PARTIES)
-        .select("party", F.explode(word_tokens("speech", 2)).alias("word"))
-        .where(is_one_of("word", set(vocabulary) - set(stop_words)))
+    listed = sorted(set(vocabulary) - set(stop_words))
+    used = F.filter(word_tokens("speech", 2), lambda w: w.isin(listed))
+    found = (
+        explode_array(_of_groups(speeches, "party", fv.MAIN_PARTIES), ["party"], used, "word")
         .groupBy("word")
         .agg(*[F.count_if(F.col("party") == p).alias(p) for p in fv.MAIN_PARTIES])
     )
     wanted = literal_table(speeches.sparkSession, list(enumerate(vocabulary)), ["position", "word"])
     counts = [F.coalesce(p, F.lit(0)).alias(p) for p in fv.MAIN_PARTIES]
     return (
-        wanted.join(counted, "word", "left")
+        wanted.join(found, "word", "left")
         .select("position", "word", *counts)
         .withColumn("total", F.col("D") + F.col("R"))
         .orderBy(F.desc("total"), "position")
@@ -92,27 +93,26 @@ def vocab_counts(
 
 
 def tfidf(
-    documents: DataFrame,
-    terms: Column,
-    key: str,
-    group: str,
-    max_df: float = 1.0,
-    min_df: int = 1,
+    documents: DataFrame, terms: Column, group: str, max_df: float = 1.0, min_df: int = 1
 ) -> DataFrame:
     """Summed TF-IDF of every term of every group: (group, term, score).
 
-    ``terms`` is the array of a document's terms; where it is NULL there is no
-    document. Inverse document frequency
+    Every row is a document, whatever its id. ``terms`` is the array of its
+    terms; where it is NULL there is no document. Inverse document frequency
     is ln((1 + n) / (1 + df)) + 1, fitted per group over all its documents.
     Terms in fewer than ``min_df`` documents, or in more than ``max_df`` of
     them, are pruned; then each document's weights are scaled to length one.
     """
-    # The texts are shuffled once, by document. Both readings below use that
-    # shuffle, and counting a document's terms needs no other.
-    documents = documents.repartition(key)
+    # A document is counted where it is read; what is shuffled, once, is its
+    # (term, tf) array, by a number of its own. Both readings below use it.
+    documents = (
+        documents.select(group, counted(terms).alias("counts"))
+        .withColumn("document", F.monotonically_increasing_id())
+        .repartition("document")
+    )
     # The empty term stands for the document itself: its frequency is n. All
     # uses of `frequencies` read the same columns, so it is computed once.
-    in_document = F.array_distinct(F.concat(F.array(F.lit("")), terms))
+    in_document = F.concat(F.array(F.lit("")), F.transform("counts", lambda c: c["term"]))
     frequencies = (
         explode_array(documents, [group], in_document, "term")
         .groupBy(group, "term")
@@ -125,15 +125,15 @@ def tfidf(
         .where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
         .select(group, "term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     )
-    counts = (
-        explode_array(documents, [key, group], terms, "term")
-        .groupBy(key, group, "term")
-        .agg(F.count("*").alias("tf"))
+    counts = explode_array(documents, ["document", group], F.col("counts"), "pair").select(
+        "document", group, F.col("pair.term").alias("term"), F.col("pair.tf").alias("tf")
     )
     weight = F.col("tf") * F.col("idf")
-    length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(key)))
+    length = F.sqrt(
+        F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("document"))
+    )
     return (
-        join_counted(counts, weighted, [group, "term"], "df", key)
+        join_counted(counts, weighted, [group, "term"], "df", "document")
         .withColumn("weight", weight)
         .withColumn("weight", F.col("weight") / length)
         .groupBy(group, "term")
@@ -157,14 +157,13 @@ def tfidf_unigram(
     max_df: float = 0.7,
     min_df: int = 5,
     k: int = 10,
-    key: str = "speech_id",
     group: str = "party",
     groups: Sequence[str] = fv.MAIN_PARTIES,
 ) -> DataFrame:
     """The single words that mark each group."""
     documents = _of_groups(speeches, group, groups).where(F.col("speech").isNotNull())
-    documents = documents.select(key, group, "speech")
-    scores = tfidf(documents, _kept_words("speech", stop_words), key, group, max_df, min_df)
+    documents = documents.select(group, "speech")
+    scores = tfidf(documents, _kept_words("speech", stop_words), group, max_df, min_df)
     return _top_terms(scores, group, k)
 
 
@@ -174,7 +173,6 @@ def tfidf_bigram(
     max_df: float = 0.5,
     min_df: int = 10,
     k: int = 10,
-    key: str = "speech_id",
     group: str = "party",
     groups: Sequence[str] = fv.MAIN_PARTIES,
     noise_words: Sequence[str] = fv.BIGRAM_NOISE_WORDS,
@@ -182,9 +180,9 @@ def tfidf_bigram(
     """The word pairs that mark each group. Stop words are taken out first, so
     a pair may span a removed word."""
     documents = _of_groups(speeches, group, groups).where(F.col("speech").isNotNull())
-    documents = documents.select(key, group, "speech")
+    documents = documents.select(group, "speech")
     terms = _pairs(_kept_words("speech", [*stop_words, *noise_words]))
-    return _top_terms(tfidf(documents, terms, key, group, max_df, min_df), group, k)
+    return _top_terms(tfidf(documents, terms, group, max_df, min_df), group, k)
 
 
 def tfidf_bigram_final(
@@ -214,7 +212,6 @@ def deep_clean_tfidf(
     max_df: float = 0.3,
     min_df: int = 10,
     k: int = 10,
-    key: str = "speech_id",
     group: str = "party",
     groups: Sequence[str] = fv.MAIN_PARTIES,
 ) -> DataFrame:
@@ -223,14 +220,14 @@ def deep_clean_tfidf(
     documents = (
         _of_groups(speeches, group, groups)
         .where(F.col("speech").isNotNull())
-        .select(key, group, deep_clean("speech").alias("speech"))
+        .select(group, deep_clean("speech").alias("speech"))
     )
     # as a filter this test would clean every text a second time
     terms = F.when(
         F.col("speech") != "",
         _pairs(_kept_words("speech", [*stop_words, *fv.DEEP_CLEAN_STOPWORDS])),
     )
-    return _top_terms(tfidf(documents, terms, key, group, max_df, min_df), group, k)
+    return _top_terms(tfidf(documents, terms, group, max_df, min_df), group, k)
 
 
 def vocab_tfidf(
@@ -238,7 +235,6 @@ def vocab_tfidf(
     stop_words: Sequence[str],
     categories: dict[str, Sequence[str]] = fv.POLICY_CATEGORIES,
     k: int = 10,
-    key: str = "speech_id",
     group: str = "party",
     groups: Sequence[str] = fv.MAIN_PARTIES,
 ) -> DataFrame:
@@ -247,13 +243,13 @@ def vocab_tfidf(
     vocabulary = [(term, c) for c, terms in categories.items() for term in terms]
     listed = sorted({term for term, _ in vocabulary})
     documents = _of_groups(speeches, group, groups).select(
-        key, group, F.coalesce("speech", F.lit("")).alias("speech")
+        group, F.coalesce("speech", F.lit("")).alias("speech")
     )
     terms = let(
         _kept_words("speech", stop_words),
         lambda w: F.filter(F.concat(w, ngrams(w, 2)), lambda t: t.isin(listed)),
     )
-    scores = tfidf(documents, terms, key, group)
+    scores = tfidf(documents, terms, group)
     wanted = literal_table(
         speeches.sparkSession,
         [(g, i, t, c) for g in groups for i, (t, c) in enumerate(vocabulary)],
@@ -273,13 +269,13 @@ def context_words(
     phrase: str,
     stop_words: Sequence[str] = (),
     window: int = fv.CONTEXT_WINDOW,
-    sample: int | None = fv.CONTEXT_SAMPLE,
+    sample: int | None = None,
     seed: int | str = 0,
     k: int = 10,
 ) -> DataFrame:
-    """The words most often found within ``window`` words of a phrase, in a
-    random sample of the hits or, with ``sample=None``, in all of them. The
-    phrase must stand as whole whitespace-separated words."""
+    """The words most often found within ``window`` words of a phrase, in all
+    hits or, on request, in a random ``sample`` of them. The phrase must stand
+    as whole whitespace-separated words."""
     wanted = phrase.lower().split()
     n = len(wanted)
     if sample is not None:

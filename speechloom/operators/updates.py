@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechloom.plans.joins import broadcast_if_small
 from speechloom.plans.ranking import latest_per_key
 
 
@@ -21,12 +20,14 @@ def upsert_speeches(
     """Replace or add speeches; of several updates to one key the one
     with the largest ``newest_by`` counts. Replaced rows lose what the update does not carry, their
     label included, unless ``keep_labels``."""
-    changed = broadcast_if_small(updates.select(key))
+    changed = updates.select(key)
     newest = latest_per_key(updates, key, newest_by).select(
         *[c for c in updates.columns if c in current.columns]
     )
     if keep_labels:
-        labels = current.join(changed, key, "left_semi").select(key, "is_procedure")
+        # a key found twice in the table still has one label
+        labels = current.join(changed, key, "left_semi").groupBy(key)
+        labels = labels.agg(F.max("is_procedure").alias("is_procedure"))
         newest = newest.drop("is_procedure").join(labels, key, "left")
     return current.join(changed, key, "left_anti").unionByName(newest, allowMissingColumns=True)
 
@@ -38,7 +39,7 @@ def apply_labels(
     only with equal labels."""
     new = labels.groupBy(key).agg(F.max(label).alias("_new"))
     return (
-        speeches.join(broadcast_if_small(new), key, "left")
+        speeches.join(new, key, "left")
         .withColumn(label, F.coalesce("_new", label))
         .select(*speeches.columns)
     )

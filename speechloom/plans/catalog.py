@@ -459,23 +459,33 @@ def bigram_substantive(spark, folder):
     )
 
 
-@query
-def bigram_substantive_table(spark, folder):
-    """Noise bigrams are the word pairs of the benchmark texts."""
+def _benchmark_bigrams(spark, folder):
+    """Noise bigrams: the word pairs of the benchmark texts."""
     words = F.col("words")
     pairs = F.transform(
         F.sequence(F.lit(1), F.size(words) - 1),
         lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)),
     )
-    noise = (
+    return (
         views.table(spark, folder, "benchmark")
         .select(word_tokens("text").alias("words"))
         .where(F.size("words") > 1)
         .select(F.explode(pairs).alias("bigram"))
     )
+
+
+@query
+def bigram_substantive_table(spark, folder):
+    noise = _benchmark_bigrams(spark, folder)
     return denoise.bigram_substantive_table(_corpus(spark, folder), noise)
 
 
+@query
+def bigram_substantive_repeated(spark, folder):
+    noise = _benchmark_bigrams(spark, folder)
+    return denoise.bigram_substantive_table(_repeated(spark, folder), noise)
+
+
 @query
 def quality_sample(spark, folder):
     return denoise.quality_sample(views.speeches(spark, folder), pm.SEED).select(
@@ -608,6 +618,23 @@ def tfidf_unigram(spark, folder):
     return terms.tfidf_unigram(views.speeches(spark, folder), pm.STOP_WORDS)
 
 
+def _repeated(spark, folder):
+    """Speeches whose ids repeat, across parties too, or are missing."""
+    number = F.col("speakerid") % pm.REPEATED_IDS
+    shared = F.when(number > 0, number.cast("string"))
+    return _corpus(spark, folder).withColumn("speech_id", shared)
+
+
+@query
+def tfidf_unigram_repeated(spark, folder):
+    return terms.tfidf_unigram(_repeated(spark, folder), pm.STOP_WORDS)
+
+
+@query
+def deep_clean_tfidf_repeated(spark, folder):
+    return terms.deep_clean_tfidf(_repeated(spark, folder), pm.STOP_WORDS)
+
+
 @query
 def tfidf_bigram(spark, folder):
     return terms.tfidf_bigram(views.speeches(spark, folder), pm.STOP_WORDS)
@@ -631,14 +658,15 @@ def vocab_tfidf(spark, folder):
 @query
 def context_words(spark, folder):
     return terms.context_words(
-        _hits(spark, folder), pm.PHRASE, pm.CONTEXT_STOP_WORDS, seed=pm.SEED
+        _hits(spark, folder), pm.PHRASE, pm.CONTEXT_STOP_WORDS,
+        sample=fv.CONTEXT_SAMPLE, seed=pm.SEED,
     )
 
 
 @query
 def context_words_all(spark, folder):
     return terms.context_words(
-        _hits(spark, folder), pm.PHRASE, pm.CONTEXT_STOP_WORDS, sample=None
+        _hits(spark, folder), pm.PHRASE, pm.CONTEXT_STOP_WORDS
     )
 
 

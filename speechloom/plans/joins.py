@@ -7,25 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A side is broadcast only up to this many rows; beyond it the join shuffles.
-BROADCAST_ROWS = 100_000
 # Hot keys handled apart. The k-th largest of a set of counts is at most 1/k of
 # their sum, so a key that is not among these owns under 0.1 % of the rows.
 HOT_KEYS = 1024
 HOT_SPREAD = 4096
 
 
-def is_small(side: DataFrame, max_rows: int | None = None) -> bool:
-    """Whether a side is seen to have few enough rows to broadcast. The check
-    is a job that stops after one row more than that."""
-    max_rows = BROADCAST_ROWS if max_rows is None else max_rows
-    return side.limit(max_rows + 1).count() <= max_rows
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's estimate of a table's size. No job runs for this."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def broadcast_if_small(side: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Mark a small side for broadcast; a larger one is returned unmarked, for
-    a shuffled join."""
-    return F.broadcast(side) if is_small(side, max_rows) else side
+def fits_broadcast(side: DataFrame) -> bool:
+    """Whether Spark's estimate of a side's size is within its own threshold for
+    broadcasts. No job runs for this; plans that ask must give the same rows
+    either way."""
+    settings = side.sparkSession._jsparkSession.sessionState().conf()
+    return estimated_bytes(side) <= settings.autoBroadcastJoinThreshold()
 
 
 def join_counted(

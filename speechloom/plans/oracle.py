@@ -158,7 +158,7 @@ sql(
       d.source AS state_x, coalesce(m.lastname, 'Unknown') AS lastname,
       coalesce(m.firstname, 'Unknown') AS firstname, cast(43 + doc_id % 77 AS integer) AS congress_session
     FROM documents d LEFT JOIN speaker_map m ON m.speech_id = cast(d.doc_id AS varchar)
-    WHERE lang <> 'de' AND 43 + doc_id % 77 <= {fv.LAST_SESSION}
+    WHERE lang <> 'de'
       AND doc_id % 77 IN (SELECT speakerid % 77 FROM speaker_map)""",
     SPEAKER_MAP,
 )
@@ -234,11 +234,12 @@ sql(
 )
 
 ENTRIES = f"""entries(section, list_name, description, "position", term) AS (VALUES {rows(pm.LEXICON)})"""
+_TERM_WORDS = f"array_to_string({word_list("replace(term, '_', ' ')")}, ' ')"
 HITS = f"""hits AS (
-  SELECT term, count(*) AS speech_hits FROM (SELECT DISTINCT lower(term) AS term FROM entries) e
+  SELECT term, count(*) AS speech_hits
+  FROM (SELECT term, {_TERM_WORDS} AS plain FROM (SELECT DISTINCT lower(term) AS term FROM entries)) e
   JOIN (SELECT ' ' || array_to_string({word_list('text')}, ' ') || ' ' AS body FROM documents) d
-    ON contains(body, ' ' || term || ' ') GROUP BY term)"""
-# Only terms that are word runs can be found; punctuation never is.
+    ON plain <> '' AND contains(body, ' ' || plain || ' ') GROUP BY term)"""
 sql("lexicon_hits", "SELECT term, speech_hits FROM hits", ENTRIES, HITS)
 sql(
     "lexicon_summary",
@@ -534,18 +535,21 @@ def judged_speeches(noise: str) -> str:
 
 JUDGED = judged_speeches(f"b IN ({listed(pm.NOISE_BIGRAMS)})")
 sql("bigram_substantive", "SELECT speech_id, is_substantive FROM judged", SPEECHES, JUDGED)
-sql(
-    "bigram_substantive_table",
-    f"""SELECT speech_id, coalesce(max(len) >= {fv.BIGRAM_MIN_WORDS}
+def _against_table(speech_id: str) -> str:
+    return f"""SELECT speech_id, coalesce(max(len) >= {fv.BIGRAM_MIN_WORDS}
       AND count(noise.bigram) / max(len) < {fv.BIGRAM_NOISE_SHARE}, false) AS is_substantive
-    FROM (SELECT speech_id, len(words) AS len, unnest(CASE WHEN len(words) > 1 THEN {pairs('words')}
-        ELSE [''] END) AS bigram
-      FROM (SELECT speech_id, {split_space('lower(speech)')} AS words FROM speeches)) s
-    LEFT JOIN noise ON noise.bigram = s.bigram GROUP BY speech_id""",
-    SPEECHES,
-    f"""noise AS (SELECT DISTINCT unnest({pairs('words')}) AS bigram
-      FROM (SELECT {word_list('text')} AS words FROM benchmark))""",
-)
+    FROM (SELECT n, speech_id, len(words) AS len,
+        unnest(CASE WHEN len(words) > 1 THEN {pairs('words')} ELSE [''] END) AS bigram
+      FROM (SELECT row_number() OVER () AS n, {speech_id} AS speech_id,
+          {split_space('lower(speech)')} AS words FROM speeches)) s
+    LEFT JOIN noise ON noise.bigram = s.bigram GROUP BY n, speech_id"""
+
+
+_NOISE = f"""noise AS (SELECT DISTINCT unnest({pairs('words')}) AS bigram
+      FROM (SELECT {word_list('text')} AS words FROM benchmark))"""
+_REPEATED_ID = f"nullif(cast(speakerid % {pm.REPEATED_IDS} AS varchar), '0')"
+sql("bigram_substantive_table", _against_table("speech_id"), SPEECHES, _NOISE)
+sql("bigram_substantive_repeated", _against_table(_REPEATED_ID), SPEECHES, _NOISE)
 sql(
     "quality_sample",
     f"""SELECT speech_id, speech, party, "date", congress_session FROM (
@@ -699,20 +703,20 @@ def kept(text: str, stops: Sequence[str]) -> str:
 def tfidf(words: str, terms: str, max_df: float = 1.0, min_df: int = 1, text="speech", where="true"):
     return [
         SPEECHES,
-        f"""docs AS (SELECT speech_id, party, {terms} AS terms
-          FROM (SELECT speech_id, party, {words} AS words FROM (
-            SELECT speech_id, party, {text} AS speech FROM speeches WHERE party IN ('D', 'R'))
+        f"""docs AS (SELECT row_number() OVER () AS doc, party, {terms} AS terms
+          FROM (SELECT party, {words} AS words FROM (
+            SELECT party, {text} AS speech FROM speeches WHERE party IN ('D', 'R'))
           WHERE {where}))""",
-        """tf AS (SELECT speech_id, party, term, count(*) AS tf
-          FROM (SELECT speech_id, party, unnest(terms) AS term FROM docs) GROUP BY ALL)""",
+        """tf AS (SELECT doc, party, term, count(*) AS tf
+          FROM (SELECT doc, party, unnest(terms) AS term FROM docs) GROUP BY ALL)""",
         "sizes AS (SELECT party, count(*) AS n FROM docs GROUP BY party)",
         f"""idf AS (SELECT party, term, ln((1 + n) / (1 + df)) + 1 AS idf
           FROM (SELECT party, term, count(*) AS df FROM tf GROUP BY party, term) JOIN sizes USING (party)
           WHERE df >= {min_df} AND df <= {max_df}::double * n)""",
-        "weights AS (SELECT speech_id, party, term, tf * idf AS w FROM tf JOIN idf USING (party, term))",
-        "lengths AS (SELECT speech_id, sqrt(sum(w * w)) AS l FROM weights GROUP BY speech_id)",
+        "weights AS (SELECT doc, party, term, tf * idf AS w FROM tf JOIN idf USING (party, term))",
+        "lengths AS (SELECT doc, sqrt(sum(w * w)) AS l FROM weights GROUP BY doc)",
         """scores AS (SELECT party, term, round(sum(w / l), 6) AS score
-          FROM weights JOIN lengths USING (speech_id) GROUP BY party, term)""",
+          FROM weights JOIN lengths USING (doc) GROUP BY party, term)""",
     ]
 
 
@@ -725,6 +729,8 @@ def top_terms(k: int) -> str:
 _BIGRAM_STOPS = pm.STOP_WORDS + fv.BIGRAM_NOISE_WORDS
 _FINAL_STOPS = _BIGRAM_STOPS + fv.BOILERPLATE_BIGRAMS + fv.STATE_STOPWORDS
 sql("tfidf_unigram", top_terms(10), *tfidf(kept("speech", pm.STOP_WORDS), "words", 0.7, 5))
+# Ids play no part: the answer is the same where they repeat or are missing.
+ORACLE["tfidf_unigram_repeated"] = ORACLE["tfidf_unigram"]
 sql("tfidf_bigram", top_terms(10), *tfidf(kept("speech", _BIGRAM_STOPS), pairs("words"), 0.5, 10))
 sql("tfidf_bigram_final", top_terms(12), *tfidf(kept("speech", _FINAL_STOPS), pairs("words"), 0.4, 5))
 _DEEP = "lower(speech)"
@@ -745,6 +751,7 @@ sql(
         where=f"{squeezed(_NO_NUMBERS)} <> ''",
     ),
 )
+ORACLE["deep_clean_tfidf_repeated"] = ORACLE["deep_clean_tfidf"]
 _VOCABULARY = [(t, c) for c, ts in pm.CATEGORIES.items() for t in ts]
 sql(
     "vocab_tfidf",
@@ -789,16 +796,13 @@ sql("context_words_all", context("hits"), *_HIT)
 # ---------------------------------------------------------------- entities
 
 WORDS = """words AS (
-  SELECT speech_id, i, w, lead(w, 1) OVER following AS w2, lead(w, 2) OVER following AS w3
-  FROM (SELECT speech_id, unnest(range(0, len(words))) AS i, unnest(words) AS w FROM (
-    SELECT speech_id, regexp_extract_all(speech, '[\\p{L}\\p{N}_]+') AS words FROM speeches))
-  WINDOW following AS (PARTITION BY speech_id ORDER BY i))"""
+  SELECT speech_id, regexp_extract_all(speech, '[\\p{L}\\p{N}_]+') AS words FROM speeches)"""
 TAGGED = f"""tagged AS (
-  SELECT speech_id, cast(i AS integer) AS "position", ent_text, label FROM (
-    SELECT speech_id, i, w AS ent_text FROM words
-    UNION ALL SELECT speech_id, i, w || ' ' || w2 FROM words WHERE w2 IS NOT NULL
-    UNION ALL SELECT speech_id, i, w || ' ' || w2 || ' ' || w3 FROM words WHERE w3 IS NOT NULL)
-  JOIN (VALUES {rows(pm.GAZETTEER)}) g(term, label) ON g.term = lower(ent_text))"""
+  SELECT speech_id, cast(i AS integer) AS "position", array_to_string(words[i + 1 : i + n], ' ') AS ent_text, label
+  FROM (SELECT speech_id, words, unnest(range(0, len(words))) AS i FROM words) w
+  JOIN (SELECT *, len(string_split(term, ' ')) AS n FROM (VALUES {rows(pm.GAZETTEER)}) v(term, label)) g
+    ON split_part(g.term, ' ', 1) = lower(words[i + 1])
+    AND lower(array_to_string(words[i + 1 : i + n], ' ')) = g.term)"""
 KEPT = f"""kept AS (
   SELECT t.*, p.category, lower(ent_text) NOT IN ({listed(pm.ENTITY_STOPS)}) AND
     (p.category IS NOT NULL OR label IN ({listed(fv.STANDARD_ENTITY_LABELS)})) AS keep

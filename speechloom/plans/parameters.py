@@ -15,10 +15,14 @@ CONTEXT_STOP_WORDS = ["with", "from"]
 
 VOCABULARY = [*fv.POLICY_VOCABULARY, "the", "was", "with", "from", "of the"]
 CATEGORIES = {**fv.POLICY_CATEGORIES, "Function": ["was", "with", "from", "was with", "de la"]}
+# Ids are taken modulo this number in the tables of repeated ids.
+REPEATED_IDS = 100
 ROLES = ["user", "assistant", "system"]
 
 GAZETTEER = [
     ("the", "ORG"), ("and", "GPE"), ("of the", "LAW"), ("license", "PRODUCT"),
+    ("licensed under the apache license version", "LAW"),
+    ("this work is licensed under the gnu general", "LAW"),
     ("with", "PERSON"), ("was", "DATE"), ("de la", "GPE"), ("and the of", "EVENT"),
 ]
 ENTITY_STOPS = ["and", "mr speaker"]
@@ -35,6 +39,12 @@ LEXICON = [
         ("policy", "Function words", None, i, term)
         for i, term in enumerate("The Of And To In A Is That It For With From".split())
     ],
+    *[
+        ("denoising", "licence_lines", None, i, term)
+        for i, term in enumerate(
+            ["Released_under_the_MIT_License.", "licensed under CC BY-NC 4.0", "GNU General Public License"]
+        )
+    ],
     *[("denoising", "procedural_bigrams", None, i, t) for i, t in enumerate(NOISE_BIGRAMS)],
     *[("denoising", "procedural_stopwords", None, i, t) for i, t in enumerate(PURGE_PHRASES)],
 ]

@@ -58,19 +58,25 @@ def read_session(
 def load_sessions(
     spark: SparkSession,
     root: str,
-    first: int = fv.FIRST_SESSION,
-    last: int = fv.LAST_SESSION,
+    first: int | None = None,
+    last: int | None = None,
 ) -> DataFrame:
-    """All sessions of an archive folder as one production-format table.
+    """All sessions of an archive folder, or those from ``first`` to ``last``, as
+    one production-format table.
 
     A session is loaded only if each of its three files is there. The three
     kinds of file are each read once, whatever the number of sessions.
     """
-    frames, complete = {}, set(range(first, last + 1))
+    frames, numbers = {}, []
     for kind, (glob, pattern) in _FILE_KINDS.items():
         frames[kind] = read_session(spark, f"{root}/{glob}", pattern)
         found = [re.search(pattern, path) for path in frames[kind].inputFiles()]
-        complete &= {int(match[1]) for match in found if match}
+        numbers.append({int(match[1]) for match in found if match})
+    complete = {
+        n
+        for n in set.intersection(*numbers)
+        if (first is None or n >= first) and (last is None or n <= last)
+    }
     speeches = frames["speeches"].where(F.col("congress_session").isin(sorted(complete)))
     keys = ["congress_session", "speech_id"]
     merged = join_session(speeches, frames["descr"], frames["speaker_map"], keys)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from speechloom.plans.joins import estimated_bytes
 from speechloom.schema import GRANULES, SPEECHES, conform
 
 
@@ -17,11 +18,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+# A test table of fewer bytes may come in one row group, which one task reads.
+SPREAD_BYTES = 64 << 20
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash a table over all cores if its files give fewer partitions than
-    that; a large table already has more and is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    """Hash a small table over all cores; a large one is left as it is."""
+    if estimated_bytes(df) > SPREAD_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
 
 
 def _date() -> Column:

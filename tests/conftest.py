@@ -1,4 +1,5 @@
 import sys
+from contextlib import contextmanager
 from pathlib import Path
 
 import pytest
@@ -25,3 +26,20 @@ def evaluate(spark):
         return spark.createDataFrame([(value,)], f"x {kind}").select(expression).first()[0]
 
     return run
+
+
+@pytest.fixture
+def without_broadcasts(spark):
+    """Within it no side is small enough to be broadcast."""
+
+    @contextmanager
+    def run():
+        key = "spark.sql.autoBroadcastJoinThreshold"
+        old = spark.conf.get(key)
+        spark.conf.set(key, "-1")
+        try:
+            yield
+        finally:
+            spark.conf.set(key, old)
+
+    return run

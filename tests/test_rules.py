@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from speechloom import fixed_values as fv
 from speechloom.operators import classify, denoise, updates
-from speechloom.plans import joins
 
 SPEECH = "speech_id string, speech string, is_procedure int"
 
@@ -77,13 +76,28 @@ NOISE = ["the the", "of the"]
         (None, False),
     ],
 )
-def test_bigram_rule_all_ways(spark, evaluate, monkeypatch, text, want):
+def test_bigram_rule_all_ways(spark, evaluate, without_broadcasts, text, want):
     assert evaluate(denoise.bigram_substantive(NOISE, "x"), text) is want
     df = spark.createDataFrame([("1", text)], "speech_id string, speech string")
     noise = spark.createDataFrame([(b,) for b in NOISE * 2], "bigram string")
     assert denoise.bigram_substantive_table(df, noise).collect() == [("1", want)]
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", 1)
-    assert denoise.bigram_substantive_table(df, noise).collect() == [("1", want)]
+    with without_broadcasts():
+        assert denoise.bigram_substantive_table(df, noise).collect() == [("1", want)]
+
+
+def test_bigram_table_judges_row_by_row(spark, without_broadcasts):
+    """Rows that share an id, or have none, are judged by their own words."""
+    good, bad = "a b c d e f g h i j", "the the the the e f g h i j"
+    rows = [("1", good), ("1", bad), (None, good), (None, bad), (None, None), ("2", "short")]
+    df = spark.createDataFrame(rows, "speech_id string, speech string")
+    noise = spark.createDataFrame([(b,) for b in NOISE], "bigram string")
+    want = sorted([("1", True), ("1", False), (None, True), (None, False), (None, False), ("2", False)], key=str)
+    listed = df.select("speech_id", denoise.bigram_substantive(NOISE).alias("ok"))
+    assert sorted(map(tuple, listed.collect()), key=str) == want
+    assert sorted(map(tuple, denoise.bigram_substantive_table(df, noise).collect()), key=str) == want
+    with without_broadcasts():
+        got = denoise.bigram_substantive_table(df, noise).collect()
+        assert sorted(map(tuple, got), key=str) == want
 
 
 def test_progress_of_nothing(spark):

@@ -49,11 +49,13 @@ def _archive(folder, number, with_map=True):
         )
 
 
-def test_load_sessions_skips_incomplete_and_out_of_range(spark, tmp_path):
+def test_load_sessions_takes_all_complete_ones_or_a_range(spark, tmp_path):
     _archive(tmp_path, "043")
     _archive(tmp_path, "044", with_map=False)
     _archive(tmp_path, "115")
-    df = delimited.load_sessions(spark, str(tmp_path))
+    everything = delimited.load_sessions(spark, str(tmp_path))
+    assert {r.congress_session for r in everything.collect()} == {43, 115}
+    df = delimited.load_sessions(spark, str(tmp_path), fv.FIRST_SESSION, fv.LAST_SESSION)
     assert df.columns == fv.PRODUCTION_COLUMNS
     rows = sorted(df.collect(), key=lambda r: (r.speech_id, r.speakerid))
     assert [r.speech_id for r in rows] == ["0431", "0431", "0432", "0433"]  # two speakers map to 1

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from speechloom import fixed_values as fv
-from speechloom.operators import entities, terms
+from speechloom.functions.text import counted
+from speechloom.operators import entities, lexicon, terms
 from speechloom.plans import joins
 
 SPEECH = "speech_id string, party string, speech string"
@@ -170,19 +171,36 @@ def test_hot_join_equals_plain_join(spark, monkeypatch):
     )
 
 
-def test_a_large_side_is_not_broadcast(spark):
-    small, large = spark.range(10), spark.range(11)
-    hinted = [
-        "ResolvedHint" in joins.broadcast_if_small(df, 10)._jdf.queryExecution().analyzed().toString()
-        for df in (small, large)
-    ]
-    assert hinted == [True, False]
+def test_a_large_side_is_not_broadcast(spark, without_broadcasts):
+    small, large = spark.range(10), spark.range(10**9)
+    assert joins.fits_broadcast(small) and not joins.fits_broadcast(large)
+    with without_broadcasts():
+        assert not joins.fits_broadcast(small)
+
+
+def test_every_row_is_a_document(spark):
+    """One id in both parties, twice in one party, and missing ids."""
+    docs = [("D", "gold gold coin"), ("R", "gold tariff"), ("D", "gold bank"), ("D", "silver coin"), ("D", "coin")]
+    ids = ["1", "1", "1", None, None]
+    rows = [(i, p, t) for i, (p, t) in zip(ids, docs)]
+    got = terms.tfidf_unigram(spark.createDataFrame(rows, SPEECH), [], 1.0, 1, k=100).collect()
+    want = brute_force(docs, set(), 1, 1.0, 1)
+    assert {p: {r.term: r.score for r in got if r.party == p} for p in "DR"} == want
+    # by hand: the two words of the only R text weigh the same
+    assert want["R"] == {"gold": round(1 / math.sqrt(2), 6), "tariff": round(1 / math.sqrt(2), 6)}
+
+
+def test_counted_terms(spark):
+    rows = [(["b", "a", "b", "c", "b"],), ([],), (["x"],), (None,)]
+    df = spark.createDataFrame(rows, "w array<string>").select(counted(F.col("w")).alias("c"))
+    got = [None if r.c is None else [tuple(x) for x in r.c] for r in df.collect()]
+    assert got == [[("a", 1), ("b", 3), ("c", 1)], [], [("x", 1)], None]
 
 
 # ---------------------------------------------------------------- entities
 
 
-def test_entities(spark, monkeypatch):
+def test_entities(spark, without_broadcasts):
     speeches = spark.createDataFrame(
         [("1", "The Bank of England, and the Gold Standard."), ("2", None)],
         "speech_id string, speech string",
@@ -199,8 +217,8 @@ def test_entities(spark, monkeypatch):
         ("1", 6, "Gold Standard", "EVENT"),
     ]
     assert sorted(map(tuple, tagged.collect())) == want
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", 1)
-    assert sorted(map(tuple, entities.tag_entities(speeches, gazetteer).collect())) == want
+    with without_broadcasts():
+        assert sorted(map(tuple, entities.tag_entities(speeches, gazetteer).collect())) == want
     judged = entities.judge_entities(tagged, stops, policy)
     assert [tuple(r)[2:] for r in entities.entity_table(judged).collect()] == [
         ("Gold Standard", "Money", "Policy Filter"),
@@ -211,6 +229,23 @@ def test_entities(spark, monkeypatch):
     assert entities.denoise_entities(judged).columns == ["speech_id", "position", "ent_text", "label"]
 
 
+def test_terms_of_any_number_of_words(spark, without_broadcasts):
+    text = "They ask for the yeas and nays. Ask for the yeas; mr. Speaker, civil rights!"
+    speeches = spark.createDataFrame([("1", text), ("1", text), (None, "civil_rights")], "speech_id string, speech string")
+    gazetteer = spark.createDataFrame([("ask for the yeas and nays", "LAW"), ("for the yeas and nays", "EVENT")], "term string, label string")
+    listed = spark.createDataFrame([("ask for the yeas and nays",), ("civil_rights",), ("mr. speaker",), ("...",)], "term string")
+    spans = [("1", 1, "ask for the yeas and nays", "LAW"), ("1", 2, "for the yeas and nays", "EVENT")]
+
+    def check():
+        assert sorted(map(tuple, entities.tag_entities(speeches, gazetteer).collect())) == sorted(spans * 2)
+        hits = {r.term: r.speech_hits for r in lexicon.term_hits(listed, speeches).collect()}
+        assert hits == {"ask for the yeas and nays": 2, "civil_rights": 2, "mr. speaker": 2}
+
+    check()
+    with without_broadcasts():
+        check()
+
+
 def test_space_around_an_entity(spark):
     found = spark.createDataFrame([("1", 0, "Tax ", "MONEY")], "speech_id string, position int, ent_text string, label string")
     stops = spark.createDataFrame([], "term string")
