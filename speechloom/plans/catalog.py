@@ -615,7 +615,7 @@ def vocab_counts(spark, folder):
 
 @query
 def tfidf_unigram(spark, folder):
-    return terms.tfidf_unigram(views.speeches(spark, folder), pm.STOP_WORDS)
+    return terms.tfidf_unigram(_corpus(spark, folder), pm.STOP_WORDS)
 
 
 def _repeated(spark, folder):
@@ -637,12 +637,12 @@ def deep_clean_tfidf_repeated(spark, folder):
 
 @query
 def tfidf_bigram(spark, folder):
-    return terms.tfidf_bigram(views.speeches(spark, folder), pm.STOP_WORDS)
+    return terms.tfidf_bigram(_corpus(spark, folder), pm.STOP_WORDS)
 
 
 @query
 def tfidf_bigram_final(spark, folder):
-    return terms.tfidf_bigram_final(views.speeches(spark, folder), pm.STOP_WORDS)
+    return terms.tfidf_bigram_final(_corpus(spark, folder), pm.STOP_WORDS)
 
 
 @query
@@ -652,7 +652,7 @@ def deep_clean_tfidf(spark, folder):
 
 @query
 def vocab_tfidf(spark, folder):
-    return terms.vocab_tfidf(views.speeches(spark, folder), pm.STOP_WORDS, pm.CATEGORIES)
+    return terms.vocab_tfidf(_corpus(spark, folder), pm.STOP_WORDS, pm.CATEGORIES)
 
 
 @query
