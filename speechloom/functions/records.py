@@ -15,24 +15,42 @@ from speechloom.functions.text import let, remove_all, space_tokens, squeeze_spa
 # ------------------------------------------------------------------- HTML
 
 
-def _named_entities() -> Column:
-    names = {name[:-1]: char for name, char in html5.items() if name.endswith(";")}
-    return F.from_json(F.lit(json.dumps(names)), "map<string,string>")
+def _lookup(chars: dict[str, str]) -> Column:
+    return F.from_json(F.lit(json.dumps(chars)), "map<string,string>")
+
+
+# Names that count without a semicolon, too, longest first.
+_BARE_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+_REFERENCE = rf"&(?:#[xX][0-9A-Fa-f]+;?|#[0-9]+;?|[0-9A-Za-z]+;|(?:{'|'.join(_BARE_NAMES)}))"
+# Codes 128 to 159 are read as the usual Western code page, as browsers do.
+_WESTERN = {
+    str(code): char
+    for code in range(128, 160)
+    if (char := bytes([code]).decode("cp1252", "ignore"))
+}
 
 
 def _entity_char(entity: Column) -> Column:
-    """The character an entity such as ``&amp;`` or ``&#8212;`` stands for."""
-    body = F.regexp_extract(entity, r"&#?[xX]?([0-9A-Za-z]+);", 1)
-    code = F.when(entity.rlike("^&#[xX]"), F.conv(body, 16, 10)).when(
-        entity.startswith("&#"), body
+    """The character a reference such as ``&amp;``, ``&copy`` or ``&#8212;`` stands
+    for; NULL if it stands for none."""
+    names = _lookup({name.rstrip(";"): char for name, char in html5.items() if name.endswith(";")})
+    bare = _lookup({name: html5[name] for name in _BARE_NAMES})
+    body = F.regexp_extract(entity, r"^&(?:#[xX]?)?([0-9A-Za-z]+);?$", 1)
+    digits = F.when(entity.rlike("^&#[xX]"), F.conv(body, 16, 10)).otherwise(body)
+    code = digits.try_cast("int")
+    from_code = (
+        F.when(code.between(128, 159) & F.map_contains_key(_lookup(_WESTERN), digits), F.try_element_at(_lookup(_WESTERN), digits))
+        .when((code == 0) | code.isNull() | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), "\ufffd")
+        .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
     )
-    code = code.try_cast("int")
-    from_code = F.when(
-        code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF),
-        F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"),
+    # an unknown name may begin with one that needs no semicolon
+    start = F.regexp_extract(entity, f"^&({'|'.join(_BARE_NAMES)})", 1)
+    beginning = F.concat(
+        F.try_element_at(bare, start), F.substring(entity, F.length(start) + 2, F.length(entity))
     )
+    named = F.when(entity.endswith(";"), F.coalesce(F.try_element_at(names, body), beginning))
     return F.when(entity.startswith("&#"), from_code).otherwise(
-        F.try_element_at(_named_entities(), body)
+        F.coalesce(named, F.try_element_at(bare, body))
     )
 
 
@@ -41,14 +59,20 @@ def unescape_entities(text: Column) -> Column:
     that ``&amp;lt;`` ends as ``&lt;`` and is not unescaped twice."""
     def replaced(text: Column) -> Column:
         found = F.transform(
-            F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#?[0-9A-Za-z]+;"), F.lit(0))),
+            F.array_distinct(F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0))),
             lambda e: F.struct(e.alias("entity"), _entity_char(e).alias("char")),
         )
-        in_order = let(
-            found,
-            lambda f: F.concat(
-                F.filter(f, lambda x: x["char"] != "&"), F.filter(f, lambda x: x["char"] == "&")
-            ),
+        # Longer references first, so that none is taken for the start of another.
+        in_order = F.sort_array(
+            F.transform(
+                F.filter(found, lambda x: x["char"].isNotNull()),
+                lambda x: F.struct(
+                    (x["char"] == "&").alias("last"),
+                    (-F.length(x["entity"])).alias("length"),
+                    x["entity"].alias("entity"),
+                    x["char"].alias("char"),
+                ),
+            )
         )
         done = F.aggregate(in_order, text, lambda done, f: F.replace(done, f["entity"], f["char"]))
         return F.when(F.contains(text, F.lit("&")), done).otherwise(text)

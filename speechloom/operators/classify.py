@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from speechloom import fixed_values as fv
 from speechloom.functions.text import WORD
-from speechloom.operators.denoise import zero_shot_label
+from speechloom.operators.denoise import keyword_purge, zero_shot_label
+from speechloom.operators.updates import apply_labels
 from speechloom.schema import SCORES
 
 # texts -> [(top label, its score)]
@@ -61,6 +62,22 @@ def phrase_scorer(
     return lambda: lambda texts: [score_one(t) for t in texts]
 
 
+def label_speeches(
+    speeches: DataFrame,
+    score: Callable[[DataFrame], DataFrame],
+    phrases: Sequence[str] = fv.PURGE_PHRASES,
+    threshold: float = fv.CONFIDENCE_THRESHOLD,
+) -> DataFrame:
+    """The whole labelling job: rules first, then a model for what they leave
+    open. ``score`` gives (speech_id, top_label, score) of the speeches it is
+    handed without label; what has a label keeps it."""
+    purged = keyword_purge(speeches, phrases)
+    labels = score(purged).select(
+        "speech_id", zero_shot_label(threshold=threshold).alias("is_procedure")
+    )
+    return apply_labels(purged, labels)
+
+
 def train_classifier(
     labelled: DataFrame, stop_words: Sequence[str] = (), features: int = 1 << 16
 ) -> PipelineModel:

@@ -26,7 +26,7 @@ from speechloom.operators import (
 from speechloom.plans import parameters as pm
 from speechloom.plans.literals import literal_table
 from speechloom.session import work_folder
-from speechloom.sources import delimited, speech_table, views
+from speechloom.sources import delimited, landing, speech_table, views
 from speechloom.streaming import ingest as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -237,6 +237,11 @@ def table_profile(spark, folder):
     return profile.table_profile({n: views.table(spark, folder, n) for n in pm.PROFILED_TABLES})
 
 
+@query
+def table_distincts(spark, folder):
+    return profile.distinct_counts({n: views.table(spark, folder, n) for n in pm.PROFILED_TABLES})
+
+
 # ------------------------------------------------------------------ ingest
 
 
@@ -364,25 +369,43 @@ def granule_speeches(spark, folder):
     return granules.granule_speeches(views.granules(spark, folder))
 
 
-@query
-def ingest_stream(spark, folder):
+def _ingest_twice(spark, folder, write, **options):
     """Two runs over one landing folder; the second finds some granules again
     with a revised text. A repeated last run changes nothing."""
     root = work_folder(spark)
     landing, changes, checkpoint = f"{root}/landing", f"{root}/changes", f"{root}/checkpoint"
     landed = views.granules(spark, folder)
-    landed.write.parquet(f"{landing}/first")
-    stream.ingest(spark, f"{landing}/*", changes, checkpoint, files_per_batch=4)
+    write(landed, f"{landing}/first")
+    stream.ingest(spark, f"{landing}/*", changes, checkpoint, files_per_batch=4, **options)
     again = (
         landed.join(views.granule_urls(spark, folder), "arrival_seq")
         .where(F.contains("url", F.lit(pm.REVISED_URL_PART)))
         .drop("url")
         .withColumn("html", F.concat("html", F.lit(pm.REVISED_TEXT)))
     )
-    again.write.parquet(f"{landing}/second")
-    stream.ingest(spark, f"{landing}/*", changes, checkpoint)
-    stream.ingest(spark, f"{landing}/*", changes, checkpoint)
-    return stream.current_speeches(spark, changes).select(*fv.PRODUCTION_COLUMNS)
+    write(again, f"{landing}/second")
+    stream.ingest(spark, f"{landing}/*", changes, checkpoint, **options)
+    stream.ingest(spark, f"{landing}/*", changes, checkpoint, **options)
+    return root, stream.current_speeches(spark, changes).select(*fv.PRODUCTION_COLUMNS)
+
+
+@query
+def ingest_stream(spark, folder):
+    return _ingest_twice(spark, folder, lambda df, path: df.write.parquet(path))[1]
+
+
+@query
+def ingest_stream_json(spark, folder):
+    """The same from JSON records in the service's shape, compacted at the end."""
+    root, _ = _ingest_twice(
+        spark,
+        folder,
+        lambda df, path: landing.to_api(df).write.json(path),
+        file_format="json",
+        api_shape=True,
+    )
+    stream.compact(spark, f"{root}/changes", f"{root}/table")
+    return speech_table.read_speeches(spark, f"{root}/table").select(*fv.PRODUCTION_COLUMNS)
 
 
 # ---------------------------------------------------------------- denoising
@@ -422,6 +445,15 @@ def score_batch(spark, folder):
     )
 
 
+@query
+def label_speeches(spark, folder):
+    return classify.label_speeches(
+        views.speeches(spark, folder, labelled=True),
+        lambda rest: classify.score_batch(rest, classify.phrase_scorer(pm.PURGE_PHRASES)),
+        pm.PURGE_PHRASES,
+    ).select("speech_id", "party", "congress_session", "is_procedure")
+
+
 @query
 def train_classifier(spark, folder):
     speeches = views.speeches(spark, folder, labelled=True)

@@ -270,6 +270,16 @@ def _profile(name: str, ddl: str) -> str:
 
 sql("table_profile", " UNION ALL ".join(_profile(n, d) for n, d in pm.PROFILED_TABLES.items()))
 
+sql(
+    "table_distincts",
+    " UNION ALL ".join(
+        f"SELECT '{n}' AS table_name, '{c.split(' ')[0]}' AS column_name,"
+        f" count(DISTINCT {c.split(' ')[0]}) AS n_distinct FROM {n}"
+        for n, d in pm.PROFILED_TABLES.items()
+        for c in d.split(", ")
+    ),
+)
+
 # ------------------------------------------------------------------ ingest
 
 _PACKAGE = (
@@ -495,6 +505,16 @@ sql(
       FROM speeches WHERE is_procedure IS NULL)""",
     SPEECHES,
 )
+_PURGED = " OR ".join(f"regexp_matches(lower(speech), {lit(p)})" for p in pm.PURGE_PHRASES)
+sql(
+    "label_speeches",
+    f"""SELECT speech_id, party, congress_session, CASE WHEN is_procedure IS NOT NULL THEN is_procedure
+      WHEN length(speech) < {fv.PURGE_MAX_CHARS} AND ({_PURGED}) THEN 1
+      WHEN 1 / (1 + exp(-(-1.0::double + 1.5::double * ({_PHRASES_USED})))) > {fv.CONFIDENCE_THRESHOLD}
+        THEN 1 ELSE 0 END AS is_procedure
+    FROM speeches""",
+    SPEECHES,
+)
 sql(
     "apply_labels",
     """SELECT speech_id, congress_session, party, coalesce(label % 2, is_procedure) AS is_procedure
@@ -827,3 +847,5 @@ sql(
     FROM kept GROUP BY speech_id""",
     *_ENT,
 )
+
+ORACLE["ingest_stream_json"] = ORACLE["ingest_stream"]

@@ -15,6 +15,7 @@ from speechloom.operators.granules import granule_outcomes, ingest_audit, speech
 from speechloom.operators.updates import upsert_speeches
 from speechloom.plans.ranking import latest_per_key
 from speechloom.schema import GRANULES, SPEECHES, conform
+from speechloom.sources.landing import API_RECORDS, from_api
 from speechloom.sources.speech_table import append_speeches, read_speeches
 
 _CHANGES = (
@@ -32,20 +33,22 @@ def ingest(
     checkpoint: str,
     files_per_batch: int = 1000,
     file_format: str = "parquet",
+    api_shape: bool = False,
 ) -> None:
     """Ingest all files landed since the last run, then stop. The checkpoint
-    remembers which files are done."""
+    remembers which files are done. Files hold granules or, with ``api_shape``,
+    records as the service delivers them."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
         (
-            speech_rows(granule_outcomes(batch))
+            speech_rows(granule_outcomes(from_api(batch) if api_shape else batch))
             .write.mode("overwrite")
             .partitionBy("status")
             .parquet(f"{changes}/batch={batch_id}")
         )
 
     query = (
-        spark.readStream.schema(GRANULES)
+        spark.readStream.schema(API_RECORDS if api_shape else GRANULES)
         .format(file_format)
         .option("maxFilesPerTrigger", files_per_batch)
         .load(landing)

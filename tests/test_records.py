@@ -30,6 +30,9 @@ def test_html_to_text(evaluate, raw, text):
         "&lt;b&gt; &quot;q&quot; &copy; &middot; &hellip;",
         "&#8212; &#x2014; &#X41; &#38;",
         "&unknown; & alone &;",
+        "&#150;&#151; &#128; &#x93;q&#x94; &#129; &#0; &#xD800; &#99999999;",
+        "a &amp; b &amp c &copy; d &copy e",
+        "&amp &copy 2020 &eacutet &#38 x &#65B &notit; &copy2;",
         "no entity",
         "AT&amp;T &eacute;t&eacute;",
         "&#128512;",
