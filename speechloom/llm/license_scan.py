@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from speechloom.llm.columns import portions
+from speechloom.llm.training import few_by_hash
 
 # Short public notices of licence families.
 TEMPLATES = {
@@ -230,13 +231,11 @@ def notices(text: str | None, model: Classifier) -> list[tuple]:
 
 def train(docs: DataFrame, id_column: str, text_column: str) -> Classifier:
     """Fits with a bounded number of paragraphs from a bounded number of documents."""
-    text = F.col(f"`{text_column}`").cast("string")
-    some = (
-        docs.select(F.xxhash64(F.col(f"`{id_column}`")).alias("code"), text.alias("text"))
-        .where("text is not null")
-        .orderBy("code", F.xxhash64("text"))
-        .limit(CORPUS_DOCS)
+    rows = docs.select(
+        F.col(f"`{id_column}`").cast("string").alias("id"),
+        F.col(f"`{text_column}`").cast("string").alias("text"),
     )
+    some = few_by_hash(rows.where("text is not null"), ["id", "text"], CORPUS_DOCS, docs.count())
     lines = some.select(F.explode(F.split("text", "\n")).alias("line")).where("line <> ''").distinct()
     short = F.substring_index("line", " ", CORPUS_WORDS).alias("line")
     found = lines.orderBy(F.xxhash64("line"), "line").limit(CORPUS_PARAGRAPHS).select(short).collect()

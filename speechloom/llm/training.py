@@ -12,6 +12,20 @@ def remainder(id_column: Column, parts: int) -> Column:
     return F.crc32(text.cast("binary")) % parts
 
 
+# Of rows to draw a few from, so many times more are first picked by hash.
+SPARE = 8
+PARTS = 1 << 30
+
+
+def few_by_hash(df: DataFrame, keys: list[str], wanted: int, total: int) -> DataFrame:
+    """At most ``wanted`` of ``total`` rows, those with the least hashes of their
+    keys. What is sorted is a bounded multiple of them, whatever the total."""
+    code = F.xxhash64(*keys)
+    if total > SPARE * wanted:
+        df = df.where(F.pmod(code, F.lit(PARTS)) < SPARE * wanted * PARTS // total)
+    return df.orderBy(F.pmod(code, F.lit(PARTS)), *keys).limit(wanted)
+
+
 def labelled_sample(
     rows: DataFrame,
     labels: DataFrame,
@@ -29,12 +43,11 @@ def labelled_sample(
     ).where(F.col("_tr_id").isNotNull() & F.col("_tr_label").isin(0, 1))
     known = known.withColumnRenamed("_tr_id", id_column).where(learn)
     counted = known.agg(F.count("*"), F.sum("_tr_label")).first()
-    share = (counted[1] or 0) / counted[0] if counted[0] else 0.5
+    ones = counted[1] or 0
+    share = ones / counted[0] if counted[0] else 0.5
     chosen = [
-        known.where(F.col("_tr_label") == value)
-        .orderBy(F.xxhash64(id_column), id_column)
-        .limit(per_class)
-        for value in (0, 1)
+        few_by_hash(known.where(F.col("_tr_label") == value), [id_column], per_class, number)
+        for value, number in ((0, counted[0] - ones), (1, ones))
     ]
     # At most two times per_class ids.
     ids = F.broadcast(chosen[0].union(chosen[1]).distinct())
