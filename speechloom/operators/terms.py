@@ -230,11 +230,10 @@ def deep_clean_tfidf(
     return _top_terms(tfidf(documents, terms, group, max_df, min_df), group, k)
 
 
-def vocab_tfidf(
+def vocab_scores(
     speeches: DataFrame,
     stop_words: Sequence[str],
     categories: dict[str, Sequence[str]] = fv.POLICY_CATEGORIES,
-    k: int = 10,
     group: str = "party",
     groups: Sequence[str] = fv.MAIN_PARTIES,
 ) -> DataFrame:
@@ -255,12 +254,38 @@ def vocab_tfidf(
         [(g, i, t, c) for g in groups for i, (t, c) in enumerate(vocabulary)],
         [group, "position", "term", "category"],
     )
-    filled = wanted.join(scores, [group, "term"], "left").withColumn(
+    return wanted.join(scores, [group, "term"], "left").withColumn(
         "score", F.coalesce("score", F.lit(0.0))
     )
+
+
+def vocab_tfidf(
+    speeches: DataFrame,
+    stop_words: Sequence[str],
+    categories: dict[str, Sequence[str]] = fv.POLICY_CATEGORIES,
+    k: int = 10,
+    group: str = "party",
+    groups: Sequence[str] = fv.MAIN_PARTIES,
+) -> DataFrame:
+    """The k terms of the vocabulary that mark each group."""
+    filled = vocab_scores(speeches, stop_words, categories, group, groups)
     return top_per_group(filled, [group], [F.desc("score"), F.asc("position")], k).drop("position")
 
 
+def vocab_tfidf_categories(
+    speeches: DataFrame,
+    stop_words: Sequence[str],
+    categories: dict[str, Sequence[str]] = fv.POLICY_CATEGORIES,
+    group: str = "party",
+    groups: Sequence[str] = fv.MAIN_PARTIES,
+) -> DataFrame:
+    """The scores of the vocabulary summed by category."""
+    filled = vocab_scores(speeches, stop_words, categories, group, groups)
+    return filled.groupBy(group, "category").agg(
+        F.count("*").alias("n_terms"), F.round(F.sum("score"), 4).alias("score")
+    )
+
+
 # ----------------------------------------------------------------- context
 
 

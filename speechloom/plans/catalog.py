@@ -687,6 +687,11 @@ def vocab_tfidf(spark, folder):
     return terms.vocab_tfidf(_corpus(spark, folder), pm.STOP_WORDS, pm.CATEGORIES)
 
 
+@query
+def vocab_tfidf_categories(spark, folder):
+    return terms.vocab_tfidf_categories(_corpus(spark, folder), pm.STOP_WORDS, pm.CATEGORIES)
+
+
 @query
 def context_words(spark, folder):
     return terms.context_words(

@@ -773,6 +773,11 @@ sql(
 )
 ORACLE["deep_clean_tfidf_repeated"] = ORACLE["deep_clean_tfidf"]
 _VOCABULARY = [(t, c) for c, ts in pm.CATEGORIES.items() for t in ts]
+_VOCABULARY_SCORES = tfidf(
+    kept("speech", pm.STOP_WORDS),
+    f"list_filter(list_concat(words, {pairs('words')}),"
+    f" lambda t: t IN ({listed([t for t, _ in _VOCABULARY])}))",
+)
 sql(
     "vocab_tfidf",
     f"""SELECT party, term, category, score, cast(r AS integer) AS "rank" FROM (
@@ -781,11 +786,15 @@ sql(
       FROM (VALUES ('D'), ('R')) p(party)
       CROSS JOIN (VALUES {rows([(i, t, c) for i, (t, c) in enumerate(_VOCABULARY)])}) v(i, term, category)
       LEFT JOIN scores s ON s.party = p.party AND s.term = v.term) WHERE r <= 10""",
-    *tfidf(
-        kept("speech", pm.STOP_WORDS),
-        f"list_filter(list_concat(words, {pairs('words')}),"
-        f" lambda t: t IN ({listed([t for t, _ in _VOCABULARY])}))",
-    ),
+    *_VOCABULARY_SCORES,
+)
+sql(
+    "vocab_tfidf_categories",
+    f"""SELECT p.party, category, count(*) AS n_terms, round(sum(coalesce(score, 0.0)), 4) AS score
+      FROM (VALUES ('D'), ('R')) p(party)
+      CROSS JOIN (VALUES {rows([(i, t, c) for i, (t, c) in enumerate(_VOCABULARY)])}) v(i, term, category)
+      LEFT JOIN scores s ON s.party = p.party AND s.term = v.term GROUP BY p.party, category""",
+    *_VOCABULARY_SCORES,
 )
 
 
