@@ -27,8 +27,10 @@ from speechloom.llm.columns import batch_of, cut, portions, schema_of, utf8, wit
 
 ADDED = ("fingerprint", "component_id")
 SEED = 42
-# Rows of a group of files that one task looks through at a time.
+# Rows of a group of files that one task looks through at a time, and rows that
+# one task files.
 FILE_ROWS = 200_000
+FILED_ROWS = 1_000_000
 # Shingles whose bits are counted at once.
 PORTION = 1 << 14
 
@@ -153,7 +155,10 @@ def linked(prints: DataFrame, max_bits: int = 3) -> DataFrame:
     if max_bits == 0:
         return prints.select(F.col("print").alias("a"), F.col("print").alias("b")).limit(0)
     per_print = sum(width + 1 for _, width in _segments(max_bits))
-    groups = 1 + prints.count() * per_print // FILE_ROWS
+    filed = prints.count() * per_print
+    groups = 1 + filed // FILE_ROWS
+    # So small a table comes in few parts; what becomes of it is large.
+    prints = prints.repartition(1 + filed // FILED_ROWS, "print")
     rows = prints.select("print", F.explode(_files(F.col("print"), max_bits)).alias("at")).select(
         "print", "at.*"
     )
