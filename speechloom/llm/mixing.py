@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from speechloom.llm.columns import cut
 
 WEIGHTS = (5, 2, 1)
-BLOCK = 128
+BLOCK = 32
 MOST = 3
 # Bits of a van der Corput point, and slots that one window orders.
 BITS = 48
