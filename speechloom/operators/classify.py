@@ -31,10 +31,15 @@ def score_batch(
     speeches: DataFrame, load_scorer: Callable[[], Scorer], batch_size: int = 1024
 ) -> DataFrame:
     """Scores (speech_id, top_label, score) of the unlabelled speeches by any
-    two-label text model. Each task loads the model once."""
+    two-label text model. Each worker process loads the model once and keeps it
+    for its later tasks."""
+    # A broadcast value is one object for all tasks of a process.
+    kept = speeches.sparkSession.sparkContext.broadcast({})
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = load_scorer()
+        if "scorer" not in kept.value:
+            kept.value["scorer"] = load_scorer()
+        scorer = kept.value["scorer"]
         for frame in frames:
             for start in range(0, len(frame), batch_size):
                 rows = frame.iloc[start : start + batch_size]
@@ -62,6 +67,27 @@ def phrase_scorer(
     return lambda: lambda texts: [score_one(t) for t in texts]
 
 
+def phrase_scores(
+    speeches: DataFrame,
+    phrases: Sequence[str] = fv.PURGE_PHRASES,
+    weight: float = 1.5,
+    bias: float = -1.0,
+) -> DataFrame:
+    """What :func:`score_batch` gives with :func:`phrase_scorer`, as expressions."""
+    # Made by an explode of one, so that a text is looked through once.
+    used = sum((F.contains("lowered", F.lit(p)).cast("int") for p in phrases), F.lit(0))
+    chance = 1 / (1 + F.exp(-(F.lit(bias) + F.lit(weight) * used)))
+    lowered = F.lower(F.coalesce("speech", F.lit(""))).alias("lowered")
+    scored = unlabelled(speeches).select("speech_id", lowered)
+    scored = scored.select("speech_id", F.explode(F.array(chance)).alias("chance"))
+    likely = F.col("chance") > 0.5
+    return scored.select(
+        "speech_id",
+        F.when(likely, fv.PROCEDURE_LABEL).otherwise(fv.DEBATE_LABEL).alias("top_label"),
+        F.when(likely, F.col("chance")).otherwise(1 - F.col("chance")).alias("score"),
+    )
+
+
 def label_speeches(
     speeches: DataFrame,
     score: Callable[[DataFrame], DataFrame],

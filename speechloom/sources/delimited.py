@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,30 +31,64 @@ def _archive(spark: SparkSession):
     )
 
 
+def _headers(spark: SparkSession, paths: str | list[str]) -> dict[str, list[str]]:
+    """Files by their header line. One line of each file is read, here, where
+    Spark, too, looks at files to find their columns; empty files have none."""
+    jvm, settings = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def header(file) -> str | None:
+        stream = file.getFileSystem(settings).open(file)
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "ISO-8859-1"))
+        try:
+            line = reader.readLine()
+            while line is not None and not line.strip():
+                line = reader.readLine()
+            return line
+        finally:
+            reader.close()
+
+    listed = spark.read.option("recursiveFileLookup", True).text(paths).inputFiles()
+    files = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file)) for file in sorted(listed)]
+    with ThreadPoolExecutor(16) as pool:
+        found = list(pool.map(header, files))
+    groups: dict[str, list[str]] = {}
+    for file, line in zip(files, found):
+        if line is not None:
+            groups.setdefault(line, []).append(file.toString())
+    return groups
+
+
 def read_session(
     spark: SparkSession, paths: str | list[str], session_pattern: str | None = None
 ) -> DataFrame:
     """Rows of pipe-delimited archive files, all columns as strings.
 
-    Column names come from the header line; a file with another header fails
-    the read instead of shifting its values. Quotes are ordinary characters.
-    Lines with too many fields are dropped, short lines are padded with NULL,
-    and the usual markers for a missing value read as NULL. With
-    ``session_pattern`` the file name gives a ``congress_session`` column.
+    Column names come from each file's own header line; a column that a file
+    lacks is NULL in its rows. Quotes are ordinary characters. Lines with too
+    many fields are dropped, short lines are padded with NULL, and the usual
+    markers for a missing value read as NULL. With ``session_pattern`` the file
+    name gives a ``congress_session`` column.
     """
-    header = _archive(spark).csv(paths).columns[0]
-    lines = _archive(spark).option("enforceSchema", False).schema(f"`{header}` string").csv(paths)
-    names = header.split("|")
-    fields = F.split(F.col(f"`{header}`"), r"\|", -1)
-    columns = [F.get("fields", F.lit(i)).alias(name) for i, name in enumerate(names)]
-    if session_pattern:
-        number = F.regexp_extract("_metadata.file_path", session_pattern, 1)
-        columns.append(number.cast("int").alias("congress_session"))
-    kept = lines.select("*", "_metadata", fields.alias("fields")).where(
-        F.size("fields") <= len(names)
-    )
-    no_value = [None] * len(fv.MISSING_MARKERS)
-    return kept.select(*columns).replace(fv.MISSING_MARKERS, no_value, names)
+
+    def read(header: str, files: list[str]) -> DataFrame:
+        names = header.split("|")
+        columns = [F.get("fields", F.lit(i)).alias(name) for i, name in enumerate(names)]
+        if session_pattern:
+            number = F.regexp_extract("_metadata.file_path", session_pattern, 1)
+            columns.append(number.cast("int").alias("congress_session"))
+        lines = _archive(spark).schema("line string").csv(files)
+        fields = F.split("line", r"\|", -1)
+        kept = lines.select("*", "_metadata", fields.alias("fields")).where(
+            F.size("fields") <= len(names)
+        )
+        no_value = [None] * len(fv.MISSING_MARKERS)
+        return kept.select(*columns).replace(fv.MISSING_MARKERS, no_value, names)
+
+    groups = _headers(spark, paths)
+    if not groups:
+        raise ValueError(f"no file with a header line in {paths}")
+    parts = [read(header, files) for header, files in groups.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def load_sessions(
@@ -64,8 +100,8 @@ def load_sessions(
     """All sessions of an archive folder, or those from ``first`` to ``last``, as
     one production-format table.
 
-    A session is loaded only if each of its three files is there. The three
-    kinds of file are each read once, whatever the number of sessions.
+    A session is loaded only if each of its three files is there. Every file is
+    read once; files of a kind are read together if their headers agree.
     """
     frames, numbers = {}, []
     for kind, (glob, pattern) in _FILE_KINDS.items():

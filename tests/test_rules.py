@@ -160,6 +160,34 @@ def test_score_batch_scores_open_speeches_only(spark):
     assert rows["1"].top_label == fv.PROCEDURE_LABEL and rows["2"].top_label == fv.DEBATE_LABEL
 
 
+def test_scores_as_expressions_are_those_of_the_scorer(spark):
+    rows = [("1", "So ordered, Unanimous Consent", None), ("2", None, None), ("3", "x", 0), ("4", "yield", None)]
+    df = spark.createDataFrame(rows, SPEECH)
+    scored = {r.speech_id: r for r in classify.phrase_scores(df).collect()}
+    for r in classify.score_batch(df, classify.phrase_scorer()).collect():
+        assert scored[r.speech_id].top_label == r.top_label
+        assert scored[r.speech_id].score == pytest.approx(r.score, abs=1e-12)
+    assert set(scored) == {"1", "2", "4"}
+
+
+def test_a_worker_loads_its_model_once(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def load():
+        import os
+        import uuid
+
+        open(os.path.join(folder, f"{os.getpid()}-{uuid.uuid4()}"), "w").close()
+        return lambda texts: [("x", 1.0) for _ in texts]
+
+    df = spark.range(64).selectExpr(
+        "cast(id as string) as speech_id", "'a' as speech", "cast(null as int) as is_procedure"
+    )
+    assert len(classify.score_batch(df.repartition(64), load).collect()) == 64
+    loads = [path.name.split("-")[0] for path in tmp_path.iterdir()]
+    assert len(loads) == len(set(loads)) < 64
+
+
 def test_classifier_learns_a_clear_rule(spark):
     rows = [(str(i), "yield back the floor" if i % 2 else "silver and gold coinage", i % 2) for i in range(40)]
     model = classify.train_classifier(spark.createDataFrame(rows, SPEECH))

@@ -28,11 +28,16 @@ def test_long_lines_are_dropped_whatever_is_selected(spark, tmp_path):
     assert [r[0] for r in df.select("state").collect()] == ["OH", None]
 
 
-def test_a_file_with_another_header_fails(spark, tmp_path):
+def test_each_file_is_read_by_its_own_header(spark, tmp_path):
     (tmp_path / "descr_043.txt").write_text("speech_id|date\n1|18730101\n")
-    (tmp_path / "descr_044.txt").write_text("date|speech_id\n18730101|1\n")
-    with pytest.raises(Exception, match="CSV header does not conform"):
-        delimited.read_session(spark, f"{tmp_path}/descr_*.txt").collect()
+    (tmp_path / "descr_044.txt").write_text("date|speech_id|state\n18750101|2|OH\n")
+    (tmp_path / "descr_045.txt").write_text("\nspeech_id|date\n3|18770101\n")
+    (tmp_path / "descr 046.txt").write_text("")
+    df = delimited.read_session(spark, f"{tmp_path}/descr*.txt", r"descr_(\d+)")
+    rows = {(r.speech_id, r.date, r.state, r.congress_session) for r in df.collect()}
+    assert rows == {("1", "18730101", None, 43), ("2", "18750101", "OH", 44), ("3", "18770101", None, 45)}
+    with pytest.raises(ValueError):
+        delimited.read_session(spark, f"{tmp_path}/descr 046.txt")
 
 
 def _archive(folder, number, with_map=True):
