@@ -28,7 +28,7 @@ deep_clean_tfidf vocab_tfidf context_words context_words_all entity_tag entity_s
 session_join match_rate load_sessions replace_session upsert_speeches
 granule_speeches ingest_audit ingest_stream lexicon_summary table_profile
 label_speeches train_classifier entity_table csv_round_trip clean_text html_to_text procedural_terms
-lexicon_load lexicon_merge lexicon_hits session_read ingest_stream_json table_distincts
+lexicon_load lexicon_merge lexicon_files lexicon_hits session_read ingest_stream_json table_distincts
 tfidf_unigram_repeated bigram_substantive_repeated top_words_by_role
 """.split()
 

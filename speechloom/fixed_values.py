@@ -215,3 +215,24 @@ CONTEXT_MIN_CHARS = 4
 
 STANDARD_ENTITY_LABELS = ["ORG", "GPE", "LAW", "NORP"]
 POLICY_SOURCE, MODEL_SOURCE = "Policy Filter", "NER Model"
+
+# ------------------------------------------------------------- key phrases
+
+# The share of a group's documents a term may be in, the number it must be in,
+# and how many terms of a group are shown.
+UNIGRAM_MAX_DF, UNIGRAM_MIN_DF, UNIGRAM_TOP = 0.7, 5, 10
+BIGRAM_MAX_DF, BIGRAM_MIN_DF, BIGRAM_TOP = 0.5, 10, 10
+BIGRAM_FINAL_MAX_DF, BIGRAM_FINAL_MIN_DF, BIGRAM_FINAL_TOP = 0.4, 5, 12
+DEEP_CLEAN_MAX_DF, DEEP_CLEAN_MIN_DF, DEEP_CLEAN_TOP = 0.3, 10, 10
+
+# ------------------------------------------------- reasons and placeholders
+
+NOT_FLOOR = "Not Floor Speech"
+MATTER = "Front/BackMatter"
+EMPTY = "Empty/Header Only"
+NO_METADATA = "Metadata Fail"
+NO_LINK = "No Text Link"
+NO_TEXT = "Text Download Fail"
+
+UNKNOWN, UNKNOWN_SPEAKER, NOT_AVAILABLE = "Unknown", "Unknown Speaker", "N/A"
+PROCEDURE_BADGE, DEBATE_BADGE, UNLABELLED_BADGE = "PROCEDURE", "DEBATE", "UNCERTAIN"

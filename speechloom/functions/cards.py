@@ -19,7 +19,7 @@ def party_name(party: Column | str) -> Column:
 
 def label_badge(label: Column | str) -> Column:
     label = F.col(label) if isinstance(label, str) else label
-    return F.when(label == 1, "PROCEDURE").when(label == 0, "DEBATE").otherwise("UNCERTAIN")
+    return F.when(label == 1, fv.PROCEDURE_BADGE).when(label == 0, fv.DEBATE_BADGE).otherwise(fv.UNLABELLED_BADGE)
 
 
 def speech_cards(speeches: DataFrame) -> DataFrame:
@@ -31,12 +31,12 @@ def speech_cards(speeches: DataFrame) -> DataFrame:
 
     label = F.col("is_procedure") if "is_procedure" in speeches.columns else F.lit(None)
     return speeches.select(
-        field("speech_id", "Unknown").alias("speech_id"),
-        field("speaker", "Unknown Speaker").alias("speaker"),
+        field("speech_id", fv.UNKNOWN).alias("speech_id"),
+        field("speaker", fv.UNKNOWN_SPEAKER).alias("speaker"),
         label_badge(label).alias("badge"),
-        field("date", "N/A").alias("date"),
-        field("party", "Unknown").alias("party"),
-        F.concat(field("congress_session", "N/A"), F.lit("th")).alias("session"),
-        field("state_x", "N/A").alias("state"),
+        field("date", fv.NOT_AVAILABLE).alias("date"),
+        field("party", fv.UNKNOWN).alias("party"),
+        F.concat(field("congress_session", fv.NOT_AVAILABLE), F.lit("th")).alias("session"),
+        field("state_x", fv.NOT_AVAILABLE).alias("state"),
         field("speech", "").alias("transcript"),
     )

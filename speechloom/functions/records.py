@@ -141,7 +141,7 @@ def flatten_metadata(value: Column | str, keys: Sequence[str] = fv.METADATA_KEYS
 
     looks_like_json = value.rlike(r"^\s*[\[{]")
     flat = F.when(looks_like_json, let(value, from_json)).otherwise(value)
-    return strip_space(F.coalesce(flat, F.lit("Unknown")))
+    return strip_space(F.coalesce(flat, F.lit(fv.UNKNOWN)))
 
 
 def digits_as_number(identifier: Column | str) -> Column:
@@ -160,7 +160,7 @@ def package_date(package_id: Column | str) -> Column:
 
 def congress_number(package_congress: Column, granule_congress: Column) -> Column:
     """The package's congress unless unknown, else the granule's, else '0'."""
-    of_package = F.nullif(flatten_metadata(package_congress), F.lit("Unknown"))
+    of_package = F.nullif(flatten_metadata(package_congress), F.lit(fv.UNKNOWN))
     return F.coalesce(of_package, flatten_metadata(F.coalesce(granule_congress, F.lit("0"))))
 
 
@@ -169,7 +169,7 @@ def congress_number(package_congress: Column, granule_congress: Column) -> Colum
 
 def member_name(name: Column | str) -> Column:
     """Struct (speaker, lastname, firstname) from a member's listed name."""
-    unknown = F.lit("Unknown")
+    unknown = F.lit(fv.UNKNOWN)
 
     def parts_of(name: Column) -> Column:
         with_comma = let(F.split(name, ","), lambda p: F.struct(
@@ -194,14 +194,14 @@ def opening_name(text: Column | str) -> Column:
     with, e.g. ``Mr. SMITH of Texas.``; unknown where it names nobody."""
     pattern = f"(?U){fv.OPENING_NAME_PATTERN}"
     state = f"(?U){fv.OPENING_STATE_PATTERN}"
-    unknown = F.lit("Unknown")
+    unknown = F.lit(fv.UNKNOWN)
 
     def named(opening: Column) -> Column:
         title = F.regexp_extract(opening, pattern, 1)
         name = F.regexp_replace(strip_space(F.regexp_extract(opening, pattern, 2)), state, "")
         return let(name, lambda n: F.struct(
             F.when(n != "", F.initcap(F.concat_ws(" ", title, n)))
-            .otherwise(F.lit("Unknown Speaker"))
+            .otherwise(F.lit(fv.UNKNOWN_SPEAKER))
             .alias("speaker"),
             F.when(n != "", F.initcap(F.element_at(space_tokens(n), -1)))
             .otherwise(unknown)

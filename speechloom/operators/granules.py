@@ -8,21 +8,14 @@ from pyspark.sql import functions as F
 from speechloom import fixed_values as fv
 from speechloom.functions import records
 
-NOT_FLOOR = "Not Floor Speech"
-MATTER = "Front/BackMatter"
-EMPTY = "Empty/Header Only"
-NO_METADATA = "Metadata Fail"
-NO_LINK = "No Text Link"
-NO_TEXT = "Text Download Fail"
-
-_SKIP_REASONS = [NOT_FLOOR, MATTER, EMPTY]
+_SKIP_REASONS = [fv.NOT_FLOOR, fv.MATTER, fv.EMPTY]
 
 
 def skip_by_id(granule_id: Column | str) -> Column:
     """Why a granule is out by its id alone, NULL if it is in."""
     granule_id = F.col(granule_id) if isinstance(granule_id, str) else granule_id
-    return F.when(~granule_id.rlike("|".join(fv.FLOOR_MARKERS)), NOT_FLOOR).when(
-        granule_id.rlike("|".join(fv.MATTER_MARKERS)), MATTER
+    return F.when(~granule_id.rlike("|".join(fv.FLOOR_MARKERS)), fv.NOT_FLOOR).when(
+        granule_id.rlike("|".join(fv.MATTER_MARKERS)), fv.MATTER
     )
 
 
@@ -40,9 +33,9 @@ def granule_outcomes(granules: DataFrame) -> DataFrame:
     reason. Texts are cleaned only for granules that pass the cheap checks."""
     early = (
         F.when(skip_by_id("granule_id").isNotNull(), skip_by_id("granule_id"))
-        .when(F.col("summary").isNull(), NO_METADATA)
-        .when(F.coalesce("summary.txt_link", F.lit("")) == "", NO_LINK)
-        .when(F.col("html").isNull(), NO_TEXT)
+        .when(F.col("summary").isNull(), fv.NO_METADATA)
+        .when(F.coalesce("summary.txt_link", F.lit("")) == "", fv.NO_LINK)
+        .when(F.col("html").isNull(), fv.NO_TEXT)
     )
     text = records.clean_text(records.html_to_text("html"))
     too_short = F.length("text") < fv.MIN_GRANULE_CHARS
@@ -51,7 +44,7 @@ def granule_outcomes(granules: DataFrame) -> DataFrame:
         # exploding an array of one is a border that no later filter crosses,
         # so a text is cleaned once whatever is asked about it
         .select("*", F.explode(F.array(F.when(F.col("early").isNull(), text))).alias("text"))
-        .withColumn("reason", F.coalesce("early", F.when(too_short, EMPTY)))
+        .withColumn("reason", F.coalesce("early", F.when(too_short, fv.EMPTY)))
         .withColumn(
             "status",
             F.when(F.col("reason").isNull(), "SUCCESS")
@@ -67,11 +60,11 @@ def speech_rows(outcomes: DataFrame) -> DataFrame:
     member = F.get("summary.members", F.lit(0))
     has_member = F.coalesce(F.size("summary.members") > 0, F.lit(False))
     listed = records.member_name(
-        records.flatten_metadata(F.coalesce(member["name"], F.lit("Unknown Speaker")))
+        records.flatten_metadata(F.coalesce(member["name"], F.lit(fv.UNKNOWN_SPEAKER)))
     )
 
     def of_member(field: str) -> Column:
-        return F.when(has_member, records.flatten_metadata(member[field])).otherwise("Unknown")
+        return F.when(has_member, records.flatten_metadata(member[field])).otherwise(fv.UNKNOWN)
 
     congress = records.congress_number(F.col("package_congress"), F.col("summary.congress"))
     return outcomes.select(

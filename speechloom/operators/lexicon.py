@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from speechloom import fixed_values as fv
 from speechloom.functions.text import word_tokens
 from speechloom.plans.matching import term_spans
 from speechloom.plans.ranking import top_per_group
@@ -81,6 +82,19 @@ def merge_lexicon(lexicon: DataFrame, terms: DataFrame, list_name: str) -> DataF
     return others.select("list_name", "term").unionByName(new)
 
 
+def write_lexicon(lexicon: DataFrame, path: str) -> None:
+    """(list_name, term) rows as JSON records. Files follow each other, and rows
+    in a file, by list and term, however long a list is."""
+    keys = ["list_name", "term"]
+    ordered = lexicon.select(*keys).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ordered.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
+    """Read what :func:`write_lexicon` wrote."""
+    return spark.read.schema("list_name string, term string").json(path)
+
+
 def term_words(term: Column | str = "term") -> Column:
     """A term's words, found as those of the texts are; underscores in a term
     stand for spaces."""
@@ -140,7 +154,7 @@ def lexicon_summary(entries: DataFrame, speeches: DataFrame) -> DataFrame:
         .select(
             "section",
             F.upper("list_name").alias("list_name"),
-            F.when(F.col("section") == POLICY, F.coalesce("description", F.lit("N/A"))).alias(
+            F.when(F.col("section") == POLICY, F.coalesce("description", F.lit(fv.NOT_AVAILABLE))).alias(
                 "description"
             ),
             "n_terms",

@@ -154,9 +154,9 @@ def _kept_words(text: Column | str, stop_words: Sequence[str]) -> Column:
 def tfidf_unigram(
     speeches: DataFrame,
     stop_words: Sequence[str],
-    max_df: float = 0.7,
-    min_df: int = 5,
-    k: int = 10,
+    max_df: float = fv.UNIGRAM_MAX_DF,
+    min_df: int = fv.UNIGRAM_MIN_DF,
+    k: int = fv.UNIGRAM_TOP,
     group: str = "party",
     groups: Sequence[str] = fv.MAIN_PARTIES,
 ) -> DataFrame:
@@ -170,9 +170,9 @@ def tfidf_unigram(
 def tfidf_bigram(
     speeches: DataFrame,
     stop_words: Sequence[str],
-    max_df: float = 0.5,
-    min_df: int = 10,
-    k: int = 10,
+    max_df: float = fv.BIGRAM_MAX_DF,
+    min_df: int = fv.BIGRAM_MIN_DF,
+    k: int = fv.BIGRAM_TOP,
     group: str = "party",
     groups: Sequence[str] = fv.MAIN_PARTIES,
     noise_words: Sequence[str] = fv.BIGRAM_NOISE_WORDS,
@@ -186,8 +186,12 @@ def tfidf_bigram(
 
 
 def tfidf_bigram_final(
-    speeches: DataFrame, stop_words: Sequence[str], max_df: float = 0.4, min_df: int = 5,
-    k: int = 12, **options,
+    speeches: DataFrame,
+    stop_words: Sequence[str],
+    max_df: float = fv.BIGRAM_FINAL_MAX_DF,
+    min_df: int = fv.BIGRAM_FINAL_MIN_DF,
+    k: int = fv.BIGRAM_FINAL_TOP,
+    **options,
 ) -> DataFrame:
     """:func:`tfidf_bigram` with boilerplate and state names as further stop
     words. Stop words are compared to single words, so of these lists only the
@@ -209,9 +213,9 @@ def deep_clean(text: Column | str, phrases: Sequence[str] = fv.DEEP_CLEAN_PHRASE
 def deep_clean_tfidf(
     speeches: DataFrame,
     stop_words: Sequence[str],
-    max_df: float = 0.3,
-    min_df: int = 10,
-    k: int = 10,
+    max_df: float = fv.DEEP_CLEAN_MAX_DF,
+    min_df: int = fv.DEEP_CLEAN_MIN_DF,
+    k: int = fv.DEEP_CLEAN_TOP,
     group: str = "party",
     groups: Sequence[str] = fv.MAIN_PARTIES,
 ) -> DataFrame:

@@ -213,6 +213,22 @@ def lexicon_merge(spark, folder):
     return lexicon.merge_lexicon(words.distinct(), new, pm.MERGED_LIST)
 
 
+@query
+def lexicon_files(spark, folder):
+    """One list replaced by the terms of a term file, all lists written back and
+    read again."""
+    path = work_folder(spark)
+    lines = views.table(spark, folder, "benchmark").select(F.explode(word_tokens("text", 2)).alias("term"))
+    lines.select(F.concat("term", F.lit("|1")).alias("value")).write.text(f"{path}/terms")
+    new = delimited.procedural_terms(delimited.read_term_lines(spark, f"{path}/terms"))
+    words = views.table(spark, folder, "documents").select(
+        F.col("lang").alias("list_name"), F.explode(word_tokens("text", 2)).alias("term")
+    )
+    merged = lexicon.merge_lexicon(words.distinct(), new, pm.MERGED_LIST)
+    lexicon.write_lexicon(merged, f"{path}/lexicon")
+    return lexicon.read_lexicon(spark, f"{path}/lexicon")
+
+
 def _entries(spark):
     return literal_table(
         spark, pm.LEXICON, ["section", "list_name", "description", "position", "term"]
@@ -449,7 +465,7 @@ def score_batch(spark, folder):
 def label_speeches(spark, folder):
     return classify.label_speeches(
         views.speeches(spark, folder, labelled=True),
-        lambda rest: classify.score_batch(rest, classify.phrase_scorer(pm.PURGE_PHRASES)),
+        lambda rest: classify.phrase_scores(rest, pm.PURGE_PHRASES),
         pm.PURGE_PHRASES,
     ).select("speech_id", "party", "congress_session", "is_procedure")
 

@@ -232,6 +232,7 @@ sql(
     SELECT DISTINCT '{pm.MERGED_LIST}', term FROM (
       SELECT unnest({word_list('text', 2)}) AS term FROM benchmark)""",
 )
+ORACLE["lexicon_files"] = ORACLE["lexicon_merge"]
 
 ENTRIES = f"""entries(section, list_name, description, "position", term) AS (VALUES {rows(pm.LEXICON)})"""
 _TERM_WORDS = f"array_to_string({word_list("replace(term, '_', ' ')")}, ' ')"
@@ -328,14 +329,14 @@ def cleaned(c: str) -> str:
 
 def outcomes(source: str = "granules") -> str:
     return f"""outcomes AS (
-  SELECT *, CASE WHEN reason IS NULL THEN 'SUCCESS' WHEN reason IN ('Not Floor Speech',
-    'Front/BackMatter', 'Empty/Header Only') THEN 'SKIP' ELSE 'ERROR' END AS status
+  SELECT *, CASE WHEN reason IS NULL THEN 'SUCCESS' WHEN reason IN ('{fv.NOT_FLOOR}',
+    '{fv.MATTER}', '{fv.EMPTY}') THEN 'SKIP' ELSE 'ERROR' END AS status
   FROM (SELECT *, CASE
-      WHEN NOT regexp_matches(granule_id, 'Pg[HS]') THEN 'Not Floor Speech'
-      WHEN contains(granule_id, 'FrontMatter') THEN 'Front/BackMatter'
-      WHEN page_id % 29 = 0 THEN 'Metadata Fail' WHEN page_id % 31 = 0 THEN 'No Text Link'
-      WHEN html IS NULL THEN 'Text Download Fail'
-      WHEN length(text) < 50 THEN 'Empty/Header Only' END AS reason
+      WHEN NOT regexp_matches(granule_id, 'Pg[HS]') THEN '{fv.NOT_FLOOR}'
+      WHEN contains(granule_id, 'FrontMatter') THEN '{fv.MATTER}'
+      WHEN page_id % 29 = 0 THEN '{fv.NO_METADATA}' WHEN page_id % 31 = 0 THEN '{fv.NO_LINK}'
+      WHEN html IS NULL THEN '{fv.NO_TEXT}'
+      WHEN length(text) < {fv.MIN_GRANULE_CHARS} THEN '{fv.EMPTY}' END AS reason
     FROM (SELECT *, {cleaned(visible('html'))} AS text FROM {source})))"""
 
 
@@ -346,7 +347,7 @@ def titled(c: str) -> str:
     )
 
 
-_OPENING = r"^(Mr\.|Ms\.|Mrs\.|The)\s+([A-Za-z\s]+)(\.|:)"
+_OPENING = fv.OPENING_NAME_PATTERN
 
 
 def opened(c: str) -> tuple[str, str, str]:
@@ -376,10 +377,10 @@ SPEECH_ROWS = f"""rows_of AS (
 
 sql(
     "granule_filter",
-    """SELECT granule_id, CASE WHEN reason IS NULL THEN 'KEEP' ELSE 'SKIP' END AS status, reason
+    f"""SELECT granule_id, CASE WHEN reason IS NULL THEN 'KEEP' ELSE 'SKIP' END AS status, reason
     FROM (SELECT granule_id, CASE
-      WHEN NOT (contains(granule_id, 'PgH') OR contains(granule_id, 'PgS')) THEN 'Not Floor Speech'
-      WHEN contains(granule_id, 'FrontMatter') THEN 'Front/BackMatter' END AS reason FROM granules)""",
+      WHEN NOT (contains(granule_id, 'PgH') OR contains(granule_id, 'PgS')) THEN '{fv.NOT_FLOOR}'
+      WHEN contains(granule_id, 'FrontMatter') THEN '{fv.MATTER}' END AS reason FROM granules)""",
     GRANULES,
 )
 sql("html_to_text", f"SELECT page_id, {visible('html')} AS text FROM pages")

@@ -3,6 +3,7 @@ import html
 import pytest
 from pyspark.sql import functions as F
 
+from speechloom import fixed_values as fv
 from speechloom.functions import records
 from speechloom.functions.cards import speech_cards
 from speechloom.operators import granules
@@ -157,12 +158,12 @@ def test_granule_outcomes_and_rows(spark):
     outcomes = granules.granule_outcomes(landed)
     reasons = {r.granule_id: (r.status, r.reason) for r in outcomes.collect()}
     assert reasons == {
-        "X-PgE1": ("SKIP", granules.NOT_FLOOR),
-        "X-PgH2-FrontMatter": ("SKIP", granules.MATTER),
-        "X-PgH3": ("ERROR", granules.NO_METADATA),
-        "X-PgH4": ("ERROR", granules.NO_LINK),
-        "X-PgS5": ("ERROR", granules.NO_TEXT),
-        "X-PgS6": ("SKIP", granules.EMPTY),
+        "X-PgE1": ("SKIP", fv.NOT_FLOOR),
+        "X-PgH2-FrontMatter": ("SKIP", fv.MATTER),
+        "X-PgH3": ("ERROR", fv.NO_METADATA),
+        "X-PgH4": ("ERROR", fv.NO_LINK),
+        "X-PgS5": ("ERROR", fv.NO_TEXT),
+        "X-PgS6": ("SKIP", fv.EMPTY),
         "X-PgS7": ("SUCCESS", None),
         "X-PGH8": ("SUCCESS", None),
     }

@@ -177,3 +177,11 @@ def test_merging_a_list_keeps_the_others(spark):
     old = spark.createDataFrame([("x", "1"), ("x", "2"), ("y", "3")], "list_name string, term string")
     new = spark.createDataFrame([("9",), ("9",)], "term string")
     assert {tuple(r) for r in lexicon.merge_lexicon(old, new, "x").collect()} == {("y", "3"), ("x", "9")}
+
+
+def test_lexicon_files_keep_every_list(spark, tmp_path):
+    rows = {("x", "a b"), ("x", "é"), (None, "c"), ("y", None), ("y", 'say "no"')}
+    lexicon.write_lexicon(spark.createDataFrame(list(rows), "list_name string, term string"), f"{tmp_path}/l")
+    assert {tuple(r) for r in lexicon.read_lexicon(spark, f"{tmp_path}/l").collect()} == rows
+    lines = [line for f in sorted(tmp_path.glob("l/part-*")) for line in f.read_text().splitlines()]
+    assert len(lines) == 5
