@@ -25,7 +25,7 @@ polarized_sessions speech_gallery keyword_purge zero_shot_rule bigram_substantiv
 bigram_substantive_table intro_substantive quality_sample label_progress score_batch apply_labels
 top_words top_words_strict vocab_counts tfidf_unigram tfidf_bigram tfidf_bigram_final
 deep_clean_tfidf vocab_tfidf context_words context_words_all entity_tag entity_stats
-session_join match_rate load_sessions replace_session upsert_speeches
+session_join match_rate load_sessions replace_session upsert_speeches upsert_table
 granule_speeches ingest_audit ingest_stream lexicon_summary table_profile
 label_speeches train_classifier entity_table csv_round_trip clean_text html_to_text procedural_terms
 lexicon_load lexicon_merge lexicon_files lexicon_hits session_read ingest_stream_json table_distincts

@@ -153,6 +153,15 @@ def upsert_speeches(spark, folder):
     )
 
 
+@query
+def upsert_table(spark, folder):
+    """The upsert made to the table on disk, session folder by session folder."""
+    path = work_folder(spark)
+    speech_table.append_speeches(views.speeches(spark, folder, labelled=True), path)
+    speech_table.upsert_sessions(spark, _updates(spark, folder), path, ["turn", "speech"])
+    return speech_table.read_speeches(spark, path)
+
+
 @query
 def upsert_keep_labels(spark, folder):
     return updates.upsert_speeches(

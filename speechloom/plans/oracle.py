@@ -197,6 +197,7 @@ def _upserted(label: str) -> str:
 
 
 sql("upsert_speeches", _upserted("NULL"), SPEECHES, NEWEST)
+sql("upsert_table", _upserted("NULL"), SPEECHES, NEWEST)
 sql(
     "upsert_keep_labels",
     _upserted(

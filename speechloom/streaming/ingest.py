@@ -3,7 +3,8 @@
 Each micro-batch is written once, to its own folder, and nothing already
 written is touched, so the cost of a batch is the size of the batch. A batch
 that is run again after a failure overwrites its own folder. Readers see the
-newest version of every speech; ``compact`` folds the batches into a new base.
+newest version of every speech; ``fold`` takes the batches into a base, of which
+only the sessions they touch are written, and ``compact`` writes a new base.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from speechloom.operators.updates import upsert_speeches
 from speechloom.plans.ranking import latest_per_key
 from speechloom.schema import GRANULES, SPEECHES, conform
 from speechloom.sources.landing import API_RECORDS, from_api
-from speechloom.sources.speech_table import append_speeches, read_speeches
+from speechloom.sources.speech_table import append_speeches, read_speeches, upsert_sessions
 
 _CHANGES = (
     "package_id string, reason string, arrival_seq long, "
@@ -75,6 +76,13 @@ def current_speeches(
     return upsert_speeches(read_speeches(spark, base), saved, _NEWEST)
 
 
+def fold(spark: SparkSession, changes: str, base: str, after_batch: int = -1) -> None:
+    """Apply all later batches to the base, where it is. Sessions that they do
+    not touch keep their files; doing it again changes nothing."""
+    saved = read_changes(spark, changes, after_batch).where(F.col("status") == "SUCCESS")
+    upsert_sessions(spark, saved, base, _NEWEST)
+
+
 def compact(
     spark: SparkSession, changes: str, target: str, base: str | None = None, after_batch: int = -1
 ) -> None:

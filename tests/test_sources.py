@@ -185,3 +185,31 @@ def test_lexicon_files_keep_every_list(spark, tmp_path):
     assert {tuple(r) for r in lexicon.read_lexicon(spark, f"{tmp_path}/l").collect()} == rows
     lines = [line for f in sorted(tmp_path.glob("l/part-*")) for line in f.read_text().splitlines()]
     assert len(lines) == 5
+
+
+def test_upsert_writes_only_sessions_it_touches(spark, tmp_path):
+    path = str(tmp_path / "speeches")
+    columns = "speech_id string, speech string, congress_session int, is_procedure int"
+    old = [("1", "a", 81, 0), ("2", "b", 82, 1), ("3", "c", 83, 1), ("4", "d", 84, 0), ("5", "e", None, 0), ("6", "f", 85, 1)]
+    speech_table.append_speeches(spark.createDataFrame(old, columns), path)
+
+    def files():
+        return {f.name for f in (tmp_path / "speeches").glob("*/*.parquet")}
+
+    before = {s: {f.name for f in (tmp_path / "speeches").glob(f"*={s}/*.parquet")} for s in (82, 84)}
+    updates = [
+        ("1", "old", 81, 1), ("1", "new", 81, 2),  # replaced
+        ("3", "moved", 85, 1),  # the only one of its session
+        ("5", "known", 86, 1), ("7", "more", 87, 1),
+    ]
+    new = spark.createDataFrame(updates, "speech_id string, speech string, congress_session int, seq int")
+    for _ in range(2):
+        speech_table.upsert_sessions(spark, new, path, ["seq"], keep_labels=True)
+        rows = {(r.speech_id, r.speech, r.congress_session, r.is_procedure) for r in speech_table.read_speeches(spark, path).collect()}
+        assert rows == {
+            ("1", "new", 81, 0), ("2", "b", 82, 1), ("3", "moved", 85, 1), ("4", "d", 84, 0),
+            ("5", "known", 86, 0), ("6", "f", 85, 1), ("7", "more", 87, None),
+        }
+        assert before[82] | before[84] <= files()
+    speech_table.upsert_sessions(spark, new.limit(0), path, ["seq"])
+    assert speech_table.read_speeches(spark, path).count() == 7

@@ -48,6 +48,8 @@ def test_incremental_ingest(spark, tmp_path):
     run()
     now = stream.current_speeches(spark, changes, base, after_batch=last)
     assert texts(now) == {**want, "PgH1": "one-c"}
+    stream.fold(spark, changes, base, after_batch=last)
+    assert texts(read_speeches(spark, base)) == {**want, "PgH1": "one-c"}
 
 
 def test_a_repeated_batch_overwrites_itself(spark, tmp_path):
