@@ -59,9 +59,7 @@ def speech_rows(outcomes: DataFrame) -> DataFrame:
     """Outcomes with the production columns; without text unless they succeeded."""
     member = F.get("summary.members", F.lit(0))
     has_member = F.coalesce(F.size("summary.members") > 0, F.lit(False))
-    listed = records.member_name(
-        records.flatten_metadata(F.coalesce(member["name"], F.lit(fv.UNKNOWN_SPEAKER)))
-    )
+    listed = records.member_name(records.flatten_metadata(member["name"]))
 
     def of_member(field: str) -> Column:
         return F.when(has_member, records.flatten_metadata(member[field])).otherwise(fv.UNKNOWN)

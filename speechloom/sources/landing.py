@@ -3,22 +3,39 @@ the record or in a file of its own."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from speechloom import fixed_values as fv
 from speechloom.schema import GRANULES, conform
 
 # A member's attributes may be texts, lists or objects; they are kept as JSON text.
 API_RECORDS = """
   package struct<packageId: string, congress: string>, granuleId string, granuleLink string,
   summary struct<download: struct<txtLink: string>, congress: string,
-    members: array<struct<name: string, party: string, state: string, bioguideId: string>>>,
+    members: array<map<string, string>>>,
   html string, arrivalSeq long
 """
+MEMBER_FIELDS = ("name", "party", "state", "bioguideId")
 # A text's file is named after its granule.
 TEXT_NAME = r"^(.*)\.html?$"
 
 
+def _member(found: Column) -> Column:
+    """A member's fields. One listed without a name is an unknown speaker; one
+    whose name is null has no name."""
+    named = F.coalesce(F.map_contains_key(found, "name"), F.lit(True))
+    name = F.when(named, found["name"]).otherwise(fv.UNKNOWN_SPEAKER)
+    rest = [found[field].alias(field) for field in MEMBER_FIELDS[1:]]
+    return F.when(found.isNotNull(), F.struct(name.alias("name"), *rest))
+
+
+def _attributes(member: Column) -> Column:
+    """The reverse of :func:`_member`."""
+    pairs = [part for field in MEMBER_FIELDS for part in (F.lit(field), member[field])]
+    return F.when(member.isNotNull(), F.create_map(*pairs))
+
+
 def from_api(records: DataFrame) -> DataFrame:
     """Records in the service's own shape as granules."""
     summary = F.when(
@@ -26,7 +43,7 @@ def from_api(records: DataFrame) -> DataFrame:
         F.struct(
             F.col("summary.download.txtLink").alias("txt_link"),
             F.col("summary.congress").alias("congress"),
-            F.col("summary.members").alias("members"),
+            F.transform("summary.members", _member).alias("members"),
         ),
     )
     return conform(
@@ -49,7 +66,7 @@ def to_api(granules: DataFrame) -> DataFrame:
         F.struct(
             F.struct(F.col("summary.txt_link").alias("txtLink")).alias("download"),
             F.col("summary.congress").alias("congress"),
-            F.col("summary.members").alias("members"),
+            F.transform("summary.members", _attributes).alias("members"),
         ),
     )
     return granules.select(

@@ -16,7 +16,7 @@ def test_records_and_text_files(spark, tmp_path):
             "summary": {
                 "download": {"txtLink": "text/1"},
                 "congress": 115,
-                "members": [{"name": ["Foxx, Virginia"], "party": {"name": "R"}, "bioguideId": "F1"}],
+                "members": [{"name": ["Foxx, Virginia"], "party": {"name": "R"}, "bioguideId": "F1"}, {"party": "D"}, {"name": None}, None],
             },
             "arrivalSeq": 1,
         },
@@ -32,6 +32,9 @@ def test_records_and_text_files(spark, tmp_path):
     assert first.html == "<p>one\ntwo</p>" and first.package_congress == "115"
     assert first.summary.txt_link == "text/1" and first.summary.congress == "115"
     assert first.summary.members[0].name == '["Foxx, Virginia"]'
+    unnamed, null_name, missing = first.summary.members[1:]
+    assert (unnamed.name, unnamed.party) == ("Unknown Speaker", "D")
+    assert null_name is not None and null_name.name is None and missing is None
     assert json.loads(first.summary.members[0].party) == {"name": "R"}
     assert got["g2"].html == "own" and got["g2"].summary is None
     assert got["g3"].html is None and got["g3"].summary.members == []

@@ -189,3 +189,11 @@ def test_cards_fill_absent_fields(spark):
     rows = {r.speech_id: r for r in speech_cards(df).collect()}
     assert [rows[i].badge for i in "123"] == ["UNCERTAIN", "DEBATE", "PROCEDURE"]
     assert (rows["1"].session, rows["1"].date, rows["1"].speaker) == ("N/Ath", "N/A", "Unknown Speaker")
+
+
+def test_a_member_whose_name_is_null_is_unknown(spark):
+    rows = [_granule("X-PgH1", members=((None, "R", "NC", "F1"),)), _granule("X-PgH2", members=(("Unknown Speaker", None, None, None),))]
+    found = granules.granule_speeches(spark.createDataFrame(rows, GRANULES)).collect()
+    assert {r.speech_id: (r.speaker, r.party) for r in found} == {
+        "X-PgH1": ("Unknown", "R"), "X-PgH2": ("Unknown Speaker", "Unknown"),
+    }
