@@ -205,15 +205,18 @@ def _mark(pairs: DataFrame) -> tuple:
 
 
 def classes(prints: DataFrame, max_bits: int = 3) -> DataFrame:
-    """``_sh_print`` and ``component_id`` for each distinct fingerprint, from rows
-    (``_sh_id``, ``_sh_print``)."""
+    """``_sh_print``, ``component_id`` and ``_sh_root`` (the least fingerprint of
+    the component, which no other one has) for each distinct fingerprint, from
+    rows (``_sh_id``, ``_sh_print``)."""
     distinct = cut(prints.groupBy("_sh_print").agg(F.min("_sh_id").alias("least")))
     roots = components(linked(distinct.select(F.col("_sh_print").alias("print")), max_bits))
     rooted = distinct.join(roots, distinct["_sh_print"] == roots["vertex"], "left").select(
         "_sh_print", "least", F.coalesce("root", "_sh_print").alias("root")
     )
     of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(of_root, "root").select("_sh_print", "component_id")
+    return rooted.join(of_root, "root").select(
+        "_sh_print", "component_id", F.col("root").alias("_sh_root")
+    )
 
 
 def near_duplicates(
@@ -266,7 +269,8 @@ def keep_one(
     prints = cut(with_fingerprint(known, shingle, "_sh_body", keep_text=False))
     joined = prints.join(classes(prints, max_bits), "_sh_print")
     # Ids are ordered with nulls last; the hash settles which row of an id stays.
-    kept = joined.groupBy("component_id").agg(
+    # Components without any id, or with the same least one, are not the same.
+    kept = joined.groupBy("_sh_root").agg(
         F.min(F.struct(F.col("_sh_id").isNull().alias("none"), *key)).alias("first")
     )
     kept = kept.select("first._sh_id", "first._sh_hash")

@@ -121,6 +121,17 @@ def test_one_of_each_class_stays(spark):
     assert sorted(map(str, kept)) == sorted(map(str, {c for _, _, c in near_classes(rows)}))
 
 
+def test_components_without_an_id_or_with_the_same_one_stay_apart(spark):
+    rng = random.Random(8)
+    texts = [" ".join(f"t{k}w{rng.randint(0, 999)}" for _ in range(60)) for k in range(9)]
+    rows = [(None, t) for t in texts[:5]] + [(None, texts[0]), (3, texts[5]), (3, texts[6]), (3, texts[5])]
+    rows += [(4, texts[7]), (None, texts[7]), (5, texts[8]), (4, texts[8])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()), key=str)
+    ids = [None] * 5 + [3, 3, 4, 4]
+    assert kept == sorted(zip(ids, texts), key=str)
+
+
 def test_fingerprints_use_the_hash_of_the_sql_function(spark):
     text = "One two  three\tFOUR"
     row = spark.sql("select xxhash64('one two three') a, xxhash64('two three four') b").first()
