@@ -11,9 +11,12 @@ that could be equal have to meet in one suffix array of bounded size:
 2. ``places``: a hash found in at least two documents gets a place (a block of
    text to sort). Anchors that stand close to each other in one document, the
    first known one, go to the same place, so that long passages travel in one
-   piece. An anchor found in very many documents gets a place of its own.
+   piece. An anchor found in very many documents gets a place of its own, and
+   one whose strings would overfill it gets many: each of its strings goes by
+   itself to the place that its own hash names, where equal ones still meet.
 3. ``pieces``: the batch cuts the stretches of its texts whose strings own such
-   anchors, each distinct piece once with all its occurrences.
+   anchors. It sends each distinct piece once, with its occurrences in the
+   batch's first document that holds it; those in later ones are repeats.
 4. ``repeats``: each place builds one suffix array over its distinct pieces
    (two-stage sorting) and compares neighbours. Strings that share their whole
    length form a group; those in documents after the group's first are repeats.
@@ -28,6 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,10 +90,15 @@ def _sliding_min(values: np.ndarray, window: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
+def _gram(length: int) -> int:
+    """Bytes of a string that its anchor has."""
+    return max(1, min(20, length - 1))
+
+
 def _anchors(texts: list[bytes], length: int):
     """For a run of strings that own the same anchor: (document, first start in
     it, one past the last start, anchor hash, anchor position in the batch)."""
-    gram = max(1, min(20, length - 1))
+    gram = _gram(length)
     parts, base, first = [], 0, 0
     while first < len(texts):
         last, size = first, 0
@@ -184,7 +193,10 @@ def _send_anchors(length: int, buckets: int):
     return run
 
 
-def _assign_places(places: int):
+def _assign_places(places: int, length: int, place_bytes: int):
+    # Bytes of the strings that own an anchor in one document, sent one by one.
+    each = length * (length - _gram(length) + 1)
+
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("_sd_bucket")[0].as_py()
         table = table.sort_by("_sd_batch")
@@ -201,11 +213,13 @@ def _assign_places(places: int):
         own = np.full(len(first), 1 << 40, np.uint64) + hashes[first]
         near = (batch[first].astype(np.uint64) << np.uint64(32)) | (at[first] // STRETCH)
         place = _mix(np.where(total > COMMON, own + np.uint64(bucket << 41), near)) % np.uint64(places)
+        salts = np.where(total > COMMON, 1 + total * each // place_bytes, 1)
         repeated = np.repeat(total > 1, np.diff(starts))
         place = np.repeat(place, np.diff(starts))[repeated]
+        salts = np.repeat(salts, np.diff(starts))[repeated]
         order = order[repeated]
         by_batch = np.argsort(batch[order], kind="stable")
-        order, place = order[by_batch], place[by_batch]
+        order, place, salts = order[by_batch], place[by_batch], salts[by_batch]
         runs = _edges(batch[order])
         rows = [
             (
@@ -213,6 +227,7 @@ def _assign_places(places: int):
                 bucket,
                 hashes[order[start:end]].tobytes(),
                 place[start:end].astype(np.int64).tobytes(),
+                salts[start:end].astype(np.int64).tobytes(),
             )
             for start, end in zip(runs[:-1], runs[1:])
         ]
@@ -221,7 +236,7 @@ def _assign_places(places: int):
     return run
 
 
-def _cut_pieces(length: int, buckets: int):
+def _cut_pieces(length: int, buckets: int, places: int):
     def run(docs: pa.Table, placed: pa.Table) -> pa.Table:
         if not docs.num_rows or not placed.num_rows:
             return _table([], PIECES)
@@ -230,19 +245,23 @@ def _cut_pieces(length: int, buckets: int):
         parts = [np.frombuffer(x, np.uint32).astype(np.int64) for x in placed.column("hashes").to_pylist()]
         bucket_of = placed.column("_sd_bucket").to_numpy().astype(np.int64)
         known = np.concatenate([(b << 32) | part for b, part in zip(bucket_of, parts)])
-        places = np.frombuffer(b"".join(placed.column("places").to_pylist()), np.int64)
+        own_place, own_salts = (
+            np.frombuffer(b"".join(placed.column(name).to_pylist()), np.int64) for name in ("places", "salts")
+        )
         order = np.argsort(known)
-        known, places = known[order], places[order]
+        known, own_place, own_salts = known[order], own_place[order], own_salts[order]
         who, start, end, hashes, _ = _anchors(texts, length)
         bucket, high = _hash_key(hashes, buckets)
         key = (bucket << 32) | high
         slot = np.minimum(np.searchsorted(known, key), len(known) - 1)
-        place = np.where(known[slot] == key, places[slot], -1)
+        place = np.where(known[slot] == key, own_place[slot], -1)
+        # An anchor of many places is told by its number instead, below -1.
+        place = np.where((place >= 0) & (own_salts[slot] > 1), -2 - slot, place)
         change = np.ones(len(who), bool)
         change[1:] = (who[1:] != who[:-1]) | (place[1:] != place[:-1])
         runs = np.r_[np.flatnonzero(change), len(who)]
         heads, tails = runs[:-1], runs[1:] - 1
-        wanted = place[heads] >= 0
+        wanted = place[heads] != -1
         heads, tails = heads[wanted], tails[wanted]
         found: dict[int, dict[bytes, list]] = {}
         for p, w, s, e in zip(
@@ -253,17 +272,60 @@ def _cut_pieces(length: int, buckets: int):
         ):
             piece = texts[w][s:e]
             found.setdefault(p, {}).setdefault(piece, []).append((ids[w], w, s))
+        later: list[tuple[int, int, int]] = []
+        for p in list(found):
+            found[p] = _first_only(found[p], later)
+            if p >= 0:
+                continue
+            alone: dict[bytes, list] = {}
+            for piece, seen in found.pop(p).items():
+                for k in range(len(piece) - length + 1):
+                    alone.setdefault(piece[k : k + length], []).extend((i, w, s + k) for i, w, s in seen)
+            strings = _first_only(alone, later)
+            at = _own_places(strings, int(known[-2 - p]), int(own_salts[-2 - p]), places)
+            for q, (string, seen) in zip(at, strings.items()):
+                # Other anchors' strings differ; the same one may meet its own.
+                found.setdefault(q, {}).setdefault(string, []).extend(seen)
         rows = [
             (p, batch, list(pieces), [np.array(x, np.int64).tobytes() for x in pieces.values()])
             for p, pieces in found.items()
         ]
+        if later:
+            spans = np.array(later, np.int64).tobytes()
+            rows.append((-1 - batch, batch, [], [spans]))
         return _table(rows, PIECES)
 
     return run
 
 
-def _find_repeats(length: int):
+def _first_only(found: dict[bytes, list], later: list) -> dict[bytes, list]:
+    """Of each piece the occurrences in documents with the smallest id; those in
+    the others are repeats and are added to ``later`` as spans."""
+    out = {}
+    for piece, seen in found.items():
+        if len(seen) > 1:
+            least = min(seen)[0]
+            later += [(w, s, s + len(piece)) for i, w, s in seen if i > least]
+            seen = [x for x in seen if x[0] == least]
+        out[piece] = seen
+    return out
+
+
+def _own_places(strings, key: int, salts: int, places: int) -> list[int]:
+    """The place of each string of an anchor that has many: those of whole strings
+    are numbered after the others."""
+    digest = xxhash.xxh64_intdigest
+    salt = np.fromiter((digest(x) % salts for x in strings), np.uint64, len(strings))
+    mixed = _mix(_mix(np.full(1, key, np.uint64)) + salt)
+    return (places + (mixed % np.uint64(places)).astype(np.int64)).tolist()
+
+
+def _find_repeats(length: int, places: int):
     def run(table: pa.Table) -> pa.Table:
+        place = table.column("_sd_place")[0].as_py()
+        if place < 0:
+            rows = zip(table.column("_sd_batch").to_pylist(), table.column("seen").to_pylist())
+            return _table([(batch, spans) for batch, seen in rows for spans in seen], REPEATS)
         holders: dict[bytes, list[tuple[int, np.ndarray]]] = {}
         for batch, pieces, seen in zip(
             table.column("_sd_batch").to_pylist(),
@@ -276,14 +338,16 @@ def _find_repeats(length: int):
                 )
         pieces = list(holders)
         first_id = [min(int(x[:, 0].min()) for _, x in holders[piece]) for piece in pieces]
-        smallest = _smallest_id(pieces, first_id, length)
+        # Whole strings by themselves are equal or have nothing in common.
+        alone = place >= places
+        smallest = None if alone else _smallest_id(pieces, first_id, length)
         out: dict[int, list[np.ndarray]] = {}
         at = 0
         for piece, least in zip(pieces, first_id):
             starts = len(piece) - length + 1
-            earlier = smallest[at : at + starts] < least
+            earlier = None if alone else smallest[at : at + starts] < least
             at += len(piece) + len(SEPARATOR)
-            spans = _spans(earlier, length) if earlier.any() else None
+            spans = _spans(earlier, length) if earlier is not None and earlier.any() else None
             for batch, occurrences in holders[piece]:
                 later = occurrences[occurrences[:, 0] > least]
                 if len(later):
@@ -380,7 +444,7 @@ def _mark(columns: list[str], whole_characters: bool):
 
 
 ANCHORS = "_sd_bucket long, _sd_batch long, hashes binary, positions binary, holders binary"
-PLACED = "_sd_batch long, _sd_bucket long, hashes binary, places binary"
+PLACED = "_sd_batch long, _sd_bucket long, hashes binary, places binary, salts binary"
 PIECES = "_sd_place long, _sd_batch long, pieces array<binary>, seen array<binary>"
 REPEATS = "_sd_batch long, found binary"
 ARROW = {"long": pa.int64(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary())}
@@ -428,11 +492,13 @@ def remove_repeats(
     ).withColumn("_sd_batch", F.pmod(F.xxhash64("_sd_id", "_sd_text"), F.lit(batches)))
     by_batch = rows.groupBy("_sd_batch")
     anchors = by_batch.applyInArrow(_send_anchors(length, buckets), ANCHORS)
-    placed = anchors.groupBy("_sd_bucket").applyInArrow(_assign_places(places), PLACED)
+    placed = anchors.groupBy("_sd_bucket").applyInArrow(
+        _assign_places(places, length, PLACE_BYTES), PLACED
+    )
     pieces = by_batch.cogroup(placed.groupBy("_sd_batch")).applyInArrow(
-        _cut_pieces(length, buckets), PIECES
+        _cut_pieces(length, buckets, places), PIECES
     )
-    repeats = pieces.groupBy("_sd_place").applyInArrow(_find_repeats(length), REPEATS)
+    repeats = pieces.groupBy("_sd_place").applyInArrow(_find_repeats(length, places), REPEATS)
     added = "n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
     return by_batch.cogroup(repeats.groupBy("_sd_batch")).applyInArrow(
         _mark(rest, whole_characters), schema_of(docs.select(*[F.col(f"`{c}`") for c in rest]), added)

@@ -4,6 +4,8 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 
@@ -63,6 +65,50 @@ def test_repeats_equal_a_plain_search(spark, monkeypatch, length, sizes):
     assert got == removed(rows, length)
 
 
+def test_strings_of_a_common_passage_are_spread_over_places():
+    rng = random.Random(6)
+    passage = "this passage stands in all of the documents, between words of their own that no other has"
+    texts = [f"{rng.getrandbits(200):x}{passage}{rng.getrandbits(200):x}".encode() for _ in range(4000)]
+    size, places, length, limit = 500, 64, 50, 1 << 14
+    batches = [
+        pa.table(
+            {
+                "_sd_batch": [b] * size,
+                "_sd_id": list(range(b, len(texts), len(texts) // size)),
+                "_sd_text": pa.array(texts[b :: len(texts) // size], pa.binary()),
+            }
+        )
+        for b in range(len(texts) // size)
+    ]
+    anchors = pa.concat_tables([suffix_dedup._send_anchors(length, 1)(x) for x in batches])
+    placed = suffix_dedup._assign_places(places, length, limit)(anchors)
+    by_batch = [placed.filter(pc.equal(placed["_sd_batch"], b)) for b in range(len(batches))]
+    pieces = pa.concat_tables(
+        [suffix_dedup._cut_pieces(length, 1, places)(x, y) for x, y in zip(batches, by_batch)]
+    )
+    held = {}
+    for place, own, seen in zip(*(pieces[c].to_pylist() for c in ("_sd_place", "pieces", "seen"))):
+        if place >= 0:
+            held[place] = held.get(place, 0) + sum(map(len, own)) + sum(map(len, seen))
+    assert max(held.values()) < 0.05 * sum(held.values())
+    found = {b: [np.zeros((0, 3), np.int64)] for b in range(len(batches))}
+    for place in pieces["_sd_place"].unique().to_pylist():
+        repeats = suffix_dedup._find_repeats(length, places)(pieces.filter(pc.equal(pieces["_sd_place"], place)))
+        for b, spans in zip(repeats["_sd_batch"].to_pylist(), repeats["found"].to_pylist()):
+            found[b].append(np.frombuffer(spans, np.int64).reshape(-1, 3))
+    marked = {}
+    for b, spans in found.items():
+        for w, start, end in np.concatenate(spans).tolist():
+            marked.setdefault(batches[b]["_sd_id"][w].as_py(), set()).update(range(start, end))
+    first = {}
+    for i, text in enumerate(texts):
+        for k in range(len(text) - length + 1):
+            first.setdefault(text[k : k + length], i)
+    for i, text in enumerate(texts):
+        starts = [k for k in range(len(text) - length + 1) if first[text[k : k + length]] < i]
+        assert marked.get(i, set()) == {k + j for k in starts for j in range(length)}
+
+
 def test_kept_texts_hold_whole_characters(spark):
     shared = "é" * 40
     rows = [(1, "a" + shared), (2, "ñ" + shared + "ü"), (3, None)]
