@@ -1,14 +1,20 @@
 """Licence notices in documents, by a trained paragraph classifier.
 
-Every line of a text is a paragraph. Multinomial logistic regression on sparse
-word n-grams tells licence families apart, and all of them from an unknown class,
-which it learns from paragraphs of the corpus and from lines that speak of
+Blank lines part the paragraphs of a text. Multinomial logistic regression on
+sparse word n-grams tells licence families apart, and all of them from an unknown
+class, which it learns from lines of the corpus and from lines that speak of
 licences without granting one. The probabilities are calibrated on variants that
-were not trained on. A family that is predicted is then compared with its
-templates, and confirmed if enough of one is found.
+were not trained on.
+
+1. A paragraph's words, whatever lines they stand on, are compared with the
+   templates: a stretch that holds enough of one, and a name of its family, is a
+   confirmed notice, of every family of which that is true.
+2. Lines outside of notices that run over several lines are classified. A family
+   that is predicted is compared with its templates, too; neighbouring lines of
+   one family that none of them confirms are one notice, compared as a whole.
 
 The classifier is trained on variants of the templates below and on a bounded
-number of corpus paragraphs; scanning reads every paragraph of every text.
+number of corpus lines; scanning reads every line of every text.
 """
 
 from __future__ import annotations
@@ -80,6 +86,20 @@ TEMPLATES = {
         "To the extent possible under law, the author has waived all copyright and related rights to this work under the CC0 1.0 Universal Public Domain Dedication.",
     ),
 }
+# Words by which a family is told from those with like templates.
+NAMES = {
+    "apache-2.0": ("apache",),
+    "mit": ("mit", "permission is hereby granted"),
+    "gpl-3.0": ("gnu general public", "gpl 3"),
+    "lgpl": ("lesser general public", "lgpl"),
+    "agpl-3.0": ("affero general public", "agpl"),
+    "bsd": ("bsd", "redistribution and use"),
+    "mpl-2.0": ("mozilla", "mpl"),
+    "cc-by-4.0": ("cc by 4", "attribution 4"),
+    "cc-by-sa-4.0": ("by sa", "attribution sharealike"),
+    "cc-by-nc-4.0": ("by nc", "attribution noncommercial"),
+    "cc0-1.0": ("cc0", "public domain"),
+}
 # Lines that speak of licences but are no notice of a family.
 DECOYS = (
     "All rights reserved.",
@@ -104,6 +124,8 @@ VARIANTS, HELD_VARIANTS, CORPUS_DOCS, CORPUS_PARAGRAPHS, CORPUS_WORDS = 24, 8, 3
 COMMON_SHARE = 0.005
 RIDGE, ROUNDS = 1e-4, 300
 LEAST_PROBABILITY, LEAST_SIMILARITY = 0.5, 0.6
+# A notice has at most so many times the words of its template, and so many more.
+LONGER, MORE_WORDS = 1.5, 4
 
 
 def words_of(paragraph: str) -> list[str]:
@@ -199,34 +221,148 @@ def fit(background: list[str]) -> Classifier:
     return Classifier(classes, places, w, bias, heats[int(np.argmin(loss))])
 
 
+def pairs_of(words: list[str]) -> list[tuple[str, str]]:
+    return list(zip(words, words[1:]))
+
+
+# (family, its word pairs, most words of a notice) of each template, and the
+# templates that hold a pair.
+PATTERNS = [
+    (family, frozenset(pairs_of(w)), int(LONGER * len(w)) + MORE_WORDS)
+    for family, templates in TEMPLATES.items()
+    for w in map(words_of, templates)
+]
+HOLDERS: dict[tuple[str, str], list[int]] = {}
+for _number, (_, _pairs, _) in enumerate(PATTERNS):
+    for _pair in _pairs:
+        HOLDERS.setdefault(_pair, []).append(_number)
+FIRST_NAMES = frozenset(name.split()[0] for names in NAMES.values() for name in names)
+
+
 def similarity(words: list[str], family: str) -> float:
     """The largest share of a template's word pairs that a paragraph holds."""
-    held = set(zip(words, words[1:]))
-    best = 0.0
-    for template in TEMPLATES[family]:
-        pairs = set(zip(t := words_of(template), t[1:]))
-        best = max(best, len(pairs & held) / len(pairs))
-    return best
+    held = set(pairs_of(words))
+    return max(len(pairs & held) / len(pairs) for own, pairs, _ in PATTERNS if own == family)
+
+
+def _stretches(at: list[int], found: list, pattern: tuple) -> list[tuple[int, int]]:
+    """(first, one past the last word) of stretches of words that hold enough of
+    a template, from the places and values of its pairs in a paragraph."""
+    _, pairs, most = pattern
+    least = LEAST_SIMILARITY * len(pairs)
+    out: list[tuple[int, int]] = []
+    inside: Counter = Counter()
+    first = 0
+    for last, pair in enumerate(found):
+        inside[pair] += 1
+        while at[last] + 2 - at[first] > most:
+            inside[found[first]] -= 1
+            if not inside[found[first]]:
+                del inside[found[first]]
+            first += 1
+        if len(inside) >= least:
+            # Repeated pairs before those that count are none of the notice.
+            while inside[found[first]] > 1:
+                inside[found[first]] -= 1
+                first += 1
+            if out and at[first] < out[-1][1]:
+                out[-1] = (out[-1][0], at[last] + 2)
+            else:
+                out.append((at[first], at[last] + 2))
+    return out
+
+
+def confirmed(words: list[str]) -> list[tuple[int, int, str]]:
+    """(first, one past the last word, family) of the stretches of a paragraph
+    that hold enough of a template and a name of its family."""
+    if FIRST_NAMES.isdisjoint(words):
+        return []
+    hits: dict[int, tuple[list, list]] = {}
+    for k, pair in enumerate(zip(words, words[1:])):
+        for number in HOLDERS.get(pair, ()):
+            at, found = hits.setdefault(number, ([], []))
+            at.append(k)
+            found.append(pair)
+    by_family: dict[str, list[tuple[int, int]]] = {}
+    for number, (at, found) in hits.items():
+        family = PATTERNS[number][0]
+        for start, end in _stretches(at, found, PATTERNS[number]):
+            text = f" {' '.join(words[start:end])} "
+            if any(f" {name} " in text for name in NAMES[family]):
+                by_family.setdefault(family, []).append((start, end))
+    out = []
+    for family, spans in by_family.items():
+        # Templates of a family that overlap are one notice.
+        joined: list[list[int]] = []
+        for start, end in sorted(spans):
+            if joined and start < joined[-1][1]:
+                joined[-1][1] = max(joined[-1][1], end)
+            else:
+                joined.append([start, end])
+        out += [(start, end, family) for start, end in joined]
+    return sorted(out)
 
 
 def notices(text: str | None, model: Classifier) -> list[tuple]:
-    """(paragraph number, first and one past the last character, family,
-    probability, similarity, confirmed) of the paragraphs of a text that are
-    taken for a licence notice."""
-    out, at = [], 0
+    """(number of the first line, first and one past the last character, family,
+    probability, similarity, confirmed) of the lines, or runs of lines, of a text
+    that are taken for a licence notice."""
+    out, at, paragraph = [], 0, []
     for number, line in enumerate((text or "").split("\n")):
-        words = words_of(line)
-        p = model.probabilities(words) if words else None
-        if p is not None:
-            best = int(p.argmax())
-            family = model.classes[best]
-            if family != UNKNOWN and p[best] >= LEAST_PROBABILITY:
-                like = similarity(words, family)
-                out.append(
-                    (number, at, at + len(line), family, float(p[best]), like, like >= LEAST_SIMILARITY)
-                )
+        if line.strip():
+            paragraph.append((number, at, line, words_of(line)))
+        elif paragraph:
+            out += _paragraph_notices(paragraph, model)
+            paragraph = []
         at += len(line) + 1
-    return out
+    return out + (_paragraph_notices(paragraph, model) if paragraph else [])
+
+
+def _paragraph_notices(lines: list[tuple], model: Classifier) -> list[tuple]:
+    words = [w for *_, own in lines for w in own]
+    line_of = [k for k, (*_, own) in enumerate(lines) for _ in own]
+    # By first and last line and family; a row has no more than one of these.
+    rows: dict[tuple[int, int, str], tuple[float, float, bool]] = {}
+    inside = set()
+    for start, end, family in confirmed(words):
+        p = model.probabilities(words[start:end])
+        if p is None or p[model.classes.index(UNKNOWN)] >= LEAST_PROBABILITY:
+            continue
+        first, last = line_of[start], line_of[end - 1]
+        if last > first:
+            inside.update(range(first, last + 1))
+        like = similarity([w for *_, own in lines[first : last + 1] for w in own], family)
+        rows[first, last, family] = (float(p[model.classes.index(family)]), like, True)
+    for k, (*_, own) in enumerate(lines):
+        guess = _guess(own, model) if own and k not in inside else None
+        if guess:
+            rows[k, k, guess[0]] = guess[1:]
+    kept: list[tuple[int, int, str, tuple]] = []
+    for (first, last, family), values in sorted(rows.items()):
+        if kept and not values[2]:
+            before, end, own, (_, _, sure) = kept[-1]
+            if own == family and end + 1 == first and not sure:
+                whole = _guess([w for *_, x in lines[before : last + 1] for w in x], model, family)
+                kept[-1] = (before, last, family, whole[1:])
+                continue
+        kept.append((first, last, family, values))
+    return [
+        (lines[a][0], lines[a][1], lines[b][1] + len(lines[b][2]), family, *values)
+        for a, b, family, values in kept
+    ]
+
+
+def _guess(words: list[str], model: Classifier, family: str | None = None) -> tuple | None:
+    """(family, probability, similarity, confirmed) of the family that words are
+    taken for, if any, or of a given one."""
+    p = model.probabilities(words)
+    if p is None:
+        return None
+    best = int(p.argmax()) if family is None else model.classes.index(family)
+    if family is None and (model.classes[best] == UNKNOWN or p[best] < LEAST_PROBABILITY):
+        return None
+    like = similarity(words, model.classes[best])
+    return model.classes[best], float(p[best]), like, like >= LEAST_SIMILARITY
 
 
 def train(docs: DataFrame, id_column: str, text_column: str) -> Classifier:
@@ -243,9 +379,11 @@ def train(docs: DataFrame, id_column: str, text_column: str) -> Classifier:
 
 
 def scanned(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """A row per licence notice: the document's id, ``paragraph`` (line number
-    from 0), ``start`` and ``end`` (characters), ``family``, ``probability``,
-    ``similarity`` to the nearest template of the family, and ``confirmed``.
+    """A row per licence notice and family: the document's id, ``paragraph``
+    (number of its first line, from 0), ``start`` and ``end`` (characters of its
+    whole lines), ``family``, ``probability``, ``similarity`` to the nearest
+    template of the family, and ``confirmed``. A line with several notices of
+    different families has a row for each.
 
     Null, empty and blank texts have no notice. Ids may be null or repeat; every
     row of the table is scanned. Equal lines get equal results. Other columns

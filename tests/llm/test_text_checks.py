@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 from collections import Counter
 
 import pytest
@@ -116,6 +117,34 @@ def test_licence_families():
     assert families(None) == families("") == []
 
 
+def test_wrapped_and_several_licences():
+    model = license_scan.fit(["the quick brown fox jumps over the dog", "the terms of the contract"])
+
+    def found(text):
+        return [(text[n[1] : n[2]], n[3]) for n in license_scan.notices(text, model) if n[6]]
+
+    for family, templates in license_scan.TEMPLATES.items():
+        for template in templates:
+            for width, mark in ((72, ""), (40, " * ")):
+                notice = textwrap.fill(template, width, initial_indent=mark, subsequent_indent=mark)
+                text = f"Some code.\n\nCopyright 2020 by us.\n{notice}\nThe cat sat on the mat.\n\nIt went home."
+                assert found(text) == [(notice, family)], (family, notice)
+                assert len(license_scan.notices(text, model)) == 1
+    lesser = (
+        "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser"
+        " General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License,"
+        " or (at your option) any later version."
+    )
+    assert {family for _, family in found(lesser)} == {"lgpl"}
+    for line, families in (
+        ("SPDX-License-Identifier: MIT OR Apache-2.0", {"mit", "apache-2.0"}),
+        ("Licensed under the MIT License or the Apache License, Version 2.0.", {"mit", "apache-2.0"}),
+        ("Licensed under the BSD 3-Clause License. Licensed under CC BY 4.0.", {"bsd", "cc-by-4.0"}),
+        ("word " * 500 + "Licensed under CC BY-SA 4.0. " + "word " * 500, {"cc-by-sa-4.0"}),
+    ):
+        assert {family for _, family in found(line)} == families, line[:60]
+
+
 def test_licences_of_the_table_are_found(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     lines = {r.doc_id: len(re.findall(r"(?im)^.*licensed?\b.*$", r.text)) for r in docs.collect()}
