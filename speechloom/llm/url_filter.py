@@ -10,7 +10,8 @@ tree carries these labels over to pages no rule speaks of:
 3. Sibling branches that do not differ significantly from all branches of their
    node (in the share of blocked labels, and of paths that go on) are merged.
 4. The blocked share of a branch is smoothed by that of its node, down from the
-   share among all labels. Templates whose smoothed share is high are rejected.
+   share among all labels. Templates whose smoothed share is high are rejected,
+   if their host has a label at all: the share of other hosts is no evidence.
 
 All steps are grouping and joins of counts; no step lists the children of a
 node in one place.
@@ -160,9 +161,9 @@ def _descend(rows: DataFrame, level: int) -> DataFrame:
 
 
 def template_shares(labelled: DataFrame) -> DataFrame:
-    """``template`` and smoothed blocked ``share`` of each ``host`` and ``shape``
-    (generalised path), from pages with those and ``label`` (1 blocked, 0
-    allowed, null unknown)."""
+    """``template``, smoothed blocked ``share`` and ``known`` (whether its host has
+    labels) of each ``host`` and ``shape`` (generalised path), from pages with
+    those and ``label`` (1 blocked, 0 allowed, null unknown)."""
     counted = labelled.groupBy("host", "shape").agg(
         F.count("*").alias("n"),
         F.count("label").alias("labelled"),
@@ -180,7 +181,14 @@ def template_shares(labelled: DataFrame) -> DataFrame:
     )
     for level in range(DEPTH):
         rows = cut(_descend(rows, level))
-    return rows.select("host", "shape", F.col("node").alias("template"), "share")
+    hosts = counted.where("labelled > 0").select("host", F.lit(True).alias("known")).distinct()
+    return rows.join(hosts, "host", "left").select(
+        "host",
+        "shape",
+        F.col("node").alias("template"),
+        "share",
+        F.coalesce("known", F.lit(False)).alias("known"),
+    )
 
 
 def judged(
@@ -196,8 +204,8 @@ def judged(
     A null URL and one without ``://`` have an empty host and path, to which no
     rule fits; they form one template. A path of more segments than the tree has
     levels is judged by its first ones. Ids may be null or repeat, every row gets
-    a verdict. Without any label all is allowed. Other columns play no part. An
-    empty table gives an empty table.
+    a verdict. On a host without any label all is allowed; the share then is that
+    of all labels. Other columns play no part. An empty table gives an empty table.
     """
     host, path = host_and_path(F.col(f"`{url_column}`").cast("string"))
     rows = pages.select(F.col(f"`{id_column}`").alias("_uf_id"), host.alias("host"), path.alias("path"))
@@ -211,14 +219,13 @@ def judged(
     )
     label = F.when(F.col("ruled") == "block", 1).when(F.col("ruled") == "allow", 0)
     shares = template_shares(rows.withColumn("label", label))
+    bad = F.col("known") & (F.col("share") >= reject)
     return rows.join(shares, ["host", "shape"]).select(
         F.col("_uf_id").alias(id_column),
         "host",
         "path",
         "rule",
-        F.coalesce(
-            "ruled", F.when(F.col("share") >= reject, F.lit("block")).otherwise(F.lit("allow"))
-        ).alias("verdict"),
+        F.coalesce("ruled", F.when(bad, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
         "template",
         "share",
     )

@@ -178,6 +178,17 @@ def test_labels_carry_over_to_like_templates(spark):
     assert {verdicts[100 + k] for k in range(30)} == {"allow"}
 
 
+def test_hosts_without_labels_are_allowed_however_many_others_are_blocked(spark):
+    blocked = [(k, f"http://a.com/de/x{k}") for k in range(40)]
+    rest = [(100 + k, f"http://b.net/en/{k}") for k in range(20)] + [(200, "http://c.net"), (201, None), (300, "http://a.com/xx")]
+    pages = spark.createDataFrame(blocked + rest, "page_id long, url string")
+    rows = {r.page_id: r for r in url_filter.judged(pages).collect()}
+    assert rows[100].share >= url_filter.REJECT
+    assert {rows[k].verdict for k, _ in rest} == {"allow", "block"}
+    assert [k for k, _ in rest if rows[k].verdict == "block"] == [300]
+    assert {rows[k].verdict for k, _ in blocked} == {"block"}
+
+
 def test_quotes_link_messages(spark):
     hello = "Hello there my friend, how are you?"
     rows = [
