@@ -1,10 +1,12 @@
 """Chat formatting by quotation linking.
 
 Messages are parsed into quote levels (leading ``>`` marks). What a message
-quotes on the first level is hashed after normalising case and white space: as a
-whole, by paragraph and by line. The hashes are joined to those of what earlier
-messages of the conversation say themselves, which links each message to the one
-it answers. Following the links gives each message its thread; in the order of
+quotes is hashed after normalising case and white space: as a whole, by
+paragraph, by line, by sentence and by runs of words, which any line breaks and
+any part of a paragraph leave alike. The hashes are joined to those of what
+earlier messages of the conversation say themselves, which links each message to
+the one it answers; deeper levels count only if the first has no original.
+Following the links gives each message its thread; in the order of
 thread and turn a message always comes after the one it answers. Quotes, and the
 lines that announce them, are taken out of the texts.
 
@@ -29,10 +31,19 @@ ANNOUNCED = re.compile(
     r"^\s*(?:(?:On|Am|Le|El)\b.*\b(?:wrote|schrieb|écrit|escribió)\b.*:|-{2,}\s*Original Message\s*-{2,})\s*$",
     re.IGNORECASE,
 )
-# A line alone links messages only if it has so many words.
+# The same above a quote in a quote, where the rest may be lost.
+ANNOUNCED_INSIDE = re.compile(r"\b(?:wrote|schrieb|écrit|escribió)\b.*:\s*$", re.IGNORECASE)
+SENTENCE_END = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])")
+PARAGRAPH_END = re.compile(r"\n\s*\n")
+# A line or a sentence alone links messages only if it has so many words; runs
+# have just so many.
 LINE_WORDS = 4
-# Units of a quote, from the strongest evidence to the weakest.
-WHOLE, PARAGRAPH, LINE = 0, 1, 2
+# Units of a quote, from the strongest evidence to the weakest. Runs of words
+# link if at least this share of a paragraph's was said before.
+WHOLE, PARAGRAPH, LINE, SENTENCE, RUN = 0, 1, 2, 3, 4
+RUN_SHARE = 0.5
+# Hashes by which messages that nobody can quote are left out early.
+BUCKETS = 1 << 20
 
 
 def parsed(text: str | None) -> list[tuple[int, str]]:
@@ -67,69 +78,137 @@ def normalised(passage: str) -> str:
     return " ".join(passage.lower().split())
 
 
-def units(lines: list[str]) -> list[tuple[int, str]]:
-    """(kind, hash) of a passage as a whole, of its paragraphs and of its lines,
-    each hash once with its strongest kind. Blank passages have none."""
+def units(lines: list[str], short: bool = False) -> list[tuple[int, str]]:
+    """(kind, hash) of a passage as a whole, of its paragraphs, lines and
+    sentences, each hash once with its strongest kind. Blank passages have none;
+    those of lines and sentences with few words count only if ``short``."""
     found: dict[str, int] = {}
 
     def add(kind: int, passage: str) -> None:
         plain = normalised(passage)
-        if plain and (kind != LINE or len(plain.split()) >= LINE_WORDS):
-            code = hashlib.md5(plain.encode()).hexdigest()
-            found.setdefault(code, kind)
+        if plain and (short or kind < LINE or len(plain.split()) >= LINE_WORDS):
+            found.setdefault(hashlib.md5(plain.encode()).hexdigest(), kind)
 
     add(WHOLE, "\n".join(lines))
-    for paragraph in re.split(r"\n\s*\n", "\n".join(lines)):
+    paragraphs = PARAGRAPH_END.split("\n".join(lines))
+    for paragraph in paragraphs:
         add(PARAGRAPH, paragraph)
     for line in lines:
         add(LINE, line)
+    for paragraph in paragraphs:
+        for sentence in SENTENCE_END.split(paragraph):
+            add(SENTENCE, sentence)
     return [(kind, code) for code, kind in found.items()]
 
 
-def quoted_units(text: str | None) -> list[tuple[int, str]]:
-    """The units of every first-level quote of a message (runs of lines with at
-    least one mark, of which those with more quote older messages)."""
-    found: dict[str, int] = {}
-    run: list[str] = []
-    for level, line in [*parsed(text), (0, "")]:
-        if level == 1:
-            run.append(line)
-        elif level == 0 and run:
-            for kind, code in units(run):
-                found[code] = min(kind, found.get(code, kind))
-            run = []
-    return sorted((kind, code) for code, kind in found.items())
+def runs(passage: str) -> set[str]:
+    """The runs of LINE_WORDS words of a normalised passage; long ones by hash."""
+    words = normalised(passage).split()
+    found = (" ".join(words[k : k + LINE_WORDS]) for k in range(len(words) - LINE_WORDS + 1))
+    return {x if len(x) <= 64 else "run " + hashlib.md5(x.encode()).hexdigest() for x in found}
+
 
+def said_codes(text: str | None) -> set[str]:
+    """The hashes of what a message says itself."""
+    own = own_text(text) or ""
+    return {code for _, code in units(own.split("\n"), short=True)} | runs(own)
 
-def _parsed_rows(messages: DataFrame) -> DataFrame:
-    unit = pa.list_(pa.struct([("kind", pa.int32()), ("code", pa.string())]))
+
+def quoted_units(text: str | None) -> list[tuple[int, int, int, int, str]]:
+    """(level, kind, paragraph, its number of runs, hash) of the units of every
+    quote of a message. A quote of a level is made of lines with so many marks;
+    those with more quote older messages, and do not part it. Paragraphs are
+    numbered for runs of words only."""
+    lines = parsed(text)
+    told: list[tuple[int, str]] = []
+    after = (0, "")
+    for level, line in reversed(lines):
+        inside = level and after[0] > level
+        if not (inside and (ANNOUNCED.match(line) or ANNOUNCED_INSIDE.search(line))):
+            told.append((level, line))
+        if level and not line.strip():
+            continue
+        if level or line.strip():
+            after = (level, line)
+    told.reverse()
+    out: list[tuple[int, int, int, int, str]] = []
+    paragraphs = 0
+    for own in sorted({level for level, _ in told if level}):
+        found: dict[str, int] = {}
+        run: list[str] = []
+        for level, line in [*told, (0, "")]:
+            if level == own:
+                run.append(line)
+            elif level < own and run:
+                for kind, code in units(run):
+                    found[code] = min(kind, found.get(code, kind))
+                for paragraph in PARAGRAPH_END.split("\n".join(run)):
+                    paragraphs += 1
+                    codes = runs(paragraph)
+                    out += [(own, RUN, paragraphs, len(codes), code) for code in codes]
+                run = []
+        out += [(own, kind, 0, 0, code) for code, kind in found.items()]
+    return sorted(out)
+
+
+def _parsed_rows(messages: DataFrame, values, kind: pa.DataType, ddl: str) -> DataFrame:
+    """``conv``, ``turn`` and what a function of the text gives, as ``found``."""
 
     def run(batches):
         for batch in portions(batches):
-            texts = batch.column("text").to_pylist()
-            said = [[code for _, code in units((own_text(x) or "").split("\n"))] for x in texts]
-            quoted = [[{"kind": k, "code": c} for k, c in quoted_units(x)] for x in texts]
+            found = [values(x) for x in batch.column("text").to_pylist()]
             table = pa.Table.from_batches([batch]).select(["conv", "turn"])
-            added = {"said": pa.array(said, pa.list_(pa.string())), "quoted": pa.array(quoted, unit)}
-            yield from batch_of(table, added).to_batches()
+            yield from batch_of(table, {"found": pa.array(found, kind)}).to_batches()
+
+    return messages.mapInArrow(run, schema_of(messages.select("conv", "turn"), f"found {ddl}"))
+
 
-    ddl = "said array<string>, quoted array<struct<kind:int,code:string>>"
-    return messages.mapInArrow(run, schema_of(messages.select("conv", "turn"), ddl))
+def _quoted(text: str | None) -> list[dict]:
+    return [dict(zip(("level", "kind", "paragraph", "runs", "code"), x)) for x in quoted_units(text)]
+
+
+def _said(text: str | None) -> list[str]:
+    return sorted(said_codes(text))
 
 
 def links(messages: DataFrame) -> DataFrame:
     """``conv``, ``turn`` and ``parent``, the turn it answers, of messages that
-    quote an earlier one: the strongest unit decides, then the later original.
+    quote an earlier one: the first level with an original decides, then the
+    strongest unit, then the later original (for runs of words, that of most).
     What several messages say was first said by the earliest."""
-    rows = cut(_parsed_rows(messages.where("conv is not null and turn is not null")))
-    quotes = rows.select("conv", "turn", F.explode("quoted").alias("q")).select(
-        "conv", "turn", F.col("q.kind").alias("kind"), F.col("q.code").alias("code")
+    messages = messages.where("conv is not null and turn is not null")
+    number = [(name, pa.int32()) for name in ("level", "kind", "paragraph", "runs")]
+    quotes = _parsed_rows(
+        messages.where(F.col("text").contains(">")),
+        _quoted,
+        pa.list_(pa.struct([*number, ("code", pa.string())])),
+        "array<struct<level:int,kind:int,paragraph:int,runs:int,code:string>>",
     )
-    said = rows.select("conv", F.col("turn").alias("parent"), F.explode("said").alias("code"))
-    first = said.groupBy("conv", "code").agg(F.min("parent").alias("parent"))
+    quotes = cut(quotes.select("conv", "turn", F.explode("found").alias("q")).select("conv", "turn", "q.*"))
+
+    def bucket(*names: str):
+        return F.pmod(F.xxhash64(*names), F.lit(BUCKETS))
+
+    def only_quoted(rows: DataFrame, *names: str) -> DataFrame:
+        known = quotes.select(bucket(*names).alias("_bucket")).distinct()
+        return rows.withColumn("_bucket", bucket(*names)).join(
+            F.broadcast(known), "_bucket", "left_semi"
+        ).drop("_bucket")
+
+    said = _parsed_rows(only_quoted(messages, "conv"), _said, pa.list_(pa.string()), "array<string>")
+    said = said.select("conv", F.col("turn").alias("parent"), F.explode("found").alias("code"))
+    first = only_quoted(said, "conv", "code").groupBy("conv", "code").agg(F.min("parent").alias("parent"))
     found = quotes.join(first, ["conv", "code"]).where("parent < turn")
-    best = F.max(F.struct((-F.col("kind")).alias("rank"), "parent"))
-    return found.groupBy("conv", "turn").agg(best.alias("best")).select("conv", "turn", "best.parent")
+    by = ["conv", "turn", "level", "kind", "paragraph"]
+    votes = found.groupBy(*by, "parent").agg(F.count("*").alias("n"), F.max("runs").alias("runs"))
+    most = F.struct(F.when(F.col("kind") == RUN, F.col("n")).otherwise(F.lit(0)).alias("n"), "parent")
+    units_found = votes.groupBy(*by).agg(
+        F.sum("n").alias("all"), F.max("runs").alias("runs"), F.max(most).alias("most")
+    )
+    enough = (F.col("kind") != RUN) | (F.col("all") >= RUN_SHARE * F.col("runs"))
+    rank = F.struct((-F.col("level")).alias("level"), (-F.col("kind")).alias("kind"), "most.n", "most.parent")
+    best = units_found.where(enough).groupBy("conv", "turn").agg(F.max(rank).alias("best"))
+    return best.select("conv", "turn", "best.parent")
 
 
 def threads(linked: DataFrame) -> DataFrame:

@@ -215,6 +215,25 @@ def test_quotes_link_messages(spark):
     }
 
 
+def test_parts_of_paragraphs_and_deeper_quotes_link_messages(spark):
+    long = "The train leaves at nine. We should meet in the hall before that, near the big clock. Bring your tickets and some water."
+    rows = [
+        (0, long),
+        (1, "> We should meet in the hall before that, near the big clock.\na"),
+        (2, "> The train leaves at nine. We should meet in the hall before that, near the big clock.\nb"),
+        (3, "> hall before that, near the\n> big clock. Bring your\n> tickets and\nc"),
+        (4, "Ships sail south\nvery slowly now\nbut they arrive at some time in the end"),
+        (5, "> Ships sail south\n> very slowly now\nd"),
+        (6, "> Bob wrote:\n>> Bring your tickets and some water.\ne"),
+        (7, ">> but they arrive at some time in the end\nf"),
+        (8, "> Nobody has ever said these words in the hall before that\ng"),
+        (9, "> Sheep graze on hills and near ponds\n>\n> tickets and some water.\nh"),
+    ]
+    messages = spark.createDataFrame([(1, *r) for r in rows], "conv_id long, turn long, text string").selectExpr("*", "'u' as role")
+    got = {r.turn: r.reply_to for r in quotation.formatted(messages).collect()}
+    assert got == {0: None, 1: 0, 2: 0, 3: 0, 4: None, 5: 4, 6: 0, 7: 4, 8: None, 9: 0}
+
+
 def test_long_chains_of_replies(spark):
     rows = [(1, 0, "message number zero says this")]
     rows += [(1, k, f"> message number {'zero' if k == 1 else k - 1} says this\nmessage number {k} says this") for k in range(1, 40)]
