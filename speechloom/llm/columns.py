@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 from collections.abc import Sequence
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,6 +74,13 @@ def checkpoint_folder(spark: SparkSession) -> None:
     context.setCheckpointDir(shared)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own below the checkpoint folder."""
+    checkpoint_folder(spark)
+    root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return f"{root}/{name}-{uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The table, computed and written to the checkpoint folder."""
     checkpoint_folder(df.sparkSession)

@@ -189,3 +189,109 @@ from d join (select host as h, shape, node, share from r{u.DEPTH}) t
 
 
 ORACLE["op4_url_filter"] = _op4()
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit."""
+    step = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, (v & 1) * 3988292384))"
+    return (
+        f"xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({text}, ''),"
+        f" lambda x: ascii(x)::bigint)), lambda a, b: {step}), 4294967295)"
+    )
+
+
+ORACLE["op11_prefix_trie"] = f"""
+with m as (
+  select conv_id, turn, length(text)::bigint as chars,
+         sha256(strlen(role)::varchar || ':' || role || text)[:32] as code
+  from (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations)
+  where conv_id is not null
+), own as (
+  select conv_id, list({{'code': code, 'chars': chars}} order by turn nulls first, code) as l from m group by conv_id
+), h as (
+  select conv_id, l, {_crc32("conv_id::varchar")} % 6 as h from own
+), r as (
+  select h.conv_id, coalesce(b.l[1:h.h], []) || h.l[h.h + 1:] as p
+  from h left join own b on b.conv_id = h.conv_id - h.conv_id % 100
+), k as (
+  select conv_id, d as depth, array_to_string(list_transform(p[1:d], lambda s: s.code), '') as node,
+         case when d > 0 then p[d].chars else 0 end as chars, d = len(p) as ends
+  from (select conv_id, p, unnest(range(len(p) + 1)) as d from r)
+), n as (
+  select node, any_value(depth) as depth, any_value(chars) as chars, min(conv_id) as conv_id, count(*) as n_convs,
+         string_agg(conv_id::varchar, ',' order by conv_id) filter (ends) as ids
+  from k group by node
+), t as (
+  select n.*, node[:32 * (depth - 1)] as parent, coalesce(c.n, 0) as n_children
+  from n left join (select node[:32 * (depth - 1)] as node, count(*) as n from n where depth > 0 group by 1) c using (node)
+), s as (
+  select node[:32 * up] as node, sum((n_convs - 1) * chars)::bigint as saved_tokens, count(*) filter (n_children = 0) as n_leaves
+  from (select *, unnest(range(depth + 1)) as up from t) group by 1
+)
+select t.conv_id, t.depth, case when t.depth > 0 then a.conv_id end as parent_conv_id, t.n_convs, t.n_children,
+       s.n_leaves, s.saved_tokens, sha256(coalesce(t.ids, '')) as ends_sha256
+from t join s using (node) left join t a on a.node = t.parent
+"""
+
+
+def _op13(levels: int = 6, fan: int = 16) -> str:
+    """Trees of up to ``fan`` to the ``levels`` leaves; a lone node goes up as it is."""
+    field = "coalesce(strlen({0}::varchar)::varchar || ':' || {0}::varchar, '-')"
+    lower = f"case when {_crc32('doc_id::varchar')} % 5 = 0 then translate(text, '{url_filter.UPPER}', '{url_filter.LOWER}') else text end"
+    whole = " || ".join(field.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    parts = [
+        f"""
+with d as (
+  select doc_id, source, sha256({whole} || {field.format('text')}) as leaf, sha256({whole} || {field.format(f'({lower})')}) as claim
+  from documents
+), r as (
+  select *, row_number() over (partition by source order by doc_id nulls last, leaf) - 1 as rank from d
+), a0 as (
+  select source, rank, leaf as node, count(*) over (partition by source) as n from r
+)"""
+    ]
+
+    def tree(name: str) -> None:
+        beside = "coalesce(string_agg(node, '') over (partition by source, rank // {0} order by rank rows between {1}), '')"
+        for k in range(levels):
+            parts.append(
+                f""", {name}s{k} as (
+  select source, rank, n, {beside.format(fan, 'unbounded preceding and 1 preceding')} as l,
+         {beside.format(fan, '1 following and unbounded following')} as r
+  from {name}{k}
+), {name}{k + 1} as (
+  select source, rank // {fan} as rank, case when any_value(n) = 1 then any_value(node) else sha256(string_agg(node, '' order by rank)) end as node,
+         ceil(any_value(n) / {fan}.0)::bigint as n
+  from {name}{k} group by source, rank // {fan}
+)"""
+            )
+
+    tree("a")
+    parts.append(
+        f""", b0 as (
+  select '' as source, row_number() over (order by source nulls first) - 1 as rank, node, count(*) over () as n from a{levels}
+), o as (
+  select source, node as subroot, row_number() over (order by source nulls first) - 1 as place from a{levels}
+)"""
+    )
+    tree("b")
+    parts.append(", j0 as (select r.*, subroot, place, claim as node, '' as proof from r join o on o.source is not distinct from r.source)")
+    for step in range(2 * levels):
+        name, k = ("a", step) if step < levels else ("b", step - levels)
+        at = f"s.source is not distinct from j.source and s.rank = j.rank // {fan**k}" if name == "a" else f"s.rank = j.place // {fan**k}"
+        parts.append(
+            f""", j{step + 1} as (
+  select j.* exclude (node, proof), case when s.n = 1 then node else sha256(s.l || node || s.r) end as node, proof || s.l || s.r as proof
+  from j{step} j join {name}s{k} s on {at}
+)"""
+        )
+    parts.append(
+        f"""
+select doc_id, leaf, subroot, b.node as root, sha256(proof) as proof_sha256, j.node as folded_root, j.node = b.node as verified
+from j{2 * levels} j join b{levels} b on true
+"""
+    )
+    return "".join(parts)
+
+
+ORACLE["op13_merkle_manifest"] = _op13()

@@ -9,17 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from speechloom.llm import (
     decontamination,
     license_scan,
+    merkle,
     mixing,
     oracle,
+    prefix_trie,
     quality_ranking,
     quality_rules,
     quotation,
     simhash,
     suffix_dedup,
+    token_files,
     toxicity,
     url_filter,
 )
-from speechloom.llm.columns import short_batches
+from speechloom.llm.columns import cut, new_folder, short_batches
 
 ORACLE = oracle.ORACLE
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +100,34 @@ def op9_quality_rules(spark, folder):
 @query
 def op10_quotation_linking(spark, folder):
     return quotation.formatted(table(spark, folder, "conversations"))
+
+
+@query
+def op11_prefix_trie(spark, folder):
+    messages = cut(prefix_trie.coded(table(spark, folder, "conversations")))
+    return prefix_trie.node_table(prefix_trie.rebuilt(messages)).select(
+        "conv_id",
+        "depth",
+        "parent_conv_id",
+        "n_convs",
+        "n_children",
+        "n_leaves",
+        "saved_tokens",
+        "ends_sha256",
+    )
+
+
+@query
+def op12_token_files(spark, folder):
+    import public_tokenizers
+
+    path = new_folder(spark, "tokens")
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    token_files.write(table(spark, folder, "documents"), path, vocabulary, end=2, beside=("source", "lang"))
+    return token_files.digest(spark, path)
+
+
+@query
+def op13_merkle_manifest(spark, folder):
+    docs = table(spark, folder, "documents")
+    return merkle.verified(docs, claims={"text": merkle.tampered_text()})
