@@ -10,9 +10,9 @@ documents or only the columns beside the tokens are read without the rest.
 ``start``, a document's place in the whole, comes from the sums of the parts before
 its own: as many rows as there are files.
 
-Words are what the tokenizer library encodes: texts are split at ASCII white space,
-which none of the vocabulary's pieces crosses (``encode_texts``), and every distinct
-word of a portion is encoded once.
+Texts are split at ASCII white space, which no token of this vocabulary crosses, and
+every distinct word of a portion is given to the tokenizer library once
+(``Encoder``); tests compare this with the library's encoding of whole texts.
 
 A null text is empty. Documents without id come last; those with the same id stand
 in the order of a hash of their texts. An empty table gives empty files.
@@ -21,7 +21,9 @@ in the order of a hash of their texts. An empty table gives empty files.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +35,9 @@ from pyspark.sql.types import StructType
 
 from speechloom.llm.columns import schema_of
 
-# Text that is split into words at a time, and distinct words kept with their ids.
-PORTION_BYTES = 4 << 20
-KEPT_WORDS = 200_000
+# Text that is split into words at a time, and runs of characters whose ids are kept.
+PORTION_BYTES = 8 << 20
+KEPT_RUNS, KEPT_CHARS = 400_000, 8 << 20
 
 WRITER = {
     "compression": "zstd",
@@ -48,46 +50,96 @@ WRITER = {
 DELTA = ("n_tokens", "first")
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(sizes.sum()) + np.repeat(starts - ends + sizes, sizes)
+
+
 class Encoder:
-    """Token ids of texts, with the ids of words already seen."""
+    """Token ids of texts, with the ids of words already seen.
+
+    Of a word of Latin letters, digits and punctuation, the library's normalizer and
+    pre-tokenizer make runs of letters in lower case, single digits and runs of
+    punctuation, whatever stands beside them. Such runs go to the library's model,
+    each once; all other words go through the library as they are.
+    """
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.known: dict[str, np.ndarray] = {}
-
-    def words(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of each word."""
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > KEPT_WORDS:
-            self.known, new = {}, words
-        found = self.tokenizer.encode_batch(new, add_special_tokens=False)
-        own = {w: np.array(e.ids, np.int32) for w, e in zip(new, found)}
-        out = [own[w] if w in own else self.known[w] for w in words]
-        if len(own) <= KEPT_WORDS:
-            self.known |= {w: ids for w, ids in own.items() if len(w) < 64}
-        return out
+        self.model = self.tokenizer.model
+        # Letters whose lower case is Python's, and what the library writes for their bytes.
+        self.table, letters = {}, ""
+        for code in range(0x21, 0x250):
+            lower = self.tokenizer.normalizer.normalize_str(chr(code))
+            if chr(code).isalpha() and len(lower) == 1 and lower.isalpha() and lower == chr(code).lower():
+                letters += chr(code)
+                self.table[ord(lower)] = self.tokenizer.pre_tokenizer.pre_tokenize_str(lower)[0][0]
+        marks = re.escape("!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~")
+        self.plain = f"^[{letters}0-9{marks}]+$"
+        self.runs = re.compile(f"[{letters}]+|[0-9]|[{marks}]+|\n")
+        self._forget()
+
+    def _forget(self) -> None:
+        # Words are put together with line ends between them, which have no ids.
+        self.known, self.chars = {"\n": 0}, 0
+        self.flat, self.bounds = np.zeros(0, np.int32), np.zeros(2, np.int64)
+
+    def _slots(self, runs: list[str]) -> np.ndarray:
+        """Where in ``bounds`` and ``flat`` the ids of each run stand."""
+        distinct = set(runs)
+        if len(self.known) + len(distinct) > KEPT_RUNS or self.chars > KEPT_CHARS:
+            self._forget()
+        new = list(distinct.difference(self.known))
+        ids, sizes = [], []
+        for run in new:
+            found = self.model.tokenize(run.translate(self.table))
+            ids += [t.id for t in found]
+            sizes.append(len(found))
+        self.known |= zip(new, range(len(self.known), len(self.known) + len(new)))
+        self.chars += sum(map(len, new))
+        self.flat = np.concatenate([self.flat, np.array(ids, np.int32)])
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes, dtype=np.int64)])
+        return np.fromiter(map(self.known.__getitem__, runs), np.int64, len(runs))
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all words, and where each word's begin and how many there are."""
+        plain = pc.match_substring_regex(words, self.plain)
+        easy = words.filter(plain).to_numpy(zero_copy_only=False).tolist()
+        slots = self._slots(self.runs.findall("\n".join([*easy, ""]).lower()))
+        sizes = np.diff(self.bounds)[slots]
+        ids = self.flat[_ranges(self.bounds[slots], sizes)]
+        # Ids of a word are those between the line ends before and after it.
+        upto = np.concatenate([[0], np.cumsum(sizes)[slots == 0]])
+        rest = words.filter(pc.invert(plain)).to_pylist()
+        own = [e.ids for e in self.tokenizer.encode_batch(rest, add_special_tokens=False)]
+        plain = plain.to_numpy(zero_copy_only=False).astype(bool)
+        starts, counts = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        starts[plain], counts[plain] = upto[:-1], np.diff(upto)
+        counts[~plain] = [len(i) for i in own]
+        starts[~plain] = len(ids) + np.cumsum(counts[~plain]) - counts[~plain]
+        return np.concatenate([ids, np.fromiter(chain.from_iterable(own), np.int32)]), starts, counts
 
     def encode_texts(self, texts: pa.Array, end: int | None = None) -> pa.ListArray:
         """The ids of every text, each with the id ``end`` after it. A null is empty."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
-        ids = self.words(coded.dictionary.to_pylist())
-        ends = np.cumsum([0, *map(len, ids)])
-        flat = np.concatenate([*ids, np.zeros(0, np.int32)])
-        word = coded.indices.to_numpy(zero_copy_only=False)
-        size = np.diff(ends)[word] if len(word) else np.zeros(0, np.int64)
-        # Where a word's ids begin in the result, and so where each id comes from.
-        begin = np.cumsum(size) - size
-        taken = np.arange(size.sum()) + np.repeat(ends[word] - begin, size)
-        bounds = np.concatenate([begin, [size.sum()]])[split.offsets.to_numpy() - split.offsets[0].as_py()]
-        values, offsets = flat[taken], bounds
+        flat, starts, counts = self.words(coded.dictionary)
+        word = coded.indices.to_numpy() if len(starts) else np.zeros(0, np.int64)
+        size = counts[word]
+        values = flat[_ranges(starts[word], size)]
+        offsets = np.concatenate([[0], np.cumsum(size)])[split.offsets.to_numpy() - split.offsets[0].as_py()]
         if end is not None:
-            values = np.insert(values, bounds[1:], end)
-            offsets = bounds + np.arange(len(bounds))
+            offsets = offsets + np.arange(len(offsets))
+            own = np.ones(offsets[-1], bool)
+            own[offsets[1:] - 1] = False
+            ended = np.full(offsets[-1], end, np.int32)
+            ended[own] = values
+            values = ended
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
 
 

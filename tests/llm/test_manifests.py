@@ -119,9 +119,9 @@ def test_encoding_by_words_equals_encoding_of_whole_texts(vocabulary, monkeypatc
 
     whole = Tokenizer.from_file(vocabulary)
     rng = random.Random(4)
-    pieces = [*"abcéÀ '’.,!?0129\n\t  ́日", "ing", "the ", "'ll", "<|endoftext|>"]
+    pieces = [*"abcéÀİſßªKÅǅ '.,!?0129-<|>\n\t \u2019\u00a0\u0301\u0327\u0331日", "ing", "the ", "'ll", "H", "T", "<|endoftext|>"]
     texts = UNTIDY + ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 80))) for _ in range(2000)]
-    monkeypatch.setattr(token_files, "KEPT_WORDS", 500)
+    monkeypatch.setattr(token_files, "KEPT_RUNS", 500)
     with open(vocabulary, encoding="utf-8") as file:
         encoder = token_files.Encoder(file.read())
     expected = [[*whole.encode(t, add_special_tokens=False).ids, 2] for t in texts]
