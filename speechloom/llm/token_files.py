@@ -56,6 +56,10 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) + np.repeat(starts - ends + sizes, sizes)
 
 
+# The first character after the blocks of Latin letters.
+LATIN = 0x250
+
+
 class Encoder:
     """Token ids of texts, with the ids of words already seen.
 
@@ -73,9 +77,10 @@ class Encoder:
         self.model = self.tokenizer.model
         # Letters whose lower case is Python's, and what the library writes for their bytes.
         self.table, letters = {}, ""
-        for code in range(0x21, 0x250):
+        for code in range(0x21, LATIN):
             lower = self.tokenizer.normalizer.normalize_str(chr(code))
-            if chr(code).isalpha() and len(lower) == 1 and lower.isalpha() and lower == chr(code).lower():
+            alike = len(lower) == 1 and lower.isalpha() and ord(lower) < LATIN and lower == chr(code).lower()
+            if chr(code).isalpha() and alike:
                 letters += chr(code)
                 self.table[ord(lower)] = self.tokenizer.pre_tokenizer.pre_tokenize_str(lower)[0][0]
         marks = re.escape("!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~")

@@ -120,12 +120,13 @@ def test_encoding_by_words_equals_encoding_of_whole_texts(vocabulary, monkeypatc
     whole = Tokenizer.from_file(vocabulary)
     rng = random.Random(4)
     pieces = [*"abcéÀİſßªKÅǅ '.,!?0129-<|>\n\t \u2019\u00a0\u0301\u0327\u0331日", "ing", "the ", "'ll", "H", "T", "<|endoftext|>"]
-    texts = UNTIDY + ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 80))) for _ in range(2000)]
+    chars = [chr(c) for c in [*range(1, 0x3000), *range(0xA000, 0xA100), *range(0xF900, 0x10000)]]
+    texts = UNTIDY + [f"a{c}b {c}, {c}{c}.x-{c}9" for c in chars] + ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 80))) for _ in range(2000)]
     monkeypatch.setattr(token_files, "KEPT_RUNS", 500)
     with open(vocabulary, encoding="utf-8") as file:
         encoder = token_files.Encoder(file.read())
     expected = [[*whole.encode(t, add_special_tokens=False).ids, 2] for t in texts]
-    for size in (1, 7, len(texts)):
+    for size in (97, len(texts)):
         got = []
         for k in range(0, len(texts), size):
             # a slice of a longer array, as portions of a batch are
