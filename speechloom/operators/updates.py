@@ -19,10 +19,13 @@ def upsert_speeches(
 ) -> DataFrame:
     """Replace or add speeches; of several updates to one key the one
     with the largest ``newest_by`` counts. Replaced rows lose what the update does not carry, their
-    label included, unless ``keep_labels``."""
-    changed = updates.select(key)
-    newest = latest_per_key(updates, key, newest_by).select(
-        *[c for c in updates.columns if c in current.columns]
+    label included, unless ``keep_labels``. A key that is NULL names no speech: it
+    replaces none, and all updates without a key are added."""
+    changed = updates.select(key).where(F.col(key).isNotNull())
+    newest = (
+        latest_per_key(updates.where(F.col(key).isNotNull()), key, newest_by)
+        .unionByName(updates.where(F.col(key).isNull()))
+        .select(*[c for c in updates.columns if c in current.columns])
     )
     if keep_labels:
         # a key found twice in the table still has one label
@@ -33,14 +36,19 @@ def upsert_speeches(
 
 
 def apply_labels(
-    speeches: DataFrame, labels: DataFrame, key: str = "speech_id", label: str = "is_procedure"
+    speeches: DataFrame,
+    labels: DataFrame,
+    key: str = "speech_id",
+    label: str = "is_procedure",
+    open_only: bool = False,
 ) -> DataFrame:
-    """Set new labels by key and keep all others. ``labels`` may repeat a key
-    only with equal labels."""
+    """Set new labels by key and keep all others; with ``open_only`` a row that has a
+    label keeps it. Of several labels of a key the largest counts."""
     new = labels.groupBy(key).agg(F.max(label).alias("_new"))
+    order = [label, "_new"] if open_only else ["_new", label]
     return (
         speeches.join(new, key, "left")
-        .withColumn(label, F.coalesce("_new", label))
+        .withColumn(label, F.coalesce(*order))
         .select(*speeches.columns)
     )
 

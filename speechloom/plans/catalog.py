@@ -153,6 +153,17 @@ def upsert_speeches(spark, folder):
     )
 
 
+@query
+def upsert_without_id(spark, folder):
+    """Updates of which some name no speech: those are added, all of them."""
+    named = F.when(F.col("turn") % 3 != 0, F.col("speech_id"))
+    return updates.upsert_speeches(
+        views.speeches(spark, folder, labelled=True),
+        _updates(spark, folder).withColumn("speech_id", named),
+        ["turn", "speech"],
+    )
+
+
 @query
 def upsert_table(spark, folder):
     """The upsert made to the table on disk, session folder by session folder."""
@@ -479,12 +490,52 @@ def label_speeches(spark, folder):
     ).select("speech_id", "party", "congress_session", "is_procedure")
 
 
+def _trained(spark, folder):
+    """Speeches with the labels that are given or follow from rules, and a model of them."""
+    speeches = views.speeches(spark, folder, labelled=True, spread_out=True)
+    weak = denoise.keyword_purge(speeches, pm.PURGE_PHRASES)
+    return weak, classify.train_classifier(weak, pm.STOP_WORDS)
+
+
 @query
 def train_classifier(spark, folder):
+    """The scores of all open speeches by a model fitted on the others."""
+    weak, model = _trained(spark, folder)
+    return classify.classify(weak, model, pm.STOP_WORDS)
+
+
+@query
+def classifier_terms(spark, folder):
+    """The model itself: the words that speak most clearly for or against procedure."""
+    _, model = _trained(spark, folder)
+    return (
+        model.where("term <> ''")
+        .select("term", F.round("weight", 6).alias("weight"), "n")
+        .orderBy(F.desc(F.abs("weight")), F.desc("n"), "term")
+        .limit(pm.MODEL_TERMS)
+    )
+
+
+@query
+def label_by_model(spark, folder):
+    """The labelling job with the trained model: given labels, rules, then scores."""
     speeches = views.speeches(spark, folder, labelled=True)
-    weak = denoise.keyword_purge(speeches, pm.PURGE_PHRASES)
-    model = classify.train_classifier(weak, pm.STOP_WORDS)
-    return classify.classify(weak, model)
+    _, model = _trained(spark, folder)
+    return classify.label_speeches(
+        speeches, lambda rest: classify.classify(rest, model, pm.STOP_WORDS), pm.PURGE_PHRASES
+    ).select("speech_id", "party", "congress_session", "is_procedure")
+
+
+@query
+def label_speeches_repeated(spark, folder):
+    """The labelling job where many rows share an id, some of them labelled."""
+    speeches = views.speeches(spark, folder, labelled=True)
+    few = (F.col("speakerid") % pm.REPEATED_IDS).cast("string")
+    return classify.label_speeches(
+        speeches.withColumn("speech_id", F.when(few != "0", few)),
+        lambda rest: classify.phrase_scores(rest, pm.PURGE_PHRASES),
+        pm.PURGE_PHRASES,
+    ).select("speakerid", "speech_id", "is_procedure")
 
 
 @query

@@ -198,6 +198,15 @@ def _upserted(label: str) -> str:
 
 sql("upsert_speeches", _upserted("NULL"), SPEECHES, NEWEST)
 sql("upsert_table", _upserted("NULL"), SPEECHES, NEWEST)
+_OF_NOBODY = """SELECT NULL, text, 20200101, NULL, role, NULL,
+      CASE role WHEN 'user' THEN 'D' WHEN 'assistant' THEN 'R' ELSE 'Unknown' END, NULL, NULL, NULL, 119, NULL
+    FROM conversations WHERE turn % 3 = 0"""
+sql(
+    "upsert_without_id",
+    _upserted("NULL") + " UNION ALL " + _OF_NOBODY,
+    SPEECHES,
+    NEWEST.replace("FROM conversations)", "FROM conversations WHERE turn % 3 <> 0)"),
+)
 sql(
     "upsert_keep_labels",
     _upserted(
@@ -517,6 +526,59 @@ sql(
     FROM speeches""",
     SPEECHES,
 )
+_MODEL = f"""weak AS (
+  SELECT speech_id, speech, row_number() OVER () AS row, party, congress_session, CASE WHEN is_procedure IS NOT NULL THEN is_procedure
+    WHEN length(speech) < {fv.PURGE_MAX_CHARS} AND ({_PURGED}) THEN 1 END AS label FROM speeches
+), tokens AS (
+  SELECT row, label, unnest({word_list("speech", 2)}) AS term FROM weak
+), counts AS (
+  SELECT term, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM tokens
+  WHERE label IS NOT NULL AND term NOT IN ({listed(pm.STOP_WORDS)}) GROUP BY term
+), totals AS (SELECT sum(n0)::double + count(*) AS all0, sum(n1)::double + count(*) AS all1 FROM counts
+), model AS (
+  SELECT term, ln((n1 + 1.0::double) / (n0 + 1.0::double)) - ln((SELECT all1 FROM totals) / (SELECT all0 FROM totals)) AS weight,
+    n0 + n1 AS n FROM counts
+), prior AS (
+  SELECT ln((count(*) FILTER (label = 1) + 1.0::double) / (count(*) FILTER (label = 0) + 1.0::double)) AS weight
+  FROM weak WHERE speech IS NOT NULL
+), scored AS (
+  SELECT w.row, w.speech_id, 1 / (1 + exp(-((SELECT weight FROM prior) + coalesce(sum(m.weight), 0)))) AS p
+  FROM weak w LEFT JOIN tokens t ON t.row = w.row LEFT JOIN model m ON m.term = t.term
+  WHERE w.label IS NULL GROUP BY w.row, w.speech_id)"""
+sql(
+    "train_classifier",
+    f"""SELECT speech_id, CASE WHEN p > 0.5 THEN '{fv.PROCEDURE_LABEL}' ELSE '{fv.DEBATE_LABEL}' END AS top_label,
+      round(greatest(p, 1 - p), 6) AS score, CASE WHEN p > {fv.CONFIDENCE_THRESHOLD} THEN 1 ELSE 0 END AS is_procedure
+    FROM scored""",
+    SPEECHES,
+    _MODEL,
+)
+sql(
+    "classifier_terms",
+    f"""SELECT term, round(weight, 6) AS weight, n FROM model
+    ORDER BY abs(round(weight, 6)) DESC, n DESC, term LIMIT {pm.MODEL_TERMS}""",
+    SPEECHES,
+    _MODEL,
+)
+sql(
+    "label_by_model",
+    f"""SELECT w.speech_id, w.party, w.congress_session,
+      coalesce(w.label, CASE WHEN p > {fv.CONFIDENCE_THRESHOLD} THEN 1 ELSE 0 END) AS is_procedure
+    FROM weak w LEFT JOIN scored USING (row)""",
+    SPEECHES,
+    _MODEL,
+)
+_FEW = f"nullif(cast(speakerid % {pm.REPEATED_IDS} AS varchar), '0')"
+sql(
+    "label_speeches_repeated",
+    f"""SELECT speakerid, id AS speech_id, coalesce(label, max(CASE WHEN label IS NULL AND id IS NOT NULL THEN scored END) OVER (PARTITION BY id))
+      AS is_procedure
+    FROM (SELECT speakerid, {_FEW} AS id, CASE WHEN is_procedure IS NOT NULL THEN is_procedure
+        WHEN length(speech) < {fv.PURGE_MAX_CHARS} AND ({_PURGED}) THEN 1 END AS label,
+        CASE WHEN 1 / (1 + exp(-(-1.0::double + 1.5::double * ({_PHRASES_USED})))) > {fv.CONFIDENCE_THRESHOLD} THEN 1 ELSE 0 END AS scored
+      FROM speeches)""",
+    SPEECHES,
+)
 sql(
     "apply_labels",
     """SELECT speech_id, congress_session, party, coalesce(label % 2, is_procedure) AS is_procedure

@@ -17,6 +17,8 @@ VOCABULARY = [*fv.POLICY_VOCABULARY, "the", "was", "with", "from", "of the"]
 CATEGORIES = {**fv.POLICY_CATEGORIES, "Function": ["was", "with", "from", "was with", "de la"]}
 # Ids are taken modulo this number in the tables of repeated ids.
 REPEATED_IDS = 100
+# Terms of the trained model that are shown.
+MODEL_TERMS = 200
 ROLES = ["user", "assistant", "system"]
 
 GAZETTEER = [

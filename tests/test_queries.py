@@ -17,7 +17,7 @@ def connection():
 
 def test_every_sql_belongs_to_a_query():
     assert set(ORACLE) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLE) == {"train_classifier"}
+    assert set(QUERIES) == set(ORACLE)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -26,12 +26,6 @@ def test_query_equals_sql(spark, connection, name):
     assert differences(got, sql_rows(connection, ORACLE[name])) is None
 
 
-def test_train_classifier_labels_all_open_speeches(spark):
-    rows = QUERIES["train_classifier"](spark, FOLDER).collect()
-    assert rows and {r.is_procedure for r in rows} <= {0, 1}
-    assert all(0.5 <= r.score <= 1 for r in rows)
-
-
 def test_entry(spark):
     df = entry_module.entry(spark)
     assert df.columns == ["year", "party", "party_name", "mention_count"]

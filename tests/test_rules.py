@@ -1,5 +1,10 @@
 """Denoising rules, labels, updates."""
 
+import math
+import random
+import re
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,6 +202,81 @@ def test_classifier_learns_a_clear_rule(spark):
     assert labels == {"a": 1, "b": 0}
 
 
+def plain_model(rows, stops=()):
+    """Scores of the open rows, word by word."""
+    words = lambda t: [w for w in re.findall(r"\w\w+", (t or "").lower()) if w not in stops]
+    known = [(words(t), y) for _, t, y in rows if t is not None and y is not None]
+    counts = [Counter(w for ws, y in known if y == k for w in ws) for k in (0, 1)]
+    kinds = len(counts[0] | counts[1])
+    size = [sum(c.values()) + kinds for c in counts]
+    prior = math.log((sum(y for _, y in known) + 1) / (sum(1 - y for _, y in known) + 1))
+    out = []
+    for i, t, y in rows:
+        if y is None:
+            seen = [w for w in words(t) if w in counts[0] or w in counts[1]]
+            z = prior + sum(math.log((counts[1][w] + 1) / (counts[0][w] + 1) * size[0] / size[1]) for w in seen)
+            p = 1 / (1 + math.exp(-z))
+            out.append((i, round(max(p, 1 - p), 6), int(p > 0.7)))
+    return sorted(out, key=str)
+
+
+def test_classifier_equals_a_plain_one(spark, without_broadcasts):
+    rng = random.Random(7)
+    words = ["the", "yield", "floor", "gold", "coin", "a", "stop", "bank"]
+    text = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(0, 6)))
+    rows = [(rng.choice(["1", "2", None, str(k)]), text(), rng.choice([0, 1, None])) for k in range(120)]
+    # equal rows, rows of one id, texts that are NULL, words never seen, a hot word
+    rows += [("7", "gold gold", None)] * 5 + [(None, None, None)] * 3 + [("8", None, 1), ("9", "unseen words", None)]
+    rows += [("h", "the " * 500, k % 2) for k in range(9)] + [("h", "the " * 400, None)]
+    df = spark.createDataFrame(rows, SPEECH)
+    names = ["speech_id", "score", "is_procedure"]
+
+    def got():
+        model = classify.train_classifier(df, ["stop"])
+        return sorted(map(tuple, classify.classify(df, model, ["stop"]).select(*names).collect()), key=str)
+
+    assert got() == plain_model(rows, ["stop"])
+    with without_broadcasts():
+        assert got() == plain_model(rows, ["stop"])
+
+
+def test_classifier_without_labels(spark):
+    df = spark.createDataFrame([("1", "any words", None), (None, None, None)], SPEECH)
+    scored = classify.classify(df, classify.train_classifier(df)).collect()
+    assert sorted((r.speech_id, r.score, r.is_procedure) for r in scored if r.speech_id) == [("1", 0.5, 0)]
+    assert len(scored) == 2
+    none = df.limit(0)
+    assert classify.classify(none, classify.train_classifier(none)).collect() == []
+
+
+def test_repeated_rows(spark, monkeypatch):
+    from speechloom.plans import rows as helper
+
+    monkeypatch.setattr(helper, "REPEATS", 4)
+    df = spark.createDataFrame([("a", 1), ("b", 4), ("c", 5), ("d", 13)], "x string, n long")
+    assert Counter(r.x for r in helper.repeated(df, "n").collect()) == {"a": 1, "b": 4, "c": 5, "d": 13}
+
+
+def test_what_has_a_label_keeps_it(spark):
+    rows = [("1", "plain words", 1), ("1", "plain words", None), ("2", "so ordered", None), (None, "x", None)]
+    df = spark.createDataFrame(rows, SPEECH)
+    labelled = classify.label_speeches(df, classify.phrase_scores, ["never found"])
+    assert sorted((str(r.speech_id), str(r.is_procedure)) for r in labelled.collect()) == [
+        ("1", "0"), ("1", "1"), ("2", "0"), ("None", "None"),
+    ]
+
+
+def test_updates_without_id_are_all_added(spark):
+    current = spark.createDataFrame([("1", "a", 0), (None, "mine", 1)], SPEECH)
+    new = spark.createDataFrame(
+        [(None, "x", 1), (None, "y", 2), (None, "y", 2), ("1", "b", 1)], "speech_id string, speech string, seq int"
+    )
+    got = updates.upsert_speeches(current, new, ["seq"], keep_labels=True)
+    assert sorted(((r.speech_id, r.speech, r.is_procedure) for r in got.collect()), key=str) == sorted(
+        [("1", "b", 0), (None, "mine", 1), (None, "x", None), (None, "y", None), (None, "y", None)], key=str
+    )
+
+
 def test_a_worker_needs_no_import_of_the_package(spark):
     import pickletools
 
