@@ -141,11 +141,18 @@ def available_sessions(hits: DataFrame) -> DataFrame:
 
 
 def speech_gallery(
-    hits: DataFrame, phrase: str, k: int = 5, session: int | None = None
+    hits: DataFrame,
+    phrase: str,
+    k: int = 5,
+    session: int | None = None,
+    speeches: DataFrame | None = None,
 ) -> DataFrame:
     """In one session, or in every session, the speeches that use the phrase most, with the phrase
     highlighted. The phrase is lower-case, the texts are not: only lower-case
-    uses count. The phrase counts as a pattern but is highlighted literally."""
+    uses count. The phrase counts as a pattern but is highlighted literally.
+
+    Speeches are ranked without their texts. Those of the winners are fetched from
+    ``speeches``, the table the hits are from (by default the hits themselves)."""
     phrase = phrase.lower()
     if session is not None:
         hits = hits.where(F.col("congress_session") == session)
@@ -153,12 +160,24 @@ def speech_gallery(
         "congress_session",
         "speech_id",
         "party",
-        "speech",
         F.regexp_count("speech", F.lit(phrase)).alias("relevance"),
+        F.md5("speech").alias("digest"),
+    )
+    order = [F.desc("relevance"), F.asc("speech_id"), F.asc("digest")]
+    winners = top_per_group(ranked, ["congress_session"], order, k)
+    # k rows for each session, of which the table has a folder each.
+    wanted = winners.select(
+        F.col("congress_session").alias("_session"), F.col("speech_id").alias("_id"), F.col("digest").alias("_digest")
+    ).distinct()
+    source = hits if speeches is None else speeches
+    same = source["congress_session"].eqNullSafe(F.col("_session")) & source["speech_id"].eqNullSafe(F.col("_id"))
+    texts = (
+        source.join(F.broadcast(wanted), same)
+        .where(F.md5("speech") == F.col("_digest"))
+        .groupBy("_digest")
+        .agg(F.first("speech").alias("speech"))
     )
-    return top_per_group(
-        ranked, ["congress_session"], [F.desc("relevance"), F.asc("speech_id")], k
-    ).select(
+    return winners.join(texts, F.col("digest") == F.col("_digest")).select(
         "congress_session",
         "rank",
         "speech_id",

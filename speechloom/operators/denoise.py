@@ -8,7 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from speechloom import fixed_values as fv
-from speechloom.functions.text import SPACE, counted, let, ngrams, space_tokens
+from speechloom.functions.text import SPACE, let, ngrams, space_tokens
+from speechloom.plans.bitmap import hash_bits, may_hold
+from speechloom.plans.exploding import explode_array
+from speechloom.plans.literals import literal_table
+from speechloom.plans.rows import repeated, row_digest
 
 
 def purge_label(
@@ -110,27 +114,35 @@ def bigram_substantive_table(
     """The same rule against a table of noise bigrams (column ``bigram``) that
     may be too large for a literal list: (key, is_substantive), a row for each
     speech, whatever its id."""
-    # Each speech counts its bigrams in its own row. An empty bigram, which no
-    # text has, stands for the speech, so that those without noise stay.
-    own = F.array(F.struct(F.lit("").alias("term"), F.lit(0).alias("tf")))
-    empty = speeches.sparkSession.createDataFrame([("",)], "bigram string")
+    # Of a speech's bigrams only those that may be noise get past the task that reads
+    # it. An empty bigram, which no text has, stands for the speech, so that those
+    # without noise stay. Equal speeches are added up together and parted at the end.
+    itself = F.array(F.lit(""))
+    empty = literal_table(speeches.sparkSession, [("",)], ["bigram"])
+    noise = noise_bigrams.select("bigram").where(F.col("bigram") != "").unionByName(empty)
+    some = hash_bits(noise_bigrams, "bigram")
     words = speeches.select(
         key,
-        F.monotonically_increasing_id().alias("row"),
+        row_digest(key, "speech").alias("row"),
         space_tokens(F.lower("speech")).alias("words"),
     )
-    pairs = F.concat(own, F.coalesce(counted(ngrams("words", 2)), F.array_remove(own, own[0])))
+    bigrams = F.concat(itself, F.coalesce(ngrams("words", 2), F.array_remove(itself, "")))
     numbers = (
-        words.select(key, "row", F.size("words").alias("n_words"), pairs.alias("pairs"))
-        .select(key, "row", "n_words", F.explode("pairs").alias("pair"))
-        .select(key, "row", "n_words", F.col("pair.term").alias("bigram"), F.col("pair.tf").alias("n"))
-        .join(noise_bigrams.select("bigram").unionByName(empty), "bigram", "left_semi")
-        .groupBy("row", key)
-        .agg(F.max("n_words").alias("n_words"), F.sum("n").alias("noise"))
+        explode_array(words.withColumn("n_words", F.size("words")), [key, "row", "n_words"], bigrams, "bigram")
+        .where((F.col("bigram") == "") | may_hold(some, F.col("bigram")))
+        .join(noise, "bigram", "left_semi")
+        .groupBy("row")
+        .agg(
+            F.max(key).alias(key),
+            F.max("n_words").alias("n_words"),
+            F.count_if(F.col("bigram") != "").alias("noise"),
+            F.count_if(F.col("bigram") == "").alias("copies"),
+        )
     )
-    share = F.try_divide("noise", "n_words")
+    share = F.try_divide(F.col("noise") / F.col("copies"), "n_words")
     verdict = (F.col("n_words") >= min_words) & (share < noise_share)
-    return numbers.select(key, F.coalesce(verdict, F.lit(False)).alias("is_substantive"))
+    judged = numbers.select(key, F.coalesce(verdict, F.lit(False)).alias("is_substantive"), "copies")
+    return repeated(judged, "copies")
 
 
 # ---------------------------------------------------------------- sampling

@@ -8,17 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from speechloom import fixed_values as fv
-from speechloom.functions.text import WORD, strip_space
+from speechloom.functions.text import WORD, strip_space, word_tokens
 from speechloom.plans.matching import term_spans
 
 
 def tag_entities(speeches: DataFrame, gazetteer: DataFrame, key: str = "speech_id") -> DataFrame:
     """Entity spans (key, position, ent_text, label) of a (term, label)
-    dictionary, which is unique by term and in lower case. Terms may have any
-    number of words; overlapping spans are all reported."""
+    dictionary. Terms are cut into words as texts are, so that dots, hyphens and
+    apostrophes part words in both; they may have any number of words, and
+    overlapping spans are all reported."""
     words = F.regexp_extract_all("speech", F.lit(f"[{WORD}]+"), F.lit(0))
     texts = speeches.select(key, words.alias("words"))
-    spans = term_spans(texts, [key], "words", gazetteer, F.split("term", " "))
+    spans = term_spans(texts, [key], "words", gazetteer, word_tokens("term"))
     return spans.select(key, "position", F.col("span").alias("ent_text"), "label")
 
 
@@ -30,9 +31,11 @@ def judge_entities(
 ) -> DataFrame:
     """Entities with their policy category, if any, and whether they are kept:
     no stop term, and a policy term or of a standard label. ``stop_terms`` has
-    the column term, ``policy`` the columns term and category."""
-    stops = stop_terms.select(F.col("term").alias("clean"), F.lit(True).alias("stopped")).distinct()
-    categories = policy.select(F.col("term").alias("clean"), "category")
+    the column term, ``policy`` the columns term and category. A term names an entity
+    as it stands and by its words; of two categories that it so gets, the first."""
+    named = F.explode(F.array_distinct(F.array("term", F.array_join(word_tokens("term"), " ")))).alias("clean")
+    stops = stop_terms.select(named).distinct().withColumn("stopped", F.lit(True))
+    categories = policy.select(named, "category").groupBy("clean").agg(F.min("category").alias("category"))
     # one lookup for both lists: the entities are joined once
     lookup = stops.join(categories, "clean", "full")
     wanted = F.col("category").isNotNull() | F.col("label").isin(list(labels))

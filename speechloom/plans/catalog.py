@@ -680,7 +680,8 @@ def available_sessions(spark, folder):
 
 @query
 def speech_gallery(spark, folder):
-    return corpus.speech_gallery(_hits(spark, folder), pm.PHRASE)
+    speeches = views.speeches(spark, folder, spread_out=True)
+    return corpus.speech_gallery(_hits(spark, folder), pm.PHRASE, speeches=speeches)
 
 
 @query

@@ -893,13 +893,14 @@ WORDS = """words AS (
 TAGGED = f"""tagged AS (
   SELECT speech_id, cast(i AS integer) AS "position", array_to_string(words[i + 1 : i + n], ' ') AS ent_text, label
   FROM (SELECT speech_id, words, unnest(range(0, len(words))) AS i FROM words) w
-  JOIN (SELECT *, len(string_split(term, ' ')) AS n FROM (VALUES {rows(pm.GAZETTEER)}) v(term, label)) g
-    ON split_part(g.term, ' ', 1) = lower(words[i + 1])
-    AND lower(array_to_string(words[i + 1 : i + n], ' ')) = g.term)"""
+  JOIN (SELECT *, parts[1] AS first, len(parts) AS n, array_to_string(parts, ' ') AS whole
+    FROM (SELECT term, label, {word_list('term')} AS parts FROM (VALUES {rows(pm.GAZETTEER)}) v(term, label))) g
+    ON g.first = lower(words[i + 1]) AND lower(array_to_string(words[i + 1 : i + n], ' ')) = g.whole)"""
 KEPT = f"""kept AS (
   SELECT t.*, p.category, lower(ent_text) NOT IN ({listed(pm.ENTITY_STOPS)}) AND
     (p.category IS NOT NULL OR label IN ({listed(fv.STANDARD_ENTITY_LABELS)})) AS keep
-  FROM tagged t LEFT JOIN (VALUES {rows(pm.POLICY_TERMS)}) p(term, category) ON p.term = lower(ent_text))"""
+  FROM tagged t LEFT JOIN (SELECT array_to_string({word_list('term')}, ' ') AS term, category
+    FROM (VALUES {rows(pm.POLICY_TERMS)}) v(term, category)) p ON p.term = lower(ent_text))"""
 _ENT = [SPEECHES, WORDS, TAGGED, KEPT]
 sql("entity_tag", "SELECT * FROM tagged", *_ENT[:3])
 sql(

@@ -26,9 +26,11 @@ GAZETTEER = [
     ("licensed under the apache license version", "LAW"),
     ("this work is licensed under the gnu general", "LAW"),
     ("with", "PERSON"), ("was", "DATE"), ("de la", "GPE"), ("and the of", "EVENT"),
+    ("cc by-sa 4.0", "LAW"), ("license, version 2.0", "LAW"), ("public-license", "EVENT"), ("o'brien", "PERSON"),
 ]
 ENTITY_STOPS = ["and", "mr speaker"]
-POLICY_TERMS = [("license", "Justice"), ("with", "Budget/Tax"), ("of the", "Infrastructure")]
+POLICY_TERMS = [("license", "Justice"), ("with", "Budget/Tax"), ("of the", "Infrastructure"),
+                ("cc by-sa 4.0", "Justice")]
 
 MERGED_LIST = "de"
 LEXICON = [

@@ -124,6 +124,23 @@ def test_gallery_cuts_before_the_shuffle(speeches):
     assert plan.index("Exchange") < plan.rindex("WindowGroupLimit")
 
 
+def test_gallery_ranks_without_texts(spark):
+    text = "gold and silver " * 3
+    rows = [("1", text, 45, "D"), ("1", text, 45, "D"), ("1", "gold", 45, "R"), (None, "gold", 45, "D"), (None, "gold gold", 46, "D"), ("2", "none", 46, "D")]
+    rows += [(str(k), "gold", 47, "D") for k in range(20)]
+    df = spark.createDataFrame(rows, "speech_id string, speech string, congress_session int, party string")
+    gallery = corpus.speech_gallery(df, "gold", k=4)
+    got = sorted(((r.congress_session, r["rank"], r.speech_id, r.relevance, r.highlighted.count("**GOLD**")) for r in gallery.collect()), key=str)
+    assert [g for g in got if g[0] == 45] == [(45, 1, "1", 3, 3), (45, 2, "1", 3, 3), (45, 3, None, 1, 1), (45, 4, "1", 1, 1)]
+    assert [g for g in got if g[0] == 46] == [(46, 1, None, 2, 2), (46, 2, "2", 0, 0)]
+    assert [g[2] for g in got if g[0] == 47] == ["0", "1", "10", "11"]
+    plan = gallery._jdf.queryExecution().executedPlan().toString()
+    ranking = plan[plan.index("WindowGroupLimit") :]
+    for line in ranking.splitlines():
+        if "Sort [congress_session" in line or "Exchange hashpartitioning(congress_session" in line:
+            assert "speech#" not in line
+
+
 def test_bulk_lookup(spark, speeches):
     ids = spark.createDataFrame([(" 1",), ("2 ",), ("2",), ("77",)], "speech_id string")
     assert sorted(r.speech_id for r in corpus.speeches_by_id(speeches, ids).collect()) == ["1", "2"]

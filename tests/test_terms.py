@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from speechloom import fixed_values as fv
 from speechloom.functions.text import counted
 from speechloom.operators import entities, lexicon, terms
-from speechloom.plans import joins
+from speechloom.plans import bitmap, joins
 
 SPEECH = "speech_id string, party string, speech string"
 
@@ -246,6 +247,54 @@ def test_terms_of_any_number_of_words(spark, without_broadcasts):
         check()
 
 
+def test_dotted_and_hyphenated_terms_are_found(spark, without_broadcasts):
+    text = "The U.S. Senate heard Mr. O'Brien at-large; AT LARGE."
+    speeches = spark.createDataFrame([("1", text)], "speech_id string, speech string")
+    gazetteer = spark.createDataFrame([("u.s. senate", "ORG"), ("o'brien", "PERSON"), ("at-large", "GPE"), ("?", "LAW")], "term string, label string")
+    want = [
+        ("1", 1, "U S Senate", "ORG"), ("1", 6, "O Brien", "PERSON"), ("1", 8, "at large", "GPE"), ("1", 10, "AT LARGE", "GPE"),
+    ]
+    assert sorted(map(tuple, entities.tag_entities(speeches, gazetteer).collect())) == want
+    with without_broadcasts():
+        tagged = entities.tag_entities(speeches, gazetteer)
+        assert sorted(map(tuple, tagged.collect())) == want
+    stops = spark.createDataFrame([("At-Large".lower(),)], "term string")
+    policy = spark.createDataFrame([("u.s. senate", "Courts"), ("o'brien", "People")], "term string, category string")
+    kept = entities.entity_table(entities.judge_entities(tagged, stops, policy)).collect()
+    assert [(r.entity, r.type) for r in kept] == [("U S Senate", "Courts"), ("O Brien", "People")]
+
+
+def test_a_dictionary_of_common_words(spark, without_broadcasts):
+    rng = random.Random(3)
+    common, rare = ["the", "of", "and"], [f"r{k}" for k in range(200)]
+    texts = [(str(k), " ".join(rng.choice(common) if rng.random() < 0.9 else rng.choice(rare) for _ in range(60)).title()) for k in range(60)]
+    listed = {" ".join(rng.choice(common if rng.random() < 0.7 else rare) for _ in range(rng.randint(1, 5))) for _ in range(400)}
+    listed |= {"the", "nowhere of", "the the the the the the the"}
+    want = []
+    for i, text in texts:
+        words = text.split()
+        for k in range(len(words)):
+            for n in range(1, 8):
+                span = " ".join(words[k : k + n])
+                if k + n <= len(words) and span.lower() in listed:
+                    want.append((i, k, span, "X"))
+    speeches = spark.createDataFrame(texts, "speech_id string, speech string")
+    gazetteer = spark.createDataFrame([(t, "X") for t in sorted(listed)], "term string, label string")
+    assert sorted(map(tuple, entities.tag_entities(speeches, gazetteer).collect())) == sorted(want)
+    with without_broadcasts():
+        assert sorted(map(tuple, entities.tag_entities(speeches, gazetteer).collect())) == sorted(want)
+
+
+def test_bitmap_holds_all_values_and_few_others(spark):
+    values = spark.range(1000).selectExpr("cast(id as string) as v")
+    bits = bitmap.hash_bits(values, "v")
+    held = spark.range(100_000).selectExpr("cast(id as string) as v").where(bitmap.may_hold(bits, F.col("v")))
+    got = {int(r.v) for r in held.collect()}
+    assert got >= set(range(1000)) and len(got) < 1200
+    nothing = bitmap.hash_bits(values.limit(0), "v")
+    assert values.where(bitmap.may_hold(nothing, F.col("v"))).count() == 0
+
+
 def test_space_around_an_entity(spark):
     found = spark.createDataFrame([("1", 0, "Tax ", "MONEY")], "speech_id string, position int, ent_text string, label string")
     stops = spark.createDataFrame([], "term string")
