@@ -444,6 +444,14 @@ def ingest_stream_json(spark, folder):
     return speech_table.read_speeches(spark, f"{root}/table").select(*fv.PRODUCTION_COLUMNS)
 
 
+@query
+def ingest_stream_folded(spark, folder):
+    """The base that the stream keeps current by itself."""
+    base = f"{work_folder(spark)}/base"
+    _ingest_twice(spark, folder, lambda df, path: df.write.parquet(path), base=base)
+    return speech_table.read_speeches(spark, base).select(*fv.PRODUCTION_COLUMNS)
+
+
 # ---------------------------------------------------------------- denoising
 
 

@@ -922,4 +922,4 @@ sql(
     *_ENT,
 )
 
-ORACLE["ingest_stream_json"] = ORACLE["ingest_stream"]
+ORACLE["ingest_stream_json"] = ORACLE["ingest_stream_folded"] = ORACLE["ingest_stream"]

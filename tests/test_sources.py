@@ -213,3 +213,14 @@ def test_upsert_writes_only_sessions_it_touches(spark, tmp_path):
         assert before[82] | before[84] <= files()
     speech_table.upsert_sessions(spark, new.limit(0), path, ["seq"])
     assert speech_table.read_speeches(spark, path).count() == 7
+
+
+def test_distinct_counts_move_no_texts(spark):
+    from speechloom.operators import profile
+
+    df = spark.createDataFrame([("a", 1, None), ("a", 2, None), (None, 2, None), ("", 3, None)], "t string, n int, z string")
+    counts = profile.distinct_counts({"x": df, "none": df.limit(0)})
+    got = {(r.table_name, r.column_name): r.n_distinct for r in counts.collect()}
+    assert got == {("x", "t"): 2, ("x", "n"): 3, ("x", "z"): 0, ("none", "t"): 0, ("none", "n"): 0, ("none", "z"): 0}
+    arrays = spark.createDataFrame([([1.0, 2.0],), ([1.0, 2.0],), ([2.0],), (None,)], "e array<float>")
+    assert profile.distinct_counts({"e": arrays}).first().n_distinct == 2

@@ -1,3 +1,5 @@
+import pytest
+
 from speechloom.schema import GRANULES
 from speechloom.sources.speech_table import read_speeches
 from speechloom.streaming import ingest as stream
@@ -67,3 +69,39 @@ def test_stream_table_is_production_format(spark, tmp_path):
     stream.ingest(spark, f"{landing}/*", changes, str(tmp_path / "checkpoint"))
     row = stream.current_speeches(spark, changes).first()
     assert row.is_procedure is None and row.congress_session == 115 and row.date == 20180105
+
+
+def test_the_stream_keeps_its_base(spark, tmp_path, monkeypatch):
+    landing, changes, checkpoint, base = (str(tmp_path / n) for n in ("landing", "changes", "checkpoint", "base"))
+    folded, fold_batch = [], stream._fold_batch
+    fail = {"before": False, "after": False}
+
+    def fold(spark_, batch, base_):
+        if fail["before"]:
+            raise RuntimeError("killed before the fold")
+        fold_batch(spark_, batch, base_)
+        folded.append(batch.rsplit("=", 1)[1])
+        if fail["after"]:
+            raise RuntimeError("killed after the fold, before its entry")
+
+    monkeypatch.setattr(stream, "_fold_batch", fold)
+
+    def run():
+        stream.ingest(spark, f"{landing}/*", changes, checkpoint, files_per_batch=1, base=base)
+        return texts(read_speeches(spark, base))
+
+    land(spark, landing, "a", [granule(1, "one"), granule(2, "two"), granule(2, "two-a")])
+    want = {"PgH1": "one", "PgH2": "two-a"}
+    assert run() == run() == want and folded == ["0"]
+    for moment, mark in (("before", "two-b"), ("after", "two-c")):
+        land(spark, landing, moment, [granule(2, mark), granule(4, mark, "CREC-2018-01-06")])
+        fail[moment] = True
+        with pytest.raises(Exception, match="killed"):
+            run()
+        fail[moment] = False
+        want = {"PgH1": "one", "PgH2": mark, "PgH4": mark}
+        assert run() == run() == want
+        assert texts(stream.current_speeches(spark, changes)) == want
+    # the batch that was folded but not entered was folded again, no other twice
+    assert folded == ["0", "1", "2", "2"]
+    assert sorted(r.batch for r in stream.folded_batches(spark, base).collect()) == [0, 1, 2]
