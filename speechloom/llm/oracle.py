@@ -103,7 +103,8 @@ from d left join k using (row)
 ORACLE["op2_suffix_dedup"] = _op2()
 
 
-def _op4() -> str:
+def _op4(levels: int = 8) -> str:
+    """For paths of at most ``levels`` segments."""
     u = url_filter
     rule = verdict = "null"
     for r in reversed(u.by_length(u.RULES)):
@@ -139,7 +140,7 @@ with a as (
         f" < {u.BOUND} * (1 / sqrt({{of}}) + 1 / sqrt(all_{{of}})))"
     )
     both = alike.format(part="blocked", of="labelled") + " and " + alike.format(part="more", of="n")
-    for k in range(u.DEPTH):
+    for k in range(levels):
         parts.append(
             f""", s{k} as (
   select *, case when len(segments) > {k} then segments[{k + 1}] end as segment,
@@ -179,9 +180,9 @@ with a as (
     parts.append(
         f"""
 select page_id, host, path, rule,
-       coalesce(ruled, case when share >= {u.REJECT} then 'block' else 'allow' end) as verdict,
-       node as template, share
-from d join (select host as h, shape, node, share from r{u.DEPTH}) t
+       coalesce(ruled, case when known and share >= {u.REJECT} then 'block' else 'allow' end) as verdict,
+       node as template, round(share, 9) as share
+from d join (select host as h, shape, node, share, bool_or(labelled > 0) over (partition by host) as known from r{levels}) t
   on t.h = d.host and t.shape = array_to_string(d.whole, '/')
 """
     )

@@ -13,8 +13,10 @@ tree carries these labels over to pages no rule speaks of:
    share among all labels. Templates whose smoothed share is high are rejected,
    if their host has a label at all: the share of other hosts is no evidence.
 
-All steps are grouping and joins of counts; no step lists the children of a
-node in one place.
+The tree goes down until no path has a further segment. A path that is alone in its
+node is taken to its end at once, as what is left of it cannot differ from its node.
+All steps are grouping and joins of counts; no step lists the children of a node in
+one place.
 """
 
 from __future__ import annotations
@@ -26,8 +28,6 @@ from pyspark.sql import functions as F
 
 from speechloom.llm.columns import cut
 
-# Levels of a path that the tree tells apart.
-DEPTH = 4
 # A node varies if it has so many children, and so many of its paths each.
 LEAST_CHILDREN, LEAST_VARIETY = 8, 0.5
 # A child of so many paths, and of such a share of its node's, stays itself.
@@ -92,7 +92,7 @@ def _sums(*names: str) -> list[Column]:
     return [F.sum(name).alias(name) for name in names]
 
 
-COUNTS = ("n", "labelled", "blocked", "more")
+COUNTS = ("n", "labelled", "blocked", "more", "going")
 
 
 def _descend(rows: DataFrame, level: int) -> DataFrame:
@@ -102,7 +102,7 @@ def _descend(rows: DataFrame, level: int) -> DataFrame:
     segment = F.element_at("segments", F.least(F.lit(level + 1), F.size("segments")))
     rows = rows.withColumn("segment", F.when(here, segment)).withColumn(
         "more", F.when(F.size("segments") > level + 1, F.col("n")).otherwise(F.lit(0))
-    )
+    ).withColumn("going", F.when(F.size("segments") > level + 1, 1).otherwise(0))
     active = rows.where(here)
     children = active.groupBy("host", "node", "segment").agg(*_sums(*COUNTS), F.first("share").alias("share"))
     whole = {name: f"all_{name}" for name in COUNTS}
@@ -132,31 +132,42 @@ def _descend(rows: DataFrame, level: int) -> DataFrame:
     merged = alike("blocked", "labelled") & alike("more", "n")
     branches = branches.withColumn("branch", F.when(merged, F.lit("+")).otherwise(F.concat(F.lit("="), "token")))
     shares = branches.groupBy("host", "node", "branch").agg(
-        *_sums("labelled", "blocked"), F.first("share").alias("share")
+        *_sums("labelled", "blocked", "going"), F.first("share").alias("share")
     )
     shares = shares.select(
         "host",
         "node",
         "branch",
+        (F.col("going") == 1).alias("alone"),
         ((F.col("blocked") + SMOOTHING * F.col("share")) / (F.col("labelled") + SMOOTHING)).alias("new_share"),
     )
     found = (
         tokens.select("host", "node", "segment", "token")
         .join(branches.select("host", "node", "token", "branch"), ["host", "node", "token"])
         .join(shares, ["host", "node", "branch"])
-        .select("host", "node", "segment", "branch", "new_share")
+        .select("host", "node", "segment", "branch", "alone", "new_share")
+    )
+    left = F.when(F.col("alone"), F.greatest(F.size("segments") - (level + 1), F.lit(0))).otherwise(F.lit(0))
+    rows = (
+        rows.join(found, ["host", "node", "segment"], "left")
+        .withColumn("left", left)
+        .withColumn("share", F.coalesce("new_share", "share"))
     )
-    return rows.join(found, ["host", "node", "segment"], "left").select(
+    # A path on its own is like its node on every level left, which draws the share
+    # to that of its labels, each time by the same factor.
+    own = F.col("blocked") / F.col("labelled")
+    drawn = own + (F.col("share") - own) * F.pow(SMOOTHING / (F.col("labelled") + SMOOTHING), F.col("left"))
+    return rows.select(
         "host",
         "shape",
-        "segments",
+        F.when(F.col("left") > 0, F.slice("segments", 1, level + 1)).otherwise(F.col("segments")).alias("segments"),
         "n",
         "labelled",
         "blocked",
         F.when(F.col("branch").isNull(), F.col("node"))
-        .otherwise(F.concat_ws("/", "node", "branch"))
+        .otherwise(F.concat(F.col("node"), F.lit("/"), F.col("branch"), F.repeat(F.lit("/+"), F.col("left"))))
         .alias("node"),
-        F.coalesce("new_share", "share").alias("share"),
+        F.when((F.col("left") > 0) & (F.col("labelled") > 0), drawn).otherwise(F.col("share")).alias("share"),
     )
 
 
@@ -179,8 +190,10 @@ def template_shares(labelled: DataFrame) -> DataFrame:
         F.lit("").alias("node"),
         F.lit(start).alias("share"),
     )
-    for level in range(DEPTH):
+    level = 0
+    while rows.where(F.size("segments") > level).take(1):
         rows = cut(_descend(rows, level))
+        level += 1
     hosts = counted.where("labelled > 0").select("host", F.lit(True).alias("known")).distinct()
     return rows.join(hosts, "host", "left").select(
         "host",
@@ -202,8 +215,7 @@ def judged(
     fits, else null), ``verdict`` (allow or block), ``template`` and ``share``.
 
     A null URL and one without ``://`` have an empty host and path, to which no
-    rule fits; they form one template. A path of more segments than the tree has
-    levels is judged by its first ones. Ids may be null or repeat, every row gets
+    rule fits; they form one template. Ids may be null or repeat, every row gets
     a verdict. On a host without any label all is allowed; the share then is that
     of all labels. Other columns play no part. An empty table gives an empty table.
     """
@@ -227,5 +239,5 @@ def judged(
         "rule",
         F.coalesce("ruled", F.when(bad, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
         "template",
-        "share",
+        F.round("share", 9).alias("share"),
     )
