@@ -242,9 +242,9 @@ def test_quotes_link_messages(spark):
         (1, 2): (0, 1, 2, "good to hear"),
         (1, 3): (0, 0, 1, "yes"),
         (1, 4): (4, None, 0, "new topic"),
-        (1, 5): (5, None, 0, "ok"),
+        (1, 5): (5, None, 0, "> not said\nok"),
         (1, 6): (0, 2, 3, "bye"),
-        (2, 0): (0, None, 0, "other conversation"),
+        (2, 0): (0, None, 0, f"> {hello}\nother conversation"),
     }
 
 
@@ -267,6 +267,53 @@ def test_parts_of_paragraphs_and_deeper_quotes_link_messages(spark):
     assert got == {0: None, 1: 0, 2: 0, 3: 0, 4: None, 5: 4, 6: 0, 7: 4, 8: None, 9: 0}
 
 
+def test_marked_lines_that_quote_nothing_stay(spark):
+    said = "The build fails on my machine since this morning."
+    rows = [
+        (0, said),
+        (1, "Try this:\n>>> print(1)\n1\nworks"),
+        (2, "Use\n> npm install\nthen run"),
+        (3, f"On Monday x wrote:\n> {said}\n\nTry\n> npm install\n\nand\n>  {said}\nagain"),
+        (3, f"> nobody said this here\nother row of the turn\n> {said}"),
+        (4, "On Monday x wrote:\n> nobody has said these words\nodd"),
+        (5, ""), (6, None), (7, "a > b"),
+    ]
+    messages = spark.createDataFrame([(1, *r) for r in rows], "conv_id long, turn long, text string").selectExpr("*", "'u' as role")
+    got = sorted(((r.turn, r.reply_to, r.text) for r in quotation.formatted(messages).collect() if r.text is not None), key=lambda x: (x[0], x[2]))
+    assert got == [
+        (0, None, said), (1, None, rows[1][1]), (2, None, rows[2][1]),
+        (3, 0, "> nobody said this here\nother row of the turn"), (3, 0, "Try\n> npm install\n\nand\nagain"),
+        (4, None, rows[5][1]), (5, None, ""), (7, None, "a > b"),
+    ]
+
+
+def test_planted_quotes_are_linked(spark):
+    """Replies that quote an earlier message, whole or in part, wrapped or not."""
+    rng = random.Random(12)
+    words = [f"w{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    rows, planted = [], {}
+    for conv in range(40):
+        texts = []
+        for turn in range(8):
+            text = "\n\n".join(" ".join(rng.choice(words) for _ in range(rng.randint(8, 30))).capitalize() + "." for _ in range(rng.randint(1, 3)))
+            texts.append(text)
+            if turn and rng.random() < 0.6:
+                answered = rng.randrange(turn)
+                quote = rng.choice(texts[answered].split("\n\n"))
+                if rng.random() < 0.5:
+                    quote = textwrap.fill(quote, 40)
+                if rng.random() < 0.3:
+                    quote = " ".join(quote.split()[2:])
+                planted[conv, turn] = answered
+                text = "\n".join("> " + line for line in quote.split("\n")) + "\n\n" + text
+            rows.append((conv, turn, "u", text))
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): r for r in quotation.formatted(messages).collect()}
+    linked = {k: r.reply_to for k, r in got.items() if r.reply_to is not None}
+    assert linked == planted and len(planted) > 100
+    assert not any(r.text.startswith(">") for r in got.values())
+
+
 def test_long_chains_of_replies(spark):
     rows = [(1, 0, "message number zero says this")]
     rows += [(1, k, f"> message number {'zero' if k == 1 else k - 1} says this\nmessage number {k} says this") for k in range(1, 40)]
