@@ -51,6 +51,11 @@ TEMPLATES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ),
+    "gpl-2.0": (
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or any later version.",
+        "SPDX-License-Identifier: GPL-2.0-only",
+    ),
     "lgpl": (
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
@@ -69,6 +74,25 @@ TEMPLATES = {
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
     ),
+    "epl-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+        "SPDX-License-Identifier: EPL-2.0",
+    ),
+    "isc": (
+        "Released under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "SPDX-License-Identifier: ISC",
+    ),
+    "zlib": (
+        "Released under the zlib License.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions.",
+        "SPDX-License-Identifier: Zlib",
+    ),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain.",
+        "Released under the Unlicense.",
+        "SPDX-License-Identifier: Unlicense",
+    ),
     "cc-by-4.0": (
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
@@ -90,7 +114,12 @@ TEMPLATES = {
 NAMES = {
     "apache-2.0": ("apache",),
     "mit": ("mit", "permission is hereby granted"),
-    "gpl-3.0": ("gnu general public", "gpl 3"),
+    "gpl-3.0": ("gnu general public", "gpl"),
+    "gpl-2.0": ("gnu general public", "gpl"),
+    "epl-2.0": ("eclipse public", "epl"),
+    "isc": ("isc", "this permission notice appear"),
+    "zlib": ("zlib", "redistribute it freely"),
+    "unlicense": ("unlicense", "free and unencumbered"),
     "lgpl": ("lesser general public", "lgpl"),
     "agpl-3.0": ("affero general public", "agpl"),
     "bsd": ("bsd", "redistribution and use"),
@@ -100,6 +129,19 @@ NAMES = {
     "cc-by-nc-4.0": ("by nc", "attribution noncommercial"),
     "cc0-1.0": ("cc0", "public domain"),
 }
+# What must stand with the name where a family is one version of several.
+VERSIONS = {
+    "apache-2.0": ("2 0", "version 2", "v2", "apache 2"),
+    "gpl-3.0": ("version 3", "gpl 3", "v3", "v 3", "license 3"),
+    "gpl-2.0": ("version 2", "gpl 2", "v2", "v 2", "license 2"),
+    "agpl-3.0": ("version 3", "agpl 3", "v3", "v 3", "license 3"),
+    "mpl-2.0": ("2 0", "version 2", "v2", "mpl 2"),
+    "epl-2.0": ("2 0", "version 2", "v2", "epl 2"),
+}
+# By which a text says that a licence does not hold.
+DENIED = re.compile(
+    r"\b(?:not|never|no longer) (?:\w+ ){0,2}(?:licensed|released|distributed|available|covered|published)\b"
+)
 # Lines that speak of licences but are no notice of a family.
 DECOYS = (
     "All rights reserved.",
@@ -119,7 +161,9 @@ UNKNOWN = "unknown"
 WORDS = re.compile(r"\w+")
 GRAMS = 3
 # Variants of each template to train and to calibrate on, and corpus paragraphs.
-VARIANTS, HELD_VARIANTS, CORPUS_DOCS, CORPUS_PARAGRAPHS, CORPUS_WORDS = 24, 8, 300, 2000, 200
+VARIANTS, HELD_VARIANTS, CORPUS_DOCS, CORPUS_PARAGRAPHS = 24, 8, 300, 2000
+# Long lines are cut into pieces of so many words, each of which may be drawn.
+PIECE_WORDS = 200
 # N-grams in a larger share of corpus paragraphs tell nothing about licences.
 COMMON_SHARE = 0.005
 RIDGE, ROUNDS = 1e-4, 300
@@ -185,7 +229,7 @@ def fit(background: list[str]) -> Classifier:
     for k, decoy in enumerate(DECOYS):
         train += [(w, unknown) for w in _variants(decoy, VARIANTS, 900_000 + k)]
         held += [(w, unknown) for w in _variants(decoy, HELD_VARIANTS, 950_000 + k)[1:]]
-    plain = [words_of(p)[:CORPUS_WORDS] for p in background]
+    plain = [words_of(p) for p in background]
     # A licence line of the corpus is no example of the unknown class.
     sure = {g for t in TEMPLATES.values() for x in t for g in grams_of(words_of(x)) if len(g) == GRAMS}
     plain = [w for w in plain if w and not grams_of(w) & sure]
@@ -272,9 +316,22 @@ def _stretches(at: list[int], found: list, pattern: tuple) -> list[tuple[int, in
     return out
 
 
+def named(words: list[str], start: int, end: int, family: str) -> bool:
+    """Whether a stretch of words has a name of the family, with its version there or
+    in the few words after it, and does not deny the licence."""
+    text = f" {' '.join(words[start:end])} "
+    after = f" {' '.join(words[start : end + MORE_WORDS])} "
+    versions = VERSIONS.get(family)
+    if not any(f" {name} " in text for name in NAMES[family]):
+        return False
+    if versions and not any(f" {version} " in after for version in versions):
+        return False
+    return not DENIED.search(" ".join(words[max(0, start - MORE_WORDS) : end]))
+
+
 def confirmed(words: list[str]) -> list[tuple[int, int, str]]:
     """(first, one past the last word, family) of the stretches of a paragraph
-    that hold enough of a template and a name of its family."""
+    that hold enough of a template and are ``named`` as its family."""
     if FIRST_NAMES.isdisjoint(words):
         return []
     hits: dict[int, tuple[list, list]] = {}
@@ -287,8 +344,7 @@ def confirmed(words: list[str]) -> list[tuple[int, int, str]]:
     for number, (at, found) in hits.items():
         family = PATTERNS[number][0]
         for start, end in _stretches(at, found, PATTERNS[number]):
-            text = f" {' '.join(words[start:end])} "
-            if any(f" {name} " in text for name in NAMES[family]):
+            if named(words, start, end, family):
                 by_family.setdefault(family, []).append((start, end))
     out = []
     for family, spans in by_family.items():
@@ -362,7 +418,8 @@ def _guess(words: list[str], model: Classifier, family: str | None = None) -> tu
     if family is None and (model.classes[best] == UNKNOWN or p[best] < LEAST_PROBABILITY):
         return None
     like = similarity(words, model.classes[best])
-    return model.classes[best], float(p[best]), like, like >= LEAST_SIMILARITY
+    sure = like >= LEAST_SIMILARITY and named(words, 0, len(words), model.classes[best])
+    return model.classes[best], float(p[best]), like, sure
 
 
 def train(docs: DataFrame, id_column: str, text_column: str) -> Classifier:
@@ -372,9 +429,13 @@ def train(docs: DataFrame, id_column: str, text_column: str) -> Classifier:
         F.col(f"`{text_column}`").cast("string").alias("text"),
     )
     some = few_by_hash(rows.where("text is not null"), ["id", "text"], CORPUS_DOCS, docs.count())
-    lines = some.select(F.explode(F.split("text", "\n")).alias("line")).where("line <> ''").distinct()
-    short = F.substring_index("line", " ", CORPUS_WORDS).alias("line")
-    found = lines.orderBy(F.xxhash64("line"), "line").limit(CORPUS_PARAGRAPHS).select(short).collect()
+    words = some.select(F.explode(F.split("text", "\n")).alias("line")).select(F.split("line", " ").alias("words"))
+    pieces = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("words") - 1) / PIECE_WORDS).cast("int")),
+        lambda k: F.array_join(F.slice("words", k * PIECE_WORDS + 1, F.lit(PIECE_WORDS)), " "),
+    )
+    lines = words.select(F.explode(pieces).alias("line")).where("line <> ''").distinct()
+    found = lines.orderBy(F.xxhash64("line"), "line").limit(CORPUS_PARAGRAPHS).collect()
     return fit(sorted(r["line"] for r in found))
 
 

@@ -148,6 +148,35 @@ def test_wrapped_and_several_licences():
         assert {family for _, family in found(line)} == families, line[:60]
 
 
+def test_near_misses_are_not_confirmed():
+    model = license_scan.fit(["the quick brown fox jumps over the dog", "the terms of the contract"])
+    wrapped = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version {} of the License, or\n(at your option) any later version."
+    planted = [
+        ("SPDX-License-Identifier: ISC", {"isc"}),
+        ("SPDX-License-Identifier: GPL-2.0-only", {"gpl-2.0"}),
+        ("SPDX-License-Identifier: GPL-3.0-only", {"gpl-3.0"}),
+        ("SPDX-License-Identifier: WTFPL", set()),
+        ("SPDX-License-Identifier: MPL-1.1", set()),
+        ("SPDX-License-Identifier: EPL-2.0", {"epl-2.0"}),
+        (wrapped.format(2), {"gpl-2.0"}),
+        (wrapped.format(3), {"gpl-3.0"}),
+        (wrapped.format("two"), set()),
+        ("the software is not licensed under the MIT License.", set()),
+        ("It is no longer released under the Apache License, Version 2.0.", set()),
+        ("Licensed under the Apache License, Version 1.1.", set()),
+        ("Released under the MIT License, not under the GPL.", {"mit"}),
+        ("Released under the ABC License.", set()),
+        ("Released under the zlib License.", {"zlib"}),
+        ("This is free and unencumbered software released into the public domain.", {"unlicense"}),
+        ("We met at MIT and released the terms of the new license plate.", set()),
+        ("He was granted permission, free of charge, to use the hall for any purpose.", set()),
+    ]
+    for text, families in planted:
+        for around in ("{}", "Copyright 2020 by us.\n{}\nThe cat sat on the mat.", "first\n\n{}\n\nlast"):
+            found = {n[3] for n in license_scan.notices(around.format(text), model) if n[6]}
+            assert found == families, (text, found)
+
+
 def test_licences_of_the_table_are_found(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     lines = {r.doc_id: len(re.findall(r"(?im)^.*licensed?\b.*$", r.text)) for r in docs.collect()}
