@@ -1,10 +1,11 @@
 """Toxicity by a counterfactual-regularised classifier.
 
-Logistic regression on the words a text holds and on their beginnings. Terms that name a group of people
-must not decide: for each labelled text with such a term the same text with
-another term of its kind is made, and the difference of the two scores (before
-the logistic) is penalised; so is the difference of the weights of any two terms
-of a kind, whether they occur or not.
+Logistic regression on the words a text holds and on their beginnings. Terms that
+name a group of people must not decide: each labelled text with such terms is made
+twice more, once with the next terms of their kinds and once without any, and the
+squared differences of the scores (before the logistic) are penalised, as their mean
+over all these texts. So neither which group is named nor that one is named moves a
+score by itself.
 
 The fit takes a bounded number of labelled texts; the hashed words keep each of
 them bounded, too. Scoring reads every text where it is.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,7 +37,8 @@ SELECTED = 2000
 # A feature must occur in so many labelled texts, and this unevenly (chi square).
 LEAST_TEXTS, LEAST_CHI = 5, 15.0
 RIDGE = 1e-4
-COUNTERFACTUAL = 1.0
+# Weight of the mean squared difference to the swapped texts.
+COUNTERFACTUAL = 10.0
 ROUNDS = 400
 HELD_OUT_PARTS, HELD_OUT = 5, 0
 THRESHOLD = 0.5
@@ -64,14 +67,26 @@ def features(text: str | None) -> set[int]:
     return _features(set(WORDS.findall((text or "").lower())))
 
 
-def swaps() -> list[tuple[set[int], set[int]]]:
-    """The features that a text loses and gains when an identity term in it is
-    exchanged for the next of its kind."""
-    out = []
-    for terms in IDENTITY.values():
-        kind = [_features({term}) for term in terms.split()]
-        out += [(a - b, b - a) for a, b in zip(kind, [*kind[1:], kind[0]])]
-    return out
+NEXT = {
+    a: b for terms in map(str.split, IDENTITY.values()) for a, b in zip(terms, [*terms[1:], terms[0]])
+}
+
+
+def swapped(words: set[str]) -> list[set[str]]:
+    """The words with the next identity terms of their kinds, and without any; none
+    for words without identity terms."""
+    if NEXT.keys().isdisjoint(words):
+        return []
+    return [{NEXT.get(w, w) for w in words}, words - NEXT.keys()]
+
+
+def changes(text: str | None) -> list[tuple[list[int], list[int]]]:
+    """The features that each swapped text has and the text itself has not, and those
+    that it has not any more."""
+    words = set(WORDS.findall((text or "").lower()))
+    own = _features(words)
+    made = [_features(other) for other in swapped(words)]
+    return [(sorted(f - own), sorted(own - f)) for f in made]
 
 
 @dataclass(frozen=True)
@@ -98,13 +113,19 @@ def _selected(texts: list[np.ndarray], y: np.ndarray) -> list[int]:
     spread = both * (n1 / max(n, 1)) * (1 - n1 / max(n, 1)) * (1 - both / max(n, 1)) + 1e-9
     chi = np.where(both >= LEAST_TEXTS, (ones - expected) ** 2 / spread, -1)
     best = np.argsort(-chi, kind="stable")[:SELECTED]
-    terms = {f for pair in swaps() for side in pair for f in side}
+    terms = {f for term in NEXT for f in _features({term})}
     return sorted({*ids[best[chi[best] > LEAST_CHI]].tolist(), *terms})
 
 
-def fit(texts: list[np.ndarray], labels: list[int], share: float) -> Classifier:
+def fit(
+    texts: list[np.ndarray],
+    labels: list[int],
+    share: float,
+    changed: list[tuple[list[int], list[int]]] = (),
+) -> Classifier:
     """Logistic regression on the texts' features; ``share`` is that of label 1
-    among all labelled texts, to which the scores are calibrated."""
+    among all labelled texts, to which the scores are calibrated. ``changed`` has the
+    ``changes`` of all texts."""
     y = np.array(labels, float)
     if len(y) == 0 or y.min() == y.max():
         # Nothing to tell apart: every text gets the share of label 1.
@@ -115,15 +136,16 @@ def fit(texts: list[np.ndarray], labels: list[int], share: float) -> Classifier:
     x = np.zeros((len(texts), len(chosen)), np.float32)
     for row, found in enumerate(texts):
         x[row, [place[f] for f in found.tolist() if f in place]] = 1
-    # A row per exchange of identity terms: what the counterfactual text gains
-    # and loses. It counts once, and once more for each text that holds the term.
-    change = np.zeros((len(swaps()), len(chosen)))
-    strength = np.ones(len(change))
-    for row, (lost, gained) in enumerate(swaps()):
-        lost, gained = [place[f] for f in lost], [place[f] for f in gained]
-        change[row, gained], change[row, lost] = 1, -1
-        strength[row] += x[:, lost].all(1).sum() if lost else 0
-    strength /= len(texts)
+    # A row per kind of change, which weighs as many texts as have it. Terms that no
+    # text has are once put into an empty text, so that they stay alike, too.
+    kinds = Counter((tuple(gained), tuple(lost)) for gained, lost in changed)
+    kinds.update((tuple(gained), tuple(lost)) for term in NEXT for gained, lost in changes(term))
+    change, strength = np.zeros((len(kinds), len(chosen)), np.float32), np.empty(len(kinds))
+    for row, ((gained, lost), count) in enumerate(sorted(kinds.items())):
+        change[row, [place[f] for f in gained if f in place]] = 1
+        change[row, [place[f] for f in lost if f in place]] = -1
+        strength[row] = count
+    strength /= strength.sum()
     # Both labels weigh the same; the bias is set right afterwards.
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
     w, bias = np.zeros(len(chosen)), 0.0
@@ -132,7 +154,7 @@ def fit(texts: list[np.ndarray], labels: list[int], share: float) -> Classifier:
         p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32) + bias, -50, 50)))
         error = weight * (p - y)
         grad = error.astype(np.float32) @ x + RIDGE * w
-        grad += COUNTERFACTUAL * change.T @ (strength * (change @ w))
+        grad += COUNTERFACTUAL * (strength * (change @ w)) @ change
         grad = np.append(grad, error.sum())
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad**2
@@ -164,14 +186,16 @@ def train(
 
     def run(batches):
         for batch in portions(batches):
-            hashed = [sorted(features(text)) for text in batch.column("_tx_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hashed, pa.list_(pa.int32())), batch.column("_tr_label")], ["x", "y"]
-            )
+            texts = batch.column("_tx_text").to_pylist()
+            numbers = pa.list_(pa.int32())
+            hashed = pa.array([sorted(features(text)) for text in texts], numbers)
+            made = pa.array([changes(text) for text in texts], pa.list_(pa.list_(numbers)))
+            yield pa.RecordBatch.from_arrays([hashed, batch.column("_tr_label"), made], ["x", "y", "changed"])
 
-    known = found.mapInArrow(run, "x array<int>, y int").toArrow()
+    known = found.mapInArrow(run, "x array<int>, y int, changed array<array<array<int>>>").toArrow()
     texts = [x.values.to_numpy() for x in known.column("x")]
-    return fit(texts, known.column("y").to_pylist(), share)
+    changed = [pair for made in known.column("changed").to_pylist() for pair in made]
+    return fit(texts, known.column("y").to_pylist(), share, changed)
 
 
 def scored(

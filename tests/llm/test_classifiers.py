@@ -34,17 +34,59 @@ def test_held_out_labels_are_never_learnt(spark):
         assert sorted(map(tuple, module.scored(docs, labels).collect())) == sorted(map(tuple, module.scored(docs, turned).collect()))
 
 
+def logit(model, text):
+    return np.log(model.score(text) / (1 - model.score(text)))
+
+
+def fitted(texts, labels, strength=None):
+    hashed = [np.array(sorted(toxicity.features(t))) for t in texts]
+    changed = [c for t in texts for c in toxicity.changes(t)]
+    toxicity.COUNTERFACTUAL, old = toxicity.COUNTERFACTUAL if strength is None else strength, toxicity.COUNTERFACTUAL
+    try:
+        return toxicity.fit(hashed, labels, sum(labels) / len(labels), changed)
+    finally:
+        toxicity.COUNTERFACTUAL = old
+
+
+def test_swapped_texts():
+    assert toxicity.swapped({"a", "nice", "day"}) == []
+    assert toxicity.swapped({"a", "muslim", "friend"}) == [{"a", "jewish", "friend"}, {"a", "friend"}]
+    assert toxicity.changes(None) == toxicity.changes("no such term") == []
+    (gained, lost), (none, all_lost) = toxicity.changes("A Muslim friend")
+    assert lost == all_lost == sorted(toxicity._features({"muslim"})) and none == []
+    assert gained == sorted(toxicity._features({"jewish"}))
+
+
 def test_group_terms_do_not_decide():
+    """At the strength that is used: no gap between groups, no alarm at a mention."""
     texts = ["the muslim idiot"] * 30 + ["a muslim scum"] * 30 + ["a christian neighbour"] * 60 + ["good weather"] * 60
     labels = [1] * 60 + [0] * 120
-    hashed = [np.array(sorted(toxicity.features(t))) for t in texts]
+    free, model = fitted(texts, labels, 0.0), fitted(texts, labels)
+    assert free.score("a muslim friend") > 0.5
+    assert abs(logit(free, "a muslim friend") - logit(free, "a hindu friend")) > 1
+    for kind in toxicity.IDENTITY.values():
+        scores = [logit(model, f"a {term} friend") for term in kind.split()]
+        assert max(scores) - min(scores) < 0.1
+        assert abs(scores[0] - logit(model, "a friend")) < 0.1
+        assert all(model.score(f"a {term} neighbour") < 0.1 for term in kind.split())
+    assert free.score("a muslim neighbour") > model.score("a muslim neighbour")
+    assert model.score("idiot scum") > 0.5 > model.score("good weather")
 
-    def gap(strength):
-        toxicity.COUNTERFACTUAL, old = strength, toxicity.COUNTERFACTUAL
-        model = toxicity.fit(hashed, labels, 1 / 3)
-        toxicity.COUNTERFACTUAL = old
-        logit = lambda t: np.log(model.score(t) / (1 - model.score(t)))
-        assert model.score("idiot scum") > 0.5 > model.score("good weather")
-        return abs(logit("a muslim friend") - logit("a hindu friend"))
 
-    assert gap(20.0) < 0.5 * gap(0.0)
+def test_a_rare_group_term_does_not_decide():
+    rng = np.random.default_rng(5)
+    words = [f"word{k}" for k in range(300)]
+    texts, labels = [], []
+    for k in range(3000):
+        own = list(rng.choice(words, 12))
+        toxic = k % 2
+        if rng.random() < 0.9 and toxic:
+            own.append("vile")
+        if rng.random() < (0.035 if toxic else 0.005):
+            own.append("muslim")
+        texts.append(" ".join(own))
+        labels.append(toxic)
+    model = fitted(texts, labels)
+    assert abs(logit(model, "word1 muslim") - logit(model, "word1 hindu")) < 0.1
+    assert abs(logit(model, "word1 muslim") - logit(model, "word1")) < 0.1
+    assert logit(model, "word1 vile") - logit(model, "word1") > 2
