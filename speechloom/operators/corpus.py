@@ -177,7 +177,7 @@ def speech_gallery(
         .groupBy("_digest")
         .agg(F.first("speech").alias("speech"))
     )
-    return winners.join(texts, F.col("digest") == F.col("_digest")).select(
+    gallery = winners.join(texts, F.col("digest") == F.col("_digest")).select(
         "congress_session",
         "rank",
         "speech_id",
@@ -185,3 +185,4 @@ def speech_gallery(
         "relevance",
         F.replace("speech", F.lit(phrase), F.lit(f"**{phrase.upper()}**")).alias("highlighted"),
     )
+    return gallery.orderBy("congress_session", "rank")
