@@ -19,11 +19,14 @@ from speechloom.schema import FILTER_CONFIG
 POLICY, DENOISING = "policy", "denoising"
 
 
-def read_config(spark: SparkSession, path: str) -> DataFrame:
-    """Configuration files, one row each, ordered by file name."""
-    return spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_name").alias("config_id"), F.col("value").alias("config")
-    )
+def read_config(spark: SparkSession, path: str, id_pattern: str | None = None) -> DataFrame:
+    """Configuration files, one row each, ordered by file name, or by what
+    ``id_pattern`` finds in a file's path."""
+    name = F.col("_metadata.file_name")
+    if id_pattern:
+        name = F.regexp_extract("_metadata.file_path", id_pattern, 1)
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    return files.select(name.alias("config_id"), F.col("value").alias("config"))
 
 
 def config_entries(configs: DataFrame, order: str = "config_id") -> DataFrame:

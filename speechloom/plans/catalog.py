@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ from speechloom.operators import (
 from speechloom.plans import parameters as pm
 from speechloom.plans.literals import literal_table
 from speechloom.session import work_folder
-from speechloom.sources import delimited, landing, speech_table, views
+from speechloom.sources import bucketed, delimited, landing, speech_table, views
 from speechloom.streaming import ingest as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,8 +88,8 @@ def match_rate(spark, folder):
     return sessions.match_rate(sessions.standardize(_built(spark, folder)))
 
 
-@query
-def load_sessions(spark, folder):
+def _archive(spark, folder):
+    """An archive folder, one file per kind and session."""
     root = work_folder(spark)
     names = {
         "speeches": F.concat(F.lit("speeches_"), F.lpad("congress_session", 3, "0")),
@@ -98,7 +99,33 @@ def load_sessions(spark, folder):
     for kind, lines in views.raw_lines(spark, folder).items():
         named = lines.withColumn("file", F.concat(names[kind], F.lit(".txt")))
         views.write_lines(named.drop("congress_session"), f"{root}/{kind}", partition="file")
-    return delimited.load_sessions(spark, f"{root}/*")
+    return root
+
+
+@query
+def load_sessions(spark, folder):
+    return delimited.load_sessions(spark, f"{_archive(spark, folder)}/*")
+
+
+def _kept_lines(spark, folder):
+    """The lines of an archive's speeches as written by outcome, dropped ones included."""
+    root = _archive(spark, folder)
+    lines = delimited.read_lines(spark, f"{root}/speeches", r"speeches_(\d+)\.txt")
+    delimited.keep_lines(lines, f"{root}/kept")
+    return spark.read.parquet(f"{root}/kept")
+
+
+@query
+def session_account(spark, folder):
+    """Per session, how many lines of its speeches were padded and dropped."""
+    return delimited.line_account(_kept_lines(spark, folder), "congress_session")
+
+
+@query
+def dropped_lines(spark, folder):
+    """The dropped lines themselves."""
+    lines = _kept_lines(spark, folder).where(F.col("_outcome") == delimited.DROPPED)
+    return lines.select("congress_session", F.col("_line").alias("line"))
 
 
 @query
@@ -183,6 +210,39 @@ def upsert_keep_labels(spark, folder):
     )
 
 
+def _bucketed(spark, folder):
+    """The speech table in buckets; a third of its rows share an id."""
+    name, path = f"speeches_{uuid4().hex}", work_folder(spark)
+    hot = F.when(F.col("speakerid") % 3 == 0, pm.HOT_ID).otherwise(F.col("speech_id"))
+    speeches = views.speeches(spark, folder, labelled=True).withColumn("speech_id", hot)
+    bucketed.lay_out(speeches, name, path, pm.BUCKETS)
+    return name, path
+
+
+def _replaced(spark, rows, name, path):
+    bucketed.replace_table(spark, rows, name, f"{name}_next", f"{path}/next", pm.BUCKETS)
+    return bucketed.read(spark, f"{name}_next")
+
+
+@query
+def upsert_bucketed(spark, folder):
+    """An upsert into a table in buckets; some updates are without id, some are of the
+    id that many rows share."""
+    name, path = _bucketed(spark, folder)
+    named = F.when(F.col("turn") % 3 != 0, F.col("speech_id"))
+    new = _updates(spark, folder).withColumn("speech_id", named)
+    rows = bucketed.upserted(spark, name, new, ["turn"], pm.BUCKETS, keep_labels=True)
+    return _replaced(spark, rows, name, path)
+
+
+@query
+def label_bucketed(spark, folder):
+    """New labels for a table in buckets."""
+    name, path = _bucketed(spark, folder)
+    rows = bucketed.labelled(spark, name, _embedding_labels(spark, folder), pm.BUCKETS)
+    return _replaced(spark, rows, name, path).select("speakerid", "speech_id", "is_procedure")
+
+
 @query
 def csv_round_trip(spark, folder):
     path = work_folder(spark)
@@ -214,6 +274,32 @@ def lexicon_load(spark, folder):
     return lexicon.policy_terms(lexicon.config_entries(configs))
 
 
+def _config_files(spark, folder):
+    """One configuration file per benchmark item: its words are the terms of a policy
+    category, its word pairs a denoising list. A later item's file is the later one."""
+    path, words = work_folder(spark), F.col("words")
+    pairs = F.transform(
+        F.when(F.size(words) > 1, F.sequence(F.lit(1), F.size(words) - 1)),
+        lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)),
+    )
+    category = F.concat(F.lit("Category "), (F.col("item_id") % pm.CONFIG_CATEGORIES).cast("string"))
+    policy = F.struct(F.lit("Words").alias("description"), words.alias("historical_terms"))
+    lists = F.create_map(F.lit(pm.CONFIG_LIST), F.coalesce(pairs, F.array().cast("array<string>")))
+    config = F.struct(
+        F.create_map(category, policy).alias("policy_bridge"), lists.alias("denoising_lexicon")
+    )
+    items = views.table(spark, folder, "benchmark").withColumn("words", word_tokens("text"))
+    files = items.select(F.lpad(F.col("item_id").cast("string"), 20, "0").alias("item"), F.to_json(config))
+    files.write.partitionBy("item").text(path)
+    return lexicon.read_config(spark, path, r"item=(\d+)")
+
+
+@query
+def config_terms(spark, folder):
+    """The policy terms of configuration files."""
+    return lexicon.policy_terms(lexicon.config_entries(_config_files(spark, folder)))
+
+
 @query
 def procedural_terms(spark, folder):
     lines = views.table(spark, folder, "documents").select(
@@ -546,13 +632,17 @@ def label_speeches_repeated(spark, folder):
     ).select("speakerid", "speech_id", "is_procedure")
 
 
-@query
-def apply_labels(spark, folder):
-    new = views.table(spark, folder, "embeddings").select(
+def _embedding_labels(spark, folder):
+    return views.table(spark, folder, "embeddings").select(
         F.col("vec_id").cast("string").alias("speech_id"),
         (F.col("label") % 2).alias("is_procedure"),
     )
-    labelled = updates.apply_labels(views.speeches(spark, folder, labelled=True), new)
+
+
+@query
+def apply_labels(spark, folder):
+    speeches = views.speeches(spark, folder, labelled=True)
+    labelled = updates.apply_labels(speeches, _embedding_labels(spark, folder))
     return labelled.select("speech_id", "congress_session", "party", "is_procedure")
 
 
@@ -596,6 +686,14 @@ def bigram_substantive_table(spark, folder):
     return denoise.bigram_substantive_table(_corpus(spark, folder), noise)
 
 
+@query
+def bigram_substantive_config(spark, folder):
+    """Noise bigrams from configuration files."""
+    entries = lexicon.config_entries(_config_files(spark, folder))
+    noise = lexicon.lexicon_list(entries, pm.CONFIG_LIST).select(F.col("term").alias("bigram"))
+    return denoise.bigram_substantive_table(_corpus(spark, folder), noise)
+
+
 @query
 def bigram_substantive_repeated(spark, folder):
     noise = _benchmark_bigrams(spark, folder)

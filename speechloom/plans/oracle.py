@@ -215,6 +215,52 @@ sql(
     SPEECHES,
     NEWEST,
 )
+BUCKETED = f"""bucketed AS (
+  SELECT * REPLACE (CASE WHEN speakerid % 3 = 0 THEN '{pm.HOT_ID}' ELSE speech_id END AS speech_id)
+  FROM speeches)"""
+sql(
+    "upsert_bucketed",
+    """SELECT * FROM bucketed WHERE speech_id NOT IN (SELECT speech_id FROM winners)
+    UNION ALL
+    SELECT speech_id, speech, 20200101, NULL, role, NULL,
+      CASE role WHEN 'user' THEN 'D' WHEN 'assistant' THEN 'R' ELSE 'Unknown' END, NULL, NULL, NULL, 119,
+      (SELECT max(b.is_procedure) FROM bucketed b WHERE b.speech_id = new.speech_id)
+    FROM (SELECT speech_id, speech, role FROM winners
+      UNION ALL SELECT NULL, text, role FROM conversations WHERE turn % 3 = 0) AS new""",
+    SPEECHES,
+    BUCKETED,
+    """winners AS (
+      SELECT * FROM (
+        SELECT cast(conv_id AS varchar) AS speech_id, text AS speech, role,
+          row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, md5(text) DESC) AS r
+        FROM conversations WHERE turn % 3 <> 0) WHERE r = 1)""",
+)
+sql(
+    "label_bucketed",
+    """SELECT speakerid, b.speech_id, coalesce(new_label, is_procedure) AS is_procedure
+    FROM bucketed b LEFT JOIN (
+      SELECT cast(vec_id AS varchar) AS speech_id, max(label % 2) AS new_label FROM embeddings GROUP BY 1) n
+    ON b.speech_id = n.speech_id""",
+    SPEECHES,
+    BUCKETED,
+)
+sql(
+    "session_account",
+    f"""SELECT cast(43 + doc_id % 77 AS integer) AS congress_session, count(*) AS n_lines,
+      count(*) FILTER (lang = 'es') AS n_padded, count(*) FILTER (lang = 'de') AS n_dropped,
+      cast(coalesce(sum(length(doc_id || '|' || {_LINE} || '|extra')) FILTER (lang = 'de'), 0) AS bigint) AS dropped_chars
+    FROM documents GROUP BY 1""",
+)
+sql(
+    "dropped_lines",
+    f"""SELECT cast(43 + doc_id % 77 AS integer) AS congress_session, doc_id || '|' || {_LINE} || '|extra' AS line
+    FROM documents WHERE lang = 'de'""",
+)
+sql(
+    "config_terms",
+    f"""SELECT term, 'Category ' || arg_max(item_id, item_id) % {pm.CONFIG_CATEGORIES} AS category
+    FROM (SELECT item_id, replace(unnest({word_list('text')}), '_', ' ') AS term FROM benchmark) GROUP BY term""",
+)
 sql(
     "csv_round_trip",
     """SELECT speech_id, nullif(speech, '') AS speech, "date", state_x, speakerid, lastname, firstname,
@@ -633,6 +679,7 @@ _NOISE = f"""noise AS (SELECT DISTINCT unnest({pairs('words')}) AS bigram
       FROM (SELECT {word_list('text')} AS words FROM benchmark))"""
 _REPEATED_ID = f"nullif(cast(speakerid % {pm.REPEATED_IDS} AS varchar), '0')"
 sql("bigram_substantive_table", _against_table("speech_id"), SPEECHES, _NOISE)
+sql("bigram_substantive_config", _against_table("speech_id"), SPEECHES, _NOISE)
 sql("bigram_substantive_repeated", _against_table(_REPEATED_ID), SPEECHES, _NOISE)
 sql(
     "quality_sample",

@@ -17,6 +17,10 @@ VOCABULARY = [*fv.POLICY_VOCABULARY, "the", "was", "with", "from", "of the"]
 CATEGORIES = {**fv.POLICY_CATEGORIES, "Function": ["was", "with", "from", "was with", "de la"]}
 # Ids are taken modulo this number in the tables of repeated ids.
 REPEATED_IDS = 100
+# Buckets of the table by id, and the id that a third of its rows share.
+BUCKETS, HOT_ID = 8, "3"
+# What the configuration files hold.
+CONFIG_LIST, CONFIG_CATEGORIES = "procedural_bigrams", 7
 # Terms of the trained model that are shown.
 MODEL_TERMS = 200
 ROLES = ["user", "assistant", "system"]

@@ -6,7 +6,7 @@ import re
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from speechloom import fixed_values as fv
@@ -58,17 +58,16 @@ def _headers(spark: SparkSession, paths: str | list[str]) -> dict[str, list[str]
     return groups
 
 
-def read_session(
+# What becomes of a line: it has a field for each column, lacks some, or has too many.
+WHOLE, PADDED, DROPPED = "whole", "padded", "dropped"
+
+
+def read_lines(
     spark: SparkSession, paths: str | list[str], session_pattern: str | None = None
 ) -> DataFrame:
-    """Rows of pipe-delimited archive files, all columns as strings.
-
-    Column names come from each file's own header line; a column that a file
-    lacks is NULL in its rows. Quotes are ordinary characters. Lines with too
-    many fields are dropped, short lines are padded with NULL, and the usual
-    markers for a missing value read as NULL. With ``session_pattern`` the file
-    name gives a ``congress_session`` column.
-    """
+    """Every line of pipe-delimited archive files: ``_file``, ``_outcome`` (whole,
+    padded or dropped), ``_line`` (the text of a dropped one) and the columns of
+    the others, as :func:`read_session` gives them."""
 
     def read(header: str, files: list[str]) -> DataFrame:
         names = header.split("|")
@@ -77,12 +76,20 @@ def read_session(
             number = F.regexp_extract("_metadata.file_path", session_pattern, 1)
             columns.append(number.cast("int").alias("congress_session"))
         lines = _archive(spark).schema("line string").csv(files)
-        fields = F.split("line", r"\|", -1)
-        kept = lines.select("*", "_metadata", fields.alias("fields")).where(
-            F.size("fields") <= len(names)
+        split = lines.select("*", "_metadata", F.split("line", r"\|", -1).alias("fields"))
+        outcome = (
+            F.when(F.size("fields") > len(names), DROPPED)
+            .when(F.size("fields") < len(names), PADDED)
+            .otherwise(WHOLE)
+        )
+        found = split.select(
+            F.col("_metadata.file_path").alias("_file"),
+            outcome.alias("_outcome"),
+            F.when(F.size("fields") > len(names), F.col("line")).alias("_line"),
+            *columns,
         )
         no_value = [None] * len(fv.MISSING_MARKERS)
-        return kept.select(*columns).replace(fv.MISSING_MARKERS, no_value, names)
+        return found.replace(fv.MISSING_MARKERS, no_value, names)
 
     groups = _headers(spark, paths)
     if not groups:
@@ -91,6 +98,40 @@ def read_session(
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def read_session(
+    spark: SparkSession, paths: str | list[str], session_pattern: str | None = None
+) -> DataFrame:
+    """Rows of pipe-delimited archive files, all columns as strings.
+
+    Column names come from each file's own header line; a column that a file
+    lacks is NULL in its rows. Quotes are ordinary characters. Lines with too
+    many fields are dropped, short lines are padded with NULL, and the usual
+    markers for a missing value read as NULL. With ``session_pattern`` the file
+    name gives a ``congress_session`` column.
+    """
+    lines = read_lines(spark, paths, session_pattern)
+    return lines.where(F.col("_outcome") != DROPPED).drop("_file", "_outcome", "_line")
+
+
+def keep_lines(lines: DataFrame, path: str) -> dict[str, int]:
+    """Write what :func:`read_lines` gave, rows and dropped lines in folders of their own
+    by outcome, and count the outcomes, all in one pass over the files."""
+    counts = Observation()
+    seen = [F.count_if(F.col("_outcome") == o).alias(o) for o in (WHOLE, PADDED, DROPPED)]
+    lines.observe(counts, *seen).write.partitionBy("_outcome").parquet(path)
+    return counts.get
+
+
+def line_account(lines: DataFrame, by: str = "_file") -> DataFrame:
+    """Lines by outcome, and the characters that were dropped, per file or session."""
+    return lines.groupBy(by).agg(
+        F.count("*").alias("n_lines"),
+        F.count_if(F.col("_outcome") == PADDED).alias("n_padded"),
+        F.count_if(F.col("_outcome") == DROPPED).alias("n_dropped"),
+        F.coalesce(F.sum(F.length("_line")), F.lit(0)).alias("dropped_chars"),
+    )
+
+
 def load_sessions(
     spark: SparkSession,
     root: str,

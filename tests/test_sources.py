@@ -224,3 +224,29 @@ def test_distinct_counts_move_no_texts(spark):
     assert got == {("x", "t"): 2, ("x", "n"): 3, ("x", "z"): 0, ("none", "t"): 0, ("none", "n"): 0, ("none", "z"): 0}
     arrays = spark.createDataFrame([([1.0, 2.0],), ([1.0, 2.0],), ([2.0],), (None,)], "e array<float>")
     assert profile.distinct_counts({"e": arrays}).first().n_distinct == 2
+
+
+def test_lines_are_kept_by_outcome(spark, tmp_path):
+    (tmp_path / "speeches_043.txt").write_text("speech_id|speech\n1|a\n2|b|c\n3\n4|NA\n")
+    (tmp_path / "speeches_044.txt").write_text("speech_id|speech|x\n5|d\n6|e|f|g|h\n")
+    lines = delimited.read_lines(spark, f"{tmp_path}/speeches_*.txt", r"speeches_(\d+)")
+    counts = delimited.keep_lines(lines, f"{tmp_path}/kept")
+    assert counts == {"whole": 2, "padded": 2, "dropped": 2}
+    kept = spark.read.parquet(f"{tmp_path}/kept")
+    dropped = kept.where("_outcome = 'dropped'")
+    assert {(r.congress_session, r._line) for r in dropped.collect()} == {(43, "2|b|c"), (44, "6|e|f|g|h")}
+    rest = kept.where("_outcome <> 'dropped'").select("speech_id", "speech", "x", "_line")
+    assert {tuple(r) for r in rest.collect()} == {("1", "a", None, None), ("3", None, None, None), ("4", None, None, None), ("5", "d", None, None)}
+    account = {r.congress_session: tuple(r)[1:] for r in delimited.line_account(kept, "congress_session").collect()}
+    assert account == {43: (4, 1, 1, 5), 44: (2, 1, 1, 9)}
+    assert delimited.line_account(lines).count() == 2
+
+
+def test_configuration_files_by_name_or_path(spark, tmp_path):
+    for name, term in (("b", "gold"), ("a", "silver")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "c.json").write_text('{"policy_bridge": {"%s": {"historical_terms": ["x", "%s"]}}}' % (name, term))
+    entries = lexicon.config_entries(lexicon.read_config(spark, str(tmp_path), r"/(\w)/c.json"))
+    got = {tuple(r) for r in lexicon.policy_terms(entries).collect()}
+    assert got == {("x", "b"), ("gold", "b"), ("silver", "a")}
+    assert {r.config_id for r in lexicon.read_config(spark, str(tmp_path)).collect()} == {"c.json"}
