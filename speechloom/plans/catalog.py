@@ -27,7 +27,7 @@ from speechloom.operators import (
 from speechloom.plans import parameters as pm
 from speechloom.plans.literals import literal_table
 from speechloom.session import work_folder
-from speechloom.sources import bucketed, delimited, landing, speech_table, views
+from speechloom.sources import bucketed, delimited, landing, phrase_index, speech_table, views
 from speechloom.streaming import ingest as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +66,22 @@ def session_join(spark, folder):
     return _joined(spark, folder)
 
 
+@query
+def session_join_repeated(spark, folder):
+    """The join where a third of the speeches and some of the other rows share an id."""
+    def shared(df, number, every):
+        hot = F.when(number % every == 0, pm.HOT_ID).otherwise(F.col("speech_id"))
+        return df.withColumn("speech_id", hot)
+
+    number = F.col("speech_id").cast("bigint")
+    return sessions.join_session(
+        shared(views.raw_speeches(spark, folder), number, 3),
+        shared(views.raw_descr(spark, folder), number, pm.REPEATED_DESCR),
+        shared(views.raw_speaker_map(spark, folder), F.col("speakerid"), pm.REPEATED_SPEAKERS),
+        repeated=True,
+    )
+
+
 @query
 def speaker_build(spark, folder):
     return _built(spark, folder).select(
@@ -743,6 +759,25 @@ def phrase_trend_wildcard(spark, folder):
     return corpus.phrase_trend(views.speeches(spark, folder), pm.WILDCARD, debate_only=False)
 
 
+def _indexed(spark, folder):
+    path = work_folder(spark)
+    phrase_index.append(views.speeches(spark, folder), path, pm.GROUPS)
+    return path
+
+
+@query
+def phrase_trend_indexed(spark, folder):
+    """A phrase that few speeches mention, by the index of its characters."""
+    hits = phrase_index.mentioning(spark, _indexed(spark, folder), pm.RARE_PHRASE)
+    return corpus.phrase_trend(hits, pm.RARE_PHRASE, debate_only=False)
+
+
+@query
+def phrase_trend_indexed_wildcard(spark, folder):
+    hits = phrase_index.mentioning(spark, _indexed(spark, folder), pm.RARE_WILDCARD)
+    return corpus.phrase_trend(hits, pm.RARE_WILDCARD, debate_only=False)
+
+
 @query
 def partisan_share(spark, folder):
     return corpus.partisan_share(views.speeches(spark, folder, labelled=True), pm.PHRASE)

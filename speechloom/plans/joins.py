@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,3 +53,58 @@ def join_counted(
         .where(F.col("_found").isNotNull())
         .select(*rows.columns, "_found.*")
     )
+
+
+def _heavy(df: DataFrame, keys: Sequence[str], cells: str) -> DataFrame:
+    """The ``HOT_KEYS`` keys with most rows, and over how many cells each is to be
+    spread so that a cell holds no more than about 1/HOT_KEYS of all rows."""
+    counts = df.dropna(subset=list(keys)).groupBy(*keys).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n")).scalar()
+    share = F.ceil(F.col("_n") * HOT_KEYS / total)
+    heavy = counts.orderBy(F.desc("_n"), *keys).limit(HOT_KEYS)
+    return heavy.select(*keys, F.least("_n", share).cast("int").alias(cells))
+
+
+def join_repeated(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    spread: tuple[Sequence[str], Sequence[str]],
+    how: str = "left",
+) -> DataFrame:
+    """Left or full join in which a key may own a large part of the rows on both sides.
+
+    A heavy key's rows lie in a grid: each left row in one line of it, copied to
+    all its columns, each right row in one column, copied to all lines. Every pair
+    meets in exactly one cell, and no task holds all rows of a key. A row's line or
+    column follows from its ``spread`` columns (of the left and of the right side), so
+    a task that runs again gives the same. There are at most as many lines as the
+    key has rows, so that a row has no more copies than it has matches. Keys that
+    are NULL match nothing and are scattered. Columns are those of a join on
+    ``keys``; no other may be on both sides.
+    """
+    keys = list(keys)
+    grid = F.broadcast(_heavy(left, keys, "_lines").join(_heavy(right, keys, "_columns"), keys, "full"))
+    one = F.lit(1)
+    absent = reduce(lambda a, b: a | b, (F.col(k).isNull() for k in keys))
+
+    def placed(df: DataFrame, own: str, other: str, columns: Sequence[str], mine: str, theirs: str) -> DataFrame:
+        known = df.join(grid, keys, "left").select(*df.columns, "_lines", "_columns")
+        number = F.pmod(F.xxhash64(*columns), F.when(absent, F.lit(HOT_SPREAD)).otherwise(F.coalesce(own, one)))
+        copies = F.sequence(F.lit(0), F.coalesce(other, one) - 1)
+        return known.select(
+            *df.columns,
+            number.cast("int").alias(mine),
+            F.explode(copies).alias(theirs),
+            (F.coalesce(other, one) == 1).alias(f"_alone{mine}"),
+        )
+
+    rows = placed(left, "_lines", "_columns", spread[0], "_line", "_column")
+    others = placed(right, "_columns", "_lines", spread[1], "_column", "_line")
+    joined = rows.join(others, [*keys, "_line", "_column"], how)
+    # A copy without a match stays only if it is the row itself; if the key is heavy
+    # on the other side, the row has its matches in other cells.
+    met = F.col("_alone_line").isNotNull() & F.col("_alone_column").isNotNull()
+    kept = met | F.coalesce("_alone_line", "_alone_column")
+    fields = [c for c in left.columns if c not in keys] + [c for c in right.columns if c not in keys]
+    return joined.where(kept).select(*keys, *fields)

@@ -134,6 +134,20 @@ sql(
     "SELECT speech_id, speech, \"date\", state_x, speakerid, lastname, firstname, state_y, party FROM joined",
     *_RAW[:2],
 )
+sql(
+    "session_join_repeated",
+    f"""SELECT s.speech_id, speech, "date", s.state AS state_x, speakerid, lastname, firstname, state_y, party
+    FROM (SELECT a.speech_id, speech, "date", d.state
+      FROM (SELECT CASE WHEN doc_id % 3 = 0 THEN '{pm.HOT_ID}' ELSE cast(doc_id AS varchar) END AS speech_id,
+          text AS speech FROM documents) a
+      LEFT JOIN (SELECT CASE WHEN doc_id % {pm.REPEATED_DESCR} = 0 THEN '{pm.HOT_ID}'
+          ELSE cast(doc_id AS varchar) END AS speech_id, {_DATE} AS "date", source AS state FROM documents) d
+      ON a.speech_id = d.speech_id) s
+    LEFT JOIN (SELECT speakerid, CASE WHEN speakerid % {pm.REPEATED_SPEAKERS} = 0 THEN '{pm.HOT_ID}'
+        ELSE speech_id END AS speech_id, lastname, firstname, state AS state_y, party FROM speaker_map) m
+    ON s.speech_id = m.speech_id""",
+    SPEAKER_MAP,
+)
 sql(
     "speaker_build",
     "SELECT speech_id, speakerid, is_mapped, speaker, congress_session FROM built",
@@ -719,6 +733,12 @@ def trend(where: str) -> str:
 
 
 sql("phrase_trend", trend(f"is_procedure = 0 AND {has('speech', pm.PHRASE)}"), SPEECHES)
+sql("phrase_trend_indexed", trend(has("speech", pm.RARE_PHRASE)), SPEECHES)
+sql(
+    "phrase_trend_indexed_wildcard",
+    trend(f"{folded('speech')} LIKE '%{pm.RARE_WILDCARD.lower()}%'"),
+    SPEECHES,
+)
 sql("phrase_trend_all", trend(has("speech", pm.PHRASE)), SPEECHES)
 sql(
     "phrase_trend_wildcard",

@@ -19,6 +19,10 @@ CATEGORIES = {**fv.POLICY_CATEGORIES, "Function": ["was", "with", "from", "was w
 REPEATED_IDS = 100
 # Buckets of the table by id, and the id that a third of its rows share.
 BUCKETS, HOT_ID = 8, "3"
+# One description and one speaker in so many carry that id, too.
+REPEATED_DESCR, REPEATED_SPEAKERS = 200, 250
+# Groups of a session in the table with an index of phrases.
+GROUPS, RARE_PHRASE, RARE_WILDCARD = 4, "MIT License", "gnu%public_license"
 # What the configuration files hold.
 CONFIG_LIST, CONFIG_CATEGORIES = "procedural_bigrams", 7
 # Terms of the trained model that are shown.
