@@ -3,8 +3,10 @@
 import random
 import re
 import textwrap
+import time
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from speechloom.llm import decontamination as dc
@@ -42,6 +44,38 @@ def test_tiling_equals_a_plain_search():
         assert got == ([(0, len(tiles), sum(t[2] for t in tiles), len(b))] if tiles else [])
 
 
+def test_tiles_of_many_items_at_once():
+    rng = random.Random(5)
+    for _ in range(60):
+        items = [" ".join(rng.choice("abcd") for _ in range(rng.randint(1, 18))) for _ in range(6)]
+        doc = " ".join(rng.choice(["a", "b", "c d", "x", rng.choice(items)]) for _ in range(12))
+        for coverage in (0.0, 0.5, 0.8):
+            want = []
+            for number, item in enumerate(items):
+                b = item.split()
+                tiles = naive_tiles(doc.split(), b, min(4, len(b)))
+                matched = sum(t[2] for t in tiles)
+                if tiles and matched >= coverage * len(b):
+                    want.append((number, len(tiles), matched, len(b)))
+            assert dc.overlaps(doc, dc.Items(list(enumerate(items)), 4), coverage) == want
+
+
+def test_hashes_that_collide_lay_no_tiles(monkeypatch):
+    # Without the factor all codes spread alike: every window has the same hash.
+    monkeypatch.setattr(dc, "SPREAD", np.uint64(0))
+    a, b = "x a b c d e y f g h i j".split(), "f g h i j a b c d e".split()
+    tiles = naive_tiles(a, b, 3)
+    got = dc.overlaps(" ".join(a), dc.Items([(1, " ".join(b))], 3))
+    assert got == [(0, len(tiles), sum(t[2] for t in tiles), len(b))]
+
+
+def test_a_text_of_one_word_over_and_over():
+    items = dc.Items([(1, "a " * 400)], 5)
+    start = time.perf_counter()
+    assert dc.overlaps("a " * 20_000, items, 0.8) == [(0, 1, 400, 400)]
+    assert time.perf_counter() - start < 1
+
+
 def test_rearranged_items_are_found_in_every_block(spark, monkeypatch):
     monkeypatch.setattr(dc, "BLOCK_BYTES", 40)
     items = [(k, " ".join(f"i{k}w{j}" for j in range(12))) for k in range(9)]
