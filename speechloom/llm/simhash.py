@@ -5,8 +5,9 @@
 3. ``linked``: a fingerprint is cut into segments so short that two which differ
    in at most ``max_bits`` differ in at most one bit of some segment. Each
    fingerprint is filed under its own segments, and looks into the files of all
-   segments at most one bit away (a Hamming ball). What meets in a file is
-   verified over all 64 bits.
+   segments at most one bit away (a Hamming ball). Files around a value that very
+   many fingerprints have are cut further, by the bits outside the segment. What
+   meets in a file is verified over all 64 bits.
 4. ``components``: links are contracted to stars until every fingerprint points
    to the least one it can reach.
 
@@ -31,6 +32,10 @@ SEED = 42
 # one task files.
 FILE_ROWS = 200_000
 FILED_ROWS = 1_000_000
+# Fingerprints with one value of a segment from which on the files around it are
+# cut further, and files around such values that are sent to all tasks.
+HEAVY = 1_000
+SENT_FILES = 100_000
 # Shingles whose bits are counted at once.
 PORTION = 1 << 14
 
@@ -86,24 +91,56 @@ def _segments(max_bits: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(bounds, bounds[1:])]
 
 
+def _part(value: Column, low: int, width: int) -> Column:
+    """Some bits of a number."""
+    part = F.shiftrightunsigned(value, low)
+    return part.bitwiseAND(F.lit((1 << width) - 1)) if low + width < 64 else part
+
+
+def _ball(part: Column, width: int) -> list[tuple[Column, bool]]:
+    """All values at most one bit from a segment's, and whether it is its own."""
+    flips = [0, *[1 << bit for bit in range(width)]]
+    flips = [x - (1 << 64) if x >= 1 << 63 else x for x in flips]
+    return [(part.bitwiseXOR(F.lit(x).cast("long")), x == 0) for x in flips]
+
+
+def _filed(segment: int, file: Column, own: bool) -> Column:
+    return F.struct(F.lit(segment).alias("segment"), file.alias("file"), F.lit(own).alias("own"))
+
+
 def _files(value: Column, max_bits: int) -> Column:
     """(segment number, segment value, whether it is the own one) of the Hamming
     ball around each segment of a fingerprint."""
-    found = []
-    for number, (low, width) in enumerate(_segments(max_bits)):
-        own = F.shiftrightunsigned(value, low)
-        if low + width < 64:
-            own = own.bitwiseAND(F.lit((1 << width) - 1))
-        for flip in [0, *[1 << bit for bit in range(width)]]:
-            flip = flip - (1 << 64) if flip >= 1 << 63 else flip
-            found.append(
-                F.struct(
-                    F.lit(number).alias("segment"),
-                    own.bitwiseXOR(F.lit(flip).cast("long")).alias("file"),
-                    F.lit(flip == 0).alias("own"),
-                )
-            )
-    return F.array(*found)
+    return F.array(
+        *[
+            _filed(number, file, own)
+            for number, (low, width) in enumerate(_segments(max_bits))
+            for file, own in _ball(_part(value, low, width), width)
+        ]
+    )
+
+
+def _drawers(max_bits: int) -> Column:
+    """The files into which a row of a file with too many is put: the bits outside
+    the segment are cut into segments again, of which one differs in at most one
+    bit. Rows under their own segment look one bit around, the others lie under
+    their own value only: of two that must meet, one is of the former kind. Keys
+    are hashes; rows that meet by a collision are told apart by all their bits."""
+    segments = _segments(max_bits)
+    chosen = F.lit(None)
+    for number, (low, width) in enumerate(segments):
+        rest = F.shiftleft(F.shiftrightunsigned("print", low + width), low) if low + width < 64 else F.lit(0)
+        rest = rest.bitwiseOR(_part(F.col("print"), 0, low)) if low else rest
+        bounds = [(64 - width) * k // len(segments) for k in range(len(segments) + 1)]
+        around, alone = [], []
+        for part, (start, end) in enumerate(zip(bounds, bounds[1:])):
+            for value, own in _ball(_part(rest, start, end - start), end - start):
+                file = F.xxhash64("segment", "file", F.lit(part), value)
+                around.append(_filed(len(segments) + part, file, own))
+                alone += around[-1:] if own else []
+        drawers = F.when(F.col("own"), F.array(*around)).otherwise(F.array(*alone))
+        chosen = F.when(F.col("segment") == number, drawers).otherwise(chosen)
+    return chosen
 
 
 def _tree(prints: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
@@ -148,20 +185,50 @@ def _look(max_bits: int):
     return run
 
 
+def _heavy(prints: DataFrame, max_bits: int) -> DataFrame:
+    """Segment values that more than ``HEAVY`` fingerprints have, with their number
+    ``n`` and, a row each, the files ``around`` them. Any other file has at most
+    ``HEAVY`` rows for each value of its ball."""
+    segments = _segments(max_bits)
+    own = [_filed(k, _part(F.col("print"), low, width), True) for k, (low, width) in enumerate(segments)]
+    values = prints.select(F.explode(F.array(*own)).alias("at")).groupBy("at.segment", "at.file")
+    values = cut(values.agg(F.count("*").alias("n")).where(F.col("n") > HEAVY))
+    around = F.lit(None)
+    for number, (_, width) in enumerate(segments):
+        files = [F.struct("segment", file.alias("file")) for file, _ in _ball(F.col("file"), width)]
+        around = F.when(F.col("segment") == number, F.array(*files)).otherwise(around)
+    return values.select("n", F.explode(around).alias("around"))
+
+
+def filed(prints: DataFrame, max_bits: int) -> tuple[DataFrame, int]:
+    """Rows (``print``, ``segment``, ``file``, ``own``) of all files that have to be
+    looked through, and their number, nearly."""
+    per_print = sum(width + 1 for _, width in _segments(max_bits))
+    count = prints.count() * per_print
+    heavy = _heavy(prints, max_bits)
+    files, members = heavy.agg(F.count("*"), F.sum("n")).first()
+    # So small a table comes in few parts; what becomes of it is large.
+    prints = prints.repartition(1 + count // FILED_ROWS, "print")
+    rows = prints.select("print", F.explode(_files(F.col("print"), max_bits)).alias("at")).select(
+        "print", "at.*"
+    )
+    if files:
+        hot = heavy.select("around.*").distinct().withColumn("hot", F.lit(True))
+        hot = F.broadcast(hot) if files <= SENT_FILES else hot
+        rows = rows.join(hot, ["segment", "file"], "left")
+        drawers = rows.where("hot").select("print", F.explode(_drawers(max_bits)).alias("at"))
+        rows = rows.where("hot IS NULL").drop("hot").unionByName(drawers.select("print", "at.*"))
+    return rows, count + 3 * (members or 0)
+
+
 def linked(prints: DataFrame, max_bits: int = 3) -> DataFrame:
     """Links ``a``, ``b`` between distinct fingerprints (column ``print``) that
     connect all those at most ``max_bits`` apart; not every such pair is listed,
     but any two are joined by a path of listed ones."""
     if max_bits == 0:
         return prints.select(F.col("print").alias("a"), F.col("print").alias("b")).limit(0)
-    per_print = sum(width + 1 for _, width in _segments(max_bits))
-    filed = prints.count() * per_print
-    groups = 1 + filed // FILE_ROWS
-    # So small a table comes in few parts; what becomes of it is large.
-    prints = prints.repartition(1 + filed // FILED_ROWS, "print")
-    rows = prints.select("print", F.explode(_files(F.col("print"), max_bits)).alias("at")).select(
-        "print", "at.*"
-    )
+    rows, count = filed(prints, max_bits)
+    groups = 1 + count // FILE_ROWS
     rows = rows.withColumn("group", F.pmod(F.xxhash64("segment", "file"), F.lit(groups)))
     return rows.groupBy("group").applyInArrow(_look(max_bits), "a long, b long")
 

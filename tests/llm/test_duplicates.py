@@ -160,6 +160,36 @@ def test_simhash_classes_equal_all_pairs(spark, bits):
     assert got == near_classes(rows, bits=bits)
 
 
+@pytest.mark.parametrize("bits, sent", [(3, 100_000), (3, 0), (5, 100_000)])
+def test_fingerprints_with_a_common_half_are_filed_by_their_other_bits(spark, monkeypatch, bits, sent):
+    monkeypatch.setattr(simhash, "HEAVY", 20)
+    monkeypatch.setattr(simhash, "SENT_FILES", sent)
+    rng = random.Random(bits)
+    half, prints = 0xC0FFEE11, set()
+    while len(prints) < 900:
+        near = half ^ (1 << rng.randrange(32) if rng.random() < 0.4 else 0)
+        value = rng.choice([near << 32 | rng.getrandbits(32), rng.getrandbits(32) << 32 | near])
+        prints.add(value)
+        for _ in range(rng.randrange(3)):
+            for bit in rng.sample(range(64), rng.randint(1, bits + 1)):
+                value ^= 1 << bit
+            prints.add(value)
+    prints = np.array(sorted(prints), np.uint64)
+    group = np.arange(len(prints))
+    for k, value in enumerate(prints):
+        for g in np.unique(group[np.bitwise_count(prints ^ value) <= bits]):
+            group[group == g] = group[k]
+    rows = [(int(x),) for x in prints.view(np.int64)]
+    table = spark.createDataFrame(rows, "print long")
+    got = {r.vertex: r.root for r in simhash.components(simhash.linked(table, bits)).collect()}
+    signed = prints.view(np.int64)
+    want = {int(x): int(signed[group == g].min()) for x, g in zip(signed, group) if (group == g).sum() > 1}
+    assert got == want and len(want) > 300
+    files, count = simhash.filed(table, bits)
+    largest = files.groupBy("segment", "file").count().agg({"count": "max"}).first()[0]
+    assert largest < 200 and files.count() <= 2 * count
+
+
 def test_one_of_each_class_stays(spark):
     rows = near_rows()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
