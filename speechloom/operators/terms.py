@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from speechloom import fixed_values as fv
 from speechloom.functions.text import (
-    counted,
     delete_numbers,
     delete_phrases,
     is_one_of,
@@ -24,12 +23,17 @@ from speechloom.functions.text import (
     word_tokens,
 )
 from speechloom.operators.denoise import random_order
+from speechloom.plans.bitmap import hash_bits, may_hold
 from speechloom.plans.exploding import explode_array
 from speechloom.plans.joins import join_counted
 from speechloom.plans.literals import literal_table
 from speechloom.plans.ranking import top_per_group
 
 
+# 4 MB: of ten million frequent terms, a quarter of the rare ones pass.
+TERM_BITS = 1 << 25
+
+
 def _of_groups(speeches: DataFrame, group: str, groups: Sequence[str]) -> DataFrame:
     return speeches.where(F.col(group).isin(list(groups)))
 
@@ -92,6 +96,18 @@ def vocab_counts(
 # ------------------------------------------------------------------ TF-IDF
 
 
+def _frequent_enough(rows: DataFrame, group: str, min_df: int) -> Column:
+    """A condition on rows of (group, term) that holds for each term of ``min_df`` rows
+    or more and for few others. Rows are counted by hashes of their terms, so that rare
+    terms, most of all there are, need not be shuffled as texts. Terms of equal hash
+    are counted together: none is lost by that."""
+    if min_df <= 1:
+        return F.lit(True)
+    code = F.xxhash64(group, "term")
+    often = rows.groupBy(code.alias("code")).agg(F.count("*").alias("n")).where(F.col("n") >= min_df)
+    return may_hold(hash_bits(often, "code", TERM_BITS), code, TERM_BITS)
+
+
 def tfidf(
     documents: DataFrame, terms: Column, group: str, max_df: float = 1.0, min_df: int = 1
 ) -> DataFrame:
@@ -103,18 +119,28 @@ def tfidf(
     Terms in fewer than ``min_df`` documents, or in more than ``max_df`` of
     them, are pruned; then each document's weights are scaled to length one.
     """
-    # A document is counted where it is read; what is shuffled, once, is its
-    # (term, tf) array, by a number of its own. Both readings below use it.
+    # Terms are made where a text is read; what is shuffled, once, is their array, by
+    # a number of its own. All readings below use it.
     documents = (
-        documents.select(group, counted(terms).alias("counts"))
+        documents.select(group, terms.alias("terms"))
         .withColumn("document", F.monotonically_increasing_id())
         .repartition("document")
+        .where(F.col("terms").isNotNull())
     )
+
+    def rows(found: Column) -> DataFrame:
+        return explode_array(documents, ["document", group], found, "term")
+
+    kept = _frequent_enough(rows(F.col("terms")), group, min_df)
+    # The partitions are those of the documents: no row moves for this.
+    counts = rows(F.col("terms")).where(kept).groupBy("document", group, "term").agg(F.count("*").alias("tf"))
     # The empty term stands for the document itself: its frequency is n. All
     # uses of `frequencies` read the same columns, so it is computed once.
-    in_document = F.concat(F.array(F.lit("")), F.transform("counts", lambda c: c["term"]))
     frequencies = (
-        explode_array(documents, [group], in_document, "term")
+        rows(F.concat(F.array(F.lit("")), "terms"))
+        .where((F.col("term") == "") | kept)
+        .groupBy("document", group, "term")
+        .agg(F.lit(1).alias("one"))
         .groupBy(group, "term")
         .agg(F.count("*").alias("df"))
     )
@@ -125,15 +151,12 @@ def tfidf(
         .where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
         .select(group, "term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     )
-    counts = explode_array(documents, ["document", group], F.col("counts"), "pair").select(
-        "document", group, F.col("pair.term").alias("term"), F.col("pair.tf").alias("tf")
-    )
     weight = F.col("tf") * F.col("idf")
     length = F.sqrt(
         F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("document"))
     )
     return (
-        join_counted(counts, weighted, [group, "term"], "df", "document")
+        join_counted(counts, weighted, [group, "term"], "df", "document", hashed=True)
         .withColumn("weight", weight)
         .withColumn("weight", F.col("weight") / length)
         .groupBy(group, "term")

@@ -9,25 +9,26 @@ from pyspark.sql import functions as F
 BITS = 1 << 22
 
 
-def _place(value: Column) -> Column:
-    return F.pmod(F.xxhash64(value), F.lit(BITS))
+def _place(value: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(value), F.lit(bits))
 
 
-def hash_bits(values: DataFrame, column: str) -> Column:
-    """The hashes of a column's values as an array of 64-bit words, for :func:`may_hold`."""
+def hash_bits(values: DataFrame, column: str, bits: int = BITS) -> Column:
+    """The hashes of a column's values as an array of 64-bit words, for :func:`may_hold`
+    with as many ``bits``."""
     spark = values.sparkSession
-    code = _place(F.col(column))
+    code = _place(F.col(column), bits)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (code % 64).cast("int"))
     held = values.select(F.floor(code / 64).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    # Always BITS / 64 words.
-    dense = spark.range(0, BITS // 64, 1, 1).withColumnRenamed("id", "word").join(held, "word", "left")
+    # Always bits / 64 words.
+    dense = spark.range(0, bits // 64, 1, 1).withColumnRenamed("id", "word").join(held, "word", "left")
     word = F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
     ordered = F.transform(F.sort_array(F.collect_list(word)), lambda w: w["bits"])
     return dense.agg(ordered.alias("bits")).scalar()
 
 
-def may_hold(bits: Column, value: Column) -> Column:
+def may_hold(words: Column, value: Column, bits: int = BITS) -> Column:
     """False for what is none of the values; true for those, and for a few others."""
-    code = _place(value)
-    word = F.get(bits, F.floor(code / 64).cast("int"))
+    code = _place(value, bits)
+    word = F.get(words, F.floor(code / 64).cast("int"))
     return F.call_function("shiftright", word, (code % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1

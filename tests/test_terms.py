@@ -301,3 +301,20 @@ def test_space_around_an_entity(spark):
     policy = spark.createDataFrame([("tax", "Budget")], "term string, category string")
     row = entities.entity_table(entities.judge_entities(found, stops, policy)).first()
     assert (row.entity, row.type, row.source) == ("Tax ", "MONEY", "NER Model")
+
+
+@pytest.mark.parametrize("bits", [1 << 25, 64])
+def test_rare_terms_are_not_shuffled_as_texts(spark, monkeypatch, bits):
+    """Only terms that may be frequent enough go through the join; those that share a
+    bit with one, or stand twice in a text, are still pruned by their documents."""
+    monkeypatch.setattr(terms, "TERM_BITS", bits)
+    docs = [("D", f"gold coin rare{k} {'twice ' * 12 if k == 0 else ''}") for k in range(6)]
+    docs += [("R", f"tariff bank only{k}") for k in range(6)] + [("D", "gold mine"), ("R", "")]
+    joined = []
+    plain = joins.join_counted
+    monkeypatch.setattr(terms, "join_counted", lambda rows, *a, **k: joined.append(rows) or plain(rows, *a, **k))
+    got = terms.tfidf_unigram(corpus_of(spark, docs), [], 1.0, 3, k=100).collect()
+    want = brute_force(docs, set(), 1, 1.0, 3)
+    assert {p: {r.term: r.score for r in got if r.party == p} for p in "DR"} == want
+    if bits > 64:
+        assert {r.term for r in joined[0].select("term").collect()} == {"gold", "coin", "tariff", "bank", "twice"}
