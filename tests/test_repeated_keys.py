@@ -2,6 +2,7 @@
 
 import pytest
 
+from speechloom.operators.sessions import join_session
 from speechloom.plans import joins
 
 
@@ -44,3 +45,40 @@ def test_no_task_has_all_rows_of_a_key(spark, without_broadcasts):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert sum(sizes) == 4000 * 400 and max(sizes) < 4000 * 400 / 8
+
+
+@pytest.mark.parametrize("cell_rows", [1 << 16, 7])
+@pytest.mark.parametrize("sizes", [(60, 30, 9), (40, 1, 25), (1, 30, 20), (50, 0, 20), (50, 20, 0), (0, 9, 9)])
+def test_two_left_joins_equal_plain_ones(spark, monkeypatch, without_broadcasts, cell_rows, sizes):
+    monkeypatch.setattr(joins, "CELL_ROWS", cell_rows)
+    left, right = _tables(spark, *sizes[:2])
+    third = spark.createDataFrame([("hot", i) for i in range(sizes[2])] + [("3", 1), ("3", 1), (None, 5), ("x", 2)], "k string, c int")
+    for others in ([right, third], [right.limit(0), third], [right, third.limit(0)]):
+        expected = left.join(others[0], "k", "left").join(others[1], "k", "left")
+        got = joins.left_join_repeated(left, others, ["k"], [["a"], ["b"], ["c"]])
+        assert got.columns == expected.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
+    assert joins.left_join_repeated(left.limit(0), [right, third], ["k"], [["a"], ["b"], ["c"]]).count() == 0
+
+
+def test_texts_are_not_copied_for_their_matches(spark, without_broadcasts):
+    """What is shuffled grows with the tables, not with the matches of a text."""
+    speeches = spark.range(400).selectExpr("'3' as speech_id", "cast(id as string) as speech")
+    descr = spark.range(50).selectExpr("'3' as speech_id", "cast(id as int) as date", "'s' as state")
+    speakers = spark.range(20).selectExpr("id as speakerid", "'3' as speech_id", "'l' as lastname", "'f' as firstname", "'t' as state", "'D' as party")
+    copies = []
+    kind = type(speeches)
+    old = kind.join
+
+    def join(self, other, on=None, how=None):
+        if isinstance(on, list) and "_line" in on and "speech" in self.columns and "date" not in self.columns:
+            copies.append(self.count())
+        return old(self, other, on, how)
+
+    kind.join = join
+    try:
+        got = join_session(speeches, descr, speakers, repeated=True)
+    finally:
+        kind.join = old
+    assert copies == [400]
+    assert got.count() == 400 * 50 * 20
