@@ -26,6 +26,22 @@ def few_by_hash(df: DataFrame, keys: list[str], wanted: int, total: int) -> Data
     return df.orderBy(F.pmod(code, F.lit(PARTS)), *keys).limit(wanted)
 
 
+def _known(labels: DataFrame, label: str, learn: Column, id_column: str) -> DataFrame:
+    known = labels.select(
+        F.col(f"`{id_column}`").alias("_tr_id"), F.col(f"`{label}`").cast("int").alias("_tr_label")
+    ).where(F.col("_tr_id").isNotNull() & F.col("_tr_label").isin(0, 1))
+    return known.withColumnRenamed("_tr_id", id_column).where(learn)
+
+
+def labelled_ids(labels: DataFrame, label: str, learn: Column, id_column: str) -> tuple[DataFrame, float]:
+    """All labels that may be learnt from (``id_column``, ``_tr_label``), equal ones
+    once, and the share of label 1 among them, repeated ones counted. ``learn`` says
+    which may. Labels other than 0 and 1 are passed over."""
+    known = _known(labels, label, learn, id_column)
+    share = known.agg(F.avg("_tr_label")).first()[0]
+    return known.distinct(), 0.5 if share is None else share
+
+
 def labelled_sample(
     rows: DataFrame,
     labels: DataFrame,
@@ -38,10 +54,7 @@ def labelled_sample(
     reruns agree), with ``id_column`` and ``label``, and the share of label 1
     among all labelled ids that may be learnt from. ``learn`` says which may.
     Labels other than 0 and 1 are passed over."""
-    known = labels.select(
-        F.col(f"`{id_column}`").alias("_tr_id"), F.col(f"`{label}`").cast("int").alias("_tr_label")
-    ).where(F.col("_tr_id").isNotNull() & F.col("_tr_label").isin(0, 1))
-    known = known.withColumnRenamed("_tr_id", id_column).where(learn)
+    known = _known(labels, label, learn, id_column)
     counted = known.agg(F.count("*"), F.sum("_tr_label")).first()
     ones = counted[1] or 0
     share = ones / counted[0] if counted[0] else 0.5

@@ -90,3 +90,36 @@ def test_a_rare_group_term_does_not_decide():
     assert abs(logit(model, "word1 muslim") - logit(model, "word1 hindu")) < 0.1
     assert abs(logit(model, "word1 muslim") - logit(model, "word1")) < 0.1
     assert logit(model, "word1 vile") - logit(model, "word1") > 2
+
+
+@pytest.mark.parametrize("group", [8192, 100])
+def test_every_label_is_learnt_from(spark, monkeypatch, group):
+    """Whatever the number of labels, all are learnt from; a rare label is in all groups."""
+    monkeypatch.setattr(quality_ranking, "GROUP", group)
+    docs = spark.range(9000).selectExpr("id as doc_id", "case when id % 30 = 0 then concat('!! ', id, ' ', id) else concat('word', id, ' is a plain sentence with ', id % 7, ' words.') end as text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 30 <> 0 as int) as quality")
+    seen, plain = [], quality_ranking._groups
+
+    def groups(learnt, sizes):
+        made = plain(learnt, sizes)
+        seen.append((learnt.agg({"n": "sum"}).first()[0], made.selectExpr("place", "aggregate(n, 0L, (a, b) -> a + b) n", "array_contains(y, 0L) zero", "array_contains(y, 1L) one").collect()))
+        return made
+
+    monkeypatch.setattr(quality_ranking, "_groups", groups)
+    rows = quality_ranking.scored(docs, labels).collect()
+    learnt = sum(not r.held_out for r in rows)
+    assert learnt > 6000
+    (n, places), = seen
+    assert n == learnt <= sum(r.n for r in places) and all(r.zero and r.one for r in places)
+    assert np.mean([r.predicted == (r.doc_id % 30 != 0) for r in rows]) > 0.97
+
+
+def test_middle_is_the_exact_quantile(spark, monkeypatch):
+    monkeypatch.setattr(quality_ranking, "BINS", 4)
+    rng = np.random.default_rng(1)
+    worth = np.concatenate([rng.normal(size=400) * 1e-6, rng.normal(size=100), [3.0, 3.0]])
+    y = rng.integers(0, 2, len(worth))
+    ranked = spark.createDataFrame([(float(a), int(b), 1) for a, b in zip(worth, y)], "worth double, y int, n long")
+    sizes = {1: int(y.sum()), 0: int((1 - y).sum())}
+    got = quality_ranking._middle(ranked, sizes[1] / len(y), sizes)
+    assert (worth > got).sum() == sizes[1]
