@@ -70,7 +70,7 @@ class Ranking:
     middle: float
 
     def worth(self, rows: np.ndarray) -> np.ndarray:
-        return _standard(rows, np.array(self.mean), np.array(self.scale)) @ np.array(self.weights)
+        return _worth(rows, np.array(self.mean), np.array(self.scale), np.array(self.weights))
 
     def score(self, rows: np.ndarray) -> np.ndarray:
         at_threshold = np.log(THRESHOLD / (1 - THRESHOLD))
@@ -111,6 +111,11 @@ def _standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return np.concatenate([z, z**2], 1)
 
 
+def _worth(x: np.ndarray, mean: np.ndarray, scale: np.ndarray, w: np.ndarray) -> np.ndarray:
+    # Rounded, as the last digits depend on where in its batch a row stands.
+    return np.round(_standard(x, mean, scale) @ w, 9)
+
+
 def _pairs(z: np.ndarray, y: np.ndarray, n: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Differences of preference pairs and their weights: every document is paired
     with ``PAIRS`` of the other label, and both labels weigh the same."""
@@ -150,7 +155,8 @@ def _slope(groups: DataFrame, mean: np.ndarray, scale: np.ndarray, w: np.ndarray
 
 
 def _middle(ranked: DataFrame, share: float, sizes: dict[int, int]) -> float:
-    """The worth that ``share`` of the labelled documents exceed, between two of them.
+    """The worth that ``share`` of the labelled documents exceed, between two of them,
+    or that of all of them where several are worth the same.
     Rows are counted in ``BINS`` bins of equal width, then those of one bin again, until
     it has a single worth."""
 
@@ -160,9 +166,10 @@ def _middle(ranked: DataFrame, share: float, sizes: dict[int, int]) -> float:
 
     low, high = ranked.agg(F.min("worth"), F.max("worth")).first()
     ones = zeros = 0
-    while low < high:
+    own = None
+    while low < high or own is None:
         inside = ranked.where((F.col("worth") >= low) & (F.col("worth") <= high))
-        place = F.least(F.floor((F.col("worth") - low) / (high - low) * BINS), F.lit(BINS - 1))
+        place = F.least(F.floor((F.col("worth") - low) / ((high - low) or 1.0) * BINS), F.lit(BINS - 1))
         one = F.when(F.col("y") == 1, F.col("n")).otherwise(0)
         counted = inside.groupBy(place.alias("bin")).agg(
             F.sum(one).alias("ones"),
@@ -175,7 +182,10 @@ def _middle(ranked: DataFrame, share: float, sizes: dict[int, int]) -> float:
             if r is bins[-1] or weight(ones + r["ones"], zeros + r["zeros"]) >= 1 - share - 1e-12:
                 break
             ones, zeros = ones + r["ones"], zeros + r["zeros"]
-        low, high = r["low"], r["high"]
+        low, high, own = r["low"], r["high"], r
+    last = weight(1, 0) if own["ones"] else weight(0, 1)
+    if weight(ones + own["ones"], zeros + own["zeros"]) - last >= 1 - share - 1e-12:
+        return low
     after = ranked.where(F.col("worth") > low).agg(F.min("worth")).first()[0]
     return (low + (low if after is None else after)) / 2
 
@@ -239,7 +249,7 @@ def train(
     def run(batches):
         for batch in batches:
             x = batch.column("x")
-            worth = _standard(x.flatten().to_numpy().reshape(len(x), -1), mean, scale) @ w
+            worth = _worth(x.flatten().to_numpy().reshape(len(x), -1), mean, scale, w)
             yield pa.RecordBatch.from_arrays([pa.array(worth), batch.column("y"), batch.column("n")], ["worth", "y", "n"])
 
     ranked = cut(learnt.mapInArrow(run, "worth double, y int, n long"))

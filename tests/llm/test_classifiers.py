@@ -123,3 +123,7 @@ def test_middle_is_the_exact_quantile(spark, monkeypatch):
     sizes = {1: int(y.sum()), 0: int((1 - y).sum())}
     got = quality_ranking._middle(ranked, sizes[1] / len(y), sizes)
     assert (worth > got).sum() == sizes[1]
+    tied = spark.createDataFrame([(0.0, 1, 5), (0.0, 0, 40), (1.0, 1, 60), (-1.0, 0, 10)], "worth double, y int, n long")
+    assert quality_ranking._middle(tied, 65 / 115, {1: 65, 0: 50}) == 0.0
+    clear = spark.createDataFrame([(0.0, 0, 1), (-1.0, 0, 10), (1.0, 1, 11)], "worth double, y int, n long")
+    assert quality_ranking._middle(clear, 0.5, {1: 11, 0: 11}) == 0.5
