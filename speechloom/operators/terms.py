@@ -25,13 +25,15 @@ from speechloom.functions.text import (
 from speechloom.operators.denoise import random_order
 from speechloom.plans.bitmap import hash_bits, may_hold
 from speechloom.plans.exploding import explode_array
-from speechloom.plans.joins import join_counted
+from speechloom.plans.joins import CELL_ROWS, join_counted
 from speechloom.plans.literals import literal_table
 from speechloom.plans.ranking import top_per_group
 
 
 # 4 MB: of ten million frequent terms, a quarter of the rare ones pass.
 TERM_BITS = 1 << 25
+# Cells for the rows of a term with more than CELL_ROWS of them.
+CELLS = 64
 
 
 def _of_groups(speeches: DataFrame, group: str, groups: Sequence[str]) -> DataFrame:
@@ -96,16 +98,16 @@ def vocab_counts(
 # ------------------------------------------------------------------ TF-IDF
 
 
-def _frequent_enough(rows: DataFrame, group: str, min_df: int) -> Column:
-    """A condition on rows of (group, term) that holds for each term of ``min_df`` rows
-    or more and for few others. Rows are counted by hashes of their terms, so that rare
-    terms, most of all there are, need not be shuffled as texts. Terms of equal hash
-    are counted together: none is lost by that."""
-    if min_df <= 1:
-        return F.lit(True)
+def _often(rows: DataFrame, group: str, min_df: int) -> tuple[Column, Column]:
+    """Two conditions on rows of (group, term). The first holds for each term of
+    ``min_df`` rows or more and for few others, the second for each of more than
+    ``CELL_ROWS`` rows and for few others. Rows are counted, once for both, by hashes of
+    their terms, so that rare terms, most of all there are, need not be shuffled as
+    texts. Terms of equal hash are counted together: none is lost by that."""
     code = F.xxhash64(group, "term")
     often = rows.groupBy(code.alias("code")).agg(F.count("*").alias("n")).where(F.col("n") >= min_df)
-    return may_hold(hash_bits(often, "code", TERM_BITS), code, TERM_BITS)
+    kept, heavy = hash_bits(often, "code", TERM_BITS, [F.lit(True), F.col("n") > CELL_ROWS])
+    return may_hold(kept, code, TERM_BITS) if min_df > 1 else F.lit(True), may_hold(heavy, code, TERM_BITS)
 
 
 def tfidf(
@@ -120,44 +122,53 @@ def tfidf(
     them, are pruned; then each document's weights are scaled to length one.
     """
     # Terms are made where a text is read; what is shuffled, once, is their array, by
-    # a number of its own. All readings below use it.
+    # a number of its own. All readings below use it, and all its columns.
     documents = (
         documents.select(group, terms.alias("terms"))
         .withColumn("document", F.monotonically_increasing_id())
         .repartition("document")
         .where(F.col("terms").isNotNull())
     )
-
-    def rows(found: Column) -> DataFrame:
-        return explode_array(documents, ["document", group], found, "term")
-
-    kept = _frequent_enough(rows(F.col("terms")), group, min_df)
-    # The partitions are those of the documents: no row moves for this.
-    counts = rows(F.col("terms")).where(kept).groupBy("document", group, "term").agg(F.count("*").alias("tf"))
-    # The empty term stands for the document itself: its frequency is n. All
-    # uses of `frequencies` read the same columns, so it is computed once.
-    frequencies = (
-        rows(F.concat(F.array(F.lit("")), "terms"))
-        .where((F.col("term") == "") | kept)
+    rows = explode_array(documents, ["document", group], F.col("terms"), "term")
+    kept, heavy = _often(rows, group, min_df)
+    # The partitions are those of the documents: no row moves to be counted. Then a
+    # term's rows meet in one task, those of a heavy one in several cells.
+    cell = F.coalesce(F.when(heavy, 1 + F.pmod(F.xxhash64("document"), F.lit(CELLS))), F.lit(0).cast("long"))
+    place = [group, "term", "cell"]
+    counts = (
+        rows.where(kept)
         .groupBy("document", group, "term")
-        .agg(F.lit(1).alias("one"))
-        .groupBy(group, "term")
-        .agg(F.count("*").alias("df"))
+        .agg(F.count("*").alias("tf"))
+        .select("document", group, "term", "tf", cell.alias("cell"))
+        .repartition(*place)
+    )
+    # Where the rows lie they are counted and find their weights. All readings use all
+    # columns (both tests always hold) and filter nothing before they have counted, so
+    # the rows are made and moved once.
+    each = (F.col("tf") > 0) & (F.col("document") >= 0)
+    frequencies = counts.groupBy(*place).agg(F.count_if(each).alias("df"))
+    # At most one heavy term per CELL_ROWS rows, and a few that share a bit with one.
+    spread = (
+        counts.groupBy(group, F.coalesce(F.when(F.col("cell") > 0, F.col("term")), F.lit("")).alias("term"))
+        .agg(F.count_if(each & (F.col("cell") > 0)).alias("total"))
+        .where(F.col("total") > 0)
     )
     # one row per group; groups are limited to a given list
-    sizes = frequencies.groupBy(group).agg(F.max(F.when(F.col("term") == "", F.col("df"))).alias("n"))
+    sizes = documents.groupBy(group).agg(F.count_if(F.size("terms") >= 0).alias("n"))
     weighted = (
         frequencies.join(F.broadcast(sizes), group)
+        .join(F.broadcast(spread), [group, "term"], "left")
+        .withColumn("df", F.when(F.col("cell") > 0, F.col("total")).otherwise(F.col("df")))
         .where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
-        .select(group, "term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+        .select(*place, (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     )
     weight = F.col("tf") * F.col("idf")
     length = F.sqrt(
         F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("document"))
     )
     return (
-        join_counted(counts, weighted, [group, "term"], "df", "document", hashed=True)
-        .withColumn("weight", weight)
+        join_counted(counts, weighted, place, placed=True)
+        .select("document", group, "term", weight.alias("weight"))
         .withColumn("weight", F.col("weight") / length)
         .groupBy(group, "term")
         .agg(F.round(F.sum("weight"), 6).alias("score"))

@@ -30,7 +30,12 @@ def fits_broadcast(side: DataFrame) -> bool:
 
 
 def join_counted(
-    rows: DataFrame, counts: DataFrame, keys: Sequence[str], weight: str, spread: str, hashed: bool = False
+    rows: DataFrame,
+    counts: DataFrame,
+    keys: Sequence[str],
+    weight: str | None = None,
+    spread: str | None = None,
+    placed: bool = False,
 ) -> DataFrame:
     """Inner join of ``rows`` to ``counts``, which is unique by ``keys`` and
     says in ``weight`` how many rows each key owns.
@@ -38,15 +43,17 @@ def join_counted(
     The last key must be a string. The rows of the ``HOT_KEYS`` heaviest keys
     find their match in a broadcast table of exactly those keys. In the shuffle
     that serves the others they carry a stand-in key made from ``spread``: it
-    matches nothing and scatters them over the partitions. With ``hashed`` a task holds
-    its share of ``counts`` in a hash table, which saves sorting the rows; it should
-    be the much smaller side.
+    matches nothing and scatters them over the partitions. ``placed`` says that both
+    sides lie by ``keys`` already, which then tell the cells of heavy keys apart: no
+    row moves, and a task holds its share of ``counts``, the much smaller side, in a
+    hash table.
     """
+    if placed:
+        return rows.join(counts.hint("shuffle_hash"), list(keys))
     *context, key = keys
     payload = F.struct(*[c for c in counts.columns if c not in keys])
     hot = counts.orderBy(F.desc(weight)).limit(HOT_KEYS).select(*keys, payload.alias("_hot"))
     rest = counts.select(*context, F.col(key).alias("_key"), payload.alias("_rest"))
-    rest = rest.hint("shuffle_hash") if hashed else rest
     scattered = F.concat_ws(
         "\u0000", F.col(key), F.pmod(F.xxhash64(spread), F.lit(HOT_SPREAD)).cast("string")
     )

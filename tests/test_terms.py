@@ -318,3 +318,24 @@ def test_rare_terms_are_not_shuffled_as_texts(spark, monkeypatch, bits):
     assert {p: {r.term: r.score for r in got if r.party == p} for p in "DR"} == want
     if bits > 64:
         assert {r.term for r in joined[0].select("term").collect()} == {"gold", "coin", "tariff", "bank", "twice"}
+
+
+@pytest.mark.parametrize("cell_rows", [3, 1 << 16])
+def test_counted_terms_are_made_and_moved_once(spark, monkeypatch, cell_rows):
+    """The rows of terms are shuffled once, to be counted and weighted where they lie;
+    those of a term with many are in several cells, yet counted together."""
+    monkeypatch.setattr(terms, "CELL_ROWS", cell_rows)
+    docs = [(p, f"the bank the coin {'gold' if k % 3 else 'silver'} mint{k % 4}") for k in range(12) for p in "DR"]
+    docs += [("D", "gold gold"), ("R", "tariff tariff"), ("R", ""), ("D", None)]
+    joined = []
+    plain = joins.join_counted
+    monkeypatch.setattr(terms, "join_counted", lambda rows, *a, **k: joined.append(rows) or plain(rows, *a, **k))
+    scores = terms.tfidf_unigram(corpus_of(spark, docs), [], 0.9, 2, k=100)
+    got = scores.collect()
+    want = brute_force(docs, set(), 1, 0.9, 2)
+    assert {p: {r.term: r.score for r in got if r.party == p} for p in "DR"} == want
+    cells = {r["count(DISTINCT cell)"] for r in joined[0].where("term = 'gold'").groupBy("party").agg(F.countDistinct("cell")).collect()}
+    assert cells == {1} if cell_rows > 3 else min(cells) > 1
+    plan = scores._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    moved = re.findall(r"^.*Exchange hashpartitioning\(party#\d+, term#\d+.*cell#.*$", plan, re.M)
+    assert len([line for line in moved if "ReusedExchange" not in line]) == 1
