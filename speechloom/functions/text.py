@@ -125,9 +125,31 @@ def remove_all(text: Column | str, patterns: Iterable[str]) -> Column:
     return reduce(lambda c, p: F.regexp_replace(c, p, ""), patterns, _col(text))
 
 
+def _any_phrase(phrases: Sequence[str]) -> str:
+    """Regex that finds a text with at least one of the literal phrases. If each has
+    words after a space, it is looked for at its first one: few characters of a text
+    are spaces, and of these few are followed by the right three characters."""
+    whole = "|".join(map(re.escape, phrases))
+    ends = [p.partition(" ")[2] for p in phrases]
+    if not all(ends):
+        return f"(?:{whole})"
+    firsts = zip(*(e[:3] for e in ends))
+    start = "".join("[" + "".join(map(re.escape, sorted(set(c)))) + "]" for c in firsts)
+    return f" (?={start})(?:{'|'.join(map(re.escape, ends))})(?<={whole})"
+
+
 def delete_phrases(text: Column | str, phrases: Iterable[str]) -> Column:
     """Delete literal phrases in order, also inside longer words."""
-    return reduce(lambda c, p: F.replace(c, F.lit(p), F.lit("")), phrases, _col(text))
+    phrases = list(phrases)
+    if not phrases:
+        return _col(text)
+
+    def delete(text: Column, phrase: str) -> Column:
+        # to look for a phrase costs less than to replace none
+        return let(text, lambda t: F.when(t.contains(phrase), F.replace(t, F.lit(phrase), F.lit(""))).otherwise(t))
+
+    # one search tells which texts have none of them and stay as they are
+    return let(_col(text), lambda t: F.when(t.rlike(_any_phrase(phrases)), reduce(delete, phrases, t)).otherwise(t))
 
 
 def delete_numbers(text: Column | str) -> Column:

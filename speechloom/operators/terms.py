@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from speechloom import fixed_values as fv
@@ -24,7 +24,7 @@ from speechloom.functions.text import (
 )
 from speechloom.operators.denoise import random_order
 from speechloom.plans.bitmap import hash_bits, may_hold
-from speechloom.plans.exploding import explode_array
+from speechloom.plans.exploding import explode_array, explode_runs
 from speechloom.plans.joins import CELL_ROWS, join_counted
 from speechloom.plans.literals import literal_table
 from speechloom.plans.ranking import top_per_group
@@ -98,48 +98,52 @@ def vocab_counts(
 # ------------------------------------------------------------------ TF-IDF
 
 
-def _often(rows: DataFrame, group: str, min_df: int) -> tuple[Column, Column]:
-    """Two conditions on rows of (group, term). The first holds for each term of
-    ``min_df`` rows or more and for few others, the second for each of more than
+def _often(rows: DataFrame, group: str, words: Sequence[str], min_df: int) -> tuple[Column, Column]:
+    """Two conditions on rows of a group and the words of a term. The first holds for each
+    term of ``min_df`` rows or more and for few others, the second for each of more than
     ``CELL_ROWS`` rows and for few others. Rows are counted, once for both, by hashes of
     their terms, so that rare terms, most of all there are, need not be shuffled as
     texts. Terms of equal hash are counted together: none is lost by that."""
-    code = F.xxhash64(group, "term")
+    code = F.xxhash64(group, *words)
     often = rows.groupBy(code.alias("code")).agg(F.count("*").alias("n")).where(F.col("n") >= min_df)
     kept, heavy = hash_bits(often, "code", TERM_BITS, [F.lit(True), F.col("n") > CELL_ROWS])
     return may_hold(kept, code, TERM_BITS) if min_df > 1 else F.lit(True), may_hold(heavy, code, TERM_BITS)
 
 
 def tfidf(
-    documents: DataFrame, terms: Column, group: str, max_df: float = 1.0, min_df: int = 1
+    documents: DataFrame, terms: Column, group: str, max_df: float = 1.0, min_df: int = 1, n: int = 1
 ) -> DataFrame:
     """Summed TF-IDF of every term of every group: (group, term, score).
 
     Every row is a document, whatever its id. ``terms`` is the array of its
-    terms; where it is NULL there is no document. Inverse document frequency
+    terms; where it is NULL there is no document. With ``n`` it is that of its
+    words, none with a space in it, and a term is ``n`` neighbours, joined by
+    spaces. Inverse document frequency
     is ln((1 + n) / (1 + df)) + 1, fitted per group over all its documents.
     Terms in fewer than ``min_df`` documents, or in more than ``max_df`` of
     them, are pruned; then each document's weights are scaled to length one.
     """
-    # Terms are made where a text is read; what is shuffled, once, is their array, by
-    # a number of its own. All readings below use it, and all its columns.
+    # Words are made where a text is read; what is shuffled, once, is their array, by
+    # a number of its own. All readings below use it, and all its columns. A term of
+    # several words is put together only where it is not pruned by its hash.
     documents = (
         documents.select(group, terms.alias("terms"))
         .withColumn("document", F.monotonically_increasing_id())
         .repartition("document")
         .where(F.col("terms").isNotNull())
     )
-    rows = explode_array(documents, ["document", group], F.col("terms"), "term")
-    kept, heavy = _often(rows, group, min_df)
+    words = [f"word{k}" for k in range(n)]
+    rows = explode_runs(documents, ["document", group], "terms", words)
+    kept, heavy = _often(rows, group, words, min_df)
     # The partitions are those of the documents: no row moves to be counted. Then a
     # term's rows meet in one task, those of a heavy one in several cells.
     cell = F.coalesce(F.when(heavy, 1 + F.pmod(F.xxhash64("document"), F.lit(CELLS))), F.lit(0).cast("long"))
     place = [group, "term", "cell"]
     counts = (
         rows.where(kept)
-        .groupBy("document", group, "term")
+        .groupBy("document", group, *words)
         .agg(F.count("*").alias("tf"))
-        .select("document", group, "term", "tf", cell.alias("cell"))
+        .select("document", group, F.concat_ws(" ", *words).alias("term"), "tf", cell.alias("cell"))
         .repartition(*place)
     )
     # Where the rows lie they are counted and find their weights. All readings use all
@@ -162,16 +166,18 @@ def tfidf(
         .where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
         .select(*place, (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     )
-    weight = F.col("tf") * F.col("idf")
-    length = F.sqrt(
-        F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("document"))
+    weights = (
+        join_counted(counts, weighted, place, placed=True)
+        .select("document", group, "term", (F.col("tf") * F.col("idf")).alias("weight"))
+        .repartition("document")
     )
+    # Again all columns are read, so that the weights are moved once.
+    each = (F.length(group) >= 0) & (F.length("term") >= 0)
+    lengths = weights.groupBy("document").agg(F.sqrt(F.sum(F.when(each, F.col("weight") * F.col("weight")))).alias("length"))
     return (
-        join_counted(counts, weighted, place, placed=True)
-        .select("document", group, "term", weight.alias("weight"))
-        .withColumn("weight", F.col("weight") / length)
+        weights.join(lengths.hint("shuffle_hash"), "document")
         .groupBy(group, "term")
-        .agg(F.round(F.sum("weight"), 6).alias("score"))
+        .agg(F.round(F.sum(F.col("weight") / F.col("length")), 6).alias("score"))
     )
 
 
@@ -215,8 +221,8 @@ def tfidf_bigram(
     a pair may span a removed word."""
     documents = _of_groups(speeches, group, groups).where(F.col("speech").isNotNull())
     documents = documents.select(group, "speech")
-    terms = _pairs(_kept_words("speech", [*stop_words, *noise_words]))
-    return _top_terms(tfidf(documents, terms, group, max_df, min_df), group, k)
+    words = _kept_words("speech", [*stop_words, *noise_words])
+    return _top_terms(tfidf(documents, words, group, max_df, min_df, 2), group, k)
 
 
 def tfidf_bigram_final(
@@ -234,10 +240,6 @@ def tfidf_bigram_final(
     return tfidf_bigram(speeches, stops, max_df, min_df, k, **options)
 
 
-def _pairs(words: Column) -> Column:
-    return let(words, lambda w: ngrams(w, 2))
-
-
 def deep_clean(text: Column | str, phrases: Sequence[str] = fv.DEEP_CLEAN_PHRASES) -> Column:
     """Lower-case text without the listed phrases and without bare numbers."""
     text = F.col(text) if isinstance(text, str) else text
@@ -261,11 +263,8 @@ def deep_clean_tfidf(
         .select(group, deep_clean("speech").alias("speech"))
     )
     # as a filter this test would clean every text a second time
-    terms = F.when(
-        F.col("speech") != "",
-        _pairs(_kept_words("speech", [*stop_words, *fv.DEEP_CLEAN_STOPWORDS])),
-    )
-    return _top_terms(tfidf(documents, terms, group, max_df, min_df), group, k)
+    words = F.when(F.col("speech") != "", _kept_words("speech", [*stop_words, *fv.DEEP_CLEAN_STOPWORDS]))
+    return _top_terms(tfidf(documents, words, group, max_df, min_df, 2), group, k)
 
 
 def vocab_scores(

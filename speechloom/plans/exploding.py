@@ -21,3 +21,17 @@ def explode_array(df: DataFrame, keep: Sequence[str], array: Column, name: str)
         .select(*keep, F.explode_outer(name).alias(name))
         .where(F.col(name).isNotNull())
     )
+
+
+def explode_runs(df: DataFrame, keep: Sequence[str], array: str, names: Sequence[str]) -> DataFrame:
+    """One row per run of as many neighbours as there are names, in a column each, with
+    the ``keep`` columns. The array is a column and has no NULLs. Each element comes with
+    its place, at which its neighbours are looked up: no array of runs is made."""
+    if len(names) == 1:
+        return explode_array(df, keep, F.col(array), names[0])
+    first, *others = names
+    return (
+        df.select(*keep, array, F.posexplode_outer(array).alias("_place", first))
+        .select(*keep, first, *[F.get(array, F.col("_place") + k).alias(n) for k, n in enumerate(others, 1)])
+        .where(F.col(names[-1]).isNotNull())
+    )

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from speechloom import fixed_values as fv
-from speechloom.functions.text import counted
+from speechloom.functions.text import _any_phrase, counted, delete_phrases
 from speechloom.operators import entities, lexicon, terms
 from speechloom.plans import bitmap, joins
 
@@ -100,6 +100,26 @@ def test_deep_clean_drops_documents_left_empty(spark):
     assert terms.deep_clean_tfidf(corpus_of(spark, docs), [], 0.9, 1).count() == 0
 
 
+@pytest.mark.parametrize("phrases", [fv.DEEP_CLEAN_PHRASES, ["b.c", "a b"], ["a  b", "b a", "c "], ["x-y [z", "x ]^-"], [""]])
+def test_phrases_are_deleted_in_order(spark, phrases):
+    """Also those that a deletion brings together; one search finds texts with any."""
+    rng = random.Random(3)
+    parts = [*phrases, *"a b c x-y [z ] ^ é".split(" "), " ", "  ", "\n", *[w for p in phrases for w in p.split(" ")]]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(9))) for _ in range(800)] + [None, ""]
+    texts += ["unitunited statesed states 1", "new new york york", "a ba b b"]
+    column = delete_phrases("t", phrases)
+    found = F.col("t").rlike(_any_phrase(phrases))
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", column.alias("got"), found.alias("found"))
+    for t, got, hit in rows.collect():
+        want = t
+        for p in phrases:
+            want = want if want is None else want.replace(p, "")
+        assert got == want
+        assert hit == (None if t is None else any(p in t for p in phrases))
+    # a text with none of the phrases is searched once, not once for each
+    assert "rlike" in str(column)
+
+
 def test_vocabulary_scores_unused_terms_zero(spark):
     docs = [("D", "silver and the public lands"), ("D", "public tax lands"), ("R", "x")]
     rows = terms.vocab_tfidf(corpus_of(spark, docs), ["the", "and"], k=4).collect()
@@ -339,3 +359,24 @@ def test_counted_terms_are_made_and_moved_once(spark, monkeypatch, cell_rows):
     plan = scores._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     moved = re.findall(r"^.*Exchange hashpartitioning\(party#\d+, term#\d+.*cell#.*$", plan, re.M)
     assert len([line for line in moved if "ReusedExchange" not in line]) == 1
+
+
+@pytest.mark.parametrize("cell_rows", [3, 1 << 16])
+@pytest.mark.parametrize("max_df, min_df", [(1.0, 1), (0.6, 3)])
+def test_pairs_are_made_after_pruning(spark, monkeypatch, cell_rows, max_df, min_df):
+    """Words are shuffled by document, not their pairs; a pair is put together only where
+    its hash says that it may be frequent."""
+    monkeypatch.setattr(terms, "CELL_ROWS", cell_rows)
+    docs = [(p, f"gold coin gold coin mint{k % 4} rare{k} bank") for k in range(12) for p in "DR"]
+    docs += [("D", "gold"), ("R", "tariff tariff tariff"), ("R", ""), ("D", None), ("Unknown", "gold coin")]
+    joined = []
+    plain = joins.join_counted
+    monkeypatch.setattr(terms, "join_counted", lambda rows, *a, **k: joined.append(rows) or plain(rows, *a, **k))
+    for query in (terms.tfidf_bigram, terms.deep_clean_tfidf):
+        scores = query(corpus_of(spark, docs), [], max_df, min_df, k=1000)
+        got = {p: {r.term: r.score for r in scores.collect() if r.party == p} for p in "DR"}
+        assert got == brute_force([d for d in docs if d[1]] if query is terms.deep_clean_tfidf else docs, set(), 2, max_df, min_df)
+        plan = scores._jdf.queryExecution().analyzed().toString()
+        assert "zip_with" not in plan and "posexplode" in plan
+    made = {r.term for r in joined[0].select("term").collect()}
+    assert ("mint1 rare1" in made) == (min_df == 1) and "gold coin" in made
