@@ -43,30 +43,35 @@ def direct_sort(positions: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
     """The positions in the order of the bytes that start there, as deep as the
     words go. Words are compared one after the other, deeper ones only between
     positions that are still tied."""
-    order = positions[np.argsort(words[0][positions])]
-    rank = np.cumsum(np.r_[0, np.diff(words[0][order]) != 0]) if len(order) else order
+    first = words[0][positions]
+    by_first = np.argsort(first)
+    order, first = positions[by_first], first[by_first]
+    at, new = np.arange(len(order)), _changes(first)
     for word in words[1:]:
-        size = np.bincount(rank) if len(rank) else rank
-        tied = np.flatnonzero(size[rank] > 1) if len(rank) else rank
-        if not len(tied):
+        tied = ~new
+        tied[:-1] |= tied[1:]
+        at, group = at[tied], np.cumsum(new)[tied]
+        if not len(at):
             break
-        # Equal codes for equal words, so that (rank, word) fits one number.
-        value = word[order[tied]]
+        # Equal codes for equal words, so that (group, word) fits one number.
+        value = word[order[at]]
         by_value = np.argsort(value)
-        code = np.empty(len(tied), np.int64)
-        code[by_value] = np.cumsum(np.r_[0, np.diff(value[by_value]) != 0])
-        both = (rank[tied].astype(np.int64) << 32) | code
+        code = np.empty(len(at), np.int64)
+        code[by_value] = np.cumsum(_changes(value[by_value]))
+        both = (group << 32) | code
         again = np.argsort(both)
-        order[tied] = order[tied][again]
-        # New ranks: a tied position starts a new group where (rank, word) changes.
-        starts = np.zeros(len(order), bool)
-        starts[1:] = np.diff(rank) != 0
-        both = both[again]
-        starts[tied[1:]] |= both[1:] != both[:-1]
-        rank = np.cumsum(starts)
+        order[at] = order[at[again]]
+        new = _changes(both[again])
     return order
 
 
+def _changes(values: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before it; the first counts."""
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return new
+
+
 def suffix_array(block: np.ndarray, depth: int, words: list[np.ndarray] | None = None) -> np.ndarray:
     """All suffixes of the block, sorted by at least ``depth`` first bytes."""
     n = len(block)
@@ -89,13 +94,13 @@ def suffix_array(block: np.ndarray, depth: int, words: list[np.ndarray] | None =
         first = block[before]
         by_first = np.argsort(first, kind="stable")
         before, first = before[by_first], first[by_first]
-        edges = np.flatnonzero(np.r_[True, first[1:] != first[:-1]]) if len(first) else []
-        same = np.zeros(0, np.int64)
-        for start, part in zip(edges, np.split(before, edges[1:])):
+        edges = [*np.flatnonzero(_changes(first)).tolist(), len(first)]
+        same = before[:0]
+        for start, end in zip(edges[:-1], edges[1:]):
             if first[start] == byte:
-                same = part
+                same = before[start:end]
             else:
-                waiting[first[start]].append(part)
+                waiting[first[start]].append(before[start:end])
         return same
 
     for byte in range(256):
@@ -119,8 +124,11 @@ def common_prefixes(order: np.ndarray, words: list[np.ndarray], depth: int) -> n
         return shared
     open_ = np.arange(1, len(order))
     for k, word in enumerate(words):
-        values = word[order]
-        different = values[open_] ^ values[open_ - 1]
+        if 2 * len(open_) > len(order):
+            values = word[order]
+            different = values[open_] ^ values[open_ - 1]
+        else:
+            different = word[order[open_]] ^ word[order[open_ - 1]]
         ended = different != 0
         at = open_[ended]
         bits = different[ended]

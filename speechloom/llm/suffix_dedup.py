@@ -12,7 +12,7 @@ that could be equal have to meet in one suffix array of bounded size:
    text to sort). Anchors that stand close to each other in one document, the
    first known one, go to the same place, so that long passages travel in one
    piece. An anchor found in very many documents gets a place of its own, and
-   one whose strings would overfill it gets many: each of its strings goes by
+   one whose pieces would overfill it gets many: each of its strings goes by
    itself to the place that its own hash names, where equal ones still meet.
 3. ``pieces``: the batch cuts the stretches of its texts whose strings own such
    anchors. It sends each distinct piece once, with its occurrences in the
@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,7 +52,6 @@ PORTION = 1 << 17
 SEPARATOR = b"\xff"
 MULTIPLIER = 0x9E3779B97F4A7C15
 MIXERS = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-WORD = (1 << 64) - 1
 
 
 def _mix(values: np.ndarray) -> np.ndarray:
@@ -61,10 +60,13 @@ def _mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
+BYTES = _mix(np.arange(1, 257, dtype=np.uint64))
+
+
 def _gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
     """Hash of the ``size`` bytes from each position, put together from halves."""
     total, done = None, 0
-    power, width = _mix(data.astype(np.uint64) + np.uint64(1)), 1
+    power, width = np.take(BYTES, data), 1
     while True:
         if size & width:
             if total is None:
@@ -161,41 +163,55 @@ def _edges(values: np.ndarray) -> np.ndarray:
     return np.r_[0, np.flatnonzero(values[1:] != values[:-1]) + 1, len(values)]
 
 
+def _binary(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """The bytes of the values between each two edges."""
+    offsets = (edges * values.itemsize).astype(np.int32)
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))]
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, buffers)
+
+
+def _within(sizes: np.ndarray) -> np.ndarray:
+    """For runs of these sizes, laid end to end, each element's number in its run."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
 def _send_anchors(length: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
         batch = table.column("_sd_batch")[0].as_py()
         _, texts, _ = _ordered(table)
         who, _, _, hashes, at = _anchors(texts, length)
+        if not len(who):
+            return _table([], ANCHORS)
         bucket, high = _hash_key(hashes, buckets)
-        order = np.lexsort((who, high, bucket))
-        key = (bucket[order] << 32) | high[order]
+        key = (bucket << 32) | high
+        # Documents stand in order, and equal keys stay in it.
+        order = np.argsort(key, kind="stable")
+        key, who = key[order], who[order]
         starts = _edges(key)
         new = np.ones(len(key), np.int64)
-        new[1:] = (key[1:] != key[:-1]) | (who[order][1:] != who[order][:-1])
-        holders = np.add.reduceat(new, starts[:-1]) if len(key) else new
+        new[1:] = (key[1:] != key[:-1]) | (who[1:] != who[:-1])
+        holders = np.minimum(np.add.reduceat(new, starts[:-1]), 0xFFFF).astype(np.uint16)
         one = order[starts[:-1]]
-        bucket, high, at = bucket[one], high[one], at[one]
+        bucket = bucket[one]
         runs = _edges(bucket)
-        rows = []
-        for start, end in zip(runs[:-1], runs[1:]):
-            own = slice(start, end)
-            rows.append(
-                (
-                    int(bucket[start]),
-                    batch,
-                    high[own].astype(np.uint32).tobytes(),
-                    at[own].astype(np.uint32).tobytes(),
-                    np.minimum(holders[own], 0xFFFF).astype(np.uint16).tobytes(),
-                )
-            )
-        return _table(rows, ANCHORS)
+        return pa.table(
+            {
+                "_sd_bucket": pa.array(bucket[runs[:-1]], pa.int64()),
+                "_sd_batch": pa.array(np.full(len(runs) - 1, batch), pa.int64()),
+                "hashes": _binary(high[one].astype(np.uint32), runs),
+                "positions": _binary(at[one].astype(np.uint32), runs),
+                "holders": _binary(holders, runs),
+            }
+        )
 
     return run
 
 
 def _assign_places(places: int, length: int, place_bytes: int):
-    # Bytes of the strings that own an anchor in one document, sent one by one.
+    # Bytes of the strings that own an anchor in one document, sent one by one, and
+    # of the piece that has them all, with its occurrence.
     each = length * (length - _gram(length) + 1)
+    whole = 2 * length - _gram(length) + 24
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("_sd_bucket")[0].as_py()
@@ -213,25 +229,25 @@ def _assign_places(places: int, length: int, place_bytes: int):
         own = np.full(len(first), 1 << 40, np.uint64) + hashes[first]
         near = (batch[first].astype(np.uint64) << np.uint64(32)) | (at[first] // STRETCH)
         place = _mix(np.where(total > COMMON, own + np.uint64(bucket << 41), near)) % np.uint64(places)
-        salts = np.where(total > COMMON, 1 + total * each // place_bytes, 1)
+        own_many = (total > COMMON) & (total * whole > place_bytes)
+        salts = np.where(own_many, 1 + total * each // place_bytes, 1)
         repeated = np.repeat(total > 1, np.diff(starts))
         place = np.repeat(place, np.diff(starts))[repeated]
         salts = np.repeat(salts, np.diff(starts))[repeated]
         order = order[repeated]
         by_batch = np.argsort(batch[order], kind="stable")
         order, place, salts = order[by_batch], place[by_batch], salts[by_batch]
-        runs = _edges(batch[order])
-        rows = [
-            (
-                int(batch[order[start]]),
-                bucket,
-                hashes[order[start:end]].tobytes(),
-                place[start:end].astype(np.int64).tobytes(),
-                salts[start:end].astype(np.int64).tobytes(),
-            )
-            for start, end in zip(runs[:-1], runs[1:])
-        ]
-        return _table(rows, PLACED)
+        batch = batch[order]
+        runs = _edges(batch)
+        return pa.table(
+            {
+                "_sd_batch": pa.array(batch[runs[:-1]], pa.int64()),
+                "_sd_bucket": pa.array(np.full(len(runs) - 1, bucket), pa.int64()),
+                "hashes": _binary(hashes[order], runs),
+                "places": _binary(place.astype(np.int64), runs),
+                "salts": _binary(salts.astype(np.int64), runs),
+            }
+        )
 
     return run
 
@@ -263,61 +279,100 @@ def _cut_pieces(length: int, buckets: int, places: int):
         heads, tails = runs[:-1], runs[1:] - 1
         wanted = place[heads] != -1
         heads, tails = heads[wanted], tails[wanted]
-        found: dict[int, dict[bytes, list]] = {}
-        for p, w, s, e in zip(
-            place[heads].tolist(),
-            who[heads].tolist(),
-            start[heads].tolist(),
-            (end[tails] - 1 + length).tolist(),
-        ):
-            piece = texts[w][s:e]
-            found.setdefault(p, {}).setdefault(piece, []).append((ids[w], w, s))
-        later: list[tuple[int, int, int]] = []
-        for p in list(found):
-            found[p] = _first_only(found[p], later)
-            if p >= 0:
-                continue
-            alone: dict[bytes, list] = {}
-            for piece, seen in found.pop(p).items():
-                for k in range(len(piece) - length + 1):
-                    alone.setdefault(piece[k : k + length], []).extend((i, w, s + k) for i, w, s in seen)
-            strings = _first_only(alone, later)
-            at = _own_places(strings, int(known[-2 - p]), int(own_salts[-2 - p]), places)
-            for q, (string, seen) in zip(at, strings.items()):
-                # Other anchors' strings differ; the same one may meet its own.
-                found.setdefault(q, {}).setdefault(string, []).extend(seen)
-        rows = [
-            (p, batch, list(pieces), [np.array(x, np.int64).tobytes() for x in pieces.values()])
-            for p, pieces in found.items()
-        ]
-        if later:
-            spans = np.array(later, np.int64).tobytes()
-            rows.append((-1 - batch, batch, [], [spans]))
-        return _table(rows, PIECES)
+        if not len(heads):
+            return _table([], PIECES)
+        place, who, start = place[heads], who[heads], start[heads]
+        size = end[tails] - 1 + length - start
+        number = np.unique(place, return_inverse=True)[1]
+        code = _codes(_cut(texts, who, start, size))
+        group, later = _first_only(number * (code.max() + 1) + code, ids[who])
+        spans = [np.stack((who, start, start + size), 1)[later]]
+        alone = ~later & (place < -1)
+        # The strings of an anchor of many places, each with its own.
+        one = np.flatnonzero(alone)
+        many = size[one] - length + 1
+        one, shift = np.repeat(one, many), _within(many)
+        who_, start_ = who[one], start[one] + shift
+        strings = _strings(texts, who_, start_, length)
+        group_, later_ = _first_only(_codes(pa.FixedSizeBinaryArray.from_buffers(
+            pa.binary(length), len(strings), [None, pa.py_buffer(strings)]
+        )), ids[who_])
+        spans.append(np.stack((who_, start_, start_ + length), 1)[later_])
+        slot = -2 - place[one]
+        own = _own_places(strings, known[slot], own_salts[slot], places)
+        # Other anchors' strings differ; the same one may meet its own.
+        kept, kept_ = np.flatnonzero(~later & ~alone), np.flatnonzero(~later_)
+        place = np.r_[place[kept], own[kept_]]
+        group = np.r_[group[kept], len(group) + group_[kept_]]
+        who, start = np.r_[who[kept], who_[kept_]], np.r_[start[kept], start_[kept_]]
+        size = np.r_[size[kept], np.full(len(kept_), length)]
+        order = np.lexsort((group, place))
+        place, group, who, start, size = (x[order] for x in (place, group, who, start, size))
+        seen = np.stack((ids[who], who, start), 1)
+        edges = _edges(group)
+        one = edges[:-1]
+        runs = _edges(place[one])
+        lists = pa.array(runs, pa.int32())
+        found = pa.table(
+            {
+                "_sd_place": pa.array(place[one][runs[:-1]], pa.int64()),
+                "_sd_batch": pa.array(np.full(len(runs) - 1, batch), pa.int64()),
+                "pieces": pa.ListArray.from_arrays(lists, _cut(texts, who[one], start[one], size[one])),
+                "seen": pa.ListArray.from_arrays(lists, _binary(seen.reshape(-1), 3 * edges)),
+            }
+        )
+        spans = np.concatenate(spans).astype(np.int64)
+        if len(spans):
+            found = pa.concat_tables([found, _table([(-1 - batch, batch, [], [spans.tobytes()])], PIECES)])
+        return found
 
     return run
 
 
-def _first_only(found: dict[bytes, list], later: list) -> dict[bytes, list]:
-    """Of each piece the occurrences in documents with the smallest id; those in
-    the others are repeats and are added to ``later`` as spans."""
-    out = {}
-    for piece, seen in found.items():
-        if len(seen) > 1:
-            least = min(seen)[0]
-            later += [(w, s, s + len(piece)) for i, w, s in seen if i > least]
-            seen = [x for x in seen if x[0] == least]
-        out[piece] = seen
-    return out
+def _cut(texts: list[bytes], who: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    ends = (start + size).tolist()
+    return pa.array([texts[w][s:e] for w, s, e in zip(who.tolist(), start.tolist(), ends)], pa.binary())
+
+
+def _strings(texts: list[bytes], who: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """A row of bytes for each string."""
+    if not len(who):
+        return np.zeros((0, length), np.uint8)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    joined = np.frombuffer(b"".join(texts), np.uint8)
+    offsets = np.cumsum(sizes) - sizes
+    return np.lib.stride_tricks.sliding_window_view(joined, length)[offsets[who] + start]
+
 
+def _codes(values: pa.Array) -> np.ndarray:
+    """A number for each value, the same for equal ones."""
+    return values.dictionary_encode().indices.to_numpy().astype(np.int64)
 
-def _own_places(strings, key: int, salts: int, places: int) -> list[int]:
-    """The place of each string of an anchor that has many: those of whole strings
+
+def _first_only(group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The occurrences' groups, and which are in documents whose id is not the
+    smallest of their group: those are repeats."""
+    if not len(group):
+        return group, np.zeros(0, bool)
+    order = np.argsort(group, kind="stable")
+    edges = _edges(group[order])
+    least = np.empty(len(group), np.int64)
+    least[order] = np.repeat(np.minimum.reduceat(ids[order], edges[:-1]), np.diff(edges))
+    numbered = np.empty(len(group), np.int64)
+    numbered[order] = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    return numbered, ids > least
+
+
+def _own_places(strings: np.ndarray, keys: np.ndarray, salts: np.ndarray, places: int) -> np.ndarray:
+    """The place of each string of anchors that have many: those of whole strings
     are numbered after the others."""
-    digest = xxhash.xxh64_intdigest
-    salt = np.fromiter((digest(x) % salts for x in strings), np.uint64, len(strings))
-    mixed = _mix(_mix(np.full(1, key, np.uint64)) + salt)
-    return (places + (mixed % np.uint64(places)).astype(np.int64)).tolist()
+    padded = np.zeros((len(strings), -(-strings.shape[1] // 8) * 8), np.uint8)
+    padded[:, : strings.shape[1]] = strings
+    digest = np.zeros(len(strings), np.uint64)
+    for word in padded.view(np.uint64).T:
+        digest = _mix(digest * np.uint64(MULTIPLIER) + word)
+    mixed = _mix(_mix(keys.astype(np.uint64)) + digest % salts.astype(np.uint64))
+    return places + (mixed % np.uint64(places)).astype(np.int64)
 
 
 def _find_repeats(length: int, places: int):
@@ -326,50 +381,65 @@ def _find_repeats(length: int, places: int):
         if place < 0:
             rows = zip(table.column("_sd_batch").to_pylist(), table.column("seen").to_pylist())
             return _table([(batch, spans) for batch, seen in rows for spans in seen], REPEATS)
-        holders: dict[bytes, list[tuple[int, np.ndarray]]] = {}
-        for batch, pieces, seen in zip(
-            table.column("_sd_batch").to_pylist(),
-            table.column("pieces").to_pylist(),
-            table.column("seen").to_pylist(),
-        ):
-            for piece, occurrences in zip(pieces, seen):
-                holders.setdefault(piece, []).append(
-                    (batch, np.frombuffer(occurrences, np.int64).reshape(-1, 3))
-                )
-        pieces = list(holders)
-        first_id = [min(int(x[:, 0].min()) for _, x in holders[piece]) for piece in pieces]
+        listed = table.column("pieces").combine_chunks()
+        batch = np.repeat(table.column("_sd_batch").to_numpy(), listed.value_lengths().to_numpy())
+        known = listed.flatten().dictionary_encode()
+        seen = table.column("seen").combine_chunks().flatten()
+        times = pc.binary_length(seen).to_numpy() // 24
+        seen = np.frombuffer(b"".join(seen.to_pylist()), np.int64).reshape(-1, 3)
+        piece, batch = np.repeat(known.indices.to_numpy(), times), np.repeat(batch, times)
+        pieces = known.dictionary.to_pylist()
+        size = pc.binary_length(known.dictionary).to_numpy().astype(np.int64)
+        order = np.argsort(piece, kind="stable")
+        least = np.minimum.reduceat(seen[order, 0], _edges(piece[order])[:-1])
+        later = seen[:, 0] > least[piece]
+        spans = [np.stack((batch, seen[:, 1], seen[:, 2], seen[:, 2] + size[piece]), 1)[later]]
         # Whole strings by themselves are equal or have nothing in common.
-        alone = place >= places
-        smallest = None if alone else _smallest_id(pieces, first_id, length)
-        out: dict[int, list[np.ndarray]] = {}
-        at = 0
-        for piece, least in zip(pieces, first_id):
-            starts = len(piece) - length + 1
-            earlier = None if alone else smallest[at : at + starts] < least
-            at += len(piece) + len(SEPARATOR)
-            spans = _spans(earlier, length) if earlier is not None and earlier.any() else None
-            for batch, occurrences in holders[piece]:
-                later = occurrences[occurrences[:, 0] > least]
-                if len(later):
-                    whole = [later[:, 1], later[:, 2], later[:, 2] + len(piece)]
-                    out.setdefault(batch, []).append(np.stack(whole, 1))
-                if spans is not None:
-                    for _, w, s in occurrences[occurrences[:, 0] == least]:
-                        out.setdefault(batch, []).append(
-                            np.stack([np.full(len(spans), w), spans[:, 0] + s, spans[:, 1] + s], 1)
-                        )
-        rows = [(b, np.concatenate(x).astype(np.int64).tobytes()) for b, x in out.items()]
-        return _table(rows, REPEATS)
+        if place < places:
+            which, starts, ends = _earlier(_smallest_id(pieces, least, length), least, size, length)
+            runs = np.searchsorted(which, np.arange(len(pieces) + 1))
+            at = np.flatnonzero(~later & (np.diff(runs) > 0)[piece])
+            many = np.diff(runs)[piece[at]]
+            span = np.repeat(runs[:-1][piece[at]], many) + _within(many)
+            at = np.repeat(at, many)
+            spans.append(np.stack((batch[at], seen[at, 1], seen[at, 2] + starts[span], seen[at, 2] + ends[span]), 1))
+        spans = np.concatenate(spans).astype(np.int64)
+        spans = spans[np.argsort(spans[:, 0], kind="stable")]
+        runs = _edges(spans[:, 0]) if len(spans) else np.zeros(1, np.int64)
+        return pa.table(
+            {
+                "_sd_batch": pa.array(spans[runs[:-1], 0], pa.int64()),
+                "found": _binary(spans[:, 1:].reshape(-1), 3 * runs),
+            }
+        )
 
     return run
 
 
-def _smallest_id(pieces: list[bytes], first_id: list[int], length: int) -> np.ndarray:
+def _earlier(
+    smallest: np.ndarray, first_id: np.ndarray, sizes: np.ndarray, length: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of bytes covered by strings that a document before the piece's
+    first one holds: (piece, start in it, end), in order."""
+    piece = np.repeat(np.arange(len(sizes)), sizes + 1)
+    base = np.cumsum(sizes + 1) - sizes - 1
+    at = np.flatnonzero(smallest < first_id[piece])
+    at = at[at - base[piece[at]] + length <= sizes[piece[at]]]
+    piece = piece[at]
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] - at[:-1] > length) | (piece[1:] != piece[:-1])
+    heads = np.flatnonzero(new)
+    tails = np.r_[heads[1:], len(at)] - 1 if len(at) else heads
+    which = piece[heads]
+    return which, at[heads] - base[which], at[tails] + length - base[which]
+
+
+def _smallest_id(pieces: list[bytes], first_id: np.ndarray, length: int) -> np.ndarray:
     """For each start of a whole string in the pieces (laid end to end with a
     byte between that no text has), the smallest id that holds this string."""
     block = np.frombuffer(SEPARATOR.join(pieces) + SEPARATOR, np.uint8)
     sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    ids = np.repeat(np.array(first_id, np.int64), sizes + 1)
+    ids = np.repeat(first_id, sizes + 1)
     if len(pieces) == 1 and sizes[0] < 2 * length:
         return ids
     words = words_at(block, length)
@@ -382,13 +452,6 @@ def _smallest_id(pieces: list[bytes], first_id: list[int], length: int) -> np.nd
     return out
 
 
-def _spans(starts: np.ndarray, length: int) -> np.ndarray:
-    """Maximal runs of bytes covered by strings that begin where it is true."""
-    at = np.flatnonzero(starts)
-    gap = np.flatnonzero(np.diff(at) > length)
-    return np.stack([at[np.r_[0, gap + 1]], at[np.r_[gap, len(at) - 1]] + length], 1)
-
-
 def _merged(spans: np.ndarray) -> np.ndarray:
     """Unites spans that overlap or touch."""
     spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
@@ -417,10 +480,12 @@ def _mark(columns: list[str], whole_characters: bool):
         spans: list[list] = [[] for _ in texts]
         if repeats.num_rows:
             found = np.frombuffer(b"".join(repeats.column("found").to_pylist()), np.int64).reshape(-1, 3)
-            found = found[np.argsort(found[:, 0], kind="stable")]
-            runs = _edges(found[:, 0])
-            for start, end in zip(runs[:-1], runs[1:]):
-                spans[found[start, 0]] = _merged(found[start:end, 1:]).tolist()
+            # All texts as one, with a byte between that no span has.
+            base = np.cumsum([0, *[len(x) + 1 for x in texts]])
+            found = _merged(found[:, 1:] + base[found[:, 0], None])
+            runs = np.searchsorted(found[:, 0], base)
+            for k in np.flatnonzero(np.diff(runs)).tolist():
+                spans[k] = (found[runs[k] : runs[k + 1]] - base[k]).tolist()
         if whole_characters:
             spans = [_whole_characters(text, own) for text, own in zip(texts, spans)]
         kept = []

@@ -109,6 +109,42 @@ def test_strings_of_a_common_passage_are_spread_over_places():
         assert marked.get(i, set()) == {k + j for k in starts for j in range(length)}
 
 
+def test_a_passage_whose_strings_fit_in_a_place_is_sent_in_pieces():
+    """Strings are sent one by one only where the pieces would overfill a place."""
+    rng = random.Random(7)
+    passage = "this passage stands in many of the documents, between words of their own that no other has"
+    texts = [f"{rng.getrandbits(200):x}{passage}{rng.getrandbits(200):x}".encode() for _ in range(3000)]
+    batch = pa.table({"_sd_batch": [0] * 3000, "_sd_id": list(range(3000)), "_sd_text": pa.array(texts, pa.binary())})
+    anchors = suffix_dedup._send_anchors(50, 1)(batch)
+    sent = {}
+    for limit in (suffix_dedup.PLACE_BYTES, 1 << 14):
+        placed = suffix_dedup._assign_places(64, 50, limit)(anchors)
+        pieces = suffix_dedup._cut_pieces(50, 1, 64)(batch, placed)
+        assert pieces.schema.names == ["_sd_place", "_sd_batch", "pieces", "seen"]
+        sent[limit] = [x for own in pieces["pieces"].to_pylist() for x in own]
+    assert sum(map(len, sent[suffix_dedup.PLACE_BYTES])) < sum(map(len, texts))
+    assert sum(map(len, sent[1 << 14])) > 2 * sum(map(len, texts))
+
+
+def test_repeats_of_a_place_are_listed_by_batch_without_a_pass_over_pieces(monkeypatch):
+    """Several occurrences of a piece, in several batches, each with the spans of its first one."""
+    first = b"a" * 5 + b"bcdefghijk" + b"m" * 5
+    other = b"bcdefghijk"
+    seen = lambda *rows: np.array(rows, np.int64).tobytes()
+    table = pa.table(
+        {
+            "_sd_place": [3, 3],
+            "_sd_batch": [7, 9],
+            "pieces": pa.array([[first, other], [first]], pa.list_(pa.binary())),
+            "seen": pa.array([[seen((5, 0, 0), (5, 1, 30)), seen((4, 2, 8))], [seen((5, 3, 1), (6, 4, 2))]], pa.list_(pa.binary())),
+        }
+    )
+    monkeypatch.setattr(suffix_dedup, "_table", lambda *_: pytest.fail("rows are made one by one"))
+    repeats = suffix_dedup._find_repeats(10, 64)(table)
+    got = {b: sorted(map(tuple, np.frombuffer(x, np.int64).reshape(-1, 3).tolist())) for b, x in zip(repeats["_sd_batch"].to_pylist(), repeats["found"].to_pylist())}
+    assert got == {7: [(0, 5, 15), (1, 35, 45)], 9: [(3, 6, 16), (4, 2, 22)]}
+
+
 def test_kept_texts_hold_whole_characters(spark):
     shared = "é" * 40
     rows = [(1, "a" + shared), (2, "ñ" + shared + "ü"), (3, None)]
