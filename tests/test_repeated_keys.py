@@ -82,3 +82,20 @@ def test_texts_are_not_copied_for_their_matches(spark, without_broadcasts):
         kind.join = old
     assert copies == [400]
     assert got.count() == 400 * 50 * 20
+
+
+def test_small_tables_with_a_large_result_are_joined_in_many_tasks(spark, without_broadcasts):
+    """Tasks are not put together because what they read is small."""
+    speeches = spark.range(2000).selectExpr("if(id < 0, '4', '3') as speech_id", "cast(id as string) as speech")
+    descr = spark.range(9).selectExpr("if(id < 0, '4', '3') as speech_id", "cast(id as int) as date", "'s' as state")
+    speakers = spark.range(5).selectExpr("id as speakerid", "if(id < 0, '4', '3') as speech_id", "'l' as lastname", "'f' as firstname", "'t' as state", "'D' as party")
+
+    def sizes():
+        got = join_session(speeches, descr, speakers, repeated=True)
+        return got.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+
+    with without_broadcasts():
+        found = [sizes()]
+    found.append(sizes())
+    for own in found:
+        assert sum(own) == 2000 * 9 * 5 and max(own) < 2000 * 9 * 5 / 20
